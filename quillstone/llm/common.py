@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -46,6 +47,8 @@ def pieces(b: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[pa.RecordBatch
     """A batch in slices of bounded text, so that very long texts don't add up in memory."""
     at, size = 0, 0
     text = b.column("text")
+    if not b.num_rows:
+        return
     if text.nbytes <= chars:
         yield b
         return
@@ -106,5 +109,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more, rather than when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

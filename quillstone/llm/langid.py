@@ -15,9 +15,10 @@ labelled; repeated rows each get a row; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .common import batch, map_rows, pieces, table
 #: Bounds of the training sample, and of the model.
 PER_LANGUAGE, TRAIN_WORDS, LEXICON = 400, 200, 20_000
 DIMS = 1 << 17
+#: A word's log potential is at most this far below that of its best label: no single word decides a text.
+FLOOR = -16.0
 LETTERS = re.compile(r"[^\W\d_]+")
 FOLDS, HELD = 4, 2
 
@@ -80,10 +83,10 @@ class Model:
         none = len(self.labels)
         return out + self.by_lexicon[np.fromiter((self.lexicon.get(w, none) for w in ws), np.int64, len(ws))]
 
-    def marginals(self, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def marginals(self, rows: np.ndarray, lengths: np.ndarray, pairwise: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward-backward over many sequences in step. rows: emissions of all words, sequence by sequence (each of 1 word or more).
 
-        Gives the marginals in the same order, expected counts of transitions and of first labels.
+        Gives the marginals in the same order, and the expected counts of transitions (if asked) and of first labels.
         """
         n = len(lengths)
         order = np.argsort(-lengths, kind="stable")
@@ -97,36 +100,33 @@ class Model:
         place = offset[t] + rank  # of the t-th word of the sequence of that rank
         source = np.repeat(begin, sizes) + t
         e = np.empty((len(rows), rows.shape[1]), np.float32)
-        e[place] = np.exp(rows - rows.max(1, keepdims=True))[source]
+        e[place] = np.exp(np.maximum(rows - rows.max(1, keepdims=True), FLOOR))[source]
         trans = np.exp(self.transitions).astype(np.float32)
+        ones = np.ones((e.shape[1], 1), np.float32)
         alpha = np.empty_like(e)
+        scale = np.empty((len(e), 1), np.float32)
         cur = e[: active[0]] * np.exp(self.initial).astype(np.float32)
-        cur /= cur.sum(1, keepdims=True)
-        alpha[: active[0]] = cur
-        for k in range(1, most):
-            a, o = active[k], offset[k]
-            cur = (cur[:a] @ trans) * e[o : o + a]
-            cur /= cur.sum(1, keepdims=True)
+        steps = list(zip(active.tolist(), offset.tolist(), strict=False))
+        for k, (a, o) in enumerate(steps):
+            if k:
+                cur = (cur[:a] @ trans) * e[o : o + a]
+            c = cur @ ones
+            cur /= c
             alpha[o : o + a] = cur
-        gamma = np.empty_like(e)
-        beta = np.ones((0, e.shape[1]), np.float32)
+            scale[o : o + a] = c
+        beta = np.ones_like(e)
+        e /= scale
+        back = np.ascontiguousarray(trans.T)
         pairs = np.zeros_like(trans)
-        for k in range(most - 1, -1, -1):
-            a, o = active[k], offset[k]
-            if len(beta):
-                nxt = e[offset[k + 1] : offset[k + 1] + len(beta)] * beta
-                al = alpha[o : o + len(beta)]
-                b = nxt @ trans.T
-                z = (al * b).sum(1, keepdims=True)
-                pairs += (al / z).T @ nxt * trans
-                b /= b.sum(1, keepdims=True)
-            else:
-                b = beta
-            if a > len(b):
-                b = np.concatenate([b, np.ones((a - len(b), e.shape[1]), np.float32)])
-            beta = b
-            g = alpha[o : o + a] * b
-            gamma[o : o + a] = g / g.sum(1, keepdims=True)
+        for k in range(most - 1, 0, -1):
+            a, o = steps[k]
+            nxt = e[o : o + a] * beta[o : o + a]
+            p = steps[k - 1][1]
+            beta[p : p + a] = nxt @ back
+            if pairwise:
+                pairs += alpha[p : p + a].T @ nxt * trans
+        gamma = alpha * beta
+        gamma /= gamma @ ones
         out = np.empty_like(gamma)
         out[source] = gamma[place]
         return out, pairs, gamma[: active[0]].sum(0)
@@ -136,8 +136,8 @@ class Model:
         lengths = np.array([len(w) for w in cut], np.int64)
         if not self.labels or not lengths.sum():
             return [("und", 0.0)] * len(texts)
-        number: dict[str, int] = {}
-        ids = np.fromiter((number.setdefault(w, len(number)) for ws in cut for w in ws), np.int64, int(lengths.sum()))
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, int(lengths.sum()))
         vocabulary = list(number)
         e = np.concatenate([self.emissions(vocabulary[i : i + 50_000]) for i in range(0, len(vocabulary), 50_000)])
         some = np.flatnonzero(lengths)
@@ -202,7 +202,7 @@ def fit(labelled: list[tuple[str, list[str]]], seed: int = 5, epochs: int = 4, r
             gold = np.array([y for s in some for _, y in s])
             vocabulary = list(number)
             lengths = np.array([len(s) for s in some], np.int64)
-            gamma, pairs, first = model.marginals(model.emissions(vocabulary)[ids], lengths)
+            gamma, pairs, first = model.marginals(model.emissions(vocabulary)[ids], lengths, True)
             diff = -gamma.astype(np.float64)
             diff[np.arange(len(gold)), gold] += 1
             by_word = np.zeros((len(vocabulary), k))
