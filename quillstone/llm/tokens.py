@@ -18,7 +18,9 @@ CUT = re.compile(f" ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]")
 ODD = re.compile("[\x1c-\x1f]")
 WORDS = re.compile(f"[^{BLANKS}]+")
 #: Pieces remembered before a worker starts anew; most pieces of a large corpus never come again.
-REMEMBER = 400_000
+REMEMBER = 800_000
+#: Letters whose class and case no version of Unicode changes: pieces of these alone go straight to the merges.
+PLAIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+")
 _loaded: dict[str, Encoder] = {}
 
 
@@ -33,6 +35,19 @@ def _load(name: str):
     return Tokenizer.from_file(name)
 
 
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
+    out, more = [], 256
+    for b in range(256):
+        prints = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+        out.append(chr(b if prints else more))
+        more += not prints
+    return out
+
+
+ALPHABET = {b: c for b, c in enumerate(byte_alphabet())}
+
+
 class Encoder:
     """spaced: a blank belongs to the piece that follows it (byte-level vocabularies); else white space is dropped."""
 
@@ -56,27 +71,37 @@ class Encoder:
             return key
         return key[1:] if key[:1] == "=" and len(key) > 1 else " " + key
 
+    def _merged(self, text: str) -> bytes:
+        """Of one piece of plain letters, with a blank before it or not."""
+        mapped = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(ALPHABET)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: set[str]) -> None:
         if len(self.memo) + len(missing) > REMEMBER:
             self.memo.clear()
-        # A single full stop or comma after an ASCII letter is a piece of its own in both vocabularies.
+        # A single full stop or comma after a letter is a piece of its own in both vocabularies.
         whole, split = [], []
         for k in missing:
             t = self._text(k)
-            if not self.spaced and t.isascii():
+            if not self.spaced and (t.isascii() or PLAIN.fullmatch(t.rstrip(".,"))):
                 t = t.lower()
-            if len(t) > 2 and t[-1] in ".," and t[-2].isascii() and t[-2].isalpha():
+            if len(t) > 2 and t[-1] in ".," and t[-2].isalpha():
                 split.append((k, t[:-1], t[-1]))
                 whole.append(t[:-1])
                 whole.append(t[-1])
             else:
                 split.append((k, t, ""))
                 whole.append(t)
-        new = list(set(whole))
-        known = dict(zip(new, self._encode(new), strict=True))
+        known, rest = {}, []
+        for t in set(whole):
+            if PLAIN.fullmatch(t, t[:1] == " "):
+                known[t] = self._merged(t)
+            else:
+                rest.append(t)
+        known.update(zip(rest, self._encode(rest), strict=True))
         known[""] = b""
         for k, a, b in split:
             self.memo[k] = known[a] + known[b]
