@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = " \t\n\x0b\x0c\r"
 #: The same as a class for Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -104,15 +104,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as a table in the shared folder and read from there: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more, rather than when the driver next happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the shuffle files go when the table is written
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, hashes, map_rows, partitions, pieces, release, rolled, settled, table, words
+from .common import batch, hashes, map_rows, partitions, pieces, rolled, settled, table, words
 
 LENGTH = 13
 #: Words of a chunk, which asks for each of its windows once; documents to a part of the values.
@@ -267,18 +267,13 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 
 def covered(docs: DataFrame) -> DataFrame:
     """(doc, spans): word spans of each document that a window shares with an earlier one."""
-    spark = docs.sparkSession
     parts = max(12, docs.select("doc_id").count() // PART_DOCS)
     found = settled(answered(asked(docs, parts)), "sub-found")
-    release(spark)
     rows = settled(passages(docs, found), "sub-passages")
-    release(spark)
     good = matched(rows)
     back = rows.filter("doc IS NOT NULL").select("shard", "mark", "doc", "start").join(good, ["shard", "mark"])
     one = back.select("doc", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s[0]).alias("a"), (F.col("start") + s[1]).alias("e")))).alias("s"))
-    out = settled(one.groupBy("doc").agg(F.collect_list("s").alias("spans")), "sub-spans")
-    release(spark)
-    return out
+    return settled(one.groupBy("doc").agg(F.collect_list("s").alias("spans")), "sub-spans")
 
 
 def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
