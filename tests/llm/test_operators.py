@@ -1,0 +1,310 @@
+"""The operators on small tables: brute force, round trips and awkward rows."""
+
+import base64
+import hashlib
+import json
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillstone.llm import langid, mixing, neardup, packing, quality, secret_scan, substring, tokens, warc, wavelet, webp
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long, w string, start long, size long, kept boolean"
+
+
+def frame(spark, rows):
+    """Documents with further columns whose names clash with those the operators make."""
+    return spark.createDataFrame([(i, t, lang, src, len(t or ""), "x", 7, 9, None) for i, t, lang, src in rows], DDL)
+
+
+def prose(n, seed, size=200):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(size)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    base, r = prose(400, 1, 5000), random.Random(3)
+    ws = base.split()
+    near = ws[:]
+    near[200] = "changed"
+    half = ws[:200] + prose(200, 4, 5000).split()
+    out = [
+        (10, base, "en", "a"), (11, base, "en", "a"), (12, " ".join(near), None, "a"), (13, " ".join(half), "en", None), (14, None, "en", "b"), (15, "", "fr", "b"), (16, " \t\n", None, None),
+        (17, "only three words", "en", "c"), (18, "ONLY three words", "en", "c"), (None, base, "en", "c"), (20, prose(30000, 5, 100), "fr", "c"), (10, base, "en", "a"), (21, "1234 5678", "en", "d"), (22, "é ß 日本 \x1c x", "de", "d"),
+    ]
+    out += [(100 + k, " ".join(x if r.random() > 0.02 else f"e{k}" for x in ws), "en", "hot") for k in range(60)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+def test_empty_tables(spark, empty, tmp_path):
+    folder = f"file://{tmp_path}"
+    made = [quality.judged(empty), secret_scan.scanned(empty), wavelet.read_shards(wavelet.write_shards(empty, folder)), langid.identified(empty, langid.learned(empty)), neardup.grouped(empty), webp.features(webp.as_media(empty)), mixing.mixed(empty), packing.packed(empty), substring.removed(empty, substring.covered(empty))]
+    assert [df.count() for df in made] == [0] * len(made)
+
+
+def test_quality(docs, rows):
+    got = quality.judged(docs).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    assert by[14]["n_words"] == by[15]["n_words"] == by[16]["n_words"] == 0 and by[14]["base_failed"]
+    ws = "a b c a b c d a b".split()
+    grams = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
+    want = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    assert quality.repeat_words([w.encode() for w in ws]) == len(want)
+    assert quality.dup_lines("a\n\na\n \n \nb\na") == 2
+    orders = [quality.ordered(quality.RULES, [quality.Estimate(r.name, 1.0, p) for r, p in zip(quality.RULES, ps)]) for ps in ([1, 2, 3, 4, 5, 6], [6, 5, 4, 3, 2, 1])]
+    assert orders[0][0] == quality.RULES[-1] and orders[1][0] == quality.RULES[0]
+
+
+def test_secrets(docs):
+    key = lambda body: b"\x30" + bytes([len(body)]) + body
+    der = key(b"\x02\x01\x00" + key(b"\x06\x09" + b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01" + b"\x05\x00") + b"\x04\x20" + bytes(range(32)))
+    b64 = base64.b64encode(der).decode()
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()).decode().rstrip("=")
+    ssh = base64.b64encode(secret_scan.OPENSSH + b"\0\0\0\4none\0\0\0\4none\0\0\0\0\0\0\0\1" + b"k" * 20).decode()
+    kinds = lambda t: [secret_scan.KINDS[k] for _, k, _ in secret_scan.spans(t)[1]]
+    assert kinds(f"x {b64} y") == ["der_base64"] and kinds(der.hex()) == ["der_hex"] and kinds(ssh) == ["openssh"]
+    assert kinds(f"{head}.eyJzdWIiOjF9.c2ln") == ["token"] and "pem" in kinds(f"-----BEGIN PRIVATE KEY-----\n{b64}\n-----END PRIVATE KEY-----")
+    broken = base64.b64encode(der[:-1]).decode()
+    assert not kinds(broken) and not kinds("A" * 60) and not kinds("deadbeef" * 8) and not kinds("aaaaaaaaaaaaaaaaaaaa.bbb.ccc")
+    base = secret_scan.spans("PassWord: short  token=abcdefgh12 AKIA" + "A" * 12 + " " + "0f" * 16 + "g ſecret=abcdefghijk")[0]
+    assert [secret_scan.KINDS[k] for _, k, _ in base] == ["assign", "access", "hex"]
+    assert secret_scan.spans("password: secret: abcdefghijk")[0] == []  # the dropped match has used up its text
+    assert secret_scan.masked("é token=abcdefgh12 x") == "é [SECRET] x"
+    got = {r["doc_id"]: r for r in secret_scan.scanned(docs).collect()}
+    assert got[14]["spans"] == "" and got[14]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_wavelet_matrix():
+    for seed, n, top in ((1, 1, 1), (2, 3000, 50257), (3, 1500, 7), (4, 513, 70000)):
+        ids = np.random.default_rng(seed).integers(0, top, n).astype(np.uint32)
+        m, docs, lengths = wavelet.loads(wavelet.dumps(wavelet.WaveletMatrix.build(ids), [5, None], [n, 0]))
+        assert (m.tokens() == ids).all() and docs == [5, None] and list(lengths) == [n, 0]
+        for i in range(0, n, 97):
+            assert m.access(i) == ids[i]
+        for c in {int(ids[0]), int(ids[-1]), top + 5}:
+            at = np.flatnonzero(ids == c)
+            assert m.count(c) == len(at) and m.rank(c, n // 2) == int((at < n // 2).sum()) and [m.select(c, j) for j in range(min(4, len(at)))] == at[:4].tolist()
+        with pytest.raises(IndexError):
+            m.select(top + 5, 0)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_give_the_library_s_ids(name):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    r = random.Random(7)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\x85", "\x1c", "　", " ", "a", "The", "don't", "it's", "word,", "x.,", "É", "ÉCOLE", "über,", "Straße.", "12", "3.4", "日本", "́", "_", "'s", "<|endoftext|>", "Σ", "İ", "​", "end.", "ŉ", "º"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(3000)]
+    want = [e.ids for e in Tokenizer.from_file(path(name)).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(name).encode(texts)] == want
+
+
+def test_shards_read_back(docs, rows, tmp_path):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    got = wavelet.read_shards(wavelet.write_shards(docs, f"file://{tmp_path}", shard_tokens=5000)).collect()
+    ordered = sorted(got, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in ordered] == sorted((i for i, *_ in rows), key=lambda i: -1 if i is None else i)
+    at, by = 0, {i: x for i, x, *_ in rows}
+    for r in ordered:
+        ids = np.array([*t.encode(by[r["doc_id"]] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_packing(docs):
+    p = [r.asDict() for r in packing.packed(docs).collect()]
+    by = {}
+    for r in sorted(p, key=lambda r: r["offset"]):
+        seq = by.setdefault(r["sequence_id"], [0])
+        assert r["offset"] == seq[0]
+        seq[0] += r["length"]
+        assert seq[0] <= packing.SEQUENCE
+    assert sum(r["piece"] == 0 for r in p) == docs.count() and max(r["piece"] for r in p if r["doc_id"] == 20) > 10
+
+
+def test_reduction_keeps_the_optimum():
+    def best(items, room):  # brute force
+        todo, least = [(tuple(sorted(items, reverse=True)), ())], len(items)
+        while todo:
+            left, bins = todo.pop()
+            if len(bins) >= least and left:
+                continue
+            if not left:
+                least = min(least, len(bins))
+                continue
+            w, rest = left[0], left[1:]
+            for i in {b: i for i, b in enumerate(bins)}.values():
+                if bins[i] >= w:
+                    todo.append((rest, (*bins[:i], bins[i] - w, *bins[i + 1 :])))
+            todo.append((rest, (*bins, room - w)))
+        return least
+
+    r = random.Random(2)
+    for _ in range(60):
+        items = [r.randrange(2, 20) for _ in range(8)]
+        plan = packing.Plan(20, {w: items.count(w) for w in set(items)})
+        packing.reduce(plan)
+        left = [w for w, c in plan.left.items() for _ in range(c)]
+        assert plan.sequences + best(left, 20) == best(items, 20)
+        packing.best_fit(plan)
+        assert not plan.left and sum(s[2] for s in plan.segments) == len(items)
+
+
+def test_language(docs):
+    r = random.Random(1)
+    make = lambda syl: [" ".join("".join(r.choice(syl) for _ in range(3)) for _ in range(60)).split() for _ in range(40)]
+    a, b = make(["th", "er", "ing", "ou"]), make(["sch", "ü", "ei", "en"])
+    m = langid.fit([("en", w) for w in a[:30]] + [("de", w) for w in b[:30]])
+    assert [x for x, _ in m.predict([" ".join(w) for w in a[30:] + b[30:]])] == ["en"] * 10 + ["de"] * 10
+    mixed = a[30][:20] + b[30][:20]
+    gamma, _, _ = m.marginals(m.emissions(mixed), np.array([40]))
+    assert (gamma.argmax(1) == [1] * 20 + [0] * 20).mean() > 0.9 and np.allclose(gamma.sum(1), 1, atol=1e-4)
+    assert m.predict([None, "", "12 34", "²"]) == [("und", 0.0)] * 4
+    # forward-backward against all label sequences
+    e, k = m.emissions(mixed[18:22]), 2
+    e = np.maximum(e - e.max(1, keepdims=True), langid.FLOOR)
+    want = np.zeros((4, k))
+    for code in range(k**4):
+        y = [code >> j & 1 for j in range(4)]
+        want[range(4), y] += np.exp(m.initial[y[0]] + sum(e[j, y[j]] for j in range(4)) + sum(m.transitions[y[j], y[j + 1]] for j in range(3)))
+    got, _, _ = m.marginals(m.emissions(mixed[18:22]), np.array([4]))
+    assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-3)
+    out = {r["doc_id"]: r for r in langid.identified(docs, langid.learned(docs)).collect()}
+    assert out[14]["lang_pred"] == "und" and out[10]["lang_pred"] in ("en", "fr", "de") and 0 < out[10]["score"] <= 1
+
+
+def test_near_duplicates_against_all_pairs(docs, rows):
+    sets = {}
+    for i, t, *_ in rows:
+        w = (t or "").encode().lower().split()
+        if i is not None:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    got = neardup.grouped(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]), find(r["doc_id"]) == r["doc_id"])
+
+
+def test_webp_round_trips():
+    r = np.random.default_rng(1)
+    for h, w, colours in ((7, 5, 0), (20, 17, 2), (33, 40, 100), (50, 3, 15), (1, 1, 0)):
+        img = r.integers(0, 256, (h, w, 4), dtype=np.uint8)
+        if colours:
+            img = img.reshape(-1, 4)[: max(1, min(colours, h * w))][r.integers(0, min(colours, h * w), (h, w))]
+        for steps in ((), (webp.GREEN,), (webp.CROSS,), (webp.PREDICTOR, webp.CROSS, webp.GREEN), (webp.PALETTE,) if colours else ()):
+            for cache, copies in ((0, False), (4, True)):
+                assert (webp.decode(webp.encode(img, steps, cache_bits=cache, copies=copies)) == img).all()
+        for mode in range(14):
+            assert (webp.decode(webp.encode(img, (webp.PREDICTOR,), mode)) == img).all()
+    for rows in (1, 3, 16385):
+        p = bytes(r.integers(0, 256, 576 * rows, dtype=np.uint8))
+        assert webp.restore(webp.store(p))[0] == p
+    with pytest.raises(ValueError):
+        webp.decode(webp.store(b"x" * 576)[:-40])
+
+
+def test_media_of_texts(docs, rows):
+    by = {i: t for i, t, *_ in rows}
+    for r in webp.features(webp.as_media(docs)).collect():
+        p, n = webp.padded(by[r["doc_id"]])
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])) and len(p) % 576 == 0 and len(p) >= 576
+
+
+def test_mixing(docs):
+    assert mixing.targets([100, 100, 10], [3, 1, 2]) == [200.0, 95.0, 20.0]
+    assert mixing.seats([53.0, 24.0, 23.0], 7, [99] * 3) == [3, 2, 2]
+    shards = mixing.per_shard([50.0, 30.0, 20.0], 100, [99] * 3, 10)
+    assert [sum(s) for s in shards] == [10] * 10 and [sum(c) for c in zip(*shards)] == [50, 30, 20]
+    got = mixing.mixed(docs).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mixed(docs.repartition(3)).collect()), key=str)
+    per = {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        s = per.setdefault((r["source_size"], r["target"]), [0])
+        s[0] += r["taken"]
+    assert all(abs(v[0] - t) <= 2 * mixing.BLOCK for (_, t), v in per.items())
+
+
+def test_substrings_against_all_windows(docs, rows):
+    ws = [(i, (t or "").encode().split()) for i, t, *_ in rows]
+    first = {}
+    for i, w in ws:
+        for k in range(len(w) - 12):
+            if i is not None:
+                g = tuple(w[k : k + 13])
+                first[g] = min(first.get(g, i), i)
+    got = {r["doc_id"]: r for r in substring.removed(docs, substring.covered(docs)).collect()}
+    for i, w in ws:
+        gone = {k + j for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for j in range(13)}
+        left = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(left).hexdigest())
+
+
+def test_automaton_statistics():
+    r = random.Random(4)
+    for _ in range(100):
+        refs = [[b"%d" % r.randrange(3) for _ in range(r.randrange(1, 12))] for _ in range(3)]
+        a = substring.SuffixAutomaton()
+        for x in refs:
+            a.add(x)
+        held = {tuple(x[i:j]) for x in refs for i in range(len(x)) for j in range(i, len(x) + 1)}
+        q = [b"%d" % r.randrange(3) for _ in range(15)]
+        assert a.statistics(q) == [max(n for n in range(i + 2) if tuple(q[i + 1 - n : i + 1]) in held) for i in range(len(q))]
+
+
+def test_warc(spark, tmp_path):
+    rows = [(3, "http://a/x", "<p>1</p>"), (1, None, "<p>1</p>"), (2, "http://b\r\nX: y", None), (5, "u", ""), (4, "u", "é" * 100_000), (1, "again", "<p>1</p>"), (None, "u", "<p>1</p>")]
+    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, first long")
+    manifest = warc.write_archives(warc.with_firsts(pages), f"file://{tmp_path}/w", archive_bytes=300)
+    records = warc.read_records(manifest)
+    assert records.filter("record_type <> 'warcinfo'").count() == 3 * len(rows)
+    got = warc.assemble(records).collect()
+    assert len(got) == len(rows) and all(r["request"] and r["metadata"] for r in got)
+    kinds = sorted((str(r["answer"]["page_id"]), r["answer"]["record_type"], r["answer"]["refers_to"]) for r in got)
+    assert kinds == [("1", "response", None), ("1", "response", None), ("2", "response", None), ("3", "revisit", 1), ("4", "response", None), ("5", "revisit", 2), ("None", "revisit", 1)]
+    for r in got:
+        if r["answer"]["record_type"] == "response":
+            assert r["answer"]["digest"] == r["answer"]["computed_digest"]
+    assert {bytes(r["answer"]["payload"]) for r in got if r["answer"]["payload"] is not None} == {b"<p>1</p>", b"", "é".encode() * 100_000}
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline as cp
+
+    now = docs
+    for k, (name, stage) in enumerate(cp.STAGES):
+        before, now = now, stage(spark, now, "").cache()
+        if k < len(cp.STAGES) - 1:
+            assert now.columns == docs.columns, name
+            assert now.join(before.select("doc_id").distinct(), "doc_id", "left_anti").filter("doc_id IS NOT NULL").count() == 0
+    assert now.count() > 0 and now.select(F.max("offset")).first()[0] < packing.SEQUENCE
