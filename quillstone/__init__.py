@@ -1,0 +1 @@
+"""Case notes to reviewed form answers as DataFrame operations."""
