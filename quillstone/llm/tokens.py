@@ -112,11 +112,11 @@ class Encoder:
         for at in range(0, len(texts), 512):
             cut = [self._pieces(t or "") for t in texts[at : at + 512]]
             memo = self.memo
-            missing = {k for ks in cut for k in ks if k not in memo}
+            missing = set().union(*cut).difference(memo)
             if missing:
                 if len(memo) + len(missing) > REMEMBER:
                     memo.clear()
-                    missing = {k for ks in cut for k in ks}
+                    missing = set().union(*cut)
                 self._learn(missing)
             get = self.memo.__getitem__
             for t, ks in zip(texts[at : at + 512], cut, strict=True):
