@@ -56,7 +56,7 @@ class WaveletMatrix:
             packed = np.packbits(bit)
             planes.append(packed)
             ones.append(cls._directory(packed))
-            cur = np.concatenate([cur[~bit], cur[bit]])
+            cur = np.concatenate([np.compress(~bit, cur), np.compress(bit, cur)])
         return cls(n, planes, ones)
 
     @staticmethod
