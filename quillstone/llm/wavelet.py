@@ -121,16 +121,22 @@ class WaveletMatrix:
         return i
 
     def tokens(self) -> np.ndarray:
-        """The whole sequence: from the last plane up, zeros and ones go back to where they stood."""
-        depth = len(self.planes)
-        cur = np.zeros(self.n, np.uint16 if depth <= 16 else np.uint32)
-        for p in range(depth - 1, -1, -1):
-            bit = np.unpackbits(self.planes[p], count=self.n).astype(bool)
-            up = np.empty_like(cur)
-            up[~bit] = cur[: self.zeros[p]]
-            up[bit] = cur[self.zeros[p] :] | cur.dtype.type(1 << (depth - 1 - p))
-            cur = up
-        return cur.astype(np.uint32)
+        """The whole sequence: places follow the planes down, in runs of equal leading bits, and at last each run knows its id."""
+        at = np.arange(self.n, dtype=np.uint32 if self.n < 1 << 32 else np.uint64)
+        starts, ids = np.zeros(1, np.int64), np.zeros(1, np.uint32)
+        for plane, zeros in zip(self.planes, self.zeros, strict=True):
+            bit = np.unpackbits(plane, count=self.n).view(bool)
+            one = np.flatnonzero(bit)
+            before = np.searchsorted(one, starts)  # ones before each run
+            ones = np.diff(before, append=len(one))
+            has0, has1 = np.diff(starts, append=self.n) > ones, ones > 0
+            at = np.concatenate([at.take(np.flatnonzero(~bit)), at.take(one)])
+            starts = np.concatenate([(starts - before)[has0], zeros + before[has1]])
+            ids = np.concatenate([ids[has0] << 1, ids[has1] << 1 | 1])
+        out = np.empty(self.n, np.uint32)
+        if self.n:
+            out[at] = np.repeat(ids, np.diff(starts, append=self.n))
+        return out
 
 
 def dumps(m: WaveletMatrix, doc_ids: list[int | None], lengths: list[int]) -> bytes:
