@@ -82,9 +82,27 @@ class Encoder:
     def _learn(self, missing: set[str]) -> None:
         if len(self.memo) + len(missing) > REMEMBER:
             self.memo.clear()
+        # Plain words, with a full stop or comma or none, need no further look: one call of the merges each.
+        memo, tokenize, lead = self.memo, self.tokenizer.model.tokenize, "\u0120" if self.spaced else ""
+        ends, rest = dict(zip(".,", self._encode([".", ","]), strict=True)), []
+        for k in missing:
+            end = ends.get(k[-1:])
+            w = k if end is None else k[:-1]
+            if w.isascii() and w.isalpha():
+                mapped = w if lead else w.lower()
+            elif PLAIN.fullmatch(w):
+                mapped = (w if lead else w.lower()).encode().decode("latin-1").translate(ALPHABET)
+            else:
+                rest.append(k)
+                continue
+            got = memo.get(w)
+            if got is None:
+                got = memo[w] = array("I", [t.id for t in tokenize(lead + mapped)]).tobytes()
+            if end is not None:
+                memo[k] = got + end
         # A single full stop or comma after a letter is a piece of its own in both vocabularies.
         whole, split = [], []
-        for k in missing:
+        for k in rest:
             t = self._text(k)
             if not self.spaced and (t.isascii() or PLAIN.fullmatch(t.rstrip(".,"))):
                 t = t.lower()
@@ -95,13 +113,13 @@ class Encoder:
             else:
                 split.append((k, t, ""))
                 whole.append(t)
-        known, rest = {}, []
+        known, other = {}, []
         for t in set(whole):
             if PLAIN.fullmatch(t, t[:1] == " "):
                 known[t] = self._merged(t)
             else:
-                rest.append(t)
-        known.update(zip(rest, self._encode(rest), strict=True))
+                other.append(t)
+        known.update(zip(other, self._encode(other), strict=True))
         known[""] = b""
         for k, a, b in split:
             self.memo[k] = known[a] + known[b]
