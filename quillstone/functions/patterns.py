@@ -36,3 +36,35 @@ NONE_OPTIONS = (
 TICK = ("true", "yes", "y", "on", "checked", "1")
 UNTICK = ("false", "no", "n", "off", "unchecked", "0")
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+# Insurers by the name a form wants, and what notes call them.
+INSURERS = {
+    "AIA": ("AIA", "AIA Singapore"),
+    "Great Eastern": ("Great Eastern", "Great Eastern Life", "Great Eastern Life Assurance"),
+    "HSBC Life": ("HSBC Life", "HSBC Insurance", "HSBC Life Singapore"),
+    "Income": ("Income Insurance", "NTUC Income"),
+    "Prudential": ("Prudential", "Prudential Assurance", "Prudential Singapore"),
+    "Raffles Health Insurance": ("Raffles Health Insurance",),
+    "Singlife": ("Singlife", "Singapore Life", "Singlife with Aviva"),
+    "Aviva": ("Aviva", "Aviva Singapore"),
+    "AXA": ("AXA", "AXA Insurance", "AXA Singapore"),
+    "Aetna": ("Aetna", "Aetna International"),
+    "Allianz": ("Allianz", "Allianz Partners"),
+    "Bupa": ("Bupa", "Bupa Global"),
+    "China Life": ("China Life",),
+    "China Taiping": ("China Taiping",),
+    "Chubb": ("Chubb", "Chubb Insurance"),
+    "Cigna": ("Cigna", "Cigna Healthcare"),
+    "Etiqa": ("Etiqa", "Etiqa Insurance"),
+    "FWD": ("FWD Insurance", "FWD Singapore"),
+    "Henner": ("Henner", "Henner Group"),
+    "Liberty": ("Liberty Insurance",),
+    "Manulife": ("Manulife", "Manulife Singapore"),
+    "MSIG": ("MSIG", "MSIG Insurance"),
+    "QBE": ("QBE", "QBE Insurance"),
+    "Sompo": ("Sompo", "Sompo Insurance"),
+    "Tokio Marine": ("Tokio Marine", "Tokio Marine Life"),
+}
+INSURER_NAMES = {called.lower(): name for name, calls in INSURERS.items() for called in calls}
+#: Longest first, so that a match covers the whole phrase.
+INSURER = r"(?iU)\b(?:" + "|".join(n.replace(" ", r"\s+") for n in sorted(INSURER_NAMES, key=len, reverse=True)) + r")\b"

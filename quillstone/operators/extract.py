@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import birth_dates, parse_date
-from ..functions.patterns import ALIASES, DATE, LABELLED, NRIC, POLICY, STRICT_PHONE
-from ..functions.text import find_all, label_key, logical_lines
+from ..functions.patterns import ALIASES, DATE, INSURER, INSURER_NAMES, LABELLED, NRIC, POLICY, STRICT_PHONE
+from ..functions.text import find_all, label_key, logical_lines, squashed
 
 FIELDS = ("full_name", "nric", "dob", "phone", "address", "policy_number", "insurer")
 
@@ -18,8 +21,30 @@ def field_of(label: Column) -> Column:
     return F.try_element_at(found, label_key(label))
 
 
+def insurer_values(text: Column) -> Column:
+    """Distinct insurers that a text names, by the name a form wants."""
+    names = F.create_map(*[F.lit(x) for kv in INSURER_NAMES.items() for x in kv])
+    return F.array_distinct(F.transform(find_all(text, INSURER), lambda v: F.try_element_at(names, F.lower(squashed(v)))))
+
+
+def insurer_of(text: Column) -> Column:
+    """The insurer if the text names exactly one, else null."""
+    found = insurer_values(text)
+    return F.when(F.size(found) == 1, F.element_at(found, 1))
+
+
+def nric_values(text: Column) -> Column:
+    return F.array_distinct(F.transform(find_all(text, NRIC), _bare))
+
+
+def _bare(v: Column) -> Column:
+    return F.upper(F.replace(v, F.lit(" "), F.lit("")))
+
+
 def normalised_value(field: Column, value: Column) -> Column:
-    return F.when(field == "nric", F.upper(F.replace(value, F.lit(" "), F.lit("")))).otherwise(F.trim(value))
+    """A labelled insurer off the list stays as it was written; a labelled number that isn't one is no value."""
+    nric = F.when(_bare(value).rlike("^[STFGM][0-9]{7}[A-Z]$"), _bare(value))
+    return F.when(field == "nric", nric).when(field == "insurer", F.coalesce(insurer_of(value), F.trim(value))).otherwise(F.trim(value))
 
 
 def phone_key(value: Column) -> Column:
@@ -34,16 +59,67 @@ def labelled(notes: DataFrame) -> DataFrame:
     return one.withColumn("field", field).filter("field IS NOT NULL").select("note_id", "line", "field", normalised_value(F.col("field"), F.regexp_extract("s", LABELLED, 2)).alias("value"))
 
 
+def phone_values(text: Column) -> Column:
+    """Distinct numbers in order; one written two ways is one."""
+    return F.aggregate(find_all(text, STRICT_PHONE), F.array().cast("array<string>"), lambda acc, v: F.when(F.exists(acc, lambda x: phone_key(x) == phone_key(v)), acc).otherwise(F.concat(acc, F.array(v))))
+
+
+def policy_values(text: Column) -> Column:
+    return F.array_distinct(find_all(text, POLICY))
+
+
 def shaped(notes: DataFrame) -> DataFrame:
-    """(note_id, field, candidates): distinct values of a shape, in order; one phone written two ways is one."""
+    """(note_id, field, candidates): distinct values of a shape, in order."""
     t = F.col("text")
-    upper = F.array_distinct(F.transform(find_all(t, NRIC), lambda v: F.upper(F.replace(v, F.lit(" "), F.lit("")))))
-    phones = F.aggregate(find_all(t, STRICT_PHONE), F.array().cast("array<string>"), lambda acc, v: F.when(F.exists(acc, lambda x: phone_key(x) == phone_key(v)), acc).otherwise(F.concat(acc, F.array(v))))
-    policies = F.array_distinct(find_all(t, POLICY))
-    wide = notes.select("note_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("candidates")) for f, c in (("nric", upper), ("phone", phones), ("policy_number", policies))])).alias("x"))
+    found = (("nric", nric_values(t)), ("phone", phone_values(t)), ("policy_number", policy_values(t)), ("insurer", insurer_values(t)))
+    wide = notes.select("note_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("candidates")) for f, c in found])).alias("x"))
     return wide.select("note_id", "x.field", "x.candidates").filter(F.size("candidates") > 0)
 
 
+#: Where a field may start: at the line's start or after a separator or a gap of two blanks.
+OPENS = re.compile(r"(?:^|[,;·|(\[\t]|\s{2,})\s*(?=[A-Za-z])")
+WORD = re.compile("[A-Za-z]+")
+INLINE = ("nric", "dob", "phone", "policy_number", "insurer")
+
+
+def regions(line: str) -> list[tuple[str, str]]:
+    """(field, text up to the next label): labels of at most three words, the longest first, that open a field of known shape."""
+    found: list[tuple[int, int, str]] = []
+    for m in OPENS.finditer(line):
+        ends = []
+        for w in WORD.finditer(line, m.end()):
+            ends.append(w.end())
+            if len(ends) == 3:
+                break
+        if found and m.end() < found[-1][1]:
+            continue
+        for end in reversed(ends):
+            field = ALIASES.get(re.sub("[^a-z]", "", line[m.end() : end].lower()))
+            if field in INLINE:
+                found.append((m.end(), end, field))
+                break
+    stops = [start for start, _, _ in found[1:]] + [len(line)]
+    return [] if not found else [(field, line[end:stop]) for (_, end, field), stop in zip(found, stops, strict=True)]
+
+
+def inline(notes: DataFrame, as_of: Column) -> DataFrame:
+    """(note_id, field, candidates) behind labels within lines, of the first such label of a field that has any."""
+    schema = pa.schema([("note_id", pa.int64()), ("line", pa.int32()), ("k", pa.int32()), ("field", pa.string()), ("region", pa.string())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = [(n, i, k, *r) for n, i, s in zip(*(b.column(c).to_pylist() for c in ("note_id", "line", "s")), strict=True) for k, r in enumerate(regions(s))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
+
+    lines = notes.select(F.col("note_id").cast("long"), F.posexplode(logical_lines(F.col("text"))).alias("line", "s"))
+    r, t = lines.mapInArrow(run, "note_id long, line int, k int, field string, region string"), F.col("region")
+    born = F.array_distinct(F.filter(F.transform(find_all(t, DATE), lambda x: F.date_format(parse_date(x, as_of), "yyyy-MM-dd")), lambda d: d.isNotNull()))
+    f = F.col("field")
+    values = F.when(f == "nric", nric_values(t)).when(f == "dob", born).when(f == "phone", phone_values(t)).when(f == "policy_number", policy_values(t)).otherwise(insurer_values(t))
+    some = r.withColumn("candidates", values).filter(F.size("candidates") > 0)
+    return some.groupBy("note_id", "field").agg(F.min_by("candidates", F.struct(F.size("candidates") > 1, F.col("line"), F.col("k"))).alias("candidates"))
+
+
 def birth_candidates(notes: DataFrame, as_of: Column) -> DataFrame:
     """Old enough dates of the text: offered, never filled in."""
     found = F.transform(find_all(F.col("text"), DATE), lambda x: parse_date(x, as_of))
@@ -54,15 +130,16 @@ def birth_candidates(notes: DataFrame, as_of: Column) -> DataFrame:
 def parsed(notes: DataFrame, as_of: Column) -> DataFrame:
     """(note_id, field, value, how, choices). Two candidates mean neither: value is null and choices lists them.
 
-    notes: note_id, text. A labelled line beats a sole match; two labelled lines that disagree are choices.
+    notes: note_id, text. A labelled line beats a label within
+    a line, which beats a sole match.
     """
-    w = W.partitionBy("note_id", "field")
     lab = labelled(notes)
     lab = lab.withColumn("value", F.when(F.col("field") == "dob", F.date_format(parse_date(F.col("value"), as_of), "yyyy-MM-dd")).otherwise(F.col("value"))).filter("value IS NOT NULL AND value <> ''")
     lab = lab.groupBy("note_id", "field").agg(F.min_by("value", "line").alias("value"))
     sole = shaped(notes).filter("field <> 'policy_number'").unionByName(birth_candidates(notes, as_of))
-    j = lab.withColumn("how", F.lit("labelled")).join(sole, ["note_id", "field"], "full")
-    one = (F.size("candidates") == 1) & (F.col("field") != "dob")
-    value = F.coalesce("value", F.when(one, F.element_at("candidates", 1)))
-    how = F.coalesce("how", F.when(one, "sole-match"))
-    return j.select("note_id", "field", value.alias("value"), how.alias("how"), F.when(value.isNull(), F.col("candidates")).alias("choices"))
+    inner = inline(notes, as_of).withColumnRenamed("candidates", "near")
+    j = lab.withColumn("how", F.lit("labelled")).join(inner, ["note_id", "field"], "full").join(sole, ["note_id", "field"], "full")
+    single, one = F.size("near") == 1, (F.size("candidates") == 1) & (F.col("field") != "dob")
+    value = F.coalesce("value", F.when(single, F.element_at("near", 1)), F.when(F.col("near").isNull() & one, F.element_at("candidates", 1)))
+    how = F.coalesce("how", F.when(single, "labelled-inline"), F.when(F.col("near").isNull() & one, "sole-match"))
+    return j.select("note_id", "field", value.alias("value"), how.alias("how"), F.when(value.isNull(), F.coalesce("near", "candidates")).alias("choices"))

@@ -27,3 +27,14 @@ def sane_box(x: Column, y: Column, w: Column, h: Column, width: Column, height:
     cw, ch = F.least(w, 1 - cx), F.least(h, 1 - cy)
     ok = finite & on & (cw >= 0.01) & (ch >= 0.004) & (cw * ch <= 0.25)
     return F.when(ok, F.struct((cx * width).alias("x"), (cy * height).alias("y"), (cw * width).alias("w"), (ch * height).alias("h")))
+
+
+def refusal(encrypted: Column, pages: Column, fillable: Column, has_text: Column, can_render: bool = False) -> Column:
+    """Why a form can't be taken in, or null: the first reason in this order that holds."""
+    return (
+        F.when(encrypted, "encrypted")
+        .when(pages == 0, "no pages")
+        .when(fillable | F.lit(can_render), None)
+        .when(~has_text, "scan")
+        .otherwise("nowhere to write")
+    )

@@ -52,6 +52,23 @@ def report(rows: DataFrame) -> DataFrame:
     return g.select("grp", "matched", "intended", rate.alias("match_rate"), ((F.col("matched") >= FEWEST) & (rate >= RATE)).alias("safe_to_fill"))
 
 
+def located_by_step(fields: DataFrame, controls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, steps): fields of the steps that clear the guard by themselves are located together; those of other steps wait.
+
+    fields also has `step` (null: none). Where a group has one step only, or no step clears the guard, all its
+    fields are located. steps: grp, step, matched, intended, match_rate, safe_to_fill, deferred.
+    """
+    f = fields.withColumn("step", F.coalesce("step", F.lit("")))
+    inner = F.struct("grp", "step").alias("grp")
+    asked = f.select(inner, "field", "field_ord", "label")
+    shown = controls.join(f.select(F.col("grp").alias("g"), "step").distinct(), F.col("grp") == F.col("g")).select(inner, "control", "control_ord", "label")
+    each = report(located(asked, shown)).select("grp.*", "matched", "intended", "match_rate", "safe_to_fill")
+    of_group = each.groupBy("grp").agg(F.count("*").alias("n"), F.bool_or("safe_to_fill").alias("some"))
+    steps = each.join(of_group, "grp").withColumn("deferred", (F.col("n") > 1) & F.col("some") & ~F.col("safe_to_fill")).drop("n", "some")
+    now = f.join(steps.filter("NOT deferred").select("grp", "step"), ["grp", "step"]).select("grp", "field", "field_ord", "label")
+    return located(now, controls), steps
+
+
 def unclaimed(controls: DataFrame, rows: DataFrame) -> DataFrame:
     return controls.join(rows.filter("status = 'matched'").select("grp", "control"), ["grp", "control"], "left_anti")
 

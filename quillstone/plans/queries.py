@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.patterns import EMAIL
-from ..operators import bank, extract, fill, match, quotes, redact, review
+from ..operators import bank, dumps, extract, fill, geometry, match, quotes, redact, review
 from ..operators.evalkit import leak_metrics
 from ..sources import html
 from ..streaming.changes import changes
@@ -287,3 +287,60 @@ def parse_notes(spark, sf_dir):
 @query()
 def page_controls(spark, sf_dir):
     return html.controls(t(spark, sf_dir, "pages"))
+
+
+@query("""
+WITH e AS (SELECT user_id AS form, event_id, event_type AS name, event_id % 3 = 0 AS visible FROM events),
+k AS (SELECT form, name, min(event_id) AS first, coalesce(min(event_id) FILTER (WHERE visible), min(event_id)) AS kept FROM e GROUP BY form, name)
+SELECT form, name, kept AS ord, kept % 3 = 0 AS visible, 'c' || row_number() OVER (PARTITION BY form ORDER BY first) AS ref FROM k
+""")
+def merge_dumps(spark, sf_dir):
+    """Users' events as captures of their pages' controls."""
+    e = t(spark, sf_dir, "events").select(F.col("user_id").alias("form"), F.lit(1).alias("dump"), F.col("event_id").alias("ord"), F.lit("").alias("step"), F.col("event_type").alias("name"), F.lit("").alias("id"), F.lit("").alias("selector"), (F.col("event_id") % 3 == 0).alias("visible"))
+    return dumps.merged(e).select("form", "name", "ord", "visible", "ref")
+
+
+@query("""
+WITH b AS (SELECT s_nationkey AS page, s_suppkey AS k, s_name AS text, (s_suppkey * 37 % 600) * 1.0 AS x, (s_suppkey * 53 % 800) * 1.0 AS y FROM supplier),
+j AS (SELECT w.page, w.k AS widget, r.text, w.x - r.x AS dx, w.y - r.y AS dy FROM b w JOIN b r ON w.page = r.page AND w.k % 2 = 0 AND r.k % 2 = 1),
+n AS (SELECT *, abs(dy) < 14.0 AND dx BETWEEN 0 AND 260 AS line FROM j),
+c AS (SELECT page, widget, text, CASE WHEN line THEN 0 ELSE 1 END AS place, CASE WHEN line THEN dx ELSE abs(dy) + abs(dx) / 1000 END AS gap FROM n WHERE line OR (dy > 0 AND dy <= 40 AND abs(dx) <= 260)),
+r AS (SELECT *, row_number() OVER (PARTITION BY page, widget ORDER BY place, gap, text) AS rank FROM c)
+SELECT page, widget, CAST(rank AS INTEGER) AS rank, text FROM r WHERE rank <= 4
+""")
+def nearest_text(spark, sf_dir):
+    """Suppliers on a grid: even ones are boxes, odd ones the text around them."""
+    s = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("page"), F.col("s_suppkey").alias("k"), "s_name", (F.col("s_suppkey") * 37 % 600).cast("double").alias("x"), (F.col("s_suppkey") * 53 % 800).cast("double").alias("y"))
+    widgets = s.filter("k % 2 = 0").select("page", F.col("k").alias("widget"), "x", "y", F.lit(10.0).alias("h"))
+    runs = s.filter("k % 2 = 1").select("page", F.col("s_name").alias("text"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    return geometry.nearest_text(widgets, runs)
+
+
+@query("SELECT p_partkey, p_size < 10 OR (p_size = 10 AND p_partkey % 20 < 7) AS older FROM part")
+def version_gate(spark, sf_dir):
+    version = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 20).cast("string"))
+    return t(spark, sf_dir, "part").select("p_partkey", text.older_than(version, F.lit("10.7")).alias("older"))
+
+
+@query(r"""
+WITH RECURSIVE s AS (SELECT conv_id, turn, string_split(text, chr(10)) AS a FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CAST(len(a) - len(list_filter(a[1:len(a) - 1], lambda x: regexp_matches(rtrim(x), '[·|;,—-]$'))) - CASE WHEN a[len(a)] = '' AND NOT (len(a) > 1 AND regexp_matches(rtrim(a[len(a) - 1]), '[·|;,—-]$')) THEN 1 ELSE 0 END AS BIGINT) AS n_lines FROM s
+""")
+def logical_lines(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", F.size(text.logical_lines(F.col("text"))).cast("long").alias("n_lines"))
+
+
+@query()
+def step_guard(spark, sf_dir):
+    """Parts in steps by size: which steps of a plan are on the page?"""
+    fields, controls = _plan(spark, sf_dir)
+    stepped = fields.withColumn("step", F.concat(F.lit("step "), (F.col("field") % 2).cast("string")))
+    return match.located_by_step(stepped, controls)[1]
+
+
+@query()
+def scrub_label_titles(spark, sf_dir):
+    """Headings of pages whose text the label rules change."""
+    heads = F.regexp_extract_all("html", F.lit(r"(?is)<(?:h[1-4]|legend|label)[^>]*>(.*?)</(?:h[1-4]|legend|label)>"), F.lit(1))
+    one = t(spark, sf_dir, "pages").select("page_id", F.posexplode(heads).alias("ord", "s")).withColumn("s", F.regexp_replace("s", "<[^>]*>", ""))
+    return one.select("page_id", "ord", text.scrub_label(F.col("s")).alias("label"), (text.scrub_label(F.col("s")) != text.squashed(F.col("s"))).alias("changed"))

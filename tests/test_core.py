@@ -6,7 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillstone.functions import dates, text
-from quillstone.operators import bank, evalkit, extract, fill, geometry, match, quotes, redact, review
+from quillstone.operators import bank, dumps, evalkit, extract, fill, geometry, match, quotes, redact, review
 from quillstone.sources import html
 from quillstone.streaming.changes import scrubbed
 
@@ -115,6 +115,33 @@ def test_html_inventory(spark):
     assert len(got) == 3 and got[2]["members"] == 2 and got[2]["required"] and got[2]["options"] == ["Yes", "No"]
 
 
+def test_inline_labels_and_insurers(spark):
+    note = "NRIC S8012345D  DOB 14/03/1978\nHP 9123 4567 / 6123 4567\nPolicy discussed with patient, Clinic tel 62551234\nCovered by AIA Singapore (GHS plan)"
+    got = {r["field"]: (r["value"], r["how"], r["choices"]) for r in extract.parsed(spark.createDataFrame([(1, note), (2, None), (3, "")], "note_id long, text string"), F.lit(AS_OF)).collect()}
+    assert got["nric"] == ("S8012345D", "labelled-inline", None) and got["dob"] == ("1978-03-14", "labelled-inline", None)
+    assert got["phone"] == (None, None, ["9123 4567", "6123 4567"]) and got["insurer"] == ("AIA", "sole-match", None) and "policy_number" not in got
+    assert one(spark, extract.insurer_of(F.lit("great  eastern LIFE"))) == "Great Eastern" and one(spark, extract.insurer_of(F.lit("AIA or Bupa"))) is None
+    kept = spark.createDataFrame([(1, "Insurer: Acme Mutual\nNRIC: none")], "note_id long, text string")
+    assert [(r["field"], r["value"]) for r in extract.parsed(kept, F.lit(AS_OF)).collect()] == [("insurer", "Acme Mutual")]
+
+
+def test_steps_dumps_and_refusals(spark):
+    words = ("ward", "bed", "doctor", "nurse", "drug", "dose")
+    fields = spark.createDataFrame([("p", w, i, w, "one" if i < 3 else "two") for i, w in enumerate(words)], "grp string, field string, field_ord int, label string, step string")
+    shown = spark.createDataFrame([("p", w, i, w) for i, w in enumerate(words[:3])], "grp string, control string, control_ord int, label string")
+    rows, steps = match.located_by_step(fields, shown)
+    assert {r["field"]: r["status"] for r in rows.collect()} == dict.fromkeys(words[:3], "matched")
+    assert {r["step"]: r["deferred"] for r in steps.collect()} == {"one": False, "two": True}
+    rows, _ = match.located_by_step(fields, shown.filter("control_ord < 2"))
+    assert rows.count() == 6
+    seen = [("f", 1, 1, "s1", "a", "", "", False), ("f", 1, 2, "s1", "", "b", "", True), ("f", 2, 1, "s2", "", "b", "", True), ("f", 2, 2, "s2", "a", "", "", True), ("f", 3, 1, "s3", "a", "", "", True)]
+    got = dumps.merged(spark.createDataFrame(seen, "form string, dump int, ord int, step string, name string, id string, selector string, visible boolean")).orderBy("ref").collect()
+    assert [(r["ref"], r["name"] or r["id"], r["step"]) for r in got] == [("c1", "a", "s2"), ("c2", "b", "s1")]
+    why = lambda *a, **k: one(spark, geometry.refusal(*map(F.lit, a), **k))
+    assert why(True, 0, False, False) == "encrypted" and why(False, 0, True, True) == "no pages" and why(False, 1, True, False) is None
+    assert why(False, 1, False, False) == "scan" and why(False, 1, False, True) == "nowhere to write" and why(False, 1, False, False, can_render=True) is None
+
+
 def test_scrub_runs_on_a_stream(spark, tmp_path):
     spark.createDataFrame([(1, "mail a@b.sg")], "note_id long, text string").write.parquet(str(tmp_path / "in"))
     stream = scrubbed(spark.readStream.schema("note_id long, text string").parquet(str(tmp_path / "in")))
