@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import batch, encoded, fresh_path, map_rows, partitions, settled, table
 
 ARCHIVE_BYTES = 32 << 20
+CHUNK = 8192
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = pa.schema([
@@ -125,9 +126,14 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
     at = 0
     while at < len(data):
         if data[at : at + 2] == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            one = z.decompress(memoryview(data)[at:]) + z.flush()
-            at = len(data) - len(z.unused_data)
+            z, out, view = zlib.decompressobj(31), [], memoryview(data)
+            while not z.eof and at < len(data):  # in chunks: what follows a member is copied at its end
+                out.append(z.decompress(view[at : at + CHUNK]))
+                at += CHUNK
+            if not z.eof:
+                raise ValueError("a member is cut short")
+            at = min(at, len(data)) - len(z.unused_data)
+            one = b"".join(out)
             yield from _plain(one)
         else:
             yield from _plain(data[at:])
