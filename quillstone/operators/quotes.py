@@ -2,33 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squashed
 
 
-def located(notes: DataFrame, quotes: DataFrame, anchor: int = 3) -> DataFrame:
-    """(note_id, quote_id, hits): occurrences of each quote in each note, blanks aside.
+def _found(n: DataFrame, quotes: DataFrame, anchor: int) -> DataFrame:
+    """The rows of n (note_id, t, ...) with each different q that their t holds anywhere, the quotes' rows aside.
 
-    Notes and quotes meet by runs of `anchor` words of the quotes, so only notes that hold a quote's opening run are searched.
+    Where a quote occurs, all its words but the first and the last are whole words of the note: the note's first and last
+    may go on beyond it. So notes and quotes meet by runs of at most `anchor` of these inner words; quotes of one or two
+    words have none and are compared with each note.
     """
-    q = quotes.select("quote_id", squashed(F.col("quote")).alias("q")).filter("q <> ''")
-    qw = q.withColumn("key", F.array_join(F.slice(F.split("q", " "), 1, anchor), " ")).withColumn("n", F.least(F.lit(anchor), F.size(F.split("q", " "))))
-    lengths = [r[0] for r in qw.select("n").distinct().collect()]  # at most `anchor` values
-    n = notes.select("note_id", squashed(F.col("text")).alias("t")).filter("t IS NOT NULL")
-    words = n.select("note_id", "t", F.split("t", " ").alias("w"))
+    w = F.split("q", " ")
+    k = F.greatest(F.lit(0), F.least(F.lit(anchor), F.size(w) - 2))
+    q = quotes.select("q").distinct().withColumn("k", k).withColumn("key", F.array_join(F.slice(w, F.lit(2), F.col("k")), " "))
+    lengths = sorted(r[0] for r in q.select("k").distinct().collect())  # at most anchor + 1 values
+    words = n.select("note_id", F.split("t", " ").alias("w"))
 
     def runs(k: int) -> DataFrame:
         """Each note's different runs of k words."""
         keys = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
-        return words.filter(F.size("w") >= k).select("note_id", F.explode(F.array_distinct(keys)).alias("key"))
+        return words.filter(F.size("w") >= k).select("note_id", F.lit(k).alias("k"), F.explode(F.array_distinct(keys)).alias("key"))
 
+    out = n.crossJoin(q.filter("k = 0").select("q")).filter(F.contains("t", "q")) if not lengths or lengths[0] == 0 else None
     grams = None
     for k in lengths:
-        grams = runs(k) if grams is None else grams.union(runs(k))
-    if grams is None:
-        return notes.select("note_id", F.lit(None).cast("long").alias("quote_id"), F.lit(0).cast("long").alias("hits")).limit(0)
-    keys = grams.select("note_id", "key").join(qw.select("quote_id", "key", "q"), "key").select("note_id", "quote_id", "q").distinct()
-    hits = (F.size(F.split(F.col("t"), F.concat(F.lit("\\Q"), F.col("q"), F.lit("\\E")), -1)) - 1).cast("long")
-    return keys.join(n, "note_id").select("note_id", "quote_id", hits.alias("hits")).filter("hits > 0")
+        if k:
+            grams = runs(k) if grams is None else grams.union(runs(k))
+    if grams is not None:
+        pairs = grams.join(q, ["k", "key"]).select(F.col("note_id").alias("of"), "q").distinct()
+        more = n.join(pairs, F.col("note_id").eqNullSafe(F.col("of"))).drop("of").filter(F.contains("t", "q"))
+        out = more if out is None else out.union(more)
+    return out
+
+
+def _texts(notes: DataFrame) -> DataFrame:
+    return notes.select("note_id", squashed(F.col("text")).alias("t"), "text").filter("t IS NOT NULL")
+
+
+def _occurrences(t: Column, q: Column) -> Column:
+    """How often q occurs in t, one after the other."""
+    return F.floor((F.length(t) - F.length(F.replace(t, q, F.lit("")))) / F.length(q)).cast("long")
+
+
+def located(notes: DataFrame, quotes: DataFrame, anchor: int = 3) -> DataFrame:
+    """(note_id, quote_id, hits): occurrences of each quote in each note, blanks aside."""
+    q = quotes.select("quote_id", squashed(F.col("quote")).alias("q")).filter("q <> ''")
+    hits = _found(_texts(notes).drop("text"), q, anchor).select("note_id", "q", _occurrences(F.col("t"), F.col("q")).alias("hits"))
+    return hits.join(q, "q").select("note_id", "quote_id", "hits")
+
+
+def pieces_located(notes: DataFrame, quotes: DataFrame, anchor: int = 3) -> DataFrame:
+    """(note_id, quote_id, piece, found): pieces of the quotes that a note doesn't hold whole, where they occur exactly once.
+
+    Quotes are split at blanks after a full stop or semicolon; pieces have two words or more, counted from 1 among all.
+    A piece is sought as written, and without the punctuation at its end only where that occurs nowhere. As in the
+    reference, places with the piece's own blanks come before those with other blanks.
+    """
+    q = quotes.select("quote_id", "quote").filter("quote IS NOT NULL").distinct()
+    cut = q.select("quote_id", F.posexplode(F.split(F.trim(F.regexp_replace("quote", r"(?U)^\s+|\s+$", "")), r"(?U)(?<=[.;])\s+", -1)).alias("pos", "raw"))
+    cut = cut.filter(F.size(F.split(squashed(F.col("raw")), " ")) >= 2)
+    both = F.array(F.struct(F.lit(0).alias("form"), F.col("raw")), F.struct(F.lit(1).alias("form"), F.regexp_replace("raw", "[.,;:]+$", "").alias("raw")))
+    asked = cut.select("quote_id", (F.col("pos") + 1).alias("piece"), F.explode(both).alias("f")).select("quote_id", "piece", "f.form", "f.raw").withColumn("q", squashed(F.col("raw"))).filter("q <> ''")
+    at = F.position("raw", "text")
+    once = F.when(at > 0, F.position("raw", "text", at + 1) == 0).otherwise(_occurrences(F.col("t"), F.col("q")) == 1)
+    held = _found(_texts(notes), asked, anchor).join(asked, "q").select("note_id", "quote_id", "piece", "form", "q", once.alias("once"))
+    best = held.groupBy("note_id", "quote_id", "piece").agg(F.min_by(F.struct("once", F.col("q").alias("found")), "form").alias("b")).filter("b.once")
+    whole = located(notes, quotes, anchor).select(F.col("note_id").alias("n"), F.col("quote_id").alias("i"))
+    left = best.join(whole, F.col("note_id").eqNullSafe(F.col("n")) & F.col("quote_id").eqNullSafe(F.col("i")), "left_anti")
+    return left.select("note_id", "quote_id", "piece", F.col("b.found").alias("found"))

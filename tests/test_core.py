@@ -154,3 +154,21 @@ def test_entry_imports_and_names_agree():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_quotes_are_found_anywhere(spark):
+    texts = [(1, '(take two tablets daily'), (2, '"take two  tablets\ndaily.'), (3, "take two tablets. take two tablets, xtake two tabletsy"), (4, "take  two"), (5, None), (None, "mistake two."), (6, "a\\Eb c\\Eb c")]
+    notes = spark.createDataFrame(texts, "note_id long, text string")
+    asked = spark.createDataFrame([(1, "take two tablets daily"), (2, "take two tablets"), (3, "take two"), (4, "ake"), (5, ""), (6, None), (7, "take two"), (8, "\\Eb c"), (9, "x two tablets daily")], "quote_id long, quote string")
+    flat = [(i, " ".join(t.split())) for i, t in texts if t is not None]
+    want = {(i, r["quote_id"]): t.count(q) for i, t in flat for r in asked.collect() if (q := r["quote"]) and q in t}
+    got = quotes.located(notes, asked).collect()
+    assert {(r["note_id"], r["quote_id"]): r["hits"] for r in got} == want and len(got) == len(want)
+    assert want[1, 1] == want[2, 1] == want[4, 3] == want[None, 3] == 1 and want[3, 2] == 3 and want[6, 8] == 2
+
+
+def test_pieces_of_quotes_count_where_they_occur_once(spark):
+    notes = spark.createDataFrame([(1, "Seen by Dr Ong; MC 14 days. Review in\nclinic. fever fever, no rash. no rash. one one one")], "note_id long, text string")
+    said = ["MC 14 days; Seen by Dr Ong.", "Review in clinic; Ong.", "no rash. Seen by Dr Ong;", "Diagnosis: fever; MC 15 days", "MC 14 days.", "one one; in clinic."]
+    got = {(r["quote_id"], r["piece"], r["found"]) for r in quotes.pieces_located(notes, spark.createDataFrame(list(enumerate(said)), "quote_id long, quote string")).collect()}
+    assert got == {(0, 1, "MC 14 days"), (0, 2, "Seen by Dr Ong"), (1, 1, "Review in clinic"), (2, 2, "Seen by Dr Ong;"), (5, 2, "in clinic.")}
