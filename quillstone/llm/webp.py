@@ -1,9 +1,9 @@
 """Media columns: lossless WebP.
 
 decode() reads any lossless stream: prefix codes, back-references, colour cache, groups of codes by region,
-and the inverse predictor, cross-colour, green and palette transforms. Streams whose codes are all 8 bits
-long, as store() writes, are decoded by array operations. encode() writes pixels with chosen transforms,
-cache and back-references.
+and the inverse predictor, cross-colour, green and palette transforms. Images of one group of codes without
+a cache are decoded by array operations. store() writes texts with back-references, prefix codes from counts
+and, where 256 colours are enough, a palette; encode() writes pixels with chosen transforms, cache and back-references.
 
 Defined cases of the text query: a null text is an empty one and becomes one block of 576 bytes 255;
 repeated rows each get a row; an empty table gives an empty result. An image has at most 16384 x 16384
@@ -13,9 +13,11 @@ pixels; payloads of more than 16384 rows get wider ones.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
-REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
+#: Bytes of a stream that are looked up at once.
+SPAN = 1 << 17
 CACHE_MULT = 0x1E35A7BD
 
 
@@ -56,32 +59,37 @@ class Bits:
         return v
 
 
+@lru_cache(None)
+def _reversed(depth: int) -> np.ndarray:
+    """All numbers of `depth` bits with their bits reversed."""
+    i = np.arange(1 << depth)
+    return sum((i >> k & 1) << (depth - 1 - k) for k in range(depth))
+
+
 class Code:
     """A canonical prefix code as a table over its longest length."""
 
     def __init__(self, lengths: list[int]) -> None:
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.flat = len(used) == 256 and all(n == 8 for n, _ in used) and used[-1][1] == 255
-        self.only = used[0][1] if len(used) == 1 else 0 if not used else None
-        self.depth = 0 if self.only is not None else max(n for n, _ in used)
+        n = np.array(lengths)
+        used = np.flatnonzero(n)
+        self.only = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
+        self.depth = 0 if self.only is not None else int(n.max())
         self.table: list[tuple[int, int]] = []
         if self.only is None:
-            if sum(1 << (self.depth - n) for n, _ in used) != 1 << self.depth:
+            used = used[np.argsort(n[used], kind="stable")]
+            times = 1 << (self.depth - n[used])
+            if times.sum() != 1 << self.depth:
                 raise ValueError("the prefix code isn't complete")
-            slots: list = [None] * (1 << self.depth)
-            code = last = 0
-            for n, s in sorted(used):
-                code <<= n - last
-                last = n
-                first = int(f"{code:0{n}b}"[::-1], 2)
-                for i in range(first, 1 << self.depth, 1 << n):
-                    slots[i] = (n, s)
-                code += 1
-            self.table = slots
+            self.syms = np.repeat(used, times)[_reversed(self.depth)]
+            self.lens = n[self.syms]
+        else:
+            self.lens, self.syms = np.zeros(1, np.int64), np.full(1, self.only, np.int64)
 
     def next(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
+        if not self.table:
+            self.table = list(zip(self.lens.tolist(), self.syms.tolist(), strict=True))
         n, s = self.table[bits.peek() & ((1 << self.depth) - 1)]
         bits.at += n
         return s
@@ -144,8 +152,8 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(bits, n) for n in sizes] for _ in range(groups)]
     total = width * height
-    if groups == 1 and not cache_bits and all(c.flat or (c.only is not None and c.only < 256) for c in codes[0][:4]):
-        return _flat(bits, codes[0], total)
+    if groups == 1 and not cache_bits and (codes[0][0].only or 0) < 256:
+        return _by_arrays(bits, codes[0], total, width)
     out: list[int] = []
     cache, per_row = [0] * (1 << cache_bits), -(-width >> shift) if shift else 0
     cached = 0
@@ -173,29 +181,83 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _flat(bits: Bits, codes: list[Code], total: int) -> np.ndarray:
-    """All codes have 8 bits or none: the pixels are bytes, each with its bits reversed."""
-    order = tuple(k for k in range(4) if codes[k].flat)
-    got = _bytes(bits.data, bits.at >> 3, bits.at & 7, total, order, [c.only or 0 for c in codes[:4]])
-    bits.at += 8 * total * len(order)
-    return got
+def _extra(prefix: np.ndarray) -> np.ndarray:
+    """Extra bits of length and distance symbols."""
+    return np.where(prefix < 4, 0, (prefix - 2) >> 1)
+
 
+def _values(prefix: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Lengths and distance codes of prefix symbols and their extra bits."""
+    n = _extra(prefix)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << n) + (more & ((1 << n) - 1)) + 1)
 
-def _bytes(data: bytes, lo: int, shift: int, total: int, order: tuple[int, ...], fixed: list[int]) -> np.ndarray:
-    """Pixels from byte `lo` and bit `shift` on; order: the channels (green, red, blue, alpha) that have bytes, the others being fixed."""
-    n = total * len(order)
-    raw = np.frombuffer(data, np.uint8, offset=lo)
-    if len(raw) < n + bool(shift):
-        raise ValueError("the stream ends early")
-    if shift:
-        raw = (raw[:n] >> shift) | (raw[1 : n + 1] << (8 - shift))
-    got = np.empty((total, 4), np.uint8)  # blue, green, red, alpha: a little-endian ARGB value
-    place = (1, 2, 0, 3)
-    for k in range(4):
-        if k not in order:
-            got[:, place[k]] = fixed[k]
-    got[:, [place[k] for k in order]] = REVERSED[raw[:n]].reshape(total, -1)
-    return got.view("<u4").reshape(total)
+
+def _by_arrays(bits: Bits, codes: list[Code], total: int, width: int) -> np.ndarray:
+    """Pixels of one group of codes without a cache.
+
+    Where a pixel or back-reference would end is found for each bit of the stream at once, by table; following these ends
+    from the first gives the true ones, whose symbols are then read together.
+    """
+    green, red, blue, alpha, dist = codes
+    look = lambda table, code, w: table[w & ((1 << code.depth) - 1)]
+    if all(c.only is not None for c in codes[:4]):
+        return np.full(total, alpha.only << 24 | red.only << 16 | green.only << 8 | blue.only, np.uint32)
+    end, at, made = 8 * len(bits.data), bits.at, 0
+    raw = np.frombuffer(bits.data + bytes(64), np.uint8).astype(np.int64)
+    literals, spots, copied = [], [], []
+    while made < total:
+        if at >= end:
+            raise ValueError("the stream ends early")
+        lo, n = at >> 3, min(SPAN, (end - at >> 3) + 1)
+        four = raw[lo : lo + n + 24]
+        four = four[:-4] | four[1:-3] << 8 | four[2:-2] << 16 | four[3:-1] << 24 | four[4:] << 32
+        w = (four[:, None] >> np.arange(8)).reshape(-1)  # what follows each bit: 33 bits or more
+        here, last = np.arange(len(w)), len(w) - 1
+        to = here
+        for c in (alpha, blue, red, green):
+            to = to[np.minimum(here + look(c.lens, c, w), last)]
+        head = look(green.syms, green, w)
+        back = np.flatnonzero(head >= 256)
+        if len(back):
+            p = back + look(green.lens, green, w[back])
+            p = np.minimum(p + _extra(head[back] - 256), last)
+            to[back] = p + look(dist.lens, dist, w[p]) + _extra(look(dist.syms, dist, w[p]))
+        ends, starts, p, stop = to.tolist(), [], at - 8 * lo, 8 * n
+        while p < stop:
+            starts.append(p)
+            p = ends[p]
+        s = np.array(starts)
+        kind = head[s]
+        p1 = s + look(green.lens, green, w[s])
+        copies = kind >= 256
+        count = np.ones(len(s), np.int64)
+        count[copies] = _values(kind[copies] - 256, w[p1[copies]])
+        where = made + np.cumsum(count) - count
+        keep = where < total  # bits that fill the last byte aren't pixels
+        s, kind, p1, copies, count, where = (x[keep] for x in (s, kind, p1, copies, count, where))
+        plain = ~copies
+        v, p = kind[plain] << 8, p1[plain]
+        for c, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            v |= look(c.syms, c, w[p]) << shift
+            p = p + look(c.lens, c, w[p])
+        literals.append(v), spots.append(where[plain])
+        if copies.any():
+            p = p1[copies] + _extra(kind[copies] - 256)
+            d = look(dist.syms, dist, w[p])
+            copied += zip(where[copies].tolist(), count[copies].tolist(), _values(d, w[p + look(dist.lens, dist, w[p])]).tolist(), strict=True)
+        made = int(where[-1] + count[-1])
+        at = 8 * lo + ends[int(s[-1])]
+        if at > end:
+            raise ValueError("the stream ends early")
+    bits.at = at
+    out = np.empty(total, np.uint32)
+    out[np.concatenate(spots)] = np.concatenate(literals)
+    for a, n, code in copied:
+        d = _distance(code, width)
+        if d > a or a + n > total:
+            raise ValueError("a back-reference leaves the image")
+        out[a : a + n] = out[a - d : a - d + n] if d >= n else np.resize(out[a - d : a], n)
+    return out
 
 
 def _channels(argb: np.ndarray) -> list[np.ndarray]:
@@ -295,8 +357,6 @@ def decode(data: bytes) -> np.ndarray:
     bits.read(1)
     if bits.read(3):
         raise ValueError("unknown version")
-    if bits.data[5 : 5 + len(FLAT)] == FLAT:  # codes known without reading them anew
-        return _as_rgba(_bytes(bits.data, 5 + len(FLAT), 0, width * height, (0, 1, 2, 3), [0] * 4), width, height)
     undo, wide = [], width
     seen = set()
     while bits.read(1):
@@ -501,35 +561,166 @@ def encode(rgba: np.ndarray, transforms: tuple[int, ...] = (), mode: int = 11, e
     return riff([(b"VP8L", w.bytes())])
 
 
-def _flat_codes() -> bytes:
-    """What follows the 40 bits of the header where all four channels have 8-bit codes: a whole number of bytes."""
-    w = Writer()
-    w.put(0, 3)  # no transform, cache or regions
-    for k in range(4):
-        n = 19 if k == 3 else 12  # the longer list brings the codes to a whole number of bytes
-        w.put(0, 1), w.put(n - 4, 4)
-        for s in LENGTH_ORDER[:n]:
-            w.put(1 if s == 8 else 0, 3)
-        w.put(1, 1), w.put(3, 3), w.put(254, 8)  # 256 lengths follow, each in no bits
-    w.put(1, 4)  # distances: a simple code of one symbol
-    if w.n % 8:
-        raise AssertionError(w.n)
-    return w.bytes()
+def code_lengths(counts: np.ndarray, most: int = 15) -> list[int]:
+    """Lengths of a prefix code from counts, none above `most`: Huffman's, counts being evened out until they fit."""
+    used = np.flatnonzero(counts).tolist()
+    own, out = counts[used].tolist(), [0] * len(counts)
+    while len(used) > 1:
+        heap = [(c, k) for k, c in enumerate(own)]
+        heapq.heapify(heap)
+        up = [0] * (2 * len(used) - 1)
+        for k in range(len(used), len(up)):
+            a, x = heapq.heappop(heap)
+            b, y = heap[0]
+            heapq.heapreplace(heap, (a + b, k))
+            up[x] = up[y] = k
+        depth = [0] * len(up)
+        for k in range(len(up) - 2, -1, -1):
+            depth[k] = depth[up[k]] + 1
+        if max(depth) <= most:
+            for s, n in zip(used, depth[: len(used)], strict=True):
+                out[s] = n
+            break
+        own = [c + 1 >> 1 for c in own]
+    return out
+
+
+def _numbered(lengths: list[int]) -> np.ndarray:
+    """The canonical code's values, first bit lowest."""
+    out, code, last = np.zeros(len(lengths), np.int64), 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        last = n
+        out[s] = int(f"{code:0{n}b}"[::-1], 2)
+        code += 1
+    return out
 
 
-FLAT = _flat_codes()
+def put_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the prefix code of the counts; gives value and bits of each symbol."""
+    used = np.flatnonzero(counts)
+    if len(used) <= 1 and (not len(used) or used[0] < 256):
+        w.put(1, 1), w.put(0, 1), w.put(1, 1), w.put(int(used[0]) if len(used) else 0, 8)
+        return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    if len(used) == 1:
+        counts = counts.copy()
+        counts[0] = 1
+    lengths = code_lengths(counts)
+    steps, at = [], 0  # symbol, extra bits, their number
+    for s in [*np.flatnonzero(lengths).tolist(), len(lengths)]:
+        while at < s:
+            n = min(s - at, 138)
+            at += n
+            steps += [(18, n - 11, 7)] if n > 10 else [(17, n - 3, 3)] if n > 2 else [(0, 0, 0)] * n
+        if s < len(lengths):
+            steps.append((lengths[s], 0, 0))
+            at += 1
+    own = code_lengths(np.bincount([s for s, _, _ in steps], minlength=19), 7)
+    if not any(own):  # one symbol only: its code has no bits
+        own[steps[0][0]] = 1
+        bits = [0] * 19
+    else:
+        bits = own
+    values = _numbered(bits).tolist()
+    w.put(0, 1), w.put(15, 4)
+    for s in LENGTH_ORDER:
+        w.put(own[s], 3)
+    w.put(0, 1)
+    for s, extra, n in steps:
+        w.put(values[s] | extra << bits[s], bits[s] + n)
+    return _numbered(lengths), np.array(lengths)
+
+
+def _repeats(pixels: np.ndarray, least: int = 3, most: int = 4096) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of runs that stood before, in order and apart; a run's first pixels are sought where they stood last."""
+    if len(pixels) <= least:
+        return []
+    v = pixels.astype(np.uint64)
+    key = (v[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ v[1:-1]) * np.uint64(0xD6E8FEB86659FD93) ^ v[2:]
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    before = np.full(len(key), -1)
+    before[order[same + 1]] = order[same]
+    out, free = [], 0
+    for at in np.flatnonzero(before >= 0).tolist():
+        if at < free:
+            continue
+        d = at - int(before[at])
+        n = 16
+        while True:
+            n = min(n, most, len(pixels) - at)
+            other = np.flatnonzero(pixels[at : at + n] != pixels[at - d : at - d + n])
+            if len(other) or n == min(most, len(pixels) - at):
+                break
+            n *= 16
+        n = int(other[0]) if len(other) else n
+        if n >= least:
+            out.append((at, n, d))
+            free = at + n
+    return out
+
+
+def put_pixels(w: Writer, pixels: np.ndarray, main: bool) -> None:
+    """One image with back-references and with prefix codes from the counts of its symbols."""
+    w.put(0, 1 + main)  # no cache, no regions
+    runs = _repeats(pixels)
+    first, plain = np.ones(len(pixels), bool), np.ones(len(pixels), bool)
+    for at, n, _ in runs:
+        first[at + 1 : at + n] = plain[at : at + n] = False
+    v = pixels[first].astype(np.int64)
+    steps = np.stack([v >> 8 & 255, v >> 16 & 255, v & 255, v >> 24], 1)
+    is_run = ~plain[first]
+    one = steps[~is_run]
+    lengths, distances = ([_prefix(x) for x in xs] for xs in ([n for _, n, _ in runs], [d + len(NEAR) for _, _, d in runs]))
+    steps[is_run, 0] = [256 + p for p, _, _ in lengths]
+    far = np.array([p for p, _, _ in distances], np.int64)
+    codes = [put_code(w, np.bincount(x, minlength=n)) for x, n in ((steps[:, 0], 280), (one[:, 1], 256), (one[:, 2], 256), (one[:, 3], 256), (far, 40))]
+    value, bits = (np.stack([codes[k][i][steps[:, k]] for k in range(4)], 1) for i in (0, 1))
+    if runs:
+        for i, m in ((0, value), (1, bits)):
+            m[is_run, 1], m[is_run, 2], m[is_run, 3] = [x[2 - i] for x in lengths], codes[4][i][far], [x[2 - i] for x in distances]
+    value, bits = value.reshape(-1), bits.reshape(-1)
+    end = np.cumsum(bits)
+    total = int(end[-1])
+    at = end - bits
+    got = np.zeros((total >> 3) + 5, np.uint8)
+    for lo in range(0, len(at), 1 << 18):
+        p, x = at[lo : lo + (1 << 18)], value[lo : lo + (1 << 18)]
+        base = int(p[0]) >> 3
+        x, p = x << (p & 7), (p >> 3) - base
+        for k in range(4):  # bits of different symbols don't meet, so sums join them
+            part = np.bincount(p, weights=x >> (8 * k) & 255).astype(np.uint8)
+            got[base + k : base + k + len(part)] += part
+    w.put(int.from_bytes(got.tobytes(), "little") & ((1 << total) - 1), total)
+
+
+def _stream(pixels: np.ndarray, width: int, height: int, palette: np.ndarray | None) -> bytes:
+    w = Writer()
+    w.put(0x2F, 8), w.put(width - 1, 14), w.put(height - 1, 14), w.put(1, 1), w.put(0, 3)
+    if palette is not None:
+        w.put(1, 1), w.put(PALETTE, 2), w.put(len(palette) - 1, 8)
+        put_pixels(w, _joined(*(np.diff(c, prepend=0) for c in _channels(palette))), False)
+        pack = 3 if len(palette) <= 2 else 2 if len(palette) <= 4 else 1 if len(palette) <= 16 else 0
+        wide, each = -(-width >> pack), 8 >> pack
+        full = np.zeros((height, wide << pack), np.uint32)
+        full[:, :width] = np.searchsorted(palette, pixels).reshape(height, width)
+        pixels = (0xFF000000 | sum(full[:, k :: 1 << pack] << (each * k) for k in range(1 << pack)).astype(np.uint32) << 8).reshape(-1)
+    w.put(0, 1)
+    put_pixels(w, pixels, True)
+    return w.bytes()
 
 
 def store(payload: bytes) -> bytes:
-    """A payload of a positive multiple of 576 bytes as RGBA samples of an image."""
+    """A payload of a positive multiple of 576 bytes as RGBA samples of an image; with a palette where 256 colours are enough."""
     rows = len(payload) // UNIT
     if not rows or len(payload) % UNIT:
         raise ValueError("not a positive multiple of 576 bytes")
     times = -(-rows // MOST)
     width, height = WIDTH * times, -(-rows // times)
     full = payload + b"\xff" * (4 * width * height - len(payload))
-    head = (0x2F | (width - 1) << 8 | (height - 1) << 22 | 1 << 36).to_bytes(5, "little") + FLAT
-    stream = head + REVERSED[np.frombuffer(full, np.uint8).reshape(-1, 4)[:, [1, 0, 2, 3]]].tobytes()
+    pixels = np.ascontiguousarray(np.frombuffer(full, np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]]).view("<u4").reshape(-1)
+    colours = np.unique(pixels)
+    stream = _stream(pixels, width, height, colours if len(colours) <= 256 else None)
     return riff([(b"VP8L", stream), *([(b"qLEN", struct.pack("<Q", len(payload)))] if times > 1 else [])])
 
 

@@ -233,6 +233,23 @@ def test_webp_round_trips():
         webp.decode(webp.store(b"x" * 576)[:-40])
 
 
+def test_stored_texts_need_the_decoder(monkeypatch):
+    texts = [prose(3000, 8), "ab" * 3000, "one line of words\n" * 400, prose(30, 9), "", "x", "".join(chr(40 + min(k.bit_length(), 20)) for k in range(1, 1 << 16))]
+    seen = set()
+    read, arrays = webp.read_code, webp._by_arrays
+    monkeypatch.setattr(webp, "read_code", lambda bits, n: seen.add(n) or read(bits, n))
+    monkeypatch.setattr(webp, "_by_arrays", lambda bits, codes, total, width: seen.update("copies" for s in codes[0].syms if s >= 256) or seen.update({"codes"} if codes[0].depth else ()) or arrays(bits, codes, total, width))
+    palettes = set()
+    for x in texts:
+        p, _ = webp.padded(x)
+        m = webp.store(p)
+        palettes.add(m[25] & 7)  # the bits after the header: a transform and its kind
+        assert webp.restore(m)[0] == p
+    assert {280, 256, 40, "copies", "codes"} <= seen and palettes >= {7} and len(palettes) > 1
+    assert len(webp.store(webp.padded(texts[0])[0])) < 0.8 * len(texts[0])
+    assert max(webp.code_lengths(np.array([2**k for k in range(30)]))) <= 15
+
+
 def test_media_of_texts(docs, rows):
     by = {i: t for i, t, *_ in rows}
     for r in webp.features(webp.as_media(docs)).collect():
