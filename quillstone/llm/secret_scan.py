@@ -2,7 +2,7 @@
 
 Base spans come from three patterns. Longer base64, hex and dotted candidates are then decoded and only
 reported if their structure holds: ASN.1 keys whose nested lengths add up, the binary container that
-begins with "openssh-key-v1", PEM blocks with such a body, and signed tokens whose header is JSON with "alg".
+begins with "openssh-key-v1", PEM blocks with such a body or with the headers of an encrypted one, and signed tokens whose header is JSON with "alg".
 
 Defined cases: a null text is an empty one and has no spans; an empty table gives an empty result;
 repeated rows each get a row; spans are in code points, the end exclusive.
@@ -27,6 +27,12 @@ KINDS = ("assign", "access", "hex", "pem", "openssh", "der_base64", "der_hex", "
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
+#: Lines of an encoded block, broken at one width: each but the last is full.
+BLOCK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: Either alphabet; what stands before the key in the same run of characters is passed over.
+ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+#: How encoded keys begin: a SEQUENCE with a length in one, two or more bytes, or the container's name.
+BEGINS = re.compile(r"M[A-P]|b3BlbnNz")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)KEY-----([A-Za-z0-9+/=\s:,-]*?)-----END \1KEY-----")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 ANYHEX = re.compile(r"[0-9A-Fa-f]{40,}")
@@ -95,8 +101,23 @@ def is_openssh(data: bytes) -> bool:
     return at + 8 <= len(data)
 
 
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of a whole container: its three strings, the public keys that it counts and the private part."""
+    at = len(OPENSSH)
+    for _ in range(3):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    count = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    for _ in range(min(count, 64) + 1):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) and count <= 64 else None
+
+
 def unbase64(s: str) -> bytes | None:
-    s = s.rstrip("=")
+    """Of either alphabet."""
+    s = s.rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -109,6 +130,64 @@ def key_kind(data: bytes | None) -> str | None:
     return "openssh" if is_openssh(data) else "der" if is_key(data) else None
 
 
+def is_encrypted(block: str) -> bool:
+    """A traditional PEM body whose headers name its cipher: ciphertext follows in whole bytes, of which no structure shows."""
+    m = re.fullmatch(r"\s*Proc-Type:\s*4,\s*ENCRYPTED\s*?\n\s*DEK-Info:\s*[A-Z0-9-]+,\s*(?:[0-9A-Fa-f]{2})+\s*?\n(.*)", block, re.S)
+    body = unbase64(re.sub(r"\s", "", m[1])) if m else None
+    return bool(body) and len(body) >= 16
+
+
+def fitting(s: str, at: int) -> tuple[str, int] | None:
+    """Kind and end of the key whose base64 begins at `at` and ends in s, whatever else follows it there."""
+    head = unbase64(s[at : at + 16][: (min(16, len(s) - at) // 4) * 4])
+    if not head or len(head) < 6:
+        return None
+    if head.startswith(OPENSSH[:6]):
+        data = unbase64(s[at : len(s) - (len(s.rstrip("=")) - at) % 4]) or b""
+        end = at + -(-size * 4 // 3) if (size := openssh_size(data)) else len(s) - ((len(s.rstrip("=")) - at) % 4 == 1)
+    else:
+        n, k = head[1], head[1] & 0x7F
+        if head[0] != 0x30 or n == 0x80 or (n > 0x80 and k > 4):
+            return None
+        size = 2 + n if n < 0x80 else 2 + k + int.from_bytes(head[2 : 2 + k], "big")
+        end = at + -(-size * 4 // 3)
+        if size < 24 or end > len(s.rstrip("=")):
+            return None
+    kind = key_kind(unbase64(s[at:end]))
+    if not kind:
+        return None
+    while end < len(s) and s[end] == "=":
+        end += 1
+    return kind, end
+
+
+def encoded_keys(text: str) -> list[tuple[int, int, int]]:
+    """Keys in base64 of either alphabet: in one run of characters, even glued to others, or broken over lines."""
+    out: list[tuple[int, int, int]] = []
+    for m in ENCODED.finditer(text):
+        free = 0
+        for b in BEGINS.finditer(m[0]):
+            if b.start() >= free and (found := fitting(m[0], b.start())):
+                out.append((m.start() + b.start(), _index(found[0]), m.start() + found[1]))
+                free = found[1]
+    for m in BLOCK.finditer(text):
+        if not BEGINS.search(m[0]):
+            continue
+        places = [i for i in range(m.start(), m.end()) if not text[i].isspace()]
+        whole = "".join(text[i] for i in places)
+        starts = {0} | {k for k in range(1, len(places)) if places[k] - places[k - 1] > 1}
+        free = 0
+        for k in sorted(starts):
+            if k >= free and BEGINS.match(whole, k) and (found := fitting(whole, k)):
+                out.append((places[k], _index(found[0]), places[found[1] - 1] + 1))
+                free = found[1]
+    return out
+
+
+def _index(kind: str, der: str = "der_base64") -> int:
+    return KINDS.index("openssh" if kind == "openssh" else der)
+
+
 def is_token_header(part: str) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
@@ -131,17 +210,23 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
             body = re.sub(r"^[A-Za-z-]+:.*$", "", m[2], flags=re.M)
-            if key_kind(unbase64(re.sub(r"\s", "", body))):
+            if key_kind(unbase64(re.sub(r"\s", "", body))) or is_encrypted(m[2]):
                 more.append((m.start(), 3, m.end()))
     if long:
+        found = {x for x in encoded_keys(text) if not any(s < x[2] and x[0] < e for s, _, e in more)}  # more: PEM so far
         for m in BASE64.finditer(text):
             kind = key_kind(unbase64(m[0]))
             if kind:
-                more.append((m.start(), KINDS.index("openssh" if kind == "openssh" else "der_base64"), m.end()))
+                found.add((m.start(), _index(kind), m.end()))
+        last = 0
+        for x in sorted(found, key=lambda x: (x[0], -x[2])):  # the first line of a container is no key beside the whole
+            if x[2] > last:
+                more.append(x)
+                last = x[2]
         for m in ANYHEX.finditer(text):
             s = m[0]
-            if len(s) % 2 == 0 and s[:2] == "30" and is_key(bytes.fromhex(s)):
-                more.append((m.start(), KINDS.index("der_hex"), m.end()))
+            if len(s) % 2 == 0 and s[:2] in ("30", "6f", "6F") and (kind := key_kind(bytes.fromhex(s))):
+                more.append((m.start(), _index(kind, "der_hex"), m.end()))
         if "." in text:
             for m in TOKEN.finditer(text):
                 if is_token_header(m[0].split(".", 1)[0]):

@@ -89,6 +89,29 @@ def test_secrets(docs):
     assert got[14]["spans"] == "" and got[14]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_in_other_encodings():
+    key = lambda body: b"\x30\x81" + bytes([len(body)]) + body
+    der = key(b"\x02\x01\x00" + b"\x04\x81\x90" + bytes((7 * k + 250) % 256 for k in range(144)))
+    part = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = secret_scan.OPENSSH + part(b"none") + part(b"none") + part(b"") + b"\0\0\0\1" + part(b"p" * 51) + part(b"s" * 100)
+    plain, safe = base64.b64encode(der).decode(), base64.urlsafe_b64encode(der).decode()
+    assert secret_scan.is_key(der) and plain != safe
+    lines = lambda s, n=64, end="\n": end.join(s[i : i + n] for i in range(0, len(s), n))
+    ssh64 = base64.b64encode(ssh).decode()
+    enc = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + lines(base64.b64encode(bytes(range(96))).decode()) + "\n-----END RSA PRIVATE KEY-----"
+    whole = [(ssh.hex(), "openssh"), (enc, "pem"), (lines(plain), "der_base64"), (lines(plain, 76, "\r\n"), "der_base64"), (safe, "der_base64"), (lines(ssh64), "openssh"), (lines(plain, 64, "\n  "), "der_base64")]
+    for s, kind in whole:
+        text = f"see {s}\nand then words"
+        got = secret_scan.spans(text)[1]
+        assert [(secret_scan.KINDS[k], text[a:e]) for a, k, e in got] == [(kind, s)], kind
+        assert secret_scan.masked(text).replace("[SECRET]", "", 1) == "see \nand then words"
+    assert secret_scan.masked(f"at /srv/keys/{plain} end") == "at /srv/keys/[SECRET] end" and secret_scan.masked(f"{plain}/x") == "[SECRET]/x"
+    pem = f"-----BEGIN PRIVATE KEY-----\n{lines(plain)}\n-----END PRIVATE KEY-----"
+    assert [secret_scan.KINDS[k] for _, k, _ in secret_scan.spans(pem)[1]] == ["pem"]
+    for s in (lines(base64.b64encode(der[:-1]).decode()), enc.replace("DEK-Info", "Other"), lines("A" * 200), "M" + "A" * 90, ssh[:20].hex()):
+        assert not secret_scan.spans(f"see {s}\nwords")[1]
+
+
 def test_wavelet_matrix():
     for seed, n, top in ((1, 1, 1), (2, 3000, 50257), (3, 1500, 7), (4, 513, 70000)):
         ids = np.random.default_rng(seed).integers(0, top, n).astype(np.uint32)
