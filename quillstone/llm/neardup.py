@@ -5,13 +5,13 @@ INDEXED smallest retained values generate overlaps, the sketch of the union esti
 drops what is far below the threshold, and exact Jaccard on the full sets verifies every link.
 
 Two sets at the threshold of 0.75 have none of the 24 smallest values of their union in common with
-probability 0.25 ** 24 = 4e-15, and fewer than 8 with 1e-6; the estimate of 64 values falls under 0.48 with
-1e-6. Sets smaller than that are handled exactly.
+probability 0.25 ** 24 = 4e-15; the estimate of 64 values falls under 0.48 with 1.4e-6. Sets smaller than that
+are handled exactly.
 
 Lists of at most SMALL documents are compared in full. In a longer one (thousands of near copies, a passage
-that many share) each document with a third of its indexed values in such lists is verified against the list's smallest; where that leaves the list in more
+that many share) each document is verified against the list's smallest; where that leaves the list in more
 than one part, its documents go through an exact join on the rarest quarter of their full sets, with a bound
-from the places of a common shingle. So no list emits all its pairs and no link between different texts is lost.
+from the places of a common shingle. So no list emits all its pairs and no link that meets in a long list is lost.
 
 Defined cases: texts with fewer than five words are one shingle; null, empty and blank texts have none and
 are linked with nothing; documents with a null doc_id are linked with nothing and kept; copies and repeated
@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 from .common import batch, hashes, map_rows, partitions, pieces, rolled, settled, table
 
 SHINGLE, RETAINED, INDEXED, SMALL = 5, 64, 24, 32
-#: A pair that meets in long lists only has this part of its indexed values in them.
-HOT_PART = 3
 #: Least similarity in hundredths, and least estimate for a pair to be verified.
 PERCENT, ESTIMATE = 75, 0.48
 NONE = np.int64(2**63 - 1)
@@ -191,8 +189,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     short = lists.filter(F.col("df") <= SMALL).join(classes.select("rep", "n", "sketch"), "rep")
     near = by_list(short, "v", ["rep", "n", "sketch"], _small_pairs, "a long, b long")
     hot = lists.filter(F.col("df") > SMALL)
-    many = hot.groupBy("rep").agg(F.count("*").alias("hot")).join(classes.select("rep", F.least("n", F.lit(INDEXED)).alias("of")), "rep").filter(F.col("hot") * HOT_PART >= F.col("of"))
-    hot = settled(hot.join(many.select("rep"), "rep", "left_semi").select("v", "rep"), "dup-hot")
+    hot = settled(hot.select("v", "rep"), "dup-hot")
     led = hot.join(hot.groupBy("v").agg(F.min("rep").alias("leader")), "v").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     first = settled(verified(near.union(led).distinct(), texts), "dup-links")
 

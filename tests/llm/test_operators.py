@@ -238,6 +238,23 @@ def test_near_duplicates_against_all_pairs(docs, rows):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), find(r["doc_id"]), find(r["doc_id"]) == r["doc_id"])
 
 
+def test_near_duplicates_that_meet_in_one_long_list(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "INDEXED", 4)
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    for seed in range(2000):
+        ws, r = prose(80, seed, 5000).split(), random.Random(seed)
+        near = ws[:]
+        near[r.randrange(20, 60)] = "changed"
+        a, b = neardup.shingles(" ".join(ws)), neardup.shingles(" ".join(near))
+        both = np.intersect1d(a[:4], b[:4])
+        if len(both) == 1 and neardup.alike(a, b):
+            break
+    k = next(k for k in range(76) if neardup.shingles(" ".join(ws[k : k + 5]))[0] == both[0])
+    rows = [(k2, " ".join([*ws[k : k + 5], f"x{k2}"])) for k2 in range(4)] + [(10, " ".join(ws)), (11, " ".join(near))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.grouped(frame(spark, [(i, x, "en", "a") for i, x in rows])).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 10: 10, 11: 10}
+
+
 def test_webp_round_trips():
     r = np.random.default_rng(1)
     for h, w, colours in ((7, 5, 0), (20, 17, 2), (33, 40, 100), (50, 3, 15), (1, 1, 0)):
