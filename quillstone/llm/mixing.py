@@ -4,7 +4,9 @@ The mix is dealt in blocks of equal tokens. Block seats go to the sources with t
 target / (2 k + 1), which gives integer quotas for the mix and, the method being house-monotone, for each
 shard of it. A source's blocks are cut from its documents in seeded order; which of them a quota takes is
 decided by a seeded permutation of the block numbers in closed form, so nothing is collected but one row
-per source.
+per source. A source's quota is the sum of its quotas of the shards, and a shard's blocks are the places of the
+permutation that follow those of the shards before it; the query has no column for the shard and so selects
+the places of all shards at once.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source, last in order; a source
 without words has target 0; repeated rows are documents of their own; an empty table gives an empty result.
@@ -39,6 +41,7 @@ class Quota:
     quota: int
     step: int
     shift: int
+    shards: tuple[int, ...] = ()
 
 
 def targets(totals: list[int], weights: list[int], share: float = SHARE, epochs: int = EPOCHS) -> list[float]:
@@ -96,14 +99,15 @@ def quotas(rows: list[tuple[str | None, int]], block: int = BLOCK, seed: int = S
     totals = [t for _, t in rows]
     wanted = targets(totals, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))]) if rows else []
     blocks = [-(-t // block) for t in totals]
-    got = seats(wanted, int(SHARE * sum(totals) // block), [EPOCHS * b for b in blocks])
+    shards = per_shard(wanted, int(SHARE * sum(totals) // block), [EPOCHS * b for b in blocks])
+    got = [sum(s[i] for s in shards) for i in range(len(rows))]
     out = []
     for i, (source, total) in enumerate(rows):
         n = blocks[i]
         step = max(1, min(int(n * GOLDEN), 2**62 // max(n, 1)))
         while n and math.gcd(step, n) != 1:
             step += 1
-        out.append(Quota(source, i + 1, total, wanted[i], n, got[i], step, (seed + 7919 * (i + 1)) % n if n else 0))
+        out.append(Quota(source, i + 1, total, wanted[i], n, got[i], step, (seed + 7919 * (i + 1)) % n if n else 0, tuple(s[i] for s in shards)))
     return out
 
 

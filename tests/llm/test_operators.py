@@ -312,6 +312,14 @@ def test_mixing(docs):
     assert all(abs(v[0] - t) <= 2 * mixing.BLOCK for (_, t), v in per.items())
 
 
+def test_quotas_come_from_shards(monkeypatch):
+    plan = mixing.quotas([("a", 32 * 200_000), ("b", 32 * 90_000), (None, 32 * 10_000), ("z", 0)])
+    each = [sum(s) for s in zip(*(q.shards for q in plan), strict=True)]
+    assert each[:-1] == [mixing.SHARD_BLOCKS] * (len(each) - 1) and len(each) > 5 and sum(each) == 450_000
+    assert [sum(q.shards) for q in plan] == [q.quota for q in plan] == mixing.seats([q.target for q in plan], 450_000, [2 * q.blocks for q in plan])
+    assert all(k >= 0 for q in plan for k in q.shards)
+
+
 def test_substrings_against_all_windows(docs, rows):
     ws = [(i, (t or "").encode().split()) for i, t, *_ in rows]
     first = {}
