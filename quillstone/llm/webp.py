@@ -2,18 +2,18 @@
 
 decode() reads any lossless stream: prefix codes, back-references, colour cache, groups of codes by region,
 and the inverse predictor, cross-colour, green and palette transforms. Images of one group of codes without
-a cache are decoded by array operations. store() writes texts with back-references, prefix codes from counts
-and, where 256 colours are enough, a palette; encode() writes pixels with chosen transforms, cache and back-references.
+a cache are decoded by array operations. store() writes a payload as grey samples of 8 bits, a row for each 576
+bytes: green transform, palette of the values that occur, back-references and prefix codes from the counts of
+symbols. encode() writes pixels with chosen transforms, cache and back-references.
 
 Defined cases of the text query: a null text is an empty one and becomes one block of 576 bytes 255;
-repeated rows each get a row; an empty table gives an empty result. An image has at most 16384 x 16384
-pixels; payloads of more than 16384 rows get wider ones.
+repeated rows and equal texts each get a row with equal values; further columns aren't read; an empty table
+gives an empty result. An image has at most 16384 x 16384 pixels; payloads of more than 16384 rows get wider ones.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch, encoded, map_rows, pieces, table
 
-UNIT, WIDTH, MOST = 576, 144, 16384
+UNIT, MOST = 576, 16384
 #: Fixed values of the format: order of code-length codes, and offsets (x, y) of the 120 short distance codes.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 NEAR = (
@@ -37,9 +37,10 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
-#: Bytes of a stream that are looked up at once.
-SPAN = 1 << 17
+#: Bytes of a stream that are looked up at once, pixels among which repeats are sought, and least length of one.
+SPAN, NEARBY, REPEAT = 1 << 12, 1 << 19, 8
 CACHE_MULT = 0x1E35A7BD
+EIGHT = np.arange(8)
 
 
 class Bits:
@@ -69,59 +70,88 @@ def _reversed(depth: int) -> np.ndarray:
 class Code:
     """A canonical prefix code as a table over its longest length."""
 
-    def __init__(self, lengths: list[int]) -> None:
-        n = np.array(lengths)
-        used = np.flatnonzero(n)
+    def __init__(self, lengths: bytes | bytearray) -> None:
+        n = np.frombuffer(lengths, np.uint8)
+        used = n.nonzero()[0]
         self.only = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
-        self.depth = 0 if self.only is not None else int(n.max())
-        self.table: list[tuple[int, int]] = []
-        if self.only is None:
-            used = used[np.argsort(n[used], kind="stable")]
-            times = 1 << (self.depth - n[used])
-            if times.sum() != 1 << self.depth:
-                raise ValueError("the prefix code isn't complete")
-            self.syms = np.repeat(used, times)[_reversed(self.depth)]
-            self.lens = n[self.syms]
-        else:
+        self.depth, self._table = 0, None
+        if self.only is not None:
             self.lens, self.syms = np.zeros(1, np.int64), np.full(1, self.only, np.int64)
+            return
+        n = n[used].astype(np.int64)
+        order = n.argsort(kind="stable")
+        n = n[order]
+        self.depth = int(n[-1])
+        times = 1 << (self.depth - n)
+        if times.sum() != 1 << self.depth:
+            raise ValueError("the prefix code isn't complete")
+        place = _reversed(self.depth)
+        self.syms = used[order].repeat(times)[place]
+        self.lens = n.repeat(times)[place]
+
+    def table(self) -> list[int]:
+        """Symbol << 4 | bits."""
+        if self._table is None:
+            self._table = (self.syms << 4 | self.lens).tolist()
+        return self._table
 
     def next(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        if not self.table:
-            self.table = list(zip(self.lens.tolist(), self.syms.tolist(), strict=True))
-        n, s = self.table[bits.peek() & ((1 << self.depth) - 1)]
-        bits.at += n
-        return s
+        v = self.table()[bits.peek() & ((1 << self.depth) - 1)]
+        bits.at += v & 15
+        return v >> 4
+
+
+@lru_cache(4096)
+def _one(symbol: int) -> Code:
+    return Code(b"\0" * symbol + b"\1")
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = [0] * alphabet
-    if bits.read(1):
-        two = bits.read(1)
-        first = bits.read(8 if bits.read(1) else 1)
-        lengths[first] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+    head = bits.peek()
+    if head & 1:
+        wide = head >> 2 & 1
+        first = head >> 3 & (255 if wide else 1)
+        bits.read(4 + 7 * wide)
+        if not head & 2:
+            return _one(first)
+        lengths = bytearray(max(256, alphabet))
+        lengths[first] = lengths[bits.read(8)] = 1
         return Code(lengths)
-    own = [0] * 19
-    for i in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[i]] = bits.read(3)
+    bits.read(1)
+    own, many = bytearray(19), 4 + bits.read(4)
+    v = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 9], "little") >> (bits.at & 7)
+    for s in LENGTH_ORDER[:many]:
+        own[s] = v & 7
+        v >>= 3
+    bits.read(3 * many)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    code, at, before = Code(own), 0, 8
-    while at < alphabet and most:
+    lengths, code, before = bytearray(), Code(own), 8
+    # What follows fits in the bits of all lengths, each with its extra bits.
+    at = bits.at
+    window = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 2 * alphabet + 8], "little") >> (at & 7)
+    table, mask, only, taken = code.table(), (1 << code.depth) - 1, code.only, 0
+    while len(lengths) < alphabet and most:
         most -= 1
-        n = code.next(bits)
+        if only is None:
+            v = table[window & mask]
+            n, k = v >> 4, v & 15
+            window >>= k
+            taken += k
+        else:
+            n = only
         if n < 16:
-            lengths[at] = n
+            lengths.append(n)
             before = n or before
-            at += 1
             continue
-        value, count = (before, 3 + bits.read(2)) if n == 16 else (0, 3 + bits.read(3)) if n == 17 else (0, 11 + bits.read(7))
-        if at + count > alphabet:
+        extra, base = (2, 3) if n == 16 else (3, 3) if n == 17 else (7, 11)
+        lengths += bytes([before if n == 16 else 0]) * (base + (window & ((1 << extra) - 1)))
+        window >>= extra
+        taken += extra
+        if len(lengths) > alphabet:
             raise ValueError("code lengths run over")
-        lengths[at : at + count] = [value] * count
-        at += count
+    bits.read(taken)
     return Code(lengths)
 
 
@@ -196,57 +226,82 @@ def _by_arrays(bits: Bits, codes: list[Code], total: int, width: int) -> np.ndar
     """Pixels of one group of codes without a cache.
 
     Where a pixel or back-reference would end is found for each bit of the stream at once, by table; following these ends
-    from the first gives the true ones, whose symbols are then read together.
+    from the first gives the true ones, whose symbols are then read together. Codes of one symbol take no bits.
     """
     green, red, blue, alpha, dist = codes
-    look = lambda table, code, w: table[w & ((1 << code.depth) - 1)]
-    if all(c.only is not None for c in codes[:4]):
-        return np.full(total, alpha.only << 24 | red.only << 16 | green.only << 8 | blue.only, np.uint32)
+    varied = [(c, shift) for c, shift in ((red, 16), (blue, 0), (alpha, 24)) if c.only is None]
+    fixed = sum(c.only << shift for c, shift in ((red, 16), (blue, 0), (alpha, 24)) if c.only is not None)
+    if green.only is not None and not varied:
+        return np.full(total, fixed | green.only << 8, np.uint32)
+    copying = bool((green.syms >= 256).any())
+    most = max(green.depth + sum(c.depth for c, _ in varied), (green.depth + dist.depth + 28) * copying)  # bits of a pixel
+    both = green.syms << 4 | green.lens
     end, at, made = 8 * len(bits.data), bits.at, 0
-    raw = np.frombuffer(bits.data + bytes(64), np.uint8).astype(np.int64)
     literals, spots, copied = [], [], []
     while made < total:
         if at >= end:
             raise ValueError("the stream ends early")
-        lo, n = at >> 3, min(SPAN, (end - at >> 3) + 1)
-        four = raw[lo : lo + n + 24]
-        four = four[:-4] | four[1:-3] << 8 | four[2:-2] << 16 | four[3:-1] << 24 | four[4:] << 32
-        w = (four[:, None] >> np.arange(8)).reshape(-1)  # what follows each bit: 33 bits or more
-        here, last = np.arange(len(w)), len(w) - 1
-        to = here
-        for c in (alpha, blue, red, green):
-            to = to[np.minimum(here + look(c.lens, c, w), last)]
-        head = look(green.syms, green, w)
-        back = np.flatnonzero(head >= 256)
-        if len(back):
-            p = back + look(green.lens, green, w[back])
-            p = np.minimum(p + _extra(head[back] - 256), last)
-            to[back] = p + look(dist.lens, dist, w[p]) + _extra(look(dist.syms, dist, w[p]))
-        ends, starts, p, stop = to.tolist(), [], at - 8 * lo, 8 * n
+        lo = at >> 3
+        n = min(SPAN, (end - at >> 3) + 1, ((total - made) * most >> 3) + 9)
+        raw = np.zeros(n + 24, np.int64)
+        part = np.frombuffer(bits.data, np.uint8, min(n + 24, len(bits.data) - lo), lo)
+        raw[: len(part)] = part
+        five = raw[:-4] | raw[1:-3] << 8 | raw[2:-2] << 16 | raw[3:-1] << 24 | raw[4:] << 32
+        last = 8 * len(five) - 1
+        ahead = lambda p, five=five: five[p >> 3] >> (p & 7)  # noqa: E731  33 bits or more from a place
+        look = lambda table, code, p, ahead=ahead: table[ahead(p) & ((1 << code.depth) - 1)]
+        found = both[((five[:, None] >> EIGHT) & ((1 << green.depth) - 1)).reshape(-1)]  # symbol and bits, were a code to begin here
+        to = found & 15
+        to += np.arange(last + 1)
+        np.minimum(to, last, out=to)
+        for c, _ in varied:
+            to = np.minimum(to + look(c.lens, c, to), last)
+        if copying:
+            back = (found >= 256 << 4).nonzero()[0]
+            p = back + (found[back] & 15)
+            p = np.minimum(p + _extra((found[back] >> 4) - 256), last)
+            to[back] = np.minimum(p + look(dist.lens, dist, p) + _extra(look(dist.syms, dist, p)), last)
+        # Jumps over 1, 2, 4, 8 and 16 symbols: the longest are followed, the shorter fill in between.
+        jumps = [to]
+        for _ in range(4):
+            jumps.append(jumps[-1][jumps[-1]])
+        far, starts, p, stop = memoryview(jumps[-1]), [], at - 8 * lo, 8 * n
         while p < stop:
             starts.append(p)
-            p = ends[p]
+            p = far[p]
         s = np.array(starts)
-        kind = head[s]
-        p1 = s + look(green.lens, green, w[s])
+        for j in reversed(jumps[:-1]):
+            some, s = s, np.empty(2 * len(s), np.int64)
+            s[::2], s[1::2] = some, j[some]
+        s = s[s < stop]
+        kind = found[s]
+        p1 = s + (kind & 15)
+        kind >>= 4
         copies = kind >= 256
-        count = np.ones(len(s), np.int64)
-        count[copies] = _values(kind[copies] - 256, w[p1[copies]])
-        where = made + np.cumsum(count) - count
-        keep = where < total  # bits that fill the last byte aren't pixels
-        s, kind, p1, copies, count, where = (x[keep] for x in (s, kind, p1, copies, count, where))
-        plain = ~copies
-        v, p = kind[plain] << 8, p1[plain]
-        for c, shift in ((red, 16), (blue, 0), (alpha, 24)):
-            v |= look(c.syms, c, w[p]) << shift
-            p = p + look(c.lens, c, w[p])
+        many = copying and copies.any()
+        if many:
+            count = np.ones(len(s), np.int64)
+            count[copies] = _values(kind[copies] - 256, ahead(p1[copies]))
+            where = made + np.cumsum(count) - count
+        else:
+            where = np.arange(made, made + len(s))
+        if where[-1] >= total:  # bits that fill the last byte aren't pixels
+            keep = where < total
+            s, kind, p1, copies, where = (x[keep] for x in (s, kind, p1, copies, where))
+            count = count[keep] if many else None
+            many = many and copies.any()
+        plain = ~copies if many else slice(None)
+        v, p = fixed | kind[plain] << 8, p1[plain]
+        for c, shift in varied:
+            v |= look(c.syms, c, p) << shift
+            p = p + look(c.lens, c, p)
         literals.append(v), spots.append(where[plain])
-        if copies.any():
+        if many:
             p = p1[copies] + _extra(kind[copies] - 256)
-            d = look(dist.syms, dist, w[p])
-            copied += zip(where[copies].tolist(), count[copies].tolist(), _values(d, w[p + look(dist.lens, dist, w[p])]).tolist(), strict=True)
-        made = int(where[-1] + count[-1])
-        at = 8 * lo + ends[int(s[-1])]
+            d = look(dist.syms, dist, p)
+            copied += zip(where[copies].tolist(), count[copies].tolist(), _values(d, ahead(p + look(dist.lens, dist, p))).tolist(), strict=True)
+        made = int(where[-1]) + (int(count[-1]) if many else 1)
+        at = 8 * lo + int(to[s[-1]])
         if at > end:
             raise ValueError("the stream ends early")
     bits.at = at
@@ -256,7 +311,7 @@ def _by_arrays(bits: Bits, codes: list[Code], total: int, width: int) -> np.ndar
         d = _distance(code, width)
         if d > a or a + n > total:
             raise ValueError("a back-reference leaves the image")
-        out[a : a + n] = out[a - d : a - d + n] if d >= n else np.resize(out[a - d : a], n)
+        out[a : a + n] = out[a - d : a - d + n] if d >= n else out[a - 1] if d == 1 else out[a - d + np.arange(n) % d]
     return out
 
 
@@ -561,53 +616,70 @@ def encode(rgba: np.ndarray, transforms: tuple[int, ...] = (), mode: int = 11, e
     return riff([(b"VP8L", w.bytes())])
 
 
-def code_lengths(counts: np.ndarray, most: int = 15) -> list[int]:
-    """Lengths of a prefix code from counts, none above `most`: Huffman's, counts being evened out until they fit."""
-    used = np.flatnonzero(counts).tolist()
-    own, out = counts[used].tolist(), [0] * len(counts)
-    while len(used) > 1:
-        heap = [(c, k) for k, c in enumerate(own)]
-        heapq.heapify(heap)
-        up = [0] * (2 * len(used) - 1)
-        for k in range(len(used), len(up)):
-            a, x = heapq.heappop(heap)
-            b, y = heap[0]
-            heapq.heapreplace(heap, (a + b, k))
-            up[x] = up[y] = k
-        depth = [0] * len(up)
-        for k in range(len(up) - 2, -1, -1):
+def code_lengths(counts: list[int], most: int = 15) -> list[int]:
+    """Lengths of a prefix code from counts, none above `most`: Huffman's by two queues, counts being evened out until they fit."""
+    used = sorted((c, s) for s, c in enumerate(counts) if c)
+    own, out, n = [c for c, _ in used], [0] * len(counts), len(used)
+    while n > 1:
+        up, made, leaf, inner = [0] * (2 * n - 1), [], 0, 0
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if inner == len(made) or (leaf < n and own[leaf] <= made[inner]):
+                    total += own[leaf]
+                    up[leaf] = k
+                    leaf += 1
+                else:
+                    total += made[inner]
+                    up[n + inner] = k
+                    inner += 1
+            made.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[up[k]] + 1
         if max(depth) <= most:
-            for s, n in zip(used, depth[: len(used)], strict=True):
-                out[s] = n
+            for (_, s), d in zip(used, depth, strict=False):
+                out[s] = d
             break
         own = [c + 1 >> 1 for c in own]
     return out
 
 
-def _numbered(lengths: list[int]) -> np.ndarray:
+@lru_cache(1)
+def _turned() -> list[int]:
+    return _reversed(15).tolist()
+
+
+def _numbered(lengths: list[int]) -> list[int]:
     """The canonical code's values, first bit lowest."""
-    out, code, last = np.zeros(len(lengths), np.int64), 0, 0
+    out, turned, at = [0] * len(lengths), _turned(), 0
     for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - last
-        last = n
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
+        out[s] = turned[at] & ((1 << n) - 1)
+        at += 1 << (15 - n)
     return out
 
 
-def put_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def put_one(w: Writer, symbol: int) -> None:
+    """A code of one symbol, which takes no bits."""
+    w.put(5 | symbol << 3, 11)
+
+
+def put_code(w: Writer, counts: list[int]) -> tuple[list[int], list[int]]:
     """Writes the prefix code of the counts; gives value and bits of each symbol."""
-    used = np.flatnonzero(counts)
-    if len(used) <= 1 and (not len(used) or used[0] < 256):
-        w.put(1, 1), w.put(0, 1), w.put(1, 1), w.put(int(used[0]) if len(used) else 0, 8)
-        return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    used = [s for s, c in enumerate(counts) if c]
+    if len(used) <= 1 and (not used or used[0] < 256):
+        put_one(w, used[0] if used else 0)
+        return [0] * len(counts), [0] * len(counts)
+    if len(used) == 2 and used[1] < 256:
+        w.put(7 | used[0] << 3 | used[1] << 11, 19)
+        value, bits = [0] * len(counts), [0] * len(counts)
+        value[used[1]] = bits[used[0]] = bits[used[1]] = 1
+        return value, bits
     if len(used) == 1:
-        counts = counts.copy()
-        counts[0] = 1
+        counts, used = [1, *counts[1:]], [0, *used]
     lengths = code_lengths(counts)
     steps, at = [], 0  # symbol, extra bits, their number
-    for s in [*np.flatnonzero(lengths).tolist(), len(lengths)]:
+    for s in [*used, len(lengths)]:
         while at < s:
             n = min(s - at, 138)
             at += n
@@ -615,119 +687,162 @@ def put_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s < len(lengths):
             steps.append((lengths[s], 0, 0))
             at += 1
-    own = code_lengths(np.bincount([s for s, _, _ in steps], minlength=19), 7)
+    seen = [0] * 19
+    for s, _, _ in steps:
+        seen[s] += 1
+    own = bits = code_lengths(seen, 7)
     if not any(own):  # one symbol only: its code has no bits
-        own[steps[0][0]] = 1
-        bits = [0] * 19
-    else:
-        bits = own
-    values = _numbered(bits).tolist()
-    w.put(0, 1), w.put(15, 4)
+        own, bits = [1 if s == steps[0][0] else 0 for s in range(19)], [0] * 19
+    values = _numbered(bits)
+    v, n = 15 << 1, 5
     for s in LENGTH_ORDER:
-        w.put(own[s], 3)
-    w.put(0, 1)
-    for s, extra, n in steps:
-        w.put(values[s] | extra << bits[s], bits[s] + n)
-    return _numbered(lengths), np.array(lengths)
-
-
-def _repeats(pixels: np.ndarray, least: int = 3, most: int = 4096) -> list[tuple[int, int, int]]:
-    """(start, length, distance) of runs that stood before, in order and apart; a run's first pixels are sought where they stood last."""
-    if len(pixels) <= least:
-        return []
-    v = pixels.astype(np.uint64)
-    key = (v[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ v[1:-1]) * np.uint64(0xD6E8FEB86659FD93) ^ v[2:]
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    before = np.full(len(key), -1)
-    before[order[same + 1]] = order[same]
-    out, free = [], 0
-    for at in np.flatnonzero(before >= 0).tolist():
-        if at < free:
+        v |= own[s] << n
+        n += 3
+    n += 1
+    for s, extra, k in steps:
+        v |= (values[s] | extra << bits[s]) << n
+        n += bits[s] + k
+    w.put(v, n)
+    return _numbered(lengths), lengths
+
+
+def _repeats(samples: np.ndarray, least: int = REPEAT, most: int = 4096) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of runs that stood before among the samples (one byte each), in order and apart.
+
+    `least` samples are sought where they stood last; neighbours that stood at one distance make one run.
+    """
+    out: list[tuple[int, int, int]] = []
+    for base in range(0, len(samples) - least, NEARBY):
+        own = samples[base : base + NEARBY]
+        if len(own) <= least:
+            break
+        key = np.ndarray(len(own) - 7, "<u8", own.tobytes(), 0, 1)
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        same = np.flatnonzero(k[1:] == k[:-1])
+        if not len(same):
             continue
-        d = at - int(before[at])
-        n = 16
-        while True:
-            n = min(n, most, len(pixels) - at)
-            other = np.flatnonzero(pixels[at : at + n] != pixels[at - d : at - d + n])
-            if len(other) or n == min(most, len(pixels) - at):
-                break
-            n *= 16
-        n = int(other[0]) if len(other) else n
-        if n >= least:
-            out.append((at, n, d))
-            free = at + n
+        before = np.full(len(key), -1)
+        before[order[same + 1]] = order[same]
+        at = np.flatnonzero(before >= 0)
+        d = at - before[at]
+        new = np.ones(len(at) + 1, bool)
+        new[1:-1] = (at[1:] - at[:-1] > 1) | (d[1:] != d[:-1])
+        first = new.nonzero()[0]
+        length = first[1:] - first[:-1] + least - 1
+        first = first[:-1]
+        free = 0
+        for a, n, far in zip(at[first].tolist(), length.tolist(), d[first].tolist(), strict=True):
+            end = a + n
+            a = max(a, free)
+            while end - a >= least:
+                n = min(end - a, most)
+                out.append((base + a, n, far))
+                a += n
+            free = max(free, a)
     return out
 
 
-def put_pixels(w: Writer, pixels: np.ndarray, main: bool) -> None:
-    """One image with back-references and with prefix codes from the counts of its symbols."""
+def put_samples(w: Writer, values: np.ndarray, main: bool) -> None:
+    """An image whose green channel holds the values: opaque, red and blue 0; with back-references and codes from counts."""
     w.put(0, 1 + main)  # no cache, no regions
-    runs = _repeats(pixels)
-    first, plain = np.ones(len(pixels), bool), np.ones(len(pixels), bool)
-    for at, n, _ in runs:
-        first[at + 1 : at + n] = plain[at : at + n] = False
-    v = pixels[first].astype(np.int64)
-    steps = np.stack([v >> 8 & 255, v >> 16 & 255, v & 255, v >> 24], 1)
-    is_run = ~plain[first]
-    one = steps[~is_run]
-    lengths, distances = ([_prefix(x) for x in xs] for xs in ([n for _, n, _ in runs], [d + len(NEAR) for _, _, d in runs]))
-    steps[is_run, 0] = [256 + p for p, _, _ in lengths]
-    far = np.array([p for p, _, _ in distances], np.int64)
-    codes = [put_code(w, np.bincount(x, minlength=n)) for x, n in ((steps[:, 0], 280), (one[:, 1], 256), (one[:, 2], 256), (one[:, 3], 256), (far, 40))]
-    value, bits = (np.stack([codes[k][i][steps[:, k]] for k in range(4)], 1) for i in (0, 1))
+    runs = _repeats(values)
+    if runs:
+        start, n, far = np.array(runs).T
+        gone = np.zeros(len(values) + 1, np.int64)
+        gone[start] += 1
+        np.subtract.at(gone, start + n, 1)
+        plain = (np.cumsum(gone[:-1]) == 0).nonzero()[0]
+        lengths, distances = np.array([_prefix(x) for x in n.tolist()]).T, np.array([_prefix(x + len(NEAR)) for x in far.tolist()]).T
+        lit, long = values[plain], 256 + lengths[0]
+        counts = np.bincount(np.concatenate([lit, long]), minlength=280).tolist()
+    else:
+        counts = np.bincount(values, minlength=280).tolist()
+    gv, gb = map(np.array, put_code(w, counts))
+    put_one(w, 0), put_one(w, 0), put_one(w, 255)
     if runs:
-        for i, m in ((0, value), (1, bits)):
-            m[is_run, 1], m[is_run, 2], m[is_run, 3] = [x[2 - i] for x in lengths], codes[4][i][far], [x[2 - i] for x in distances]
-    value, bits = value.reshape(-1), bits.reshape(-1)
+        # A run is two entries, its length and then its distance, each with its extra bits.
+        dv, db = map(np.array, put_code(w, np.bincount(distances[0], minlength=40).tolist()))
+        place = np.concatenate([2 * plain, 2 * start, 2 * start + 1])
+        value = np.concatenate([gv[lit], gv[long] | lengths[2] << gb[long], dv[distances[0]] | distances[2] << db[distances[0]]])
+        bits = np.concatenate([gb[lit], gb[long] + lengths[1], db[distances[0]] + distances[1]])
+        order = place.argsort(kind="stable")
+        value, bits = value[order], bits[order]
+    else:
+        put_one(w, 0)
+        value, bits = gv[values], gb[values]
     end = np.cumsum(bits)
     total = int(end[-1])
     at = end - bits
-    got = np.zeros((total >> 3) + 5, np.uint8)
+    got = np.zeros((total >> 3) + 6, np.uint8)
     for lo in range(0, len(at), 1 << 18):
         p, x = at[lo : lo + (1 << 18)], value[lo : lo + (1 << 18)]
         base = int(p[0]) >> 3
         x, p = x << (p & 7), (p >> 3) - base
-        for k in range(4):  # bits of different symbols don't meet, so sums join them
-            part = np.bincount(p, weights=x >> (8 * k) & 255).astype(np.uint8)
+        for k in range(5 if runs else 3):  # bits of different symbols don't meet, so sums join them
+            if k == 3:
+                wide = (x >= 1 << 24).nonzero()[0]
+                if not len(wide):
+                    break
+                p, x = p[wide], x[wide]
+            part = np.bincount(p, x >> (8 * k) & 255).astype(np.uint8)
             got[base + k : base + k + len(part)] += part
     w.put(int.from_bytes(got.tobytes(), "little") & ((1 << total) - 1), total)
 
 
-def _stream(pixels: np.ndarray, width: int, height: int, palette: np.ndarray | None) -> bytes:
-    w = Writer()
-    w.put(0x2F, 8), w.put(width - 1, 14), w.put(height - 1, 14), w.put(1, 1), w.put(0, 3)
-    if palette is not None:
-        w.put(1, 1), w.put(PALETTE, 2), w.put(len(palette) - 1, 8)
-        put_pixels(w, _joined(*(np.diff(c, prepend=0) for c in _channels(palette))), False)
-        pack = 3 if len(palette) <= 2 else 2 if len(palette) <= 4 else 1 if len(palette) <= 16 else 0
-        wide, each = -(-width >> pack), 8 >> pack
-        full = np.zeros((height, wide << pack), np.uint32)
-        full[:, :width] = np.searchsorted(palette, pixels).reshape(height, width)
-        pixels = (0xFF000000 | sum(full[:, k :: 1 << pack] << (each * k) for k in range(1 << pack)).astype(np.uint32) << 8).reshape(-1)
+def put_colours(w: Writer, greys: np.ndarray) -> None:
+    """The palette as differences of neighbours: the first opaque, the others' alpha the same."""
     w.put(0, 1)
-    put_pixels(w, pixels, True)
-    return w.bytes()
+    steps = greys.copy()
+    steps[1:] -= greys[:-1]
+    value, bits = put_code(w, np.bincount(steps, minlength=280).tolist())
+    put_one(w, 0), put_one(w, 0)
+    alpha, two = [0] * 256, len(greys) > 1
+    alpha[255], alpha[0] = 1, int(two)
+    a, n = put_code(w, alpha)
+    put_one(w, 0)
+    v, at = 0, 0
+    for k, s in enumerate(steps.tolist()):
+        i = 0 if k else 255
+        v |= (value[s] | a[i] << bits[s]) << at
+        at += bits[s] + n[i]
+    w.put(v, at)
 
 
 def store(payload: bytes) -> bytes:
-    """A payload of a positive multiple of 576 bytes as RGBA samples of an image; with a palette where 256 colours are enough."""
+    """A payload of a positive multiple of 576 bytes as grey samples: a row for each 576 bytes, in wider rows beyond 16384 of them."""
     rows = len(payload) // UNIT
     if not rows or len(payload) % UNIT:
         raise ValueError("not a positive multiple of 576 bytes")
     times = -(-rows // MOST)
-    width, height = WIDTH * times, -(-rows // times)
-    full = payload + b"\xff" * (4 * width * height - len(payload))
-    pixels = np.ascontiguousarray(np.frombuffer(full, np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]]).view("<u4").reshape(-1)
-    colours = np.unique(pixels)
-    stream = _stream(pixels, width, height, colours if len(colours) <= 256 else None)
-    return riff([(b"VP8L", stream), *([(b"qLEN", struct.pack("<Q", len(payload)))] if times > 1 else [])])
+    width, height = UNIT * times, -(-rows // times)
+    samples = np.frombuffer(payload + b"\xff" * (width * height - len(payload)), np.uint8)
+    greys = np.bincount(samples, minlength=256).nonzero()[0]
+    if len(greys) > 16:  # samples can't share a pixel, and a palette without gaps takes a bit a colour
+        greys = np.arange(greys[0], greys[-1] + 1)
+    w = Writer()
+    w.put(0x2F, 8), w.put(width - 1, 14), w.put(height - 1, 14), w.put(0, 1), w.put(0, 3)
+    w.put(1, 1), w.put(GREEN, 2)  # red and blue are green's and become 0
+    w.put(1, 1), w.put(PALETTE, 2), w.put(len(greys) - 1, 8)
+    put_colours(w, greys)
+    number = np.zeros(256, np.uint8)
+    number[greys] = np.arange(len(greys))
+    index = samples - np.uint8(greys[0]) if len(greys) > 16 else number[samples]
+    pack = 3 if len(greys) <= 2 else 2 if len(greys) <= 4 else 1 if len(greys) <= 16 else 0
+    if pack:
+        wide, each = -(-width >> pack), 8 >> pack
+        full = np.zeros((height, wide << pack), np.uint8)
+        full[:, :width] = index.reshape(height, width)
+        index = sum(full[:, k :: 1 << pack] << (each * k) for k in range(1 << pack)).astype(np.uint8).reshape(-1)
+    w.put(0, 1)
+    put_samples(w, index, True)
+    return riff([(b"VP8L", w.bytes()), *([(b"qLEN", struct.pack("<Q", len(payload)))] if times > 1 else [])])
 
 
 def restore(data: bytes) -> tuple[bytes, tuple[int, int]]:
     """The payload that store() put in, and the image's width and height."""
     p = decode(data)
-    raw = p.tobytes()
+    raw = p[:, :, 1].tobytes()
     try:
         raw = raw[: struct.unpack("<Q", _chunk(data, b"qLEN"))[0]]
     except ValueError:  # only images of more than one unit's width have that chunk
