@@ -58,71 +58,60 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _pieces(self, text: str) -> list[str]:
-        """Keys of the memo; _text() turns one into what is encoded."""
+        """Keys of the memo: a piece with one character before it, " " if it stands as it is and none if a blank precedes it.
+
+        No piece after a blank begins with a blank, so keys don't clash. Without `spaced` a piece is its own key.
+        """
         if self.spaced:
             if not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in OTHERS)):
                 first, *rest = text.replace("\n", " \n").split(" ")
-                return ["=" + first, *rest] if first else rest
-            return ["=" + p for p in CUT.findall(text)]
+                return [" " + first, *rest] if first else rest
+            return [" " + p for p in CUT.findall(text)]
         return WORDS.findall(text) if ODD.search(text) else text.split()
 
     def _text(self, key: str) -> str:
+        """What the library is asked to encode for a key."""
         if not self.spaced or key[:1] == "\n":
             return key
-        return key[1:] if key[:1] == "=" and len(key) > 1 else " " + key
-
-    def _merged(self, text: str) -> bytes:
-        """Of one piece of plain letters, with a blank before it or not."""
-        mapped = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(ALPHABET)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        return key[1:] if key[:1] == " " else " " + key
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.memo) + len(missing) > REMEMBER:
-            self.memo.clear()
-        # Plain words, with a full stop or comma or none, need no further look: one call of the merges each.
-        memo, tokenize, lead = self.memo, self.tokenizer.model.tokenize, "\u0120" if self.spaced else ""
-        ends, rest = dict(zip(".,", self._encode([".", ","]), strict=True)), []
+        """Words of plain letters, with a full stop or comma or none, need one call of the merges; the library encodes all else."""
+        memo, tokenize = self.memo, self.tokenizer.model.tokenize
+        stop, comma, line = self._encode([".", ",", "\n"])
+        ends, rest = {".": stop, ",": comma}, []
         for k in missing:
-            end = ends.get(k[-1:])
-            w = k if end is None else k[:-1]
+            before, lead, w = b"", "", k
+            if self.spaced:
+                first = k[:1]
+                if first == "\n":
+                    before, w = line, k[1:]
+                elif first == " ":
+                    w = k[1:]
+                    if w[:1] == " ":
+                        lead, w = "\u0120", w[1:]
+                else:
+                    lead = "\u0120"
+            end = ends.get(w[-1:])
+            if end is not None:
+                w = w[:-1]
             if w.isascii() and w.isalpha():
-                mapped = w if lead else w.lower()
+                mapped = w if self.spaced else w.lower()
             elif PLAIN.fullmatch(w):
-                mapped = (w if lead else w.lower()).encode().decode("latin-1").translate(ALPHABET)
+                mapped = (w if self.spaced else w.lower()).encode().decode("latin-1").translate(ALPHABET)
             else:
                 rest.append(k)
                 continue
-            got = memo.get(w)
-            if got is None:
-                got = memo[w] = array("I", [t.id for t in tokenize(lead + mapped)]).tobytes()
-            if end is not None:
-                memo[k] = got + end
-        # A single full stop or comma after a letter is a piece of its own in both vocabularies.
-        whole, split = [], []
-        for k in rest:
-            t = self._text(k)
-            if not self.spaced and (t.isascii() or PLAIN.fullmatch(t.rstrip(".,"))):
-                t = t.lower()
-            if len(t) > 2 and t[-1] in ".," and t[-2].isalpha():
-                split.append((k, t[:-1], t[-1]))
-                whole.append(t[:-1])
-                whole.append(t[-1])
-            else:
-                split.append((k, t, ""))
-                whole.append(t)
-        known, other = {}, []
-        for t in set(whole):
-            if PLAIN.fullmatch(t, t[:1] == " "):
-                known[t] = self._merged(t)
-            else:
-                other.append(t)
-        known.update(zip(other, self._encode(other), strict=True))
-        known[""] = b""
-        for k, a, b in split:
-            self.memo[k] = known[a] + known[b]
+            bare = memo.get(w) if lead or not self.spaced else None
+            if bare is None:
+                bare = array("I", [t.id for t in tokenize(lead + mapped)]).tobytes()
+                if lead or not self.spaced:
+                    memo[w] = bare
+            memo[k] = before + bare + (end or b"")
+        memo.update(zip(rest, self._encode(list(map(self._text, rest))), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
