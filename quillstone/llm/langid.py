@@ -5,11 +5,14 @@ language of which a lexicon knows it; transitions are learned. Forward-backward
 probabilities, in code-switched text too; a document's language is the one with the largest mean.
 
 The model is fit on a bounded sample of the labelled documents whose crc32(doc_id) mod 4 isn't 2: at most
-PER_LANGUAGE of each language and TRAIN_WORDS words of each. As labels are by document, pieces of several
-documents are spliced for the transitions to be learned. Prediction reads every whole text and nothing else.
+PER_LANGUAGE of each language and TRAIN_WORDS words of each, in runs spread over its whole text. As labels are
+by document, pieces of several documents are spliced for the transitions to be learned. Prediction reads every
+whole text and nothing else. Texts are worked on in groups of AT_ONCE characters and longer ones in blocks of that
+size, whose ends carry the chain on: memory is bounded whatever the length, and no text is cut short.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, and so is all where nothing is
-labelled; repeated rows each get a row; an empty table gives an empty result.
+labelled; of two languages with equal means the first by name counts; repeated rows each get a row; very long
+texts are read whole; an empty table gives an empty result; further columns are not read, or pass through accepted().
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import batch, map_rows, pieces, table
 
 #: Bounds of the training sample, and of the model.
-PER_LANGUAGE, TRAIN_WORDS, LEXICON = 400, 200, 20_000
+PER_LANGUAGE, TRAIN_WORDS, RUN, LEXICON = 400, 200, 40, 20_000
+#: Characters that a worker has features and marginals of at a time.
+AT_ONCE = 1_000_000
 DIMS = 1 << 17
 #: A word's log potential is at most this far below that of its best label: no single word decides a text.
 FLOOR = -16.0
@@ -46,6 +51,15 @@ def letter_words(text: str | None) -> list[str]:
     return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
+def spread(ws: list[str], most: int = TRAIN_WORDS, run: int = RUN) -> list[str]:
+    """At most `most` words in runs of `run`, evenly spread from the first word to the last."""
+    if len(ws) <= most:
+        return ws
+    n = max(1, most // run)
+    starts = [k * (len(ws) - run) // max(1, n - 1) for k in range(n)]
+    return [w for a in starts for w in ws[a : a + run]]
+
+
 def ngrams(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all words one after another, and where each word's begin."""
     text = "".join(f" {w} " for w in ws)
@@ -75,12 +89,17 @@ class Model:
     transitions: np.ndarray  # from x to, log potentials
     initial: np.ndarray
 
-    def emissions(self, ws: list[str]) -> np.ndarray:
-        if not ws:
-            return np.zeros((0, len(self.labels)), np.float32)
-        f, at = ngrams(ws)
-        out = np.add.reduceat(self.weights[f], at, axis=0)
-        none = len(self.labels)
+    def emissions(self, ws: list[str], at_once: int = AT_ONCE) -> np.ndarray:
+        out, none = np.zeros((len(ws), len(self.labels)), np.float32), len(self.labels)
+        done, size = 0, 0
+        for i, w in enumerate(ws):
+            size += len(w)
+            if size > at_once // 10 or i + 1 == len(ws):
+                f, at = ngrams([x[:at_once] for x in ws[done : i + 1]])
+                out[done : i + 1] = np.add.reduceat(self.weights[f], at, axis=0)
+                for a in range(at_once, len(w), at_once):  # a run of letters of that length goes on in parts
+                    out[i] += self.weights[ngrams([w[a : a + at_once]])[0]].sum(0)
+                done, size = i + 1, 0
         return out + self.by_lexicon[np.fromiter((self.lexicon.get(w, none) for w in ws), np.int64, len(ws))]
 
     def marginals(self, rows: np.ndarray, lengths: np.ndarray, pairwise: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,25 +150,88 @@ class Model:
         out[source] = gamma[place]
         return out, pairs, gamma[: active[0]].sum(0)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None], at_once: int = AT_ONCE) -> list[tuple[str, float]]:
+        """Language and score of each text. Texts of like length go together; those over `at_once` characters alone, in blocks."""
+        out = [("und", 0.0)] * len(texts)
+        if not self.labels:
+            return out
+        order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
+        group: list[int] = []
+        size = 0
+        for i in order:
+            n = len(texts[i])
+            if n > at_once:
+                means = [self._long_mean(texts[i], at_once)]
+                self._set(out, [i], means)
+                continue
+            if size + n > at_once:
+                self._set(out, group, self._means([texts[j] for j in group]))
+                group, size = [], 0
+            group.append(i)
+            size += n
+        self._set(out, group, self._means([texts[j] for j in group]))
+        return out
+
+    def _set(self, out: list[tuple[str, float]], at: list[int], means: list[np.ndarray | None]) -> None:
+        for i, m in zip(at, means, strict=True):
+            if m is not None:
+                k = int(m.argmax())
+                out[i] = (self.labels[k], float(min(1.0, m[k])))
+
+    def _means(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Mean marginals of each text's words; None where it has no letter."""
         cut = [letter_words(t) for t in texts]
         lengths = np.array([len(w) for w in cut], np.int64)
-        if not self.labels or not lengths.sum():
-            return [("und", 0.0)] * len(texts)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if not lengths.sum():
+            return out
         number: defaultdict[str, int] = defaultdict(count().__next__)
         ids = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64, int(lengths.sum()))
-        vocabulary = list(number)
-        e = np.concatenate([self.emissions(vocabulary[i : i + 50_000]) for i in range(0, len(vocabulary), 50_000)])
         some = np.flatnonzero(lengths)
-        gamma, _, _ = self.marginals(e[ids], lengths[some])
+        gamma, _, _ = self.marginals(self.emissions(list(number))[ids], lengths[some])
         starts = np.cumsum(lengths[some]) - lengths[some]
-        mean = np.add.reduceat(gamma.astype(np.float64), starts, axis=0) / lengths[some][:, None]
-        out = [("und", 0.0)] * len(texts)
-        for i, m in zip(some.tolist(), mean, strict=True):
-            k = int(m.argmax())
-            out[i] = (self.labels[k], float(min(1.0, m[k])))
+        for i, m in zip(some.tolist(), np.add.reduceat(gamma.astype(np.float64), starts, axis=0) / lengths[some][:, None], strict=True):
+            out[i] = m
         return out
 
+    def _long_mean(self, text: str, at_once: int) -> np.ndarray | None:
+        """The same of one text, block by block: forward to know how each block begins, then backward with each block's forward part anew."""
+        low, cuts = text.lower(), [0]
+        while cuts[-1] < len(low):
+            at = min(len(low), cuts[-1] + at_once)
+            while at < len(low) and low[at].isalpha():  # no run of letters is cut
+                at += 1
+            cuts.append(at)
+        trans, first = np.exp(self.transitions), np.exp(self.initial)
+
+        def potentials(k: int) -> np.ndarray:
+            rows = self.emissions(letter_words(low[cuts[k] : cuts[k + 1]]), at_once)
+            return np.exp(np.maximum(rows - rows.max(1, keepdims=True), FLOOR)).astype(np.float64) if len(rows) else rows
+
+        def forward(e: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+            out = np.empty_like(e)
+            for t, x in enumerate(e):
+                before = x * (first if before is None else before @ trans)
+                before /= before.sum()
+                out[t] = before
+            return out
+
+        ends: list[np.ndarray | None] = [None]
+        for k in range(len(cuts) - 1):
+            alpha = forward(potentials(k), ends[-1])
+            ends.append(alpha[-1] if len(alpha) else ends[-1])
+        total, n, beta = np.zeros(len(self.labels)), 0, np.ones(len(self.labels))
+        for k in range(len(cuts) - 2, -1, -1):
+            e = potentials(k)
+            alpha = forward(e, ends[k])
+            for t in range(len(e) - 1, -1, -1):
+                g = alpha[t] * beta
+                total += g / g.sum()
+                beta = trans @ (e[t] * beta)
+                beta /= beta.sum()
+            n += len(e)
+        return total / n if n else None
+
 
 def spliced(docs: list[tuple[int, list[str]]], seed: int, words: int = 40) -> list[list[tuple[str, int]]]:
     """Sequences from runs of 4 to 20 words; at the end of a run the text goes on, or another document follows."""
@@ -242,7 +324,7 @@ def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("doc_id", pa.int64()), ("w", pa.string())])
         for b in it:
-            yield batch(s, [b.column("lang"), b.column("h").cast(pa.int64()), b.column("doc_id").cast(pa.int64()), [" ".join(letter_words(t)[:TRAIN_WORDS]) for t in b.column("text").to_pylist()]])
+            yield batch(s, [b.column("lang"), b.column("h").cast(pa.int64()), b.column("doc_id").cast(pa.int64()), [" ".join(spread(letter_words(t))) for t in b.column("text").to_pylist()]])
 
     found: dict[str, list] = {}
     for r in map_rows(rows.filter(near), ["lang", "h", "doc_id", "text"], run, "lang string, h long, doc_id long, w string").collect():
@@ -265,7 +347,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *ARROW])
         for whole in it:
-            for b in pieces(whole, 12_000_000):
+            for b in pieces(whole, 4_000_000):
                 yield batch(s, [b.column("doc_id").cast(pa.int64()), b.column("held_out"), *_predicted(shared.value, b)])
 
     return map_rows(docs.withColumn("held_out", held_out()), ["doc_id", "held_out", "text"], run, SCHEMA)
@@ -277,7 +359,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for b in pieces(whole, 12_000_000):
+            for b in pieces(whole, 4_000_000):
                 lang, score = _predicted(shared.value, b)
                 yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)]))
 
