@@ -4,18 +4,24 @@ One hash function orders the shingles; a document retains its RETAINED smallest.
 INDEXED smallest retained values generate overlaps, the sketch of the union estimates the similarity and
 drops what is far below the threshold, and exact Jaccard on the full sets verifies every link.
 
-Two sets at the threshold of 0.75 have none of the 24 smallest values of their union in common with
-probability 0.25 ** 24 = 4e-15; the estimate of 64 values falls under 0.48 with 1.4e-6. Sets smaller than that
-are handled exactly.
-
-Lists of at most SMALL documents are compared in full. In a longer one (thousands of near copies, a passage
-that many share) each document is verified against the list's smallest; where that leaves the list in more
-than one part, its documents go through an exact join on the rarest quarter of their full sets, with a bound
-from the places of a common shingle. So no list emits all its pairs and no link that meets in a long list is lost.
+Documents that meet in a list of at most SMALL are paired. In a longer one (thousands of near copies, a passage
+that many share) each document is paired with the list's smallest only. Where that leaves the list in more than one
+part, its documents meet again in the short lists of all their retained values; those of whose values a third or more
+stand in long lists go through an exact join on the rarest quarter of their full sets as well, with a bound from the
+places of a common shingle. Its lists are dealt in parts of PART rows. So no list emits all its pairs, and none is one
+task's.
+
+Probabilities, for two large sets at the threshold of 0.75, where each of the smallest values of their union is common
+with probability 0.75. They meet in no list with 0.25 ** 24 = 4e-15. That all they have in common of 64 values stands in
+long lists and is yet less than a third of one's values needs at most 21 common ones: 1e-12. The estimate of 64 values
+falls under 0.48 with 1.4e-6. Sets of at most 64 shingles are retained whole and nothing of theirs is missed. Hashes
+have 63 bits.
 
 Defined cases: texts with fewer than five words are one shingle; null, empty and blank texts have none and
 are linked with nothing; documents with a null doc_id are linked with nothing and kept; copies and repeated
-rows share a class; an empty table gives an empty result.
+rows share a class; rows with one doc_id and different texts are judged by their texts; of equal similarities none
+is preferred, as all links count; very long texts are hashed whole; an empty table gives an empty result; further
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,10 +34,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batch, hashes, map_rows, partitions, pieces, rolled, settled, table
 
-SHINGLE, RETAINED, INDEXED, SMALL = 5, 64, 24, 32
+SHINGLE, RETAINED, INDEXED, SMALL, PART = 5, 64, 24, 32, 512
 #: Least similarity in hundredths, and least estimate for a pair to be verified.
 PERCENT, ESTIMATE = 75, 0.48
 NONE = np.int64(2**63 - 1)
@@ -50,11 +57,11 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
-def estimated(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Similarity of rows i and j of the sketches (padded with NONE) from the smallest RETAINED values of their unions."""
-    out = np.empty(len(i))
-    for at in range(0, len(i), 4096):
-        u = np.sort(np.concatenate([s[i[at : at + 4096]], s[j[at : at + 4096]]], 1), 1)
+def estimated(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Similarity of the rows of two arrays of sketches (padded with NONE) from the smallest RETAINED values of their unions."""
+    out = np.empty(len(s))
+    for at in range(0, len(s), 4096):
+        u = np.sort(np.concatenate([s[at : at + 4096], t[at : at + 4096]], 1), 1)
         real = u != NONE
         twice = np.zeros(u.shape, bool)
         twice[:, 1:] = (u[:, 1:] == u[:, :-1]) & real[:, 1:]
@@ -91,7 +98,11 @@ def by_list(df: DataFrame, key: str, columns: list[str], pairs, schema: str) ->
             begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             for a, b in pairs(t, np.append(begin, len(k))):
                 if len(a):
-                    yield batch(names, [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))])
+                    a, b = np.minimum(a, b), np.maximum(a, b)
+                    order = np.lexsort((b, a))
+                    a, b = a[order], b[order]
+                    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])  # lists of one group give the same pairs
+                    yield batch(names, [pa.array(a[new]), pa.array(b[new])])
 
         for b in it:
             if not b.num_rows:
@@ -108,39 +119,66 @@ def by_list(df: DataFrame, key: str, columns: list[str], pairs, schema: str) ->
     return df.select(key, *columns).repartition(2 * partitions(df.sparkSession), key).sortWithinPartitions(key, columns[0]).mapInArrow(run, schema)
 
 
-def _small_pairs(t: pa.Table, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _short_pairs(t: pa.Table, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of each short list whose sizes may reach the threshold and whose labels, if they have any, differ."""
     rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
-    lists = t.column("sketch").combine_chunks()
-    s = np.full((len(rep), RETAINED), NONE)
+    label = t.column("label").to_numpy() if "label" in t.column_names else rep
+    size = np.diff(ends)
+    for k in range(2, int(size.max()) + 1):
+        at = ends[:-1][size == k]
+        for lo in range(0, len(at), 4096):
+            x, y = np.triu_indices(k, 1)
+            i, j = (at[lo : lo + 4096, None] + x).reshape(-1), (at[lo : lo + 4096, None] + y).reshape(-1)
+            ok = (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (label[i] != label[j])
+            yield rep[i[ok]], rep[j[ok]]
+
+
+def _rows(lists: pa.Array) -> np.ndarray:
+    """Sketches as rows, padded with NONE."""
     size = np.diff(lists.offsets.to_numpy())
-    s[np.repeat(np.arange(len(rep)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
-    i, j = [], []
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        x, y = np.triu_indices(b - a, 1)
-        i.append(x + a)
-        j.append(y + a)
-    i, j = np.concatenate(i), np.concatenate(j)
-    ok = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
-    i, j = i[ok], j[ok]
-    ok = estimated(s, i, j) >= ESTIMATE
-    yield rep[i[ok]], rep[j[ok]]
+    out = np.full((len(size), RETAINED), NONE)
+    out[np.repeat(np.arange(len(size)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+    return out
+
+
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches don't put them far below the threshold."""
+    names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ok = estimated(_rows(b.column("sa")), _rows(b.column("sb"))) >= ESTIMATE
+            yield batch(names, [b.column("a"), b.column("b")]).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _bounded_pairs(t: pa.Table, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different labels that may still reach the threshold if their first common shingle is this one."""
-    cols = [t.column(c).to_numpy() for c in ("rep", "n", "pos", "label")]
+    """Pairs of an asking and a dealt row with different labels that may still reach the threshold if their first common shingle is this one."""
+    cols = [t.column(c).to_numpy() for c in ("rep", "n", "pos", "label", "asks")]
     for a, b in zip(ends[:-1], ends[1:], strict=True):
-        rep, n, pos, label = (c[a:b] for c in cols)
-        values, count = np.unique(label, return_counts=True)
-        if len(values) < 2:
+        rep, n, pos, label, asks = (c[a:b] for c in cols)
+        few, dealt = np.flatnonzero(asks == 1), np.flatnonzero(asks == 0)
+        if not len(few) or not len(dealt):
             continue
-        few = np.flatnonzero(label != values[count.argmax()])
         left = n - pos
         for at in range(0, len(few), 256):
             r = few[at : at + 256]
-            ok = (label[r][:, None] != label) & ((100 + PERCENT) * np.minimum(left[r][:, None], left) >= PERCENT * (n[r][:, None] + n))
+            ok = (label[r][:, None] != label[dealt]) & ((100 + PERCENT) * np.minimum(left[r][:, None], left[dealt]) >= PERCENT * (n[r][:, None] + n[dealt]))
             x, y = np.nonzero(ok)
-            yield rep[r[x]], rep[y]
+            yield rep[r[x]], rep[dealt[y]]
+
+
+def _dealt(prefix: DataFrame) -> DataFrame:
+    """Lists in parts of about PART rows: the rows of a list's largest label are dealt to its parts, the others too, and these also ask in each part."""
+    by_label = prefix.groupBy("sh", "label").agg(F.count("*").alias("c"))
+    of = by_label.groupBy("sh").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
+    rows = prefix.join(of, "sh").withColumn("parts", F.ceil(F.col("all") / PART).cast("int"))
+    key = lambda part: F.xxhash64("sh", part)
+    own = rows.select(key(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).alias("part"), "rep", "n", "pos", "label", F.lit(0).cast("long").alias("asks"))
+    few = rows.filter("label <> most").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return own.union(few.select(key(F.col("p")).alias("part"), "rep", "n", "pos", "label", F.lit(1).cast("long").alias("asks")))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -176,46 +214,59 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
+    return _grouped(docs).drop("mark")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
     rows = settled(sketched(docs), "dup-sketches")
     classes = settled(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "dup-classes")
 
     # Inverted lists of values that more than one class retains.
-    postings = classes.select("rep", F.explode(F.slice("sketch", 1, INDEXED)).alias("v"))
-    sizes = postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    lists = settled(postings.join(sizes, "v"), "dup-lists")
+    lists = settled(_with_sizes(classes.select("rep", "n", F.explode(F.slice("sketch", 1, INDEXED)).alias("v"))), "dup-lists")
     listed = lists.select("rep").distinct()
     texts = settled(docs.select(F.col("doc_id").alias("rep"), "text").join(listed, "rep", "left_semi"), "dup-texts")
-    texts = texts.groupBy("rep").agg(F.any_value("text").alias("text")) if _repeats(texts) else texts
-    short = lists.filter(F.col("df") <= SMALL).join(classes.select("rep", "n", "sketch"), "rep")
-    near = by_list(short, "v", ["rep", "n", "sketch"], _small_pairs, "a long, b long")
-    hot = lists.filter(F.col("df") > SMALL)
-    hot = settled(hot.select("v", "rep"), "dup-hot")
+    texts = texts.dropDuplicates() if _repeats(texts, "rep") else texts
+    near = by_list(lists.filter(F.col("df") <= SMALL), "v", ["rep", "n"], _short_pairs, "a long, b long")
+    hot = lists.filter(F.col("df") > SMALL).select("v", "rep")
     led = hot.join(hot.groupBy("v").agg(F.min("rep").alias("leader")), "v").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    first = settled(verified(near.union(led).distinct(), texts), "dup-links")
+    first = settled(verified(likely(near.union(led).distinct(), classes), texts), "dup-links")
 
-    # Documents of long lists that the first links leave in several parts: an exact join on rare shingles.
+    # Documents of long lists that the first links leave in several parts meet in the short lists of all they retain.
     labels = first.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label"))
-    marked = hot.select("v", "rep").join(labels, "rep", "left").select("v", "rep", F.coalesce("label", "rep").alias("label"))
-    marked = settled(marked, "dup-marked")
+    marked = hot.join(labels, "rep", "left").select("v", "rep", F.coalesce("label", "rep").alias("label"))
     split = marked.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("v")
-    open_ = marked.join(split, "v", "left_semi").select("rep", "label").distinct()
+    open_ = settled(marked.join(split, "v", "left_semi").select("rep", "label").distinct(), "dup-open")
+    wide = settled(_with_sizes(classes.join(open_, "rep").select("rep", "n", "label", F.explode("sketch").alias("v"))), "dup-wide")
+    again = by_list(wide.filter(F.col("df") <= SMALL), "v", ["rep", "n", "label"], _short_pairs, "a long, b long").distinct()
+    second = settled(verified(likely(again.join(first, ["a", "b"], "left_anti"), classes), texts), "dup-links")
+
+    # Those mostly of long lists go through an exact join on rare shingles, too.
+    mostly = wide.filter(F.col("df") > SMALL).groupBy("rep").agg(F.count("*").alias("long"), F.any_value("n").alias("n"))
+    mostly = mostly.filter(3 * F.col("long") >= F.least(F.col("n"), F.lit(RETAINED))).select("rep")
+    open_ = open_.join(mostly, "rep", "left_semi")
     sets = settled(open_.join(texts, "rep").mapInArrow(_exploded, "rep long, label long, n long, sh long"), "dup-sets")
     rare = sets.join(sets.groupBy("sh").agg(F.count("*").alias("df")), "sh")
     ordered = rare.groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sh"))).alias("s"))  # a document's own set
     prefix = ordered.select("rep", "label", "n", F.posexplode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))).alias("pos", "e"))
     prefix = prefix.filter("e.df > 1").select(F.col("e.sh").alias("sh"), "rep", "n", F.col("pos").cast("long").alias("pos"), "label")
-    more = by_list(prefix, "sh", ["rep", "n", "pos", "label"], _bounded_pairs, "a long, b long").distinct()
-    second = settled(verified(more.join(first, ["a", "b"], "left_anti"), texts), "dup-links")
+    prefix = settled(prefix, "dup-prefix")
+    more = by_list(_dealt(prefix), "part", ["rep", "n", "pos", "label", "asks"], _bounded_pairs, "a long, b long").filter("a <> b").distinct()
+    third = settled(verified(more.join(first.union(second), ["a", "b"], "left_anti"), texts), "dup-links")
 
-    found = components(first.union(second))
+    found = components(first.union(second).union(third))
     of = classes.select("mark", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("mark").alias("m"), F.coalesce("component", "rep").alias("c"))
     out = rows.join(of, (F.col("mark") == F.col("m")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _repeats(texts: DataFrame) -> bool:
-    return not texts.groupBy("rep").count().filter("count > 1").isEmpty()
+def _with_sizes(postings: DataFrame) -> DataFrame:
+    """Postings of lists of two or more, with the list's size as df."""
+    return postings.join(postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "v")
+
+
+def _repeats(rows: DataFrame, key: str) -> bool:
+    return not rows.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > 1)).isEmpty()
 
 
 def _exploded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +279,25 @@ def _exploded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unique(docs: DataFrame) -> DataFrame:
-    """One document of each group, rows and columns as they came."""
-    kept = settled(grouped(docs).filter("kept").select("doc_id").distinct(), "dup-kept")
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group, rows and columns as they came; of rows with one doc_id the one whose text was judged, and of equal rows one.
+
+    Rows with a null doc_id are in no group and stay.
+    """
+    kept = settled(_grouped(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")).distinct(), "dup-kept")
+    if not _repeats(docs, "doc_id"):
+        return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    mark = next(c for c in ("mark", *(f"mark_{k}" for k in range(len(docs.columns)))) if c not in docs.columns)
+    with_mark = T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for b in pieces(whole):
+                marks = [xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.binary())], names=[*b.schema.names, mark])
+
+    marked = docs.mapInArrow(run, with_mark)
+    one = marked.filter("doc_id IS NOT NULL").join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col(mark) == F.col("kept_mark")), "left_semi").dropDuplicates(["doc_id", mark])
+    return one.drop(mark).union(docs.filter("doc_id IS NULL"))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
