@@ -41,7 +41,7 @@ from .common import batch, hashes, map_rows, partitions, pieces, rolled, settled
 SHINGLE, RETAINED, INDEXED, SMALL, PART = 5, 64, 24, 32, 512
 #: Least similarity in hundredths, and least estimate for a pair to be verified.
 PERCENT, ESTIMATE = 75, 0.48
-NONE = np.int64(2**63 - 1)
+NONE = np.int32(2**31 - 1)
 
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -136,7 +136,7 @@ def _short_pairs(t: pa.Table, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np
 def _rows(lists: pa.Array) -> np.ndarray:
     """Sketches as rows, padded with NONE."""
     size = np.diff(lists.offsets.to_numpy())
-    out = np.full((len(size), RETAINED), NONE)
+    out = np.full((len(size), RETAINED), NONE, np.int32)
     out[np.repeat(np.arange(len(size)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
     return out
 
@@ -150,7 +150,8 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             ok = estimated(_rows(b.column("sa")), _rows(b.column("sb"))) >= ESTIMATE
             yield batch(names, [b.column("a"), b.column("b")]).filter(pa.array(ok, pa.bool_()))
 
-    of = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
+    # The upper 31 bits are enough for an estimate and keep the order.
+    of = lambda x: classes.select(F.col("rep").alias(x), F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias(f"s{x}"))
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
