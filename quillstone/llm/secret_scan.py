@@ -1,11 +1,12 @@
 """Secret scans with structural confirmation.
 
 Base spans come from three patterns. Longer base64, hex and dotted candidates are then decoded and only
-reported if their structure holds: ASN.1 keys whose nested lengths add up, the binary container that
+reported if their structure holds: ASN.1 keys whose nested lengths add up (nested 12 deep at most), the binary container that
 begins with "openssh-key-v1", PEM blocks with such a body or with the headers of an encrypted one, and signed tokens whose header is JSON with "alg".
 
 Defined cases: a null text is an empty one and has no spans; an empty table gives an empty result;
-repeated rows each get a row; spans are in code points, the end exclusive.
+repeated rows each get a row; spans are in code points, the end exclusive; of spans that begin together the kind in the order
+of KINDS comes first; very long texts are read whole, in time that grows with their length; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ BLOCK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}(?:\r?\n[ \t]*[A-Z
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 #: How encoded keys begin: a SEQUENCE with a length in one, two or more bytes, or the container's name.
 BEGINS = re.compile(r"M[A-P]|b3BlbnNz")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)KEY-----([A-Za-z0-9+/=\s:,-]*?)-----END \1KEY-----")
+HEAD = re.compile(r"-----BEGIN ([A-Z0-9 ]*)KEY-----")
+BODY = re.compile(r"[A-Za-z0-9+/=\s:,-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 ANYHEX = re.compile(r"[0-9A-Fa-f]{40,}")
-TOKEN = re.compile(r"[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 OPENSSH = b"openssh-key-v1\0"
 #: ASN.1 tags that may stand inside a key: the types that the key formats name.
 TAGS = {0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x16, 0x17, 0x18, 0x30, 0x31}
@@ -139,10 +141,12 @@ def is_encrypted(block: str) -> bool:
 
 def fitting(s: str, at: int) -> tuple[str, int] | None:
     """Kind and end of the key whose base64 begins at `at` and ends in s, whatever else follows it there."""
-    head = unbase64(s[at : at + 16][: (min(16, len(s) - at) // 4) * 4])
+    head = unbase64(s[at : at + 28][: (min(28, len(s) - at) // 4) * 4])
     if not head or len(head) < 6:
         return None
-    if head.startswith(OPENSSH[:6]):
+    if head.startswith(OPENSSH):
+        if int.from_bytes(head[len(OPENSSH) : len(OPENSSH) + 4], "big") > len(s):  # the first string's length
+            return None
         data = unbase64(s[at : len(s) - (len(s.rstrip("=")) - at) % 4]) or b""
         end = at + -(-size * 4 // 3) if (size := openssh_size(data)) else len(s) - ((len(s.rstrip("=")) - at) % 4 == 1)
     else:
@@ -150,6 +154,8 @@ def fitting(s: str, at: int) -> tuple[str, int] | None:
         if head[0] != 0x30 or n == 0x80 or (n > 0x80 and k > 4):
             return None
         size = 2 + n if n < 0x80 else 2 + k + int.from_bytes(head[2 : 2 + k], "big")
+        if head[2 if n < 0x80 else 2 + k] not in TAGS:  # no key begins so: not worth decoding
+            return None
         end = at + -(-size * 4 // 3)
         if size < 24 or end > len(s.rstrip("=")):
             return None
@@ -184,6 +190,26 @@ def encoded_keys(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def pem_blocks(text: str) -> list[tuple[int, int, int]]:
+    """Each end marker with the last begin marker before it, if they are of one kind and a key stands between."""
+    out: list[tuple[int, int, int]] = []
+    at = text.find("-----BEGIN ")
+    end = text.find("-----END ")
+    while at >= 0:
+        after = text.find("-----BEGIN ", at + 11)
+        if 0 <= end < at:
+            end = text.find("-----END ", at)
+        if end < 0:
+            break
+        m = HEAD.match(text, at) if after < 0 or end < after else None
+        if m and m.end() <= end and text.startswith(f"-----END {m[1]}KEY-----", end) and BODY.fullmatch(text, m.end(), end):
+            block = text[m.end() : end]
+            if key_kind(unbase64(re.sub(r"\s", "", re.sub(r"^[A-Za-z-]+:.*$", "", block, flags=re.M)))) or is_encrypted(block):
+                out.append((at, 3, end + len(m[1]) + 17))
+        at = after
+    return out
+
+
 def _index(kind: str, der: str = "der_base64") -> int:
     return KINDS.index("openssh" if kind == "openssh" else der)
 
@@ -208,10 +234,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     if long:
         base += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            body = re.sub(r"^[A-Za-z-]+:.*$", "", m[2], flags=re.M)
-            if key_kind(unbase64(re.sub(r"\s", "", body))) or is_encrypted(m[2]):
-                more.append((m.start(), 3, m.end()))
+        more += pem_blocks(text)
     if long:
         found = {x for x in encoded_keys(text) if not any(s < x[2] and x[0] < e for s, _, e in more)}  # more: PEM so far
         for m in BASE64.finditer(text):
