@@ -8,8 +8,8 @@ document that has the same value. Runs of answered windows are the queries of th
 equal queries are asked once. Only what the automaton matches over LENGTH words or more is removed.
 
 Defined cases: a null text has no words; with fewer words than LENGTH nothing is removed; repeated rows
-and equal doc_ids don't count as earlier; rows with a null doc_id are neither reference nor cut; an empty
-table gives an empty result.
+and equal doc_ids don't count as earlier; rows with a null doc_id are neither reference nor cut; very long texts are
+read whole; an empty table gives an empty result; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .common import batch, hashes, map_rows, partitions, pieces, rolled, settled
 LENGTH = 13
 #: Words of a chunk, which asks for each of its windows once; documents to a part of the values.
 CHUNK_WORDS, PART_DOCS = 2_000_000, 2000
+#: Queries to one shard in one task; beyond that the shard goes to several.
+QUERIES = 512
 LOW = np.uint64((1 << 48) - 1)
 
 
@@ -240,16 +242,20 @@ MATCHED = pa.schema([("shard", pa.int64()), ("mark", pa.binary()), ("spans", pa.
 
 def matched(rows: DataFrame) -> DataFrame:
     """(shard, mark, spans): spans of each different query that the automaton of its shard matches."""
-    own = rows.filter("doc IS NULL").select("shard", F.lit(0).alias("role"), "mark", "passage")
-    ask = rows.filter("doc IS NOT NULL").groupBy("shard", "mark").agg(F.any_value("passage").alias("passage")).select("shard", F.lit(1).alias("role"), "mark", "passage")
+    ask = rows.filter("doc IS NOT NULL").groupBy("shard", "mark").agg(F.any_value("passage").alias("passage"))
+    # A shard that many ask is built in several tasks, and its queries are dealt to them.
+    busy = rows.filter("doc IS NOT NULL").groupBy("shard").agg(F.ceil(F.approx_count_distinct("mark") / QUERIES).cast("int").alias("copies")).filter("copies > 1")
+    copies = F.coalesce("copies", F.lit(1))
+    own = rows.filter("doc IS NULL").select("shard", "mark", "passage").join(busy, "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).select("shard", "copy", F.lit(0).alias("role"), "mark", "passage")
+    ask = ask.join(busy, "shard", "left").select("shard", F.pmod(F.xxhash64("mark"), copies).cast("int").alias("copy"), F.lit(1).alias("role"), "mark", "passage")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton = None, SuffixAutomaton()
         for b in it:
             out: list[list] = [[], [], []]
-            for s, role, mark, p in zip(*(b.column(c).to_pylist() for c in ("shard", "role", "mark", "passage")), strict=True):
-                if s != shard:
-                    shard, automaton = s, SuffixAutomaton()
+            for s, copy, role, mark, p in zip(*(b.column(c).to_pylist() for c in ("shard", "copy", "role", "mark", "passage")), strict=True):
+                if (s, copy) != shard:
+                    shard, automaton = (s, copy), SuffixAutomaton()
                 if not role:
                     automaton.add(p.split())
                     continue
@@ -259,7 +265,7 @@ def matched(rows: DataFrame) -> DataFrame:
                         c.append(v)
             yield batch(MATCHED, out)
 
-    return own.union(ask).repartition(2 * partitions(rows.sparkSession), "shard").sortWithinPartitions("shard", "role").mapInArrow(run, "shard long, mark binary, spans array<array<long>>")
+    return own.union(ask).repartition(2 * partitions(rows.sparkSession), "shard", "copy").sortWithinPartitions("shard", "copy", "role").mapInArrow(run, "shard long, mark binary, spans array<array<long>>")
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -267,7 +273,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 
 def covered(docs: DataFrame) -> DataFrame:
     """(doc, spans): word spans of each document that a window shares with an earlier one."""
-    parts = max(12, docs.select("doc_id").count() // PART_DOCS)
+    parts = max(2 * partitions(docs.sparkSession), docs.select("doc_id").count() // PART_DOCS)
     found = settled(answered(asked(docs, parts)), "sub-found")
     rows = settled(passages(docs, found), "sub-passages")
     good = matched(rows)
