@@ -9,7 +9,8 @@ Files get names of their own and a manifest, written by Spark, lists those that
 executor left behind is never read.
 
 Defined cases: a null text is an empty one and has the end id alone; null doc_ids come first; repeated rows
-are documents of their own; an empty table gives an empty result.
+are documents of their own, equal doc_ids in the order of their texts; a very long text makes a longer shard; an empty
+table gives an empty result; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -164,17 +166,17 @@ def loads(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
     return WaveletMatrix(head["n"], planes, ones), ids, np.frombuffer(raw[2], "<i8")
 
 
-MANIFEST = "path string, first_doc long, shard long, n_tokens long, n_docs long"
+MANIFEST = "path string, part long, shard long, n_tokens long, n_docs long"
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.json", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encodes documents, in ascending doc_id order over all shards, and returns the manifest, already written."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, fs = encoder(vocabulary), None
+        enc, part = encoder(vocabulary), TaskContext.get().partitionId()  # partitions are ranges of doc_id, in order
         end = np.array([END], "<u4").tobytes()
         ids, lengths, held, size, shard = [], [], [], 0, 0
-        schema = pa.schema([("path", pa.string()), ("first_doc", pa.int64()), ("shard", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())])
+        schema = pa.schema([("path", pa.string()), ("part", pa.int64()), ("shard", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())])
 
         def flush() -> pa.RecordBatch:
             data = dumps(WaveletMatrix.build(np.frombuffer(b"".join(held), "<u4")), ids, lengths)
@@ -183,7 +185,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.j
             fs_.create_dir(p.rsplit("/", 1)[0], recursive=True)
             with fs_.open_output_stream(p) as f:
                 f.write(data)
-            return batch(schema, [[path], [ids[0]], [shard], [size], [len(ids)]])
+            return batch(schema, [[path], [part], [shard], [size], [len(ids)]])
 
         for whole in it:
             for b in pieces(whole):
@@ -206,8 +208,10 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.j
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
     spark = manifest.sparkSession
-    before = W.orderBy(F.col("first_doc").asc_nulls_first(), "shard", "path").rowsBetween(W.unboundedPreceding, -1)  # a row per shard
-    placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("path", "start")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select(F.col("part").alias("of"), before(W.orderBy("part")).alias("base"))  # a row per partition that wrote
+    own = manifest.select("path", "part", before(W.partitionBy("part").orderBy("shard")).alias("inner"))
+    placed = own.join(parts, F.col("part") == F.col("of")).select("path", (F.col("base") + F.col("inner")).alias("start"))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
