@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import DataFrame, SparkSession
 
 #: The six characters that separate words.
@@ -17,6 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 #: The same as a class for Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing = threading.Lock()
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -81,9 +82,11 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints/quillstone"
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        found = "/tmp/checkpoints/quillstone"
     return (found if "://" in found or found.startswith("file:") else f"file://{found}").rstrip("/")
 
 
@@ -105,12 +108,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as a table in the shared folder and read from there: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # the shuffle files go when the table is written
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    path = fresh_path(spark, name)
+    with _writing:  # the setting is the session's: one table at a time
+        before = spark.conf.get(CLEANUP, None)
+        spark.conf.set(CLEANUP, "true")  # the shuffle files go when the table is written
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,9 @@ permutation that follow those of the shards before it; the query has no column f
 the places of all shards at once.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source, last in order; a source
-without words has target 0; repeated rows are documents of their own; an empty table gives an empty result.
+without words has target 0; repeated rows are documents of their own; of equal quotients the earlier source comes first, and
+documents with one seeded hash go by doc_id and size; a very long text is as many blocks; an empty table gives an empty
+result; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .common import WORD, settled, table
 WEIGHTS = (3, 1, 2)
 #: The mix's size against all sizes, and how often a document may be taken.
 SHARE, EPOCHS = 1.5, 2
-BLOCK, SHARD_BLOCKS, SEED = 32, 65536, 17
+BLOCK, SHARD_BLOCKS, MOST_SHARDS, SEED = 32, 65536, 4096, 17
 GOLDEN = 0.6180339887498949
 
 
@@ -99,7 +101,8 @@ def quotas(rows: list[tuple[str | None, int]], block: int = BLOCK, seed: int = S
     totals = [t for _, t in rows]
     wanted = targets(totals, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))]) if rows else []
     blocks = [-(-t // block) for t in totals]
-    shards = per_shard(wanted, int(SHARE * sum(totals) // block), [EPOCHS * b for b in blocks])
+    house = int(SHARE * sum(totals) // block)
+    shards = per_shard(wanted, house, [EPOCHS * b for b in blocks], max(SHARD_BLOCKS, -(-house // MOST_SHARDS)))
     got = [sum(s[i] for s in shards) for i in range(len(rows))]
     out = []
     for i, (source, total) in enumerate(rows):

@@ -8,7 +8,8 @@ than that partner. The rest is packed best-fit, longest first. The plan, rows pe
 pieces by their rank among those of equal length.
 
 Defined cases: a null text is an empty one and has the end id alone; repeated rows are documents of their
-own; an empty table gives an empty result.
+own; pieces of equal length go by doc_id and piece; very long texts are cut into pieces of 2048; an empty table gives an
+empty result; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .tokens import encoder
 
 SEQUENCE = 2048
 SALTS = 64
+#: Segments (40 bytes each) of a plan that is broadcast.
+SMALL_PLAN = 200_000
 
 
 @dataclass
@@ -185,8 +188,9 @@ def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int
     sums = salted.groupBy("length", "salt").count()
     sums = sums.select(F.col("length").alias("w2"), F.col("salt").alias("salt2"), F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = inner.join(sums, (F.col("length") == F.col("w2")) & (F.col("salt") == F.col("salt2"))).withColumn("rank", F.col("before") + F.col("inner"))
-    # The plan has a row for each length, so at most `capacity`.
-    found = ranked.join(F.broadcast(wide), F.col("length") == F.col("w")).withColumn("i", F.size(F.filter("ranks", lambda r: r <= F.col("rank"))))
+    # The plan has a row for each length, at most `capacity`, and few segments for each; it is sent to all tasks only if that is so.
+    plan_rows = F.broadcast(wide) if len(plan.segments) <= SMALL_PLAN else wide
+    found = ranked.join(plan_rows, F.col("length") == F.col("w")).withColumn("i", F.size(F.filter("ranks", lambda r: r <= F.col("rank"))))
     s = F.element_at("segments", F.col("i"))
     k = F.col("rank") - s["rank"]
     seq = s["first"] + F.floor(k / s["each"])
