@@ -285,20 +285,21 @@ def unique(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id are in no group and stay.
     """
     kept = settled(_grouped(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")).distinct(), "dup-kept")
+    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names of the documents' columns can't clash with those below
+    ident, text = (docs.columns.index(c) for c in ("doc_id", "text"))
+    as_they_came = lambda df: df.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
     if not _repeats(docs, "doc_id"):
-        return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    mark = next(c for c in ("mark", *(f"mark_{k}" for k in range(len(docs.columns)))) if c not in docs.columns)
-    with_mark = T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())])
+        return as_they_came(own.join(kept, F.col(f"c{ident}").eqNullSafe(F.col("kept_id")), "left_semi"))
+    with_mark = T.StructType([*own.schema.fields, T.StructField("mark", T.BinaryType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            for b in pieces(whole):
-                marks = [xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.binary())], names=[*b.schema.names, mark])
+        for b in it:
+            marks = [xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.binary())], names=[*b.schema.names, "mark"])
 
-    marked = docs.mapInArrow(run, with_mark)
-    one = marked.filter("doc_id IS NOT NULL").join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col(mark) == F.col("kept_mark")), "left_semi").dropDuplicates(["doc_id", mark])
-    return one.drop(mark).union(docs.filter("doc_id IS NULL"))
+    known = own.mapInArrow(run, with_mark).filter(F.col(f"c{ident}").isNotNull())
+    one = known.join(kept, (F.col(f"c{ident}") == F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left_semi").dropDuplicates([f"c{ident}", "mark"])
+    return as_they_came(one.drop("mark").union(own.filter(F.col(f"c{ident}").isNull())))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
