@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import NOISE, TOKEN
+from .patterns import LABEL_RULES, NOISE, TOKEN
 
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 #: A sentinel that no note holds.
@@ -16,13 +16,23 @@ def find_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value being worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def interleave(text: Column, pattern: str, put) -> Column:
     """The text with each match replaced by put(match, place among the distinct matches from 1, place among all from 1)."""
-    m = find_all(text, pattern)
-    seen = F.array_distinct(m)
-    gaps = F.split(text, pattern, -1)
-    one = lambda g, i: F.when(i < F.size(m), F.concat(g, put(F.get(m, i), F.array_position(seen, F.get(m, i)), i + 1))).otherwise(g)
-    return F.when(text.isNotNull(), F.when(F.size(m) > 0, F.array_join(F.transform(gaps, one), "")).otherwise(text))
+    found = F.struct(text.alias("t"), find_all(text, pattern).alias("m"), F.split(text, pattern, -1).alias("g"))
+
+    def joined(x: Column) -> Column:
+        def one(seen: Column) -> Column:
+            replaced = F.transform(x["m"], lambda v, i: put(v, F.array_position(seen, v), i + 1))
+            return F.array_join(F.zip_with(x["g"], replaced, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+
+        return F.when(F.size(x["m"]) > 0, let(F.array_distinct(x["m"]), one)).otherwise(x["t"])
+
+    return F.when(text.isNotNull(), let(found, joined))
 
 
 def numbered(text: Column, pattern: str, base: str, start: int) -> Column:
@@ -32,8 +42,7 @@ def numbered(text: Column, pattern: str, base: str, start: int) -> Column:
 
 def numbered_map(text: Column, pattern: str, base: str, start: int) -> Column:
     """The (token, value) entries that numbered() makes, in order."""
-    seen = F.array_distinct(find_all(text, pattern))
-    return F.transform(seen, lambda v, i: F.struct(F.concat(F.lit(f"[{base}_"), (i + start).cast("string"), F.lit("]")).alias("token"), v.alias("value")))
+    return let(F.array_distinct(find_all(text, pattern)), lambda seen: F.transform(seen, lambda v, i: F.struct(F.concat(F.lit(f"[{base}_"), (i + start).cast("string"), F.lit("]")).alias("token"), v.alias("value"))))
 
 
 def lines(text: Column) -> Column:
@@ -87,11 +96,27 @@ def squashed(text: Column) -> Column:
 def scrub_label(text: Column) -> Column:
     """Labels of a page: blanks squashed, then the four rules in their own order, tokens without numbers."""
     t = squashed(text)
-    for pattern, token in ((r"(?iU)\b[STFGM]\s?\d{7}\s?[A-Z]\b", "[NRIC]"), (r"[\w.+-]+@[\w-]+\.[\w.-]+", "[EMAIL]"), (r"(?<!\d)(?:\+65[ -]?)?[689]\d{3}[ -]?\d{4}(?!\d)", "[PHONE]"), (r"\b\d[\d-]{7,}\d\b", "[NUMBER]")):
-        t = F.regexp_replace(t, pattern, token.replace("$", r"\$"))
+    for pattern, token in LABEL_RULES:
+        t = F.regexp_replace(t, pattern, token)
     return t
 
 
+def scrub_changes(text: Column) -> Column:
+    """Whether a label holds anything that its scrubbing takes away."""
+    return scrub_label(text) != squashed(text)
+
+
+def emitted_options(texts: Column, most: int = 30) -> Column:
+    """Options as an inventory may show them: count, truncated, withheld and values; if scrubbing changes one of them, none is shown."""
+    held = F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.trim(t) != "")
+    shut = F.exists(held, scrub_changes)
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.size(held).alias("count"), (~shut & (F.size(held) > most)).alias("truncated"), shut.alias("withheld"),
+        F.when(shut, none).otherwise(F.transform(F.slice(held, 1, most), scrub_label)).alias("values"),
+    )
+
+
 def slug(text: Column, most: int = 40) -> Column:
     s = F.left(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit(most))
     s = F.regexp_replace(s, "_+$", "")

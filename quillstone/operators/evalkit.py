@@ -16,25 +16,35 @@ def leak_metrics(cases: DataFrame, swept: bool = False) -> DataFrame:
 
 
 def case_scores(rows: DataFrame, checks: DataFrame) -> DataFrame:
-    """faults and misses of each case. rows: case, field, value. checks: case, kind, field, want.
+    """faults and misses of each case. rows: case, field, value (null where a box is unticked), needs_review. checks: case, kind, field, want.
 
-    fills: blank is a miss; blank: a value is a fault; equals and holds: another value is a fault, none a miss; forbid: the text anywhere, forbid_in: in the field, is a fault.
+    A check of a field that the form hasn't is a fault. fills: blank is a miss. blank: a value is a fault. equals: another value
+    is a fault, none a miss. holds: a row that isn't held for review is a fault. forbid_in: the text within the field's value, and
+    forbid: within any value, is a fault; case doesn't matter to these two alone.
     """
     v = F.coalesce(F.col("value"), F.lit(""))
-    per = checks.join(rows, ["case", "field"], "left").withColumn("v", v)
-    want = F.lower(F.coalesce("want", F.lit("")))
+    per = checks.filter("kind <> 'forbid'").join(rows.withColumn("known", F.lit(True)), ["case", "field"], "left").withColumn("v", v)
+    unknown, kind = F.col("known").isNull(), F.col("kind")
     bucket = (
-        F.when((F.col("kind") == "fills") & (F.col("v") == ""), "miss")
-        .when((F.col("kind") == "blank") & (F.col("v") != ""), "fault")
-        .when((F.col("kind") == "equals") & (F.lower("v") != want), F.when(F.col("v") == "", "miss").otherwise("fault"))
-        .when((F.col("kind") == "holds") & ~F.contains(F.lower("v"), want), F.when(F.col("v") == "", "miss").otherwise("fault"))
-        .when((F.col("kind") == "forbid_in") & F.contains(F.lower("v"), want), "fault")
+        F.when(unknown & kind.isin("fills", "blank", "equals"), "fault")
+        .when((kind == "fills") & (F.col("v") == ""), "miss")
+        .when((kind == "blank") & (F.col("v") != ""), "fault")
+        .when((kind == "equals") & (F.col("v") != F.coalesce("want", F.lit(""))), F.when(F.col("v") == "", "miss").otherwise("fault"))
+        .when((kind == "holds") & ~unknown & ~F.coalesce("needs_review", F.lit(False)), "fault")
+        .when((kind == "forbid_in") & F.contains(F.lower("v"), F.lower("want")), "fault")
     )
-    one = per.filter("kind <> 'forbid'").select("case", bucket.alias("bucket"))
-    anywhere = checks.filter("kind = 'forbid'").select("case", "want").join(rows.groupBy("case").agg(F.lower(F.concat_ws("\n", F.collect_list("value"))).alias("all")), "case", "left")
+    one = per.select("case", bucket.alias("bucket"))
+    every = rows.filter("value <> ''").groupBy("case").agg(F.lower(F.concat_ws(" ", F.array_sort(F.collect_list("value")))).alias("all"))  # a form's own values
+    anywhere = checks.filter("kind = 'forbid'").select("case", "want").join(every, "case", "left")
     two = anywhere.select("case", F.when(F.contains("all", F.lower("want")), "fault").alias("bucket"))
     return one.union(two).groupBy("case").agg(F.count_if(F.col("bucket") == "fault").alias("faults"), F.count_if(F.col("bucket") == "miss").alias("misses"))
 
 
+def case_records(cases: DataFrame) -> DataFrame:
+    """Cases of the redaction corpus as patient records: absent identifiers are null, the date of birth a date."""
+    text = lambda c: F.nullif(F.col(f"record.{c}"), F.lit(""))
+    return cases.select("id", F.coalesce("record.full_name", F.lit("")).alias("full_name"), F.coalesce("record.nric", F.lit("")).alias("nric"), F.try_to_date("record.dob", "yyyy-MM-dd").alias("dob"), text("phone").alias("phone"), text("address").alias("address"), text("policy_number").alias("policy_number"), F.col("note").alias("clinical_text"))
+
+
 def summary(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count_if((F.col("faults") == 0) & (F.col("misses") == 0)).alias("clean"), F.count("*").alias("total"), F.sum("faults").alias("faults"), F.sum("misses").alias("misses"))

@@ -1,17 +1,19 @@
-"""Entity extraction that offers candidates rather than guess: labelled lines first, then sole matches."""
+"""Entity extraction that offers candidates rather than guess, pass by pass: what an earlier pass has found, stays.
 
-from __future__ import annotations
+1 labelled lines and patient lines, 2 header lines, 3 header blocks, 4 labels within lines, 5 sole matches that nobody
+else owns, 6 dates old enough for a birth (offered only), 7 lines with a postal code.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import birth_dates, parse_date
-from ..functions.patterns import ALIASES, DATE, INSURER, INSURER_NAMES, LABELLED, NRIC, POLICY, STRICT_PHONE
-from ..functions.text import find_all, label_key, logical_lines, squashed
+from ..functions.patterns import ALIASES, DATE, EMAIL, HARD_GAP, INSURER, INSURER_NAMES, LABELLED, LABELS, NRIC, PHONE, POLICY, POLICY_WORD, POSTAL, QUALIFIERS, STRICT_PHONE, whole
+from ..functions.text import find_all, label_key, let, logical_lines, squashed
+from .lines import LEAST_FIELDS, LEAST_WORDS, is_owned, reading, unowned
 
 FIELDS = ("full_name", "nric", "dob", "phone", "address", "policy_number", "insurer")
 
@@ -52,94 +54,159 @@ def phone_key(value: Column) -> Column:
     return F.when((F.length(d) == 10) & d.startswith("65"), F.substring(d, 3, 8)).otherwise(d)
 
 
-def labelled(notes: DataFrame) -> DataFrame:
-    """(note_id, field, value, line): lines that begin with a known label."""
-    one = notes.select("note_id", F.posexplode(logical_lines(F.col("text"))).alias("line", "s"))
-    field = field_of(F.regexp_extract("s", LABELLED, 1))
-    return one.withColumn("field", field).filter("field IS NOT NULL").select("note_id", "line", "field", normalised_value(F.col("field"), F.regexp_extract("s", LABELLED, 2)).alias("value"))
-
-
 def phone_values(text: Column) -> Column:
     """Distinct numbers in order; one written two ways is one."""
     return F.aggregate(find_all(text, STRICT_PHONE), F.array().cast("array<string>"), lambda acc, v: F.when(F.exists(acc, lambda x: phone_key(x) == phone_key(v)), acc).otherwise(F.concat(acc, F.array(v))))
 
 
 def policy_values(text: Column) -> Column:
-    return F.array_distinct(find_all(text, POLICY))
-
-
-def shaped(notes: DataFrame) -> DataFrame:
-    """(note_id, field, candidates): distinct values of a shape, in order."""
-    t = F.col("text")
-    found = (("nric", nric_values(t)), ("phone", phone_values(t)), ("policy_number", policy_values(t)), ("insurer", insurer_values(t)))
-    wide = notes.select("note_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("candidates")) for f, c in found])).alias("x"))
-    return wide.select("note_id", "x.field", "x.candidates").filter(F.size("candidates") > 0)
-
-
-#: Where a field may start: at the line's start or after a separator or a gap of two blanks.
-OPENS = re.compile(r"(?:^|[,;·|(\[\t]|\s{2,})\s*(?=[A-Za-z])")
-WORD = re.compile("[A-Za-z]+")
-INLINE = ("nric", "dob", "phone", "policy_number", "insurer")
-
-
-def regions(line: str) -> list[tuple[str, str]]:
-    """(field, text up to the next label): labels of at most three words, the longest first, that open a field of known shape."""
-    found: list[tuple[int, int, str]] = []
-    for m in OPENS.finditer(line):
-        ends = []
-        for w in WORD.finditer(line, m.end()):
-            ends.append(w.end())
-            if len(ends) == 3:
-                break
-        if found and m.end() < found[-1][1]:
-            continue
-        for end in reversed(ends):
-            field = ALIASES.get(re.sub("[^a-z]", "", line[m.end() : end].lower()))
-            if field in INLINE:
-                found.append((m.end(), end, field))
-                break
-    stops = [start for start, _, _ in found[1:]] + [len(line)]
-    return [] if not found else [(field, line[end:stop]) for (_, end, field), stop in zip(found, stops, strict=True)]
-
-
-def inline(notes: DataFrame, as_of: Column) -> DataFrame:
-    """(note_id, field, candidates) behind labels within lines, of the first such label of a field that has any."""
-    schema = pa.schema([("note_id", pa.int64()), ("line", pa.int32()), ("k", pa.int32()), ("field", pa.string()), ("region", pa.string())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            rows = [(n, i, k, *r) for n, i, s in zip(*(b.column(c).to_pylist() for c in ("note_id", "line", "s")), strict=True) for k, r in enumerate(regions(s))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
-
-    lines = notes.select(F.col("note_id").cast("long"), F.posexplode(logical_lines(F.col("text"))).alias("line", "s"))
-    r, t = lines.mapInArrow(run, "note_id long, line int, k int, field string, region string"), F.col("region")
-    born = F.array_distinct(F.filter(F.transform(find_all(t, DATE), lambda x: F.date_format(parse_date(x, as_of), "yyyy-MM-dd")), lambda d: d.isNotNull()))
-    f = F.col("field")
-    values = F.when(f == "nric", nric_values(t)).when(f == "dob", born).when(f == "phone", phone_values(t)).when(f == "policy_number", policy_values(t)).otherwise(insurer_values(t))
-    some = r.withColumn("candidates", values).filter(F.size("candidates") > 0)
-    return some.groupBy("note_id", "field").agg(F.min_by("candidates", F.struct(F.size("candidates") > 1, F.col("line"), F.col("k"))).alias("candidates"))
-
-
-def birth_candidates(notes: DataFrame, as_of: Column) -> DataFrame:
+    """Distinct policy numbers in order. Two with the same digits whose letters begin alike are one: the longer stands in the place of the first."""
+    letters = lambda v: F.regexp_extract(v, "^[A-Z]+", 0)
+    digits = lambda v: F.regexp_extract(v, "[0-9]+$", 0)
+    one = lambda x, v: (x == v) | ((digits(x) == digits(v)) & (letters(x).startswith(letters(v)) | letters(v).startswith(letters(x))))
+
+    def step(acc: Column, v: Column) -> Column:
+        at = F.array_position(F.transform(acc, lambda x: one(x, v)), F.lit(True))
+        longer = F.transform(acc, lambda x, i: F.when((i + 1 == at) & (F.length(v) > F.length(x)), v).otherwise(x))
+        return F.when(at > 0, longer).otherwise(F.concat(acc, F.array(v)))
+
+    return F.aggregate(find_all(text, POLICY), F.array().cast("array<string>"), step)
+
+
+def date_values(text: Column, as_of: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(find_all(text, DATE), lambda x: F.date_format(parse_date(x, as_of), "yyyy-MM-dd")), lambda d: d.isNotNull()))
+
+
+def values_of(field: Column, text: Column, as_of: Column) -> Column:
+    """Distinct values of a field's shape, ready to use."""
+    return (
+        F.when(field == "nric", nric_values(text)).when(field == "dob", date_values(text, as_of)).when(field == "phone", phone_values(text))
+        .when(field == "policy_number", policy_values(text)).when(field == "insurer", insurer_values(text))
+    )
+
+
+def segment(piece: Column, as_of: Column) -> Column:
+    """One piece of a patient line as struct(field, value); null where it is no field's."""
+    t = F.trim(F.trim(piece), F.lit(",."))
+    policy = F.trim(F.regexp_replace(t, POLICY_WORD, ""))
+    born = F.date_format(parse_date(t, as_of), "yyyy-MM-dd")
+    one = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("value"))
+    return (
+        F.when(t == "", None).when(t.rlike(whole(NRIC)), one("nric", _bare(t))).when(born.isNotNull(), one("dob", born)).when(t.rlike(whole(PHONE)), one("phone", t))
+        .when(t.rlike(whole(EMAIL)), None).when(policy.rlike(whole(POLICY)), one("policy_number", policy)).when(t.rlike(POSTAL), one("address", t))
+        .when(insurer_of(t).isNotNull(), one("insurer", insurer_of(t))).when(~t.rlike(r"\d"), one("full_name", t))
+    )
+
+
+def birth_candidates(text: Column, as_of: Column) -> Column:
     """Old enough dates of the text: offered, never filled in."""
-    found = F.transform(find_all(F.col("text"), DATE), lambda x: parse_date(x, as_of))
-    old = F.array_distinct(F.transform(birth_dates(found, as_of), lambda d: F.date_format(d, "yyyy-MM-dd")))
-    return notes.select("note_id", F.lit("dob").alias("field"), old.alias("candidates")).filter(F.size("candidates") > 0)
+    found = F.transform(find_all(text, DATE), lambda x: parse_date(x, as_of))
+    return F.array_distinct(F.transform(birth_dates(found, as_of), lambda d: F.date_format(d, "yyyy-MM-dd")))
+
+
+def label_field(label: Column) -> Column:
+    """The field that a form's label asks for, words that still mean the patient's own aside; null for any other."""
+    longest = sorted(QUALIFIERS, key=len, reverse=True)
+
+    def step(t: Column, _: Column) -> Column:
+        out = None
+        for q in longest:
+            longer = F.length(t) > len(q)
+            first, last = t.startswith(q) & longer, t.endswith(q) & longer
+            cut, shorter = F.substr(t, F.lit(len(q) + 1)), F.left(t, F.length(t) - len(q))
+            out = F.when(first, cut).when(last, shorter) if out is None else out.when(first, cut).when(last, shorter)
+        return out.otherwise(t)
+
+    key = label_key(label)
+    bare = F.aggregate(F.sequence(F.lit(0), F.floor(F.length(key) / 3).cast("int")), key, step)
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(ALIASES.items()) for x in kv]), bare)
+
+
+def _facts(note_lines: DataFrame, as_of: Column) -> DataFrame:
+    """(note_id, pass, line, k, field, value, how) of single lines."""
+    name = F.when(F.col("field") == "full_name", F.col("value"))
+    rows = note_lines.withColumns({"r": reading("s", "known", as_of), "p": reading(name, "known", as_of)})
+    fact = lambda n, k, field, value, how: F.struct(F.lit(n).alias("pass"), k.cast("int").alias("k"), field.alias("field"), value.alias("value"), F.lit(how).alias("how"))
+    none = F.array().cast("array<struct<pass:int,k:int,field:string,value:string,how:string>>")
+    listed = lambda n, pairs, how: F.transform(pairs, lambda x, k: fact(n, k, x["field"], x["value"], how))
+    sole = lambda names, n, how: F.when(F.size(names) == 1, F.array(fact(n, F.lit(99), F.lit("full_name"), F.get(names, 0), how)))
+    born = F.date_format(parse_date(F.col("value"), as_of), "yyyy-MM-dd")
+    own = F.when(F.col("field") == "dob", born).otherwise(normalised_value(F.col("field"), F.col("value")))
+    pieces = F.filter(F.split("value", HARD_GAP, -1), lambda x: F.trim(x) != "")
+    cut = F.filter(F.transform(pieces, lambda x: segment(x, as_of)), lambda x: x.isNotNull())
+    single = F.array(fact(1, F.lit(0), F.lit("full_name"), F.trim("value"), "labelled"))
+    by_name = F.when(F.col("p.header").isNotNull(), F.concat(listed(1, F.col("p.header"), "patient-line"), F.coalesce(sole(F.col("p.names"), 1, "patient-line"), none)))
+    by_name = by_name.when(F.size(pieces) <= 1, single).otherwise(listed(1, cut, "patient-line"))
+    by_label = F.when(F.col("field") == "full_name", by_name).when(F.col("field").isNotNull(), F.array(fact(1, F.lit(0), F.col("field"), own, "labelled")))
+    by_header = F.when(F.col("r.header").isNotNull(), F.concat(listed(2, F.col("r.header"), "header-line"), F.coalesce(sole(F.col("r.names"), 2, "header-line"), none)))
+    address = F.trim(F.regexp_replace(F.trim("s"), rf"(?iU)^(?:{'|'.join(LABELS['address'])})\s*[:.\-]?\s+", ""))
+    by_place = F.when(F.col("s").rlike(POSTAL) & ~is_owned(F.col("s"), POSTAL) & F.col("r.header").isNull(), F.array(fact(7, F.lit(0), F.lit("address"), address, "sole-match")))
+    inner = F.transform("r.regions", lambda x, k: fact(4, k, x["field"], x["value"], "labelled-inline"))
+    every = F.concat(*[F.coalesce(x, none) for x in (by_label, by_header, inner, by_place)])
+    return rows.select("note_id", "line", F.explode(every).alias("f")).select("note_id", "f.pass", "line", "f.k", "f.field", "f.value", "f.how")
+
+
+def _blocks(note_lines: DataFrame, as_of: Column) -> DataFrame:
+    """Facts of runs of two or more lines, each of which is one value or one name and nothing else."""
+    blank = ~F.col("s").rlike(r"(?U)\S")
+    w = W.partitionBy("note_id").orderBy("line")
+    rows = note_lines.withColumn("block", F.sum(F.when(blank, 1).otherwise(0)).over(w)).filter(~blank).withColumn("r", reading("s", "known", as_of))
+    rest, several = F.col("r.rest"), F.col("r.n") > 0
+    words = F.filter(F.split(rest, r"(?U)\s+"), lambda x: x != "")
+    fits = F.when(several, rest == "").otherwise(is_name(rest))
+    g = rows.withColumns({"fits": fits, "several": several, "words": F.size(words)}).groupBy("note_id", "block")
+    one = g.agg(F.bool_and("fits").alias("fits"), F.count("*").alias("lines"), F.any_value("known").alias("known"), F.array_sort(F.collect_list(F.struct("line", "r.fields", F.when(~F.col("several"), rest).alias("name")))).alias("ls"))
+    flat = F.flatten(F.transform("ls", lambda x: F.transform(x["fields"], lambda y: F.struct(x["line"].alias("line"), y["field"].alias("field"), y["value"].alias("value")))))
+    one = one.filter("fits AND lines >= 2").withColumn("found", flat).filter(F.size(F.array_distinct(F.transform("found", lambda y: y["field"]))) >= LEAST_FIELDS)
+    names = F.filter(F.transform("ls", lambda x: x["name"]), lambda x: F.coalesce(x != "", F.lit(False)))
+    long = F.filter(names, lambda x: F.size(F.filter(F.split(x, r"(?U)\s+"), lambda y: y != "")) >= LEAST_WORDS)
+    mine = F.filter(names, lambda x: is_same_name(x, F.col("known")))
+    chosen = F.when(F.coalesce("known", F.lit("")) != "", mine).otherwise(long)
+    first = F.get(F.transform("ls", lambda x: x["line"]), 0)
+    name = F.when(F.size(chosen) == 1, F.array(F.struct(first.alias("line"), F.lit("full_name").alias("field"), F.get(chosen, 0).alias("value"))))
+    every = F.concat("found", F.coalesce(name, F.array().cast("array<struct<line:int,field:string,value:string>>")))
+    return one.select("note_id", F.posexplode(every).alias("k", "f")).select("note_id", F.lit(3).alias("pass"), "f.line", "k", "f.field", "f.value", F.lit("header-block").alias("how"))
+
+
+def is_name(text: Column) -> Column:
+    """One to six words, each a particle or with a capital first."""
+    from ..functions.patterns import PARTICLES
+
+    ws = F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+    return F.size(ws).between(1, 6) & F.forall(ws, lambda x: F.trim(F.lower(x), F.lit(".")).isin(*PARTICLES) | x.rlike(r"^\p{Lu}"))
+
+
+def is_same_name(text: Column, known: Column) -> Column:
+    """Case, commas and blanks aside; the first or the last word may stand at the other end."""
+    words = lambda x: F.filter(F.split(F.translate(F.lower(x), ",", " "), r"(?U)\s+"), lambda y: y != "")
+    a, b = words(text), words(F.coalesce(known, F.lit("")))
+    turned = lambda k: let(k, lambda x: F.array(x, F.concat(F.slice(x, 2, F.size(x)), F.slice(x, 1, 1)), F.concat(F.slice(x, -1, 1), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))))))
+    return (F.size(a) > 0) & (F.size(b) > 0) & F.when(F.size(b) > 0, F.array_contains(turned(b), a))
 
 
 def parsed(notes: DataFrame, as_of: Column) -> DataFrame:
     """(note_id, field, value, how, choices). Two candidates mean neither: value is null and choices lists them.
 
-    notes: note_id, text. A labelled line beats a label within
-    a line, which beats a sole match.
+    notes: note_id (one row each), text and, if there is one, known_name, which a header's name is then checked against.
     """
-    lab = labelled(notes)
-    lab = lab.withColumn("value", F.when(F.col("field") == "dob", F.date_format(parse_date(F.col("value"), as_of), "yyyy-MM-dd")).otherwise(F.col("value"))).filter("value IS NOT NULL AND value <> ''")
-    lab = lab.groupBy("note_id", "field").agg(F.min_by("value", "line").alias("value"))
-    sole = shaped(notes).filter("field <> 'policy_number'").unionByName(birth_candidates(notes, as_of))
-    inner = inline(notes, as_of).withColumnRenamed("candidates", "near")
-    j = lab.withColumn("how", F.lit("labelled")).join(inner, ["note_id", "field"], "full").join(sole, ["note_id", "field"], "full")
-    single, one = F.size("near") == 1, (F.size("candidates") == 1) & (F.col("field") != "dob")
-    value = F.coalesce("value", F.when(single, F.element_at("near", 1)), F.when(F.col("near").isNull() & one, F.element_at("candidates", 1)))
-    how = F.coalesce("how", F.when(single, "labelled-inline"), F.when(F.col("near").isNull() & one, "sole-match"))
-    return j.select("note_id", "field", value.alias("value"), how.alias("how"), F.when(value.isNull(), F.coalesce("near", "candidates")).alias("choices"))
+    known = F.col("known_name") if "known_name" in notes.columns else F.lit(None).cast("string")
+    cut = notes.select("note_id", known.alias("known"), F.posexplode(logical_lines(F.col("text"))).alias("line", "s"))
+    cut = cut.withColumn("field", field_of(F.regexp_extract("s", LABELLED, 1))).withColumn("value", F.when(F.col("field").isNotNull(), F.regexp_extract("s", LABELLED, 2)))
+    single = _facts(cut, as_of)
+    inner = single.filter("pass = 4").withColumn("candidates", values_of(F.col("field"), F.col("value"), as_of)).filter(F.size("candidates") > 0)
+    lines = logical_lines(F.col("text"))
+    free = lambda pattern: F.array_join(F.transform(lines, lambda x: unowned(x, pattern)), "\n")
+    wide = F.array(*[F.struct(F.lit(n).alias("pass"), F.lit(f).alias("field"), c.alias("candidates")) for n, f, c in (
+        (5, "nric", nric_values(free(NRIC))), (5, "phone", phone_values(free(STRICT_PHONE))), (5, "insurer", insurer_values(free(INSURER))), (6, "dob", birth_candidates(F.col("text"), as_of)),
+    )])
+    whole_text = notes.filter("text IS NOT NULL").select("note_id", F.explode(wide).alias("x")).select("note_id", "x.pass", F.lit(0).alias("line"), F.lit(0).alias("k"), "x.field", "x.candidates", F.lit("sole-match").alias("how"))
+    places = single.filter("pass = 7 AND value <> ''").groupBy("note_id", "field", "value").agg(F.min("line").alias("line")).groupBy("note_id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]).alias("candidates"))
+    places = places.select("note_id", F.lit(7).alias("pass"), F.lit(0).alias("line"), F.lit(0).alias("k"), "field", "candidates", F.lit("sole-match").alias("how"))
+    asked = inner.select("note_id", "pass", "line", "k", "field", "candidates", "how").union(whole_text).union(places)
+    order = F.struct("pass", "line", "k")
+    sure = single.filter("pass < 3").union(_blocks(cut, as_of)).select("note_id", "pass", "line", "k", "field", "value", "how")
+    sure = sure.union(asked.filter((F.size("candidates") == 1) & (F.col("pass") != 6)).select("note_id", "pass", "line", "k", "field", F.get("candidates", 0).alias("value"), "how"))
+    sure = sure.filter("value <> ''").groupBy("note_id", "field").agg(F.min_by(F.struct("value", "how"), order).alias("v"))
+    open_ = asked.filter((F.size("candidates") > 1) | ((F.col("pass") == 6) & (F.size("candidates") > 0))).groupBy("note_id", "field").agg(F.min_by("candidates", order).alias("choices"))
+    j = sure.join(open_, ["note_id", "field"], "full")
+    return j.select("note_id", "field", F.col("v.value").alias("value"), F.col("v.how").alias("how"), F.when(F.col("v").isNull(), F.col("choices")).alias("choices"))

@@ -7,26 +7,55 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+LEFT, ABOVE = 260, 40
+EDGE, LEAST_W, LEAST_H, MOST_AREA = 0.02, 0.01, 0.004, 0.25
+
+
 def nearest_text(widgets: DataFrame, runs: DataFrame, most: int = 4) -> DataFrame:
-    """(page, widget, rank, text): text left on the line before text above, the nearest first, each text once. A page's runs are few."""
+    """(page, widget, rank, text): text left on the line before text above, the nearest first, each text once.
+
+    widgets: page, widget, x, y (top), h. runs: page, text, tx, ty and, to break ties, tord. A line is as far from the box's
+    middle as 1.4 of its height, or of 8 points; what begins left on it, however far, is never above. A page's runs are few.
+    """
+    runs = runs if "tord" in runs.columns else runs.withColumn("tord", F.lit(0))
     j = widgets.join(runs, "page")
-    dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-    line = (F.abs(dy) < 1.4 * F.greatest(F.col("h"), F.lit(8.0))) & (dx >= 0) & (dx <= 260)
-    above = ~line & (dy > 0) & (dy <= 40) & (F.abs(dx) <= 260)
-    near = j.withColumns({"place": F.when(line, 0).when(above, 1), "gap": F.when(line, dx).otherwise(F.abs(dy) + F.abs(dx) / 1000)}).filter("place IS NOT NULL")
-    once = near.groupBy("page", "widget", "text").agg(F.min(F.struct("place", "gap")).alias("b"))
-    w = W.partitionBy("page", "widget").orderBy("b.place", "b.gap", "text")
+    left, above = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
+    line = (F.abs(F.col("ty") - F.col("y") - F.col("h") / 2) < 1.4 * F.greatest(F.col("h"), F.lit(8.0))) & (left > 0)
+    place = F.when(line, F.when(left <= LEFT, 0)).when((above > 0) & (above <= ABOVE) & (F.abs(left) <= LEFT), 1)
+    near = j.withColumn("place", place).filter("place IS NOT NULL").withColumn("gap", F.when(F.col("place") == 0, left).otherwise(above))
+    once = near.groupBy("page", "widget", "text").agg(F.min(F.struct("place", "gap", "tord")).alias("b"))
+    w = W.partitionBy("page", "widget").orderBy("b.place", "b.gap", "b.tord", "text")
     return once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("page", "widget", "rank", "text")
 
 
 def sane_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
-    """Fractions of a page as a box in points, or null: finite, on the page within 0.02, not too small, not a section."""
-    finite = ~(F.isnan(x) | F.isnan(y) | F.isnan(w) | F.isnan(h)) & (F.abs(x) + F.abs(y) + F.abs(w) + F.abs(h) < 1e6)
-    on = (x >= -0.02) & (y >= -0.02) & (x < 1) & (y < 1) & (x + w <= 1.02) & (y + h <= 1.02) & (w > 0) & (h > 0)
-    cx, cy = F.greatest(x, F.lit(0.0)), F.greatest(y, F.lit(0.0))
-    cw, ch = F.least(w, 1 - cx), F.least(h, 1 - cy)
-    ok = finite & on & (cw >= 0.01) & (ch >= 0.004) & (cw * ch <= 0.25)
-    return F.when(ok, F.struct((cx * width).alias("x"), (cy * height).alias("y"), (cw * width).alias("w"), (ch * height).alias("h")))
+    """Fractions of a page as a box in points, or null: finite, begun on the page, over its far edge by 0.02 at most, not too small, not a section."""
+    finite = F.forall(F.array(x, y, w, h), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    on = (x >= 0) & (y >= 0) & (x < 1) & (y < 1) & (x + w <= 1 + EDGE) & (y + h <= 1 + EDGE) & (w > 0) & (h > 0)
+    cw, ch = F.least(w, 1 - x), F.least(h, 1 - y)
+    ok = finite & on & (cw >= LEAST_W) & (ch >= LEAST_H) & (cw * ch <= MOST_AREA)
+    return F.when(ok, F.struct((x * width).alias("x"), (y * height).alias("y"), (cw * width).alias("w"), (ch * height).alias("h")))
+
+
+def flipped(x0: Column, y0: Column, x1: Column, y1: Column, height: Column) -> Column:
+    """A rectangle by two corners from the page's bottom as a box from its top: x, y, w, h."""
+    left, top = F.least(x0, x1), F.greatest(y0, y1)
+    return F.struct(left.alias("x"), (height - top).alias("y"), F.abs(x1 - x0).alias("w"), F.abs(y1 - y0).alias("h"))
+
+
+def zoom(width: Column, height: Column, edge: float = 1500.0) -> Column:
+    """How much a page is enlarged so that its long edge has so many pixels."""
+    return F.lit(edge) / F.greatest(width, height)
+
+
+def has_text(chars: Column, pages: Column) -> Column:
+    """Whether a file's text is more than a scan's: 20 characters a page."""
+    return chars >= 40 * F.greatest(pages, F.lit(1)) / 2
+
+
+def has_answer(value: Column) -> Column:
+    """Whether a form field's value is one: neither blank nor the name of an unticked box."""
+    return F.coalesce(~F.trim(value).isin("", "/Off"), F.lit(False))
 
 
 def refusal(encrypted: Column, pages: Column, fillable: Column, has_text: Column, can_render: bool = False) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_first, renderings
 from ..functions.patterns import INSTITUTION, TOKENED
-from ..functions.text import HOLD, find_all, interleave, numbered, numbered_map, unresolved
+from ..functions.text import HOLD, find_all, interleave, let, numbered, numbered_map, unresolved
 
 ENTRIES = "array<struct<token:string,value:string>>"
 
@@ -31,12 +31,23 @@ def scrub_patterns(text: Column) -> Column:
     return text
 
 
+def pattern_pass(text: Column) -> Column:
+    """The same as struct(text, entries), with the (token, value) entries in order; each pattern is looked for once."""
+    def one(pattern: str, base: str, start: int):
+        def step(x: Column) -> Column:
+            more = F.coalesce(numbered_map(x["text"], pattern, base, start), F.array().cast(ENTRIES))
+            return F.struct(numbered(x["text"], pattern, base, start).alias("text"), F.concat(x["entries"], more).alias("entries"))
+
+        return step
+
+    out = F.struct(text.alias("text"), F.array().cast(ENTRIES).alias("entries"))
+    for spec in TOKENED:
+        out = let(out, one(*spec))
+    return out
+
+
 def pattern_entries(text: Column) -> Column:
-    found = []
-    for pattern, base, start in TOKENED:
-        found.append(numbered_map(text, pattern, base, start))
-        text = numbered(text, pattern, base, start)
-    return F.coalesce(F.concat(*found), F.array().cast(ENTRIES))
+    return pattern_pass(text)["entries"]
 
 
 def _named(col: str) -> Column:
@@ -84,10 +95,10 @@ def redacted(notes: DataFrame, strict: bool = False, sweep: Column | None = None
     optional = lambda token, c: F.when(_named(c).isNotNull(), entry(token, F.col(c))).otherwise(F.array().cast(ENTRIES))
     entries = F.concat(
         entry("[PATIENT]", F.col("full_name")), entry("[NRIC]", F.upper(F.replace(F.col("nric"), F.lit(" "), F.lit("")))), entry("[DOB]", day_first(F.col("dob"))),
-        optional("[PHONE]", "phone"), optional("[POLICY_NO]", "policy_number"), optional("[ADDRESS]", "address"), pattern_entries(F.col("_one")),
+        optional("[PHONE]", "phone"), optional("[POLICY_NO]", "policy_number"), optional("[ADDRESS]", "address"), F.col("_two.entries"),
     )
-    df = df.withColumns({"_two": scrub_patterns(F.col("_one")), "redaction_map": entries})
-    restored = F.aggregate(F.transform("_kept", lambda v, i: F.struct(v.alias("v"), i.alias("i"))), F.col("_two"), lambda acc, e: F.replace(acc, F.concat(F.lit(f"{HOLD}INST"), e["i"].cast("string"), F.lit(HOLD)), e["v"]))
+    df = df.withColumn("_two", pattern_pass(F.col("_one"))).withColumn("redaction_map", entries)
+    restored = F.aggregate(F.transform("_kept", lambda v, i: F.struct(v.alias("v"), i.alias("i"))), F.col("_two.text"), lambda acc, e: F.replace(acc, F.concat(F.lit(f"{HOLD}INST"), e["i"].cast("string"), F.lit(HOLD)), e["v"]))
     df = df.withColumn("redacted_text", restored)
     if sweep is not None:
         clean = F.filter(F.transform(sweep, lambda f: F.trim(f)), lambda f: (f != "") & ~f.rlike(r"^\[[A-Z][A-Z0-9_]*\]$"))

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.patterns import EMAIL
-from ..operators import bank, dumps, extract, fill, geometry, match, quotes, redact, review
+from ..operators import bank, dumps, fill, geometry, match, quotes, redact, review
 from ..operators.evalkit import leak_metrics
-from ..sources import html
 from ..streaming.changes import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,8 +46,8 @@ def scrub_email(spark, sf_dir):
 @query()
 def scrub_patterns(spark, sf_dir):
     """All three patterns: look-arounds keep this from the other engine's expressions."""
-    x = redact.scrub_patterns(F.col("text"))
-    return t(spark, sf_dir, "documents").select("doc_id", x.alias("redacted_text"), F.size(redact.pattern_entries(F.col("text"))).cast("long").alias("n_tokens"))
+    both = t(spark, sf_dir, "documents").select("doc_id", redact.pattern_pass(F.col("text")).alias("x"))
+    return both.select("doc_id", F.col("x.text").alias("redacted_text"), F.size("x.entries").cast("long").alias("n_tokens"))
 
 
 @query(rf"""
@@ -219,16 +218,16 @@ def unknown_ids(spark, sf_dir):
 
 
 @query("""
-WITH x AS (SELECT o_custkey AS form, o_orderkey AS field, o_orderstatus, o_orderpriority, o_orderstatus = 'F' AS ro, o_totalprice < 50000 AS answered FROM orders),
-r AS (SELECT *, sum(CASE WHEN NOT ro AND NOT answered THEN 1 ELSE 0 END) OVER (PARTITION BY form, o_orderpriority ORDER BY field) AS used FROM x)
-SELECT form, field, CASE WHEN ro OR answered OR used > 1 OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'skipped' ELSE 'filled' END AS status,
-       CASE WHEN ro THEN 'not writable' WHEN answered THEN 'already answered' WHEN used > 1 THEN 'option already used' WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'no such option' END AS reason
-FROM r
+WITH x AS (SELECT o_custkey AS form, o_orderkey AS field, o_orderpriority AS v, o_orderstatus = 'F' AS ro, o_totalprice < 50000 AS answered FROM orders),
+s AS (SELECT DISTINCT form, CASE WHEN field % 2 = 0 THEN '2-HIGH' ELSE '3-MEDIUM' END AS v FROM x WHERE answered),
+b AS (SELECT x.*, s.v IS NOT NULL AS shown, CASE WHEN ro THEN 'not writable' WHEN answered THEN 'already answered' WHEN x.v NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'no matching option' END AS why FROM x LEFT JOIN s ON s.form = x.form AND s.v = x.v),
+r AS (SELECT *, shown OR coalesce(sum(CASE WHEN why IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY form, v ORDER BY field ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS taken FROM b)
+SELECT form, field, CASE WHEN taken OR why IS NOT NULL THEN 'skipped' ELSE 'filled' END AS status, CASE WHEN taken THEN 'option already chosen' ELSE why END AS reason FROM r
 """)
 def fill_outcomes(spark, sf_dir):
     o = t(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("form"), F.col("o_orderkey").alias("field"), F.col("o_orderkey").alias("ord"), F.lit("select").alias("type"), F.col("o_orderpriority").alias("value"),
-        F.when(F.col("o_totalprice") < 50000, "set").alias("existing"), F.lit(False).alias("checked"), F.lit(False).alias("disabled"), (F.col("o_orderstatus") == "F").alias("read_only"),
+        F.when(F.col("o_totalprice") < 50000, F.when(F.col("o_orderkey") % 2 == 0, "2-HIGH").otherwise("3-MEDIUM")).alias("existing"), F.lit(False).alias("checked"), F.lit(False).alias("disabled"), (F.col("o_orderstatus") == "F").alias("read_only"),
         F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM"))).alias("options"), F.lit(True).alias("safe"),
     )
     return fill.outcomes(o)
@@ -278,17 +277,6 @@ def dictionary_redact(spark, sf_dir):
     return redact.redacted(notes).select("c_custkey", "redacted_text", F.size("redaction_map").cast("long").alias("n_entries"))
 
 
-@query()
-def parse_notes(spark, sf_dir):
-    notes = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), "text")
-    return extract.parsed(notes, F.lit(AS_OF).cast("date"))
-
-
-@query()
-def page_controls(spark, sf_dir):
-    return html.controls(t(spark, sf_dir, "pages"))
-
-
 @query("""
 WITH e AS (SELECT user_id AS form, event_id, event_type AS name, event_id % 3 = 0 AS visible FROM events),
 k AS (SELECT form, name, min(event_id) AS first, coalesce(min(event_id) FILTER (WHERE visible), min(event_id)) AS kept FROM e GROUP BY form, name)
@@ -301,18 +289,18 @@ def merge_dumps(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT s_nationkey AS page, s_suppkey AS k, s_name AS text, (s_suppkey * 37 % 600) * 1.0 AS x, (s_suppkey * 53 % 800) * 1.0 AS y FROM supplier),
-j AS (SELECT w.page, w.k AS widget, r.text, w.x - r.x AS dx, w.y - r.y AS dy FROM b w JOIN b r ON w.page = r.page AND w.k % 2 = 0 AND r.k % 2 = 1),
-n AS (SELECT *, abs(dy) < 14.0 AND dx BETWEEN 0 AND 260 AS line FROM j),
-c AS (SELECT page, widget, text, CASE WHEN line THEN 0 ELSE 1 END AS place, CASE WHEN line THEN dx ELSE abs(dy) + abs(dx) / 1000 END AS gap FROM n WHERE line OR (dy > 0 AND dy <= 40 AND abs(dx) <= 260)),
-r AS (SELECT *, row_number() OVER (PARTITION BY page, widget ORDER BY place, gap, text) AS rank FROM c)
+WITH b AS (SELECT s_nationkey % 5 AS page, s_suppkey AS k, s_name AS text, (s_suppkey * 37 % 600) * 1.0 AS x, (s_suppkey * 53 % 800) * 1.0 AS y, CASE WHEN s_suppkey % 4 = 0 THEN 40.0 ELSE 4.0 END AS h FROM supplier),
+j AS (SELECT w.page, w.k AS widget, r.text, r.k AS o, w.x - r.x AS ahead, w.y - r.y AS above, abs(r.y - w.y - w.h / 2) < greatest(w.h, 8.0) * 1.4 AND r.x < w.x AS line FROM b w JOIN b r ON w.page = r.page AND w.k % 2 = 0 AND r.k % 2 = 1),
+c AS (SELECT *, CASE WHEN line THEN CASE WHEN ahead <= 260 THEN 0 END WHEN above > 0 AND above <= 40 AND abs(ahead) <= 260 THEN 1 END AS place FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY page, widget ORDER BY place, CASE WHEN place = 0 THEN ahead ELSE above END, o) AS rank FROM c WHERE place IS NOT NULL)
 SELECT page, widget, CAST(rank AS INTEGER) AS rank, text FROM r WHERE rank <= 4
 """)
 def nearest_text(spark, sf_dir):
-    """Suppliers on a grid: even ones are boxes, odd ones the text around them."""
-    s = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("page"), F.col("s_suppkey").alias("k"), "s_name", (F.col("s_suppkey") * 37 % 600).cast("double").alias("x"), (F.col("s_suppkey") * 53 % 800).cast("double").alias("y"))
-    widgets = s.filter("k % 2 = 0").select("page", F.col("k").alias("widget"), "x", "y", F.lit(10.0).alias("h"))
-    runs = s.filter("k % 2 = 1").select("page", F.col("s_name").alias("text"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    """Suppliers on a grid: even ones are boxes, low and high, odd ones the text around them."""
+    k = F.col("s_suppkey")
+    s = t(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("page"), k.alias("k"), "s_name", (k * 37 % 600).cast("double").alias("x"), (k * 53 % 800).cast("double").alias("y"), F.when(k % 4 == 0, 40.0).otherwise(4.0).alias("h"))
+    widgets = s.filter("k % 2 = 0").select("page", F.col("k").alias("widget"), "x", "y", "h")
+    runs = s.filter("k % 2 = 1").select("page", F.col("s_name").alias("text"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("k").alias("tord"))
     return geometry.nearest_text(widgets, runs)
 
 
@@ -332,7 +320,7 @@ def logical_lines(spark, sf_dir):
 
 @query()
 def step_guard(spark, sf_dir):
-    """Parts in steps by size: which steps of a plan are on the page?"""
+    """Parts in steps by number: which steps of a plan are on the page?"""
     fields, controls = _plan(spark, sf_dir)
     stepped = fields.withColumn("step", F.concat(F.lit("step "), (F.col("field") % 2).cast("string")))
     return match.located_by_step(stepped, controls)[1]

@@ -1,109 +1,341 @@
-"""Page inventory: the controls of HTML pages as rows, by the standard library's parser."""
+"""Page inventory: the controls of HTML pages as rows, by the standard library's parser. Every text that leaves is scrubbed."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-# Input types that are never inventoried.
+from ..functions.patterns import LABEL_RULES, compiled
+
+# Input types that are never inventoried, elements without an end, and those that are never a label.
 SKIP = {"password", "submit", "button", "reset", "image", "file", "hidden"}
-VOID = {"input", "br", "img", "hr", "meta", "link"}
-ROW = pa.schema([("page_id", pa.int64()), ("ref", pa.int64()), ("tag", pa.string()), ("type", pa.string()), ("name", pa.string()), ("id", pa.string()), ("label", pa.string()), ("label_source", pa.string()), ("required", pa.bool_()), ("disabled", pa.bool_()), ("members", pa.int64()), ("options", pa.list_(pa.string()))])
-DDL = "page_id long, ref long, tag string, type string, name string, id string, label string, label_source string, required boolean, disabled boolean, members long, options array<string>"
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+NEVER_A_LABEL = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "input", "select", "textarea", "button", "script", "style", "noscript", "template", "head"}
+STOPS = {"form", "fieldset", "table", "body", "html"}
+CONTROLS = ("input", "select", "textarea")
+HEADINGS = {"label", "legend", "h1", "h2", "h3", "h4"}
+#: Elements that an opening tag of the same kind ends, if the page hasn't.
+CLOSES = {"option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "li": {"li"}, "p": {"p"}}
+BARRIERS = {"table", "select", "ul", "ol", "form", "fieldset"}
+LABEL_CHARS, HOPS, MOST_OPTIONS, PATH = 200, 2, 30, 4
+RULES = [(compiled(p), token) for p, token in LABEL_RULES]
+#: Characters of a page beyond which it is not parsed and gets no rows but one with an error.
+MOST_CHARS = 20 * 1024 * 1024
+
+
+def squash(text: str) -> str:
+    return " ".join(text.split())
+
+
+def scrub(text: str) -> str:
+    text = squash(text)
+    for pattern, token in RULES:
+        text = pattern.sub(token, text)
+    return text
+
+
+class Node:
+    __slots__ = ("attrs", "children", "parent", "tag")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
+        self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.children: list[Node | str] = []
+
+    def elements(self) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node)]
+
+    def walk(self) -> Iterator[Node]:
+        """The elements below, in document order."""
+        todo = self.elements()[::-1]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo += n.elements()[::-1]
+
+    def text(self, without: tuple[str, ...] = ()) -> str:
+        out, todo = [], self.children[::-1]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                out.append(c)
+            elif c.tag not in without:
+                todo += c.children[::-1]
+        return squash("".join(out))
+
+    def closest(self, *tags: str) -> Node | None:
+        n: Node | None = self
+        while n is not None and n.tag not in tags:
+            n = n.parent
+        return n
+
+    def ancestors(self) -> Iterator[Node]:
+        n = self.parent
+        while n is not None:
+            yield n
+            n = n.parent
 
+    def before(self) -> Node | None:
+        """The element in front of this one under the same parent."""
+        last = None
+        for c in self.parent.elements() if self.parent else []:
+            if c is self:
+                return last
+            last = c
+        return None
 
-class Inventory(HTMLParser):
-    """Controls in document order; radios of one name are one row, and so are two or more checkboxes of one name."""
+    def holds(self, *tags: str) -> bool:
+        return any(n.tag in tags for n in self.walk())
 
+
+class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.controls: list[dict] = []
-        self.labels: dict[str, str] = {}
-        self.open_label: dict | None = None
-        self.select: dict | None = None
-        self.option: list[str] | None = None
-        self.cells: list[str] = []
-        self.cell: list[str] | None = None
+        self.root = self.at = Node("html", {}, None)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if tag == "label":
-            self.open_label = {"for": a.get("for"), "text": [], "inside": []}
-        elif tag == "tr":
-            self.cells = []
-        elif tag in ("td", "th"):
-            self.cell = []
-        elif tag == "option" and self.select is not None:
-            self.option = []
-        elif tag in ("input", "select", "textarea"):
-            kind = a.get("type", "text").lower() if tag == "input" else tag
-            if kind in SKIP:
+        if tag in ("html", "body"):
+            if tag == "html":
+                self.root.attrs.update({k: v or "" for k, v in attrs})
                 return
-            c = {"tag": tag, "type": kind, "name": a.get("name", ""), "id": a.get("id", ""), "aria": a.get("aria-label", ""), "placeholder": a.get("placeholder", ""), "required": "required" in a, "disabled": "disabled" in a, "left": self.cells[-1] if self.cells else "", "wrap": None, "options": []}
-            self.controls.append(c)
-            if self.open_label is not None:
-                self.open_label["inside"].append(c)
-            if tag == "select":
-                self.select = c
+        ends = CLOSES.get(tag, ())
+        n = self.at
+        while ends and n is not self.root and n.tag not in BARRIERS:
+            if n.tag in ends:
+                self.at = n.parent or self.root
+            n = n.parent or self.root
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(node)
+        if tag not in VOID:
+            self.at = node
 
-    def handle_data(self, data: str) -> None:
-        for held in (self.option, self.cell, self.open_label["text"] if self.open_label is not None and self.select is None else None):
-            if held is not None:
-                held.append(data)
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and self.at.tag == tag and self.at.parent:
+            self.at = self.at.parent
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "label" and self.open_label is not None:
-            text = " ".join("".join(self.open_label["text"]).split())
-            if self.open_label["for"]:
-                self.labels.setdefault(self.open_label["for"], text)
-            for c in self.open_label["inside"]:
-                c["wrap"] = text
-            self.open_label = None
-        elif tag == "option" and self.option is not None:
-            self.select["options"].append(" ".join("".join(self.option).split()))
-            self.option = None
-        elif tag == "select":
-            self.select = self.option = None
-        elif tag in ("td", "th") and self.cell is not None:
-            self.cells.append(" ".join("".join(self.cell).split()))
-            self.cell = None
-
-    def rows(self) -> list[tuple]:
-        out: list[tuple] = []
-        grouped: dict[tuple[str, str], list[dict]] = {}
-        for c in self.controls:
-            if c["type"] in ("radio", "checkbox") and c["name"]:
-                grouped.setdefault((c["type"], c["name"]), []).append(c)
-        done = set()
-        for c in self.controls:
-            group = grouped.get((c["type"], c["name"]), [])
-            many = group if c["type"] == "radio" or len(group) > 1 else []
-            if many and (c["type"], c["name"]) in done:
+        n: Node | None = self.at
+        while n is not None and n.tag != tag:
+            n = n.parent
+        if n is not None and n.parent is not None:
+            self.at = n.parent
+
+    def handle_data(self, data: str) -> None:
+        self.at.children.append(data)
+
+
+class Page:
+    """The tree of one page, with what its controls are called."""
+
+    def __init__(self, html: str) -> None:
+        tree = Tree()
+        tree.feed(html)
+        tree.close()
+        self.root = tree.root
+        self.nodes = list(self.root.walk())
+        self.by_id: dict[str, Node] = {}
+        self.for_id: dict[str, Node] = {}
+        for n in self.nodes:
+            if n.attrs.get("id"):
+                self.by_id.setdefault(n.attrs["id"], n)
+            if n.tag == "label" and n.attrs.get("for"):
+                self.for_id.setdefault(n.attrs["for"], n)
+
+    def raw_label(self, el: Node) -> tuple[str, str]:
+        """What names a control and how that was found: nine ways, the surest first."""
+        a = el.attrs
+        if a.get("aria-label"):
+            return a["aria-label"].strip(), "aria-label"
+        parts = [self.by_id[i].text() for i in a.get("aria-labelledby", "").split() if i in self.by_id]
+        if any(parts):
+            return " ".join(p for p in parts if p), "aria-labelledby"
+        if a.get("id") in self.for_id and (t := self.for_id[a["id"]].text()):
+            return t, "label[for]"
+        if (wrap := el.closest("label")) and (t := wrap.text(CONTROLS)):
+            return t, "wrapping-label"
+        if (cell := el.closest("td", "th")) and (left := cell.before()) and (t := left.text()):
+            return t, "table-cell"
+        if t := self.candidate(el.before()):
+            return t, "preceding-sibling"
+        for hop, n in enumerate(el.ancestors()):
+            if hop == HOPS or n.tag in STOPS:
+                break
+            if t := self.candidate(n.before()):
+                return t, "ancestor-sibling"
+        if a.get("placeholder"):
+            return a["placeholder"].strip(), "placeholder"
+        return "", "none"
+
+    @staticmethod
+    def candidate(n: Node | None) -> str:
+        """The text of an element that may be a label: no prose, no controls, not long."""
+        if n is None or n.tag in NEVER_A_LABEL or n.holds(*CONTROLS, "button"):
+            return ""
+        t = n.text()
+        return "" if len(t) > LABEL_CHARS else t
+
+    @staticmethod
+    def section(el: Node) -> str:
+        box = el.closest("fieldset")
+        legend = next((n for n in box.walk() if n.tag == "legend"), None) if box else None
+        return scrub(legend.text()) if legend else ""
+
+    @staticmethod
+    def visible(el: Node) -> bool:
+        """By the page's own attributes: hidden, or a style that says so, here or above."""
+        for n in (el, *el.ancestors()):
+            style = n.attrs.get("style", "").replace(" ", "").lower()
+            if "hidden" in n.attrs or "display:none" in style or "visibility:hidden" in style:
+                return False
+        return True
+
+    @staticmethod
+    def shape(n: Node) -> str:
+        return ",".join((c.attrs.get("type") or c.tag).lower() for c in n.walk() if c.tag in CONTROLS)
+
+    @staticmethod
+    def bound(label: Node, unit: Node) -> bool:
+        """Whether a label belongs to one of the unit's controls."""
+        target = label.attrs.get("for")
+        return label.tag == "label" and (bool(target) and any(n.attrs.get("id") == target for n in unit.walk()) or label.holds(*CONTROLS))
+
+    def delimited(self, unit: Node) -> bool:
+        """Whether a text of its own stands before the unit's first control."""
+        for c in unit.elements():
+            if c.tag in CONTROLS or c.holds(*CONTROLS):
+                return False
+            if not self.bound(c, unit) and c.text():
+                return True
+        return False
+
+    def instance(self, el: Node) -> int | None:
+        """Which of the entries of one shape this control is in, from 1; None if it isn't in a repeating entry."""
+        for n in el.ancestors():
+            if n.tag in ("body", "html") or n.parent is None:
+                return None
+            shape = self.shape(n)
+            twins = [c for c in n.parent.elements() if self.shape(c) == shape] if shape else []
+            if len(twins) > 1 and ("," in shape or self.delimited(n)) and all(map(self.visible, twins)):
+                return next(i for i, c in enumerate(twins, 1) if c is n)
+        return None
+
+    @staticmethod
+    def selector(el: Node) -> str:
+        """Its id, else its tag and name, else a path of at most four steps."""
+        safe = lambda s: re.sub(r"([^\w-])", r"\\\1", s)
+        if el.attrs.get("id"):
+            return f"#{safe(el.attrs['id'])}"
+        if el.attrs.get("name"):
+            return f'{el.tag}[name="{safe(el.attrs["name"])}"]'
+        steps: list[str] = []
+        for n in (el, *el.ancestors()):
+            if len(steps) == PATH:
+                break
+            same = [c for c in n.parent.elements() if c.tag == n.tag] if n.parent else [n]
+            steps.insert(0, f"{n.tag}:nth-of-type({next(i for i, c in enumerate(same, 1) if c is n)})" if len(same) > 1 else n.tag)
+        return " > ".join(steps)
+
+    def described(self, members: list[Node], kind: str | None) -> dict:
+        """One control, or a group of them under its section's heading."""
+        el = members[0]
+        a, how = el.attrs, "section-heading"
+        if kind:
+            label, options, value = self.section(el), offered([self.raw_label(m)[0] for m in members]), any("checked" in m.attrs for m in members)
+        else:
+            label, how = self.raw_label(el)
+            label = scrub(label)
+            options = offered([o.text() for o in el.walk() if o.tag == "option"]) if el.tag == "select" else None
+            value = "checked" in a if a.get("type", "").lower() in ("checkbox", "radio") else bool(chosen(el))
+        most = a.get("maxlength", "")
+        return {
+            "tag": el.tag, "type": kind or (a.get("type") or ("select" if el.tag == "select" else "text")).lower(), "name": scrub(a.get("name", "")), "id": "" if kind else scrub(a.get("id", "")),
+            "label": label, "label_source": how, "section": self.section(el), "selector": self.selector(el) if not kind else f'input[name="{a.get("name", "")}"]', "placeholder": "" if kind else scrub(a.get("placeholder", "")),
+            "required": any("required" in m.attrs or (not kind and m.attrs.get("aria-required") == "true") for m in members), "disabled": all("disabled" in m.attrs for m in members), "read_only": not kind and "readonly" in a,
+            "max_length": int(most) if not kind and most.isdigit() else None, "visible": any(map(self.visible, members)), "options": options, "has_value": value, "instance": self.instance(el), "members": len(members),
+        }
+
+    def controls(self) -> list[dict]:
+        """In document order; then radios of one name as one row each, then checkboxes of one name, two or more as one."""
+        single: list[tuple[list[Node], str | None]] = []
+        groups: dict[str, dict[str, list[Node]]] = {"radio": {}, "checkbox": {}}
+        for n in self.nodes:
+            if n.tag not in CONTROLS and n.attrs.get("contenteditable") != "true":
+                continue
+            kind = n.attrs.get("type", "").lower()
+            if kind in SKIP:
                 continue
-            done.add((c["type"], c["name"]))
-            label, how = next(((t, h) for t, h in ((c["aria"], "aria"), (self.labels.get(c["id"]) if c["id"] else None, "for"), (c["wrap"], "wrap"), (c["left"], "cell"), (c["placeholder"], "placeholder")) if t), ("", ""))
-            members = many or [c]
-            options = [m["wrap"] or self.labels.get(m["id"], "") for m in members] if many else c["options"]
-            out.append((len(out) + 1, c["tag"], c["type"], c["name"], c["id"], label, how, any(m["required"] for m in members), all(m["disabled"] for m in members), len(members), options))
-        return out
+            if kind in groups and n.attrs.get("name"):
+                groups[kind].setdefault(n.attrs["name"], []).append(n)
+            else:
+                single.append(([n], None))
+        single += [(m, "radio-group") for m in groups["radio"].values()]
+        single += [(m, "checkbox-group" if len(m) > 1 else None) for m in groups["checkbox"].values()]
+        return [{"ref": f"c{i}", **self.described(m, kind)} for i, (m, kind) in enumerate(single, 1)]
+
+    def counters(self) -> dict:
+        legend = next((n for n in self.nodes if n.tag == "legend"), None)
+        heads = [n.text() for n in self.nodes if n.tag in HEADINGS]
+        return {"step_hint": scrub(legend.text()) if legend else "", "skipped_passwords": sum(n.tag == "input" and n.attrs.get("type", "").lower() == "password" for n in self.nodes), "scrubbed_strings": sum(scrub(t) != squash(t) for t in heads)}
+
+
+def chosen(el: Node) -> str:
+    """A control's value as the page was written."""
+    if el.tag == "select":
+        options = [o for o in el.walk() if o.tag == "option"]
+        o = next((o for o in options if "selected" in o.attrs), options[0] if options else None)
+        return (o.attrs["value"] if "value" in o.attrs else o.text()) if o else ""
+    return el.text() if el.tag == "textarea" else el.attrs.get("value", "")
+
+
+def offered(texts: list[str]) -> dict:
+    """count, truncated, withheld and values of options; if scrubbing changes one of them, none is shown."""
+    held = [t for t in texts if t.strip()]
+    shut = any(scrub(t) != squash(t) for t in held)
+    return {"count": len(held), "truncated": not shut and len(held) > MOST_OPTIONS, "withheld": shut, "values": [] if shut else [scrub(t) for t in held[:MOST_OPTIONS]]}
+
+
+OPTIONS = pa.struct([("count", pa.int32()), ("truncated", pa.bool_()), ("withheld", pa.bool_()), ("values", pa.list_(pa.string()))])
+CONTROL = pa.struct([
+    ("ref", pa.string()), ("tag", pa.string()), ("type", pa.string()), ("name", pa.string()), ("id", pa.string()), ("label", pa.string()), ("label_source", pa.string()), ("section", pa.string()), ("selector", pa.string()), ("placeholder", pa.string()),
+    ("required", pa.bool_()), ("disabled", pa.bool_()), ("read_only", pa.bool_()), ("max_length", pa.int32()), ("visible", pa.bool_()), ("options", OPTIONS), ("has_value", pa.bool_()), ("instance", pa.int32()), ("members", pa.int32()),
+])
+CONTROL_DDL = (
+    "struct<ref:string,tag:string,type:string,name:string,id:string,label:string,label_source:string,section:string,selector:string,placeholder:string,required:boolean,disabled:boolean,read_only:boolean,"
+    "max_length:int,visible:boolean,options:struct<count:int,truncated:boolean,withheld:boolean,values:array<string>>,has_value:boolean,instance:int,members:int>"
+)
+DUMP = pa.struct([("controls", pa.list_(CONTROL)), ("step_hint", pa.string()), ("skipped_passwords", pa.int32()), ("scrubbed_strings", pa.int32()), ("error", pa.string())])
+DUMP_DDL = f"struct<controls:array<{CONTROL_DDL}>,step_hint:string,skipped_passwords:int,scrubbed_strings:int,error:string>"
+
+
+def dumped(html: str | None) -> dict:
+    if html is not None and len(html) > MOST_CHARS:
+        return {"controls": [], "step_hint": "", "skipped_passwords": 0, "scrubbed_strings": 0, "error": "too large"}
+    page = Page(html or "")
+    return {"controls": page.controls(), **page.counters(), "error": None}
+
+
+def dumps(pages: DataFrame) -> DataFrame:
+    """(page_id, host, control_count, step_hint, skipped_passwords, scrubbed_strings, error, controls) of pages (page_id, url, html): the host and never the address."""
+
+    def run(html: pa.Array) -> pa.Array:
+        return pa.array([dumped(x.as_py()) for x in html], DUMP)
+
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)) if "url" in pages.columns else F.lit("")
+    d = pages.select("page_id", host.alias("host"), F.arrow_udf(run, DUMP_DDL)("html").alias("d"))
+    return d.select("page_id", "host", F.size("d.controls").alias("control_count"), "d.step_hint", "d.skipped_passwords", "d.scrubbed_strings", "d.error", "d.controls")
 
 
 def controls(pages: DataFrame) -> DataFrame:
-    """A row per control of each page (page_id, html); a null page has none."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out: list[list] = [[] for _ in ROW]
-            for page, html in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
-                p = Inventory()
-                p.feed(html or "")
-                p.close()
-                for r in p.rows():
-                    for c, v in zip(out, (page, *r), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, ROW, strict=True)], schema=ROW)
-
-    return pages.select("page_id", "html").mapInArrow(run, DDL)
+    """A row per control of each page, in order; a null page has none."""
+    return dumps(pages).select("page_id", F.posexplode("controls").alias("ord", "c")).select("page_id", "ord", "c.*")
+
+
+def signature(dump: DataFrame) -> DataFrame:
+    """(page_id, signature): type, visibility and label of each control in order; a page with another signature has changed."""
+    one = F.transform("controls", lambda c: F.concat_ws(":", c["type"], c["visible"].cast("int").cast("string"), c["label"]))
+    return dump.select("page_id", F.array_join(one, "|").alias("signature"))

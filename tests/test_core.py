@@ -5,8 +5,8 @@ import datetime
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from quillstone.functions import dates, text
-from quillstone.operators import bank, dumps, evalkit, extract, fill, geometry, match, quotes, redact, review
+from quillstone.functions import dates, patterns, text
+from quillstone.operators import bank, dumps, evalkit, extract, fill, geometry, intake, match, provider, quotes, redact, review, sinks
 from quillstone.sources import html
 from quillstone.streaming.changes import scrubbed
 
@@ -94,6 +94,17 @@ def test_fill_never_overwrites_or_repeats(spark):
     rows = [(1, 1, 1, "select", "a", None, False, False, False, ["A", "B"], True), (1, 2, 2, "select", "a", None, False, False, False, ["A", "B"], True), (1, 3, 3, "text", "a", "b", False, False, False, None, True), (1, 4, 4, "checkbox", "yes", None, False, False, False, None, True), (1, 5, 5, "date", "31/02/2020", None, False, False, False, None, True)]
     got = [r["status"] for r in fill.outcomes(spark.createDataFrame(rows, ddl)).orderBy("field").collect()]
     assert got == ["filled", "skipped", "skipped", "filled", "skipped"]
+    more = ddl.replace("form int", "form int, shown string")
+    rows = [
+        (1, "A", 1, 1, "select", "b", "A", False, False, False, ["A", "B"], True), (1, "", 2, 2, "select", "A", "", False, False, False, ["A", "B"], True), (1, "", 3, 3, "select", "b ", "", False, False, False, ["A", "B"], True),
+        (1, "", 4, 4, "select", " B", "", False, False, False, ["A", "B"], True), (1, "", 5, 5, "select", "Z", "", False, False, False, ["A", "B"], True), (1, "", 6, 6, "select", "z", "", False, False, False, ["A", "B"], True),
+        (1, None, 7, 7, "radio-group", "Yes", None, False, False, False, ["Yes", "No"], True), (1, None, 8, 8, "radio-group", "yes", None, False, False, False, ["Yes", "No"], True), (1, None, 9, 9, "radio-group", "yes", None, True, False, False, ["Yes", "No"], True),
+        (2, "A", None, 0, "select", None, "A", False, False, False, ["X", "A"], True), (2, "", 1, 1, "select", "a", "", False, False, False, ["X", "A"], True), (2, "", 2, 2, "select", "x", "", False, False, False, ["X", "A"], False),
+    ]
+    got = {(r["form"], r["field"]): (r["status"], r["reason"]) for r in fill.outcomes(spark.createDataFrame(rows, more)).collect()}
+    taken, off = ("skipped", "option already chosen"), ("skipped", "no matching option")
+    assert [got[1, k] for k in range(1, 10)] == [("skipped", "already answered"), taken, ("filled", None), taken, off, off, ("filled", None), ("filled", None), ("skipped", "already answered")]
+    assert got[2, 1] == taken and got[2, 2] == ("skipped", "match is not safe") and len(got) == 11
 
 
 def test_bank_quotes_geometry_and_scores(spark):
@@ -103,16 +114,17 @@ def test_bank_quotes_geometry_and_scores(spark):
     asked = spark.createDataFrame([(1, "has a cold"), (2, "has no"), (3, "patient")], "quote_id long, quote string")
     assert {(r["quote_id"], r["hits"]) for r in quotes.located(notes, asked).collect()} == {(1, 2), (3, 1)}
     f = lambda *a: one(spark, geometry.sane_box(*[F.lit(float(x)) for x in (*a, 600, 800)]))
-    assert f(0.1, 0.1, 0.2, 0.05)["x"] == 60 and f(0.1, 0.1, 0.9, 0.9) is None and f(-0.01, 0, 0.1, 0.1)["x"] == 0 and f(float("nan"), 0, 0.1, 0.1) is None
+    assert f(0.1, 0.1, 0.2, 0.05)["x"] == 60 and f(0.1, 0.1, 0.9, 0.9) is None and f(-0.01, 0, 0.1, 0.1) is None and f(0.95, 0.1, 0.06, 0.1)["w"] == 30 and f(0.95, 0.1, 0.08, 0.1) is None and f(float("inf"), 0, 0.1, 0.1) is None and f(float("nan"), 0, 0.1, 0.1) is None
     cases = spark.createDataFrame([("a", "saw TAN at home", ["Tan", "S12"], ["home", "fever"], False)], "id string, redacted string, must_not_survive array<string>, must_survive array<string>, sweep_only boolean")
     assert tuple(evalkit.leak_metrics(cases).first()) == ("a", 1, 1)
 
 
 def test_html_inventory(spark):
-    page = '<form><label for=a>Name</label><input id=a name=n><tr><td>Ward</td><td><select name=w><option>A</option><option>B</option></select></td></tr><label>Yes<input type=radio name=r></label><label>No<input type=radio name=r required></label><input type=password name=p></form>'
-    got = html.controls(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("ref").collect()
-    assert [(r["type"], r["label"], r["label_source"]) for r in got][:2] == [("text", "Name", "for"), ("select", "Ward", "cell")]
-    assert len(got) == 3 and got[2]["members"] == 2 and got[2]["required"] and got[2]["options"] == ["Yes", "No"]
+    page = '<form><label for=a>Name</label><input id=a name=n><table><tr><td>Ward</td><td><select name=w><option>A</option><option>B</option></select></td></tr></table><div><input name=late></div><fieldset><legend>Well?</legend><label>Yes<input type=radio name=r></label><label>No<input type=radio name=r required></label></fieldset><input type=password name=p></form>'
+    got = html.controls(spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<input name=x aria-label='S1234567D'><select><option>Call 91234567<option>b</select>")], "page_id long, html string")).orderBy("page_id", "ord").collect()
+    assert [(r["type"], r["label"], r["label_source"]) for r in got][:4] == [("text", "Name", "label[for]"), ("select", "Ward", "table-cell"), ("text", "", "none"), ("radio-group", "Well?", "section-heading")]
+    assert len(got) == 6 and got[3]["members"] == 2 and got[3]["required"] and got[3]["options"]["values"] == ["Yes", "No"]
+    assert got[4]["label"] == "[NRIC]" and got[5]["options"].asDict() == {"count": 2, "truncated": False, "withheld": True, "values": []}
 
 
 def test_inline_labels_and_insurers(spark):
@@ -172,3 +184,52 @@ def test_pieces_of_quotes_count_where_they_occur_once(spark):
     said = ["MC 14 days; Seen by Dr Ong.", "Review in clinic; Ong.", "no rash. Seen by Dr Ong;", "Diagnosis: fever; MC 15 days", "MC 14 days.", "one one; in clinic."]
     got = {(r["quote_id"], r["piece"], r["found"]) for r in quotes.pieces_located(notes, spark.createDataFrame(list(enumerate(said)), "quote_id long, quote string")).collect()}
     assert got == {(0, 1, "MC 14 days"), (0, 2, "Seen by Dr Ong"), (1, 1, "Review in clinic"), (2, 2, "Seen by Dr Ong;"), (5, 2, "in clinic.")}
+
+
+def test_passes_and_owners(spark):
+    as_of = F.lit(AS_OF)
+    notes = [
+        (1, "Patient: Chua Beng Huat · S7211043C · 04/11/1972 · 91112233 · 18 Toa Payoh, Singapore 310018", None), (2, "husband S6234567C present\nClinic tel 62551234", None), (3, "Tan Wei Ling, Chua Ah Kow, S7211043C 04/11/1972", "ling tan wei"),
+        (4, "Seen 02/08/2024, sore throat. Covered by AIA.", None), (5, "Lim Ah\nS7211043C\n04/11/1972\nwell today", None), (6, None, None), (7, "", None),
+    ]
+    got = {}
+    for r in extract.parsed(spark.createDataFrame(notes, "note_id long, text string, known_name string"), as_of).collect():
+        got.setdefault(r["note_id"], {})[r["field"]] = (r["value"], r["how"])
+    assert got[1] == {"full_name": ("Chua Beng Huat", "patient-line"), "nric": ("S7211043C", "patient-line"), "dob": ("1972-11-04", "patient-line"), "phone": ("91112233", "patient-line"), "address": ("18 Toa Payoh, Singapore 310018", "patient-line")}
+    assert 2 not in got and got[3]["full_name"] == ("Tan Wei Ling", "header-line") and "dob" not in got[4] and got[4]["insurer"] == ("AIA", "sole-match")
+    assert "full_name" not in got[5] and got[5]["nric"][1] == "sole-match" and set(got) == {1, 3, 4, 5}
+    one_ = lambda e: spark.range(1).select(e.alias("v")).first()["v"]
+    assert one_(extract.policy_values(F.lit("GH-88213004 then GHS-88213004, GE-88213004 and GHS/88213004"))) == ["GHS-88213004", "GE-88213004"]
+    assert one_(extract.is_same_name(F.lit("Beng Huat, CHUA"), F.lit("chua beng huat"))) and not one_(extract.is_same_name(F.lit(""), F.lit("")))
+
+
+def test_pattern_pass_against_python(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: (r["x"]["text"], [tuple(e) for e in r["x"]["entries"]]) for r in docs.select("doc_id", redact.pattern_pass(F.col("text")).alias("x")).collect()}
+    for d in docs.collect():
+        text_, entries = d["text"], []
+        for pattern, base, first in patterns.TOKENED:
+            seen = {}
+            if text_ is not None:
+                text_ = patterns.compiled(pattern).sub(lambda m: f"[{base}_{seen.setdefault(m[0], len(seen)) + first}]", text_)
+            entries += [(f"[{base}_{k + first}]", v) for v, k in seen.items()]
+        assert got[d["doc_id"]] == (text_, entries)
+    many = " ".join(f"a{k % 1500}@x.sg," for k in range(4000))
+    assert one(spark, redact.scrub_patterns(F.col("t")), t=many) == re.sub(r"a(\d+)@x\.sg", lambda m: f"[EMAIL_{int(m[1]) + 1}]", many)
+
+
+def test_text_fits_its_box(spark):
+    assert sinks.wrapped("one two  three", 10, 40) == ["one two", "three"] and sinks.wrapped("abcdefghij", 10, 30) == ["abcde", "fghij"]
+    lines, size = sinks.fitting("word " * 40, 100, 60, None)
+    assert 6 <= size < 11 and len(lines) * size * 1.15 <= 56 and sinks.fitting("x", 50, 20, 9.0) == (["x"], 9.0)
+    assert len(sinks.fitting("word " * 400, 60, 30, None)[0]) == 3
+
+
+def test_replies_need_a_recording(spark):
+    req = spark.createDataFrame([("a", "p"), ("b", "q")], "key string, prompt string")
+    rec = spark.createDataFrame([("p", "end", '{"fields": []}')], "prompt string, stop string, reply string").select(F.sha2("prompt", 256).alias("prompt_sha256"), "stop", "reply")
+    assert {r["key"]: r["error"] for r in provider.reply_errors(provider.recorded(rec)(req)).collect()} == {"a": None, "b": "no text"}
+    assert one(spark, provider.sweep_findings(F.lit("- Tan Ah\n• 12 Road\nNONE\n\n"))) == ["Tan Ah", "12 Road"] and one(spark, provider.sweep_findings(F.lit("none"))) == []
+    assert '"enum":["b0"]' in one(spark, intake.box_grammar(F.array(F.lit("b0")))) and '"number"' in one(spark, intake.page_grammar()) and '"enum":["x"]' in one(spark, intake.answer_grammar(F.array(F.lit("x"))))
