@@ -39,6 +39,8 @@ from pyspark.sql import types as T
 from .common import batch, hashes, map_rows, partitions, pieces, rolled, settled, table
 
 SHINGLE, RETAINED, INDEXED, SMALL, PART = 5, 64, 24, 32, 512
+#: Ids of documents that are sent to all tasks: 16 MB at most.
+FEW = 1_000_000
 #: Least similarity in hundredths, and least estimate for a pair to be verified.
 PERCENT, ESTIMATE = 75, 0.48
 NONE = np.int32(2**31 - 1)
@@ -182,8 +184,15 @@ def _dealt(prefix: DataFrame) -> DataFrame:
     return own.union(few.select(key(F.col("p")).alias("part"), "rep", "n", "pos", "label", F.lit(1).cast("long").alias("asks")))
 
 
+def of_these(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose rep is among ids (a table already written), with what else ids has: joined where they are while the ids are few, else by shuffling both."""
+    return texts.join(F.broadcast(ids) if ids.count() <= FEW else ids, "rep")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are alike."""
+    pairs = settled(pairs, "dup-pairs")
+    texts = of_these(texts, settled(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "dup-paired"))
     names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +233,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
     # Inverted lists of values that more than one class retains.
     lists = settled(_with_sizes(classes.select("rep", "n", F.explode(F.slice("sketch", 1, INDEXED)).alias("v"))), "dup-lists")
-    listed = lists.select("rep").distinct()
-    texts = settled(docs.select(F.col("doc_id").alias("rep"), "text").join(listed, "rep", "left_semi"), "dup-texts")
-    texts = texts.dropDuplicates() if _repeats(texts, "rep") else texts
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
     near = by_list(lists.filter(F.col("df") <= SMALL), "v", ["rep", "n"], _short_pairs, "a long, b long")
     hot = lists.filter(F.col("df") > SMALL).select("v", "rep")
     led = hot.join(hot.groupBy("v").agg(F.min("rep").alias("leader")), "v").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
@@ -244,8 +251,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     # Those mostly of long lists go through an exact join on rare shingles, too.
     mostly = wide.filter(F.col("df") > SMALL).groupBy("rep").agg(F.count("*").alias("long"), F.any_value("n").alias("n"))
     mostly = mostly.filter(3 * F.col("long") >= F.least(F.col("n"), F.lit(RETAINED))).select("rep")
-    open_ = open_.join(mostly, "rep", "left_semi")
-    sets = settled(open_.join(texts, "rep").mapInArrow(_exploded, "rep long, label long, n long, sh long"), "dup-sets")
+    open_ = settled(open_.join(mostly, "rep", "left_semi"), "dup-mostly")
+    sets = settled(of_these(texts, open_).select("rep", "label", "text").mapInArrow(_exploded, "rep long, label long, n long, sh long"), "dup-sets")
     rare = sets.join(sets.groupBy("sh").agg(F.count("*").alias("df")), "sh")
     ordered = rare.groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sh"))).alias("s"))  # a document's own set
     prefix = ordered.select("rep", "label", "n", F.posexplode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))).alias("pos", "e"))
