@@ -62,7 +62,7 @@ def located_by_step(fields: DataFrame, controls: DataFrame) -> tuple[DataFrame,
     inner = F.struct("grp", "step").alias("grp")
     asked = f.select(inner, "field", "field_ord", "label")
     shown = controls.join(f.select(F.col("grp").alias("g"), "step").distinct(), F.col("grp") == F.col("g")).select(inner, "control", "control_ord", "label")
-    each = report(located(asked, shown)).select("grp.*", "matched", "intended", "match_rate", "safe_to_fill")
+    each = report(located(asked, shown)).select("grp.*", "matched", "intended", "match_rate", "safe_to_fill").persist()  # a row per step, asked for three times
     of_group = each.groupBy("grp").agg(F.count("*").alias("n"), F.bool_or("safe_to_fill").alias("some"))
     steps = each.join(of_group, "grp").withColumn("deferred", (F.col("n") > 1) & F.col("some") & ~F.col("safe_to_fill")).drop("n", "some")
     now = f.join(steps.filter("NOT deferred").select("grp", "step"), ["grp", "step"]).select("grp", "field", "field_ord", "label")

@@ -68,9 +68,10 @@ def page_scores(forms: DataFrame, controls: DataFrame) -> DataFrame:
     """
     pair = F.struct("page", "form").alias("grp")
     f = _candidates(forms, controls)
-    fields = f.join(forms, "form").select(pair, "field", "field_ord", "label", "step")
-    shown = f.join(controls, "page").select(pair, "control", "control_ord", "label")
+    fields = f.join(forms, "form").select(pair, "field", "field_ord", "label", "step").persist()
+    shown = f.join(controls, "page").select(pair, "control", "control_ord", "label").persist()
     rows, steps = located_by_step(fields, shown)
+    rows, steps = rows.persist(), steps.persist()
     whole = report(rows).select("grp", "matched", "intended", "match_rate")
     w = W.partitionBy("grp").orderBy(F.col("match_rate").desc(), F.col("matched").desc())
     several = steps.withColumn("n", F.count("*").over(W.partitionBy("grp")))
