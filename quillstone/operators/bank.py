@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,24 @@ def looked_up(asked: DataFrame, curated: DataFrame, banked: DataFrame) -> DataFr
     return j.select(*asked.columns, F.coalesce("curated", "banked").alias("form"), where.alias("found_in"))
 
 
+def nothing(spark: SparkSession) -> DataFrame:
+    """A bank that never has a form."""
+    return spark.createDataFrame([], "key string, form string")
+
+
+def banked(spark: SparkSession, folder: str | None) -> DataFrame:
+    """(key, form) of the bank in a folder, or of none where there is no folder; forms that can't be read as JSON are missing."""
+    if not folder:
+        return nothing(spark)
+    rows = spark.read.parquet(folder).select("key", "form")
+    return rows.filter(F.try_parse_json("form").isNotNull())
+
+
+def backend(folder: str | None, token: str | None) -> str:
+    """Which bank is meant: a folder before a remote store, and none where nothing is set."""
+    return "folder" if folder else "remote" if token else "none"
+
+
 def append(new: DataFrame, path: str) -> None:
     """Adds forms whose key isn't banked yet."""
     spark = new.sparkSession

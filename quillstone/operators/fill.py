@@ -105,6 +105,7 @@ def filled_page(fields: DataFrame, controls: DataFrame, values: DataFrame) -> Da
     from .match import located_by_step, report
 
     rows, _ = located_by_step(fields, controls.select("grp", "control", "control_ord", "label"))
+    rows = rows.persist()  # asked for three times
     safe = report(rows).select(F.col("grp").alias("_g"), "safe_to_fill")
     on = controls.drop("label", "control_ord")
     j = rows.drop("score").join(values, ["grp", "field"], "left").join(on, ["grp", "control"], "left").join(safe, F.col("grp") == F.col("_g"))

@@ -101,7 +101,7 @@ def enriched(scored: DataFrame) -> DataFrame:
 
 def host_matches(host: Column, patterns: Column) -> Column:
     h = F.lower(host)
-    return F.exists(patterns, lambda p: (h == _bare(p)) | h.endswith(F.concat(F.lit("."), _bare(p))))
+    return F.exists(patterns, lambda p: (_bare(p) != "") & ((h == _bare(p)) | h.endswith(F.concat(F.lit("."), _bare(p)))))
 
 
 def _bare(p: Column) -> Column:

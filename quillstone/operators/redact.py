@@ -31,8 +31,11 @@ def scrub_patterns(text: Column) -> Column:
     return text
 
 
-def pattern_pass(text: Column) -> Column:
-    """The same as struct(text, entries), with the (token, value) entries in order; each pattern is looked for once."""
+def pattern_pass(text: Column, specs: tuple = TOKENED) -> Column:
+    """The same as struct(text, entries), with the (token, value) entries in order; each pattern is looked for once.
+
+    specs: (pattern, token, first number), our own or those of a file (sources.registry.patterns).
+    """
     def one(pattern: str, base: str, start: int):
         def step(x: Column) -> Column:
             more = F.coalesce(numbered_map(x["text"], pattern, base, start), F.array().cast(ENTRIES))
@@ -41,7 +44,7 @@ def pattern_pass(text: Column) -> Column:
         return step
 
     out = F.struct(text.alias("text"), F.array().cast(ENTRIES).alias("entries"))
-    for spec in TOKENED:
+    for spec in specs:
         out = let(out, one(*spec))
     return out
 

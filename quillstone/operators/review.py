@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import iso_to_day_first, needs_recheck, short_year
 from .match import matched_option
 
+RECHECK = "check the day and month are the right way round"
 REPLY = "struct<fields:array<struct<id:string,value:string,status:string,source:string,reasoning:string>>>"
 
 
@@ -45,7 +46,7 @@ def coerced(fields: DataFrame, answers: DataFrame) -> DataFrame:
 def assembled(rows: DataFrame, mode: str = "server") -> DataFrame:
     """Review rows. server: a date that may be read two ways is held for review; redacted: only its status counts, and fill_from names the demographic."""
     attr = F.when(F.col("source").startswith("demographics."), F.substring_index("source", ".", -1))
-    recheck = F.when(needs_recheck(F.col("type"), F.col("value_str")), "check the day and month are the right way round")
+    recheck = F.when(needs_recheck(F.col("type"), F.col("value_str")), RECHECK)
     unsure = ~F.col("status").isin("extracted", "demographic")
     out = rows.withColumn("fill_from", attr)
     if mode == "redacted":
@@ -54,13 +55,40 @@ def assembled(rows: DataFrame, mode: str = "server") -> DataFrame:
 
 
 def with_demographics(rows: DataFrame, records: DataFrame) -> DataFrame:
-    """Copies a record's values into the rows that ask for them; dates of birth day first. records: claim and one column per attribute."""
+    """Copies a record's values into the rows that ask for them; dates of birth day first. records: claim and one column per attribute.
+
+    A row that asks for one stays `demographic` without a value, too. Where rows have form_insurer, it stands in for an insurer that the record hasn't.
+    """
     attrs = [c for c in records.columns if c != "claim"]
     long = records.unpivot("claim", [F.col(c).cast("string").alias(c) for c in attrs], "fill_from", "known") if len(attrs) > 1 else records.select("claim", F.lit(attrs[0]).alias("fill_from"), F.col(attrs[0]).cast("string").alias("known"))
     j = rows.join(long, ["claim", "fill_from"], "left")
     value = F.nullif(F.when(F.col("fill_from") == "dob", iso_to_day_first(F.col("known"))).otherwise(F.col("known")), F.lit(""))
+    if "form_insurer" in rows.columns:
+        value = F.when(F.col("fill_from") == "insurer", F.coalesce(value, "form_insurer")).otherwise(value)
     asked = F.col("fill_from").isNotNull()
-    return j.withColumns({"value_str": F.when(asked, value).otherwise(F.col("value_str")), "status": F.when(asked, F.when(value.isNotNull(), "demographic").otherwise("missing")).otherwise(F.col("status"))}).drop("known")
+    j = j.withColumns({"value_str": F.when(asked, value).otherwise(F.col("value_str")), "status": F.when(asked, "demographic").otherwise(F.col("status"))}).drop("known")
+    held = needs_recheck(F.col("type"), F.col("value_str"))
+    if "recheck" in j.columns:
+        j = j.withColumn("recheck", F.when(asked, F.when(held, RECHECK)).otherwise(F.col("recheck")))
+    return j.withColumn("needs_review", F.when(asked, held).otherwise(F.col("needs_review")))
+
+
+def restored(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """Answers with their tokens turned back into values; maps: claim, entries.
+
+    A value with a token that stays is blanked, missing and held for review; such a citation is dropped, and so is the reasoning of
+    what isn't inferred.
+    """
+    from .redact import ENTRIES, remerged
+
+    j = rows.join(maps.select("claim", "entries"), "claim", "left").withColumn("entries", F.coalesce("entries", F.array().cast(ENTRIES)))
+    back = remerged(F.col("value_str"), F.col("entries"))
+    lost = F.coalesce(F.size(back["unresolved"]) > 0, F.lit(False))
+    cite = lambda c: F.when(F.size(remerged(F.col(c), F.col("entries"))["unresolved"]) == 0, remerged(F.col(c), F.col("entries"))["text"])
+    new = {"_lost": lost, "value_str": F.when(~lost, back["text"]), "quote": cite("quote"), "reasoning": cite("reasoning")}
+    j = j.withColumns(new)
+    j = j.withColumns({"status": F.when(F.col("_lost"), "missing").otherwise(F.col("status")), "needs_review": F.col("_lost") | F.col("needs_review")})
+    return j.withColumn("reasoning", F.when(F.col("status") == "inferred", F.col("reasoning"))).drop("_lost", "entries")
 
 
 def has_value() -> Column:

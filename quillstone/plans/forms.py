@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evalkit, extract, fill, geometry, intake, live, panel, provider, quotes, sinks
+from ..operators import bank, evalkit, extract, fill, geometry, intake, live, match, panel, provider, quotes, review, sinks
 from ..sources import html
+from ..streaming.changes import changes, quiet
 from .queries import AS_OF, query, t
 
 NAMES = ("Tan Wei Ling", "Lim Ah Kow", "Rahmat bin Osman", "Sivakumar s/o Raju")
@@ -444,7 +445,7 @@ def page_dumps(spark, sf_dir):
 WITH c AS (SELECT o_orderkey AS k, o_orderstatus, o_orderkey % 8 AS m FROM orders WHERE o_orderkey % 3 = 1),
 r AS (SELECT k, m, f.id, f.typ FROM c, (VALUES ('name', 'demographics.full_name'), ('seen', 'llm'), ('ward', 'llm'), ('well', 'llm')) f(id, typ) WHERE m NOT IN (0, 1, 2, 3)),
 v AS (SELECT k AS claim, id, CASE id WHEN 'name' THEN CASE WHEN m = 4 THEN NULL ELSE 'Tan ' || k END WHEN 'seen' THEN CASE WHEN m = 5 THEN '05/03/24' ELSE '25/03/24' END WHEN 'ward' THEN CASE WHEN m = 6 THEN NULL ELSE 'Ward B1' END ELSE 'true' END AS value,
-        CASE id WHEN 'name' THEN CASE WHEN m = 4 THEN 'missing' ELSE 'demographic' END WHEN 'seen' THEN 'extracted' WHEN 'ward' THEN CASE WHEN m = 6 THEN 'missing' ELSE 'inferred' END ELSE 'extracted' END AS status FROM r)
+        CASE id WHEN 'name' THEN 'demographic' WHEN 'seen' THEN 'extracted' WHEN 'ward' THEN CASE WHEN m = 6 THEN 'missing' ELSE 'inferred' END ELSE 'extracted' END AS status FROM r)
 SELECT claim, id, value, status, NULL AS error FROM v
 UNION ALL SELECT k, NULL, NULL, NULL, CASE m WHEN 0 THEN 'refused' WHEN 1 THEN 'cut short' WHEN 2 THEN 'no text' ELSE 'not readable' END FROM c WHERE m IN (0, 1, 2, 3)
 """)
@@ -552,3 +553,146 @@ def proof_sheet(spark, sf_dir):
     both = sinks.proof(fields.withColumn("form", F.substring_index("field", "_", -1).cast("long"))).withColumnRenamed("form", "k")
     at = at.select(F.substring_index("f", "_", -1).cast("long").alias("j"), "o.left", "o.top")
     return both.join(at, F.col("k") == F.col("j")).select("k", "left", "top", "value_str", "value_bool")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS claim, o_orderkey % 6 AS m, o_custkey % 3 = 0 AS blank FROM orders WHERE o_orderkey % 5 = 2),
+f AS (SELECT claim, m, blank, v.id FROM r, (VALUES ('who'), ('note'), ('payer'), ('born')) v(id))
+SELECT claim, id, CASE id WHEN 'who' THEN CASE WHEN m < 2 THEN 'Seen by Tan ' || claim WHEN m < 4 THEN NULL ELSE 'plain' END WHEN 'note' THEN 'ok' WHEN 'payer' THEN CASE WHEN blank THEN 'Form Mutual' ELSE 'Own Mutual' END ELSE CASE WHEN m = 0 THEN '25/03/1970' ELSE '04/03/1970' END END AS value,
+       CASE id WHEN 'who' THEN CASE WHEN m IN (2, 3) THEN 'missing' ELSE 'extracted' END WHEN 'note' THEN 'inferred' ELSE 'demographic' END AS status,
+       CASE id WHEN 'who' THEN m IN (2, 3) WHEN 'note' THEN true WHEN 'payer' THEN false ELSE m <> 0 END AS needs_review,
+       CASE WHEN id = 'who' AND m NOT IN (2, 3) THEN NULL WHEN id = 'note' THEN 'as Tan ' || claim || ' said' END AS reasoning FROM f
+""")
+def claim_rows(spark, sf_dir):
+    """Orders as claims: tokens turned back or, where one stays, the value blanked; details copied in, the insurer from the form where there is none."""
+    o = t(spark, sf_dir, "orders").filter("o_orderkey % 5 = 2").select(F.col("o_orderkey").alias("claim"), (F.col("o_orderkey") % 6).alias("m"), (F.col("o_custkey") % 3 == 0).alias("blank"))
+    kinds = (("who", "text", "llm"), ("note", "text", "llm"), ("payer", "text", "demographics.insurer"), ("born", "date", "demographics.dob"))
+    f = o.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("id"), F.lit(b).alias("type"), F.lit(c).alias("source")) for a, b, c in kinds])).alias("x")).select("claim", "m", "x.*")
+    who = F.when(F.col("m") < 2, "Seen by [PATIENT]").when(F.col("m") < 4, "By [NRIC_7] and [PATIENT]").otherwise("plain")
+    value = F.when(F.col("id") == "who", who).when(F.col("id") == "note", "ok")
+    rows = f.select("claim", "id", "type", "source", value.alias("value_str"), F.lit(None).cast("boolean").alias("value_bool"), F.when(F.col("id") == "who", "extracted").when(F.col("id") == "note", "inferred").otherwise("missing").alias("status"), F.lit("by [PATIENT]").alias("quote"), F.lit("as [PATIENT] said").alias("reasoning"), F.lit("Form Mutual").alias("form_insurer"))
+    name = F.concat(F.lit("Tan "), F.col("claim").cast("string"))
+    maps = o.select("claim", F.array(F.struct(F.lit("[PATIENT]").alias("token"), name.alias("value"))).alias("entries"))
+    records = o.select("claim", F.when(F.col("blank"), "").otherwise("Own Mutual").alias("insurer"), F.when(F.col("m") == 0, "1970-03-25").otherwise("1970-03-04").alias("dob"))
+    got = review.restored(review.with_demographics(review.assembled(rows), records), maps)
+    return got.select("claim", "id", F.col("value_str").alias("value"), "status", "needs_review", "reasoning")
+
+
+@query("""
+WITH p AS (SELECT page_id, substr(sha256(html), 1, 32) AS key FROM pages), c AS (SELECT key, max(page_id) AS page FROM p WHERE page_id % 4 = 0 GROUP BY key), b AS (SELECT DISTINCT key FROM p WHERE page_id % 3 = 0)
+SELECT page_id, CASE WHEN c.key IS NOT NULL THEN 'form ' || lpad(c.page::VARCHAR, 9, '0') WHEN b.key IS NOT NULL THEN '{"kept":1}' END AS form, CASE WHEN c.key IS NOT NULL THEN 'curated' WHEN b.key IS NOT NULL THEN 'banked' END AS found_in
+FROM p LEFT JOIN c USING (key) LEFT JOIN b USING (key)
+""")
+def known_forms(spark, sf_dir):
+    """Pages asked for by their bytes: our own forms come before the bank's, and of two of ours with the same bytes the later by name counts."""
+    p = t(spark, sf_dir, "pages").select("page_id", F.encode("html", "utf-8").alias("content"))
+    name = F.concat(F.lit("form "), F.lpad(F.col("page_id").cast("string"), 9, "0"))
+    curated = sinks.curated_index(p.filter("page_id % 4 = 0").select(name.alias("form_id"), "content")).withColumnRenamed("form_id", "form")
+    kept = p.filter("page_id % 3 = 0").select(bank.key(F.col("content")).alias("key"), F.lit('{"kept":1}').alias("form"))
+    return bank.looked_up(p.select("page_id", bank.key(F.col("content")).alias("key")), curated, kept).select("page_id", "form", "found_in")
+
+
+@query("""
+WITH e AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events), q AS (SELECT * FROM e WHERE nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) >= 3600000000),
+c AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM q)
+SELECT event_id, user_id, event_type FROM c WHERE was IS DISTINCT FROM event_type
+""")
+def settled_changes(spark, sf_dir):
+    """Events after which a user is quiet for an hour, where their type differs from that of the quiet point before."""
+    q = quiet(t(spark, sf_dir, "events"), "user_id", "ts", ["event_id"], 3600)
+    return changes(q, "user_id", ["ts", "event_id"], F.col("event_type")).select("event_id", "user_id", "event_type")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_id % 50 = 0), r AS (SELECT e.user_id AS page, e.event_type AS label FROM events e WHERE e.user_id NOT IN (SELECT user_id FROM c))
+SELECT page, CAST(count(*) AS BIGINT) AS n, count(*)::VARCHAR AS text FROM r GROUP BY page
+""")
+def after_change(spark, sf_dir):
+    """Users' events as answers to their pages' questions: those of pages that changed go, the others are counted."""
+    e = t(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.col("event_type").alias("label"), "event_id")
+    return panel.questions_left(panel.after_change(e, e.filter("event_id % 50 = 0"))).select("page", "n", "text")
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS form, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS filled, count(*) AS planned FROM orders GROUP BY ALL)
+SELECT form, CAST(filled AS BIGINT) AS filled, CAST(planned AS BIGINT) AS planned, false AS refused FROM r
+""")
+def filled_counts(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("form"), F.when(F.col("o_orderkey") % 3 == 0, "filled").otherwise("skipped").alias("status"), F.when(F.col("o_orderkey") % 3 != 0, "no value").alias("reason"))
+    return fill.filled_counts(o)
+
+
+@query("""
+WITH f AS (SELECT p_brand AS form, string_agg('"b' || (n - 1) || '"', ',' ORDER BY n) AS refs FROM (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_size = 3) GROUP BY 1)
+SELECT form, '{"type":"object","properties":{"boxes":{"type":"array","items":{"type":"object","properties":{"ref":{"type":"string","enum":[' || refs || ']},"label":{"type":"string"},"description":{"type":"string"},"type":{"type":"string","enum":["text","date","checkbox"]},"options":{"type":"array","items":{"type":"string"}},"include":{"type":"boolean"}},"required":["ref","label","description","type","options","include"],"additionalProperties":false}}},"required":["boxes"],"additionalProperties":false}' AS boxes,
+ '{"type":"object","properties":{"fields":{"type":"array","items":{"type":"object","properties":{"id":{"type":"string","enum":[' || refs || ']},"value":{"type":"string"},"status":{"type":"string","enum":["extracted","inferred","missing"]},"source":{"type":"string"},"reasoning":{"type":"string"}},"required":["id","value","status","source","reasoning"],"additionalProperties":false}}},"required":["fields"],"additionalProperties":false}' AS answers FROM f
+""")
+def reply_grammars(spark, sf_dir):
+    """What replies about a brand's boxes and questions must look like."""
+    p = t(spark, sf_dir, "part").filter("p_size = 3").select(F.col("p_brand").alias("form"), F.lit(1).alias("page"), F.col("p_partkey").alias("ord"))
+    refs = intake.pages_of(p).groupBy("form").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "ref"))), lambda x: x["ref"]).alias("refs"))
+    return refs.select("form", intake.box_grammar(F.col("refs")).alias("boxes"), intake.answer_grammar(F.col("refs")).alias("answers"))
+
+
+@query("""
+WITH w AS (SELECT p_brand AS form, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n, p_name, p_size FROM part WHERE p_size <= 4),
+l AS (SELECT form, string_agg('<box ref="b' || n || '" pdf_name="' || p_name || '" type="' || CASE WHEN p_size = 1 THEN 'checkbox' WHEN p_size = 2 THEN 'choice' ELSE 'text' END || '" nearby="Near | ' || p_size || '"' || CASE WHEN p_size < 3 THEN ' accepts="Yes | No"' ELSE '' END || ' />', chr(10) ORDER BY k) AS lines FROM w GROUP BY form)
+SELECT form, '<page number="1">' || chr(10) || '<printed_text>' || chr(10) || 'Printed ' || form || chr(10) || '</printed_text>' || chr(10) || '<boxes>' || chr(10) || lines || chr(10) || '</boxes>' || chr(10) || '</page>' AS prompt FROM l
+""")
+def page_prompts(spark, sf_dir):
+    """Small parts as the boxes of their brand's page, as a reader of pages is asked about them."""
+    n, none = F.col("p_size"), F.array().cast("array<string>")
+    w = t(spark, sf_dir, "part").filter("p_size <= 4").select(F.col("p_brand").alias("form"), F.lit(1).alias("page"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.when(n == 1, "/Btn").when(n == 2, "/Ch").otherwise("/Tx").alias("kind"), F.when(n < 3, F.array(F.lit("Yes"), F.lit("No"))).otherwise(none).alias("states"), F.array(F.lit("Near"), n.cast("string")).alias("nearby"))
+    printed = w.select("form", "page", F.concat(F.lit("Printed "), "form").alias("text")).distinct()
+    return intake.page_prompts(w, printed).select("form", "prompt")
+
+
+@query("""
+WITH f AS (SELECT p_brand AS form, string_agg('{"id":"f' || p_partkey || '","type":"text","description":"' || CASE WHEN p_size = 2 THEN '' ELSE p_type END || '"' || CASE WHEN p_size = 1 THEN ',"options":["a","b"]' ELSE '' END || '}', ',' ORDER BY p_partkey) AS qs FROM part WHERE p_size <= 3 AND p_partkey % 5 > 0 GROUP BY p_brand)
+SELECT form, '[' || qs || ']' AS questions FROM f
+""")
+def question_lines(spark, sf_dir):
+    """Small parts as questions of their brand's form; those that the patient's details answer aren't asked."""
+    n, k, none = F.col("p_size"), F.col("p_partkey"), F.array().cast("array<string>")
+    f = t(spark, sf_dir, "part").filter("p_size <= 3").select(F.col("p_brand").alias("form"), k.alias("ord"), F.concat(F.lit("f"), k.cast("string")).alias("id"), F.lit("text").alias("type"), F.when(k % 5 > 0, "llm").otherwise("demographics.dob").alias("source"), F.when(n != 2, F.col("p_type")).alias("description"), F.when(n == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(none).alias("options"))
+    return provider.question_lines(f)
+
+
+@query("""
+WITH f AS (SELECT c_nationkey AS n, CASE WHEN c_custkey % 4 = 0 THEN 'upload_' || md5(c_custkey::VARCHAR) ELSE 'form_' || c_custkey END AS form_id, c_custkey AS k, c_name, c_mktsegment FROM customer)
+SELECT form_id, k || ':' || c_mktsegment || ':text' AS fields, CASE WHEN k % 4 = 0 THEN '{"fields":[{"id":"' || k || '","label":"' || c_mktsegment || '","type":"text"}]}' END AS schema FROM f
+""")
+def upload_rows(spark, sf_dir):
+    """Customers as forms of one field, a quarter of them uploaded: these alone carry their schema."""
+    k = F.col("c_custkey")
+    uid = F.when(k % 4 == 0, F.concat(F.lit("upload_"), F.md5(k.cast("string").cast("binary")))).otherwise(F.concat(F.lit("form_"), k.cast("string")))
+    one = F.struct(k.cast("string").alias("id"), F.col("c_mktsegment").alias("label"), F.lit("text").alias("type"))
+    got = sinks.upload_rows(t(spark, sf_dir, "customer").select(uid.alias("form_id"), F.array(one).alias("fields")))
+    return got.select("form_id", F.array_join(F.transform("fields", lambda x: F.concat_ws(":", x["id"], x["label"], x["type"])), ",").alias("fields"), "schema")
+
+
+@query("""
+WITH g AS (SELECT p_brand AS grp, p_partkey AS k, p_size % 4 AS m FROM part WHERE p_size <= 20),
+b AS (SELECT grp, count(*) AS n FROM g GROUP BY grp)
+SELECT g.grp AS form, k AS field, CASE WHEN b.n < 3 THEN 'skipped' WHEN m = 0 THEN 'skipped' WHEN m = 1 THEN 'skipped' ELSE 'filled' END AS status, CASE WHEN b.n < 3 THEN 'match is not safe' WHEN m = 0 THEN 'no value' WHEN m = 1 THEN 'already answered' END AS reason FROM g JOIN b USING (grp)
+""")
+def filled_page(spark, sf_dir):
+    """Parts as a brand's questions on a page that shows the same: located anew and written where nothing stands."""
+    p = t(spark, sf_dir, "part").filter("p_size <= 20")
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    label = F.concat(F.lit("q"), k.cast("string"))
+    fields = p.select(F.col("p_brand").alias("grp"), k.alias("field"), k.alias("field_ord"), label.alias("label"), F.lit("").alias("step"))
+    controls = p.select(F.col("p_brand").alias("grp"), k.alias("control"), k.alias("control_ord"), label.alias("label"), F.lit("text").alias("type"), F.when(F.col("p_size") % 4 == 1, "set").alias("existing"), none.alias("shown"), F.lit(False).alias("checked"), F.lit(False).alias("disabled"), F.lit(False).alias("read_only"), F.lit(None).cast("array<string>").alias("options"), F.lit(None).cast("array<string>").alias("option_values"))
+    values = p.select(F.col("p_brand").alias("grp"), k.alias("field"), F.when(F.col("p_size") % 4 != 0, "x").alias("value"))
+    return fill.filled_page(fields, controls, values)
+
+
+@query("""
+WITH x AS (SELECT p_partkey, p_type, p_size FROM part)
+SELECT p_partkey AS k, p_size % 3 = 0 AS hit, CASE WHEN p_size % 2 = 0 THEN upper(substr('date of birth', 1, 1)) || substr('date of birth', 2) ELSE p_type END AS shown FROM x
+""")
+def hosts_and_labels(spark, sf_dir):
+    """Hosts of parts against a form's patterns, and what a field is called."""
+    n = F.col("p_size")
+    host = F.when(n % 3 == 0, F.when(n % 2 == 0, "Claims.Insurer.SG").otherwise("insurer.sg")).otherwise("notinsurer.sg")
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), match.host_matches(host, F.array(F.lit("*.insurer.sg"), F.lit(""))).alias("hit"), text.display_label(F.when(n % 2 != 0, F.col("p_type")), F.lit("date_of_birth")).alias("shown"))

@@ -14,6 +14,13 @@ def scrubbed(notes: DataFrame) -> DataFrame:
     return notes.withColumn("redacted_text", scrub_patterns(F.col("text")))
 
 
+def quiet(events: DataFrame, key: str, at: str, order: list[str], seconds: float) -> DataFrame:
+    """The events of a key after which none follows for so many seconds: where a debounced rule would run."""
+    w = W.partitionBy(key).orderBy(at, *order)
+    gap = F.timestamp_diff("MICROSECOND", F.col(at), F.lead(F.col(at)).over(w))
+    return events.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= int(seconds * 1e6))).drop("_gap")
+
+
 def changes(events: DataFrame, key: str, order: list[str], signature: Column) -> DataFrame:
     """The rows at which a key's signature differs from the one before; the first counts as a change."""
     w = W.partitionBy(key).orderBy(*order)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import dates, patterns, text
 from quillstone.operators import bank, dumps, evalkit, extract, fill, geometry, intake, match, provider, quotes, redact, review, sinks
-from quillstone.sources import html
+from quillstone.sources import html, registry
 from quillstone.streaming.changes import scrubbed
 
 AS_OF = datetime.date(2026, 1, 1)
@@ -114,7 +114,7 @@ def test_bank_quotes_geometry_and_scores(spark):
     asked = spark.createDataFrame([(1, "has a cold"), (2, "has no"), (3, "patient")], "quote_id long, quote string")
     assert {(r["quote_id"], r["hits"]) for r in quotes.located(notes, asked).collect()} == {(1, 2), (3, 1)}
     f = lambda *a: one(spark, geometry.sane_box(*[F.lit(float(x)) for x in (*a, 600, 800)]))
-    assert f(0.1, 0.1, 0.2, 0.05)["x"] == 60 and f(0.1, 0.1, 0.9, 0.9) is None and f(-0.01, 0, 0.1, 0.1) is None and f(0.95, 0.1, 0.06, 0.1)["w"] == 30 and f(0.95, 0.1, 0.08, 0.1) is None and f(float("inf"), 0, 0.1, 0.1) is None and f(float("nan"), 0, 0.1, 0.1) is None
+    assert f(0.1, 0.1, 0.2, 0.05)["x"] == 60 and f(0.1, 0.1, 0.9, 0.9) is None and f(-0.01, 0, 0.1, 0.1) is None and round(f(0.95, 0.1, 0.06, 0.1)["w"], 6) == 30 and f(0.95, 0.1, 0.08, 0.1) is None and f(float("inf"), 0, 0.1, 0.1) is None and f(float("nan"), 0, 0.1, 0.1) is None
     cases = spark.createDataFrame([("a", "saw TAN at home", ["Tan", "S12"], ["home", "fever"], False)], "id string, redacted string, must_not_survive array<string>, must_survive array<string>, sweep_only boolean")
     assert tuple(evalkit.leak_metrics(cases).first()) == ("a", 1, 1)
 
@@ -130,7 +130,7 @@ def test_html_inventory(spark):
 def test_inline_labels_and_insurers(spark):
     note = "NRIC S8012345D  DOB 14/03/1978\nHP 9123 4567 / 6123 4567\nPolicy discussed with patient, Clinic tel 62551234\nCovered by AIA Singapore (GHS plan)"
     got = {r["field"]: (r["value"], r["how"], r["choices"]) for r in extract.parsed(spark.createDataFrame([(1, note), (2, None), (3, "")], "note_id long, text string"), F.lit(AS_OF)).collect()}
-    assert got["nric"] == ("S8012345D", "labelled-inline", None) and got["dob"] == ("1978-03-14", "labelled-inline", None)
+    assert got["nric"] == ("S8012345D", "header-line", None) and got["dob"] == ("1978-03-14", "header-line", None)  # two fields and no prose make a header
     assert got["phone"] == (None, None, ["9123 4567", "6123 4567"]) and got["insurer"] == ("AIA", "sole-match", None) and "policy_number" not in got
     assert one(spark, extract.insurer_of(F.lit("great  eastern LIFE"))) == "Great Eastern" and one(spark, extract.insurer_of(F.lit("AIA or Bupa"))) is None
     kept = spark.createDataFrame([(1, "Insurer: Acme Mutual\nNRIC: none")], "note_id long, text string")
@@ -233,3 +233,34 @@ def test_replies_need_a_recording(spark):
     assert {r["key"]: r["error"] for r in provider.reply_errors(provider.recorded(rec)(req)).collect()} == {"a": None, "b": "no text"}
     assert one(spark, provider.sweep_findings(F.lit("- Tan Ah\n• 12 Road\nNONE\n\n"))) == ["Tan Ah", "12 Road"] and one(spark, provider.sweep_findings(F.lit("none"))) == []
     assert '"enum":["b0"]' in one(spark, intake.box_grammar(F.array(F.lit("b0")))) and '"number"' in one(spark, intake.page_grammar()) and '"enum":["x"]' in one(spark, intake.answer_grammar(F.array(F.lit("x"))))
+
+
+def test_pattern_files_fail_closed(spark, tmp_path):
+    import json
+
+    import pytest
+
+    good = {"patterns": [{"field": f, "regex": r, "ignore_case": f == "nric", "token": f.upper(), "start": n} for f, r, n in (("nric", r"\b[STFGM]\d{7}[A-Z]\b", 2), ("phone", r"\b\d{8}\b", 2), ("email", r"\S+@\S+", 1))], "shields": [{"regex": "Clinic", "ignore_case": False}]}
+    (tmp_path / "p.json").write_text(json.dumps(good))
+    specs, shields = registry.patterns(spark, str(tmp_path / "p.json"))
+    got = one(spark, redact.pattern_pass(F.col("t"), specs), t="s1234567d or 91234567 or a@b.sg")
+    assert got["text"] == "[NRIC_2] or [PHONE_2] or [EMAIL_1]" and shields == ("(?U)Clinic",)
+    for body in ("{", "{}", json.dumps({"patterns": good["patterns"][:2]})):
+        (tmp_path / "bad.json").write_text(body)
+        with pytest.raises(registry.PatternError):
+            registry.patterns(spark, str(tmp_path / "bad.json"))
+
+
+def test_requests_corpora_and_banks(spark, tmp_path):
+    raw = spark.createDataFrame([(1, '{"fields": [{"label": "Name", "instance": 2}], "redacted_text": "x"}'), (2, "{"), (3, None), (4, "[]")], "request_id int, body string")
+    got = {r["request_id"]: (r["error"], r["redacted_text"], r["fields"]) for r in registry.requests(raw, "map-redacted").collect()}
+    assert got[1][:2] == (None, "x") and got[1][2][0]["instance"] == 2 and [got[k][0] for k in (2, 3, 4)] == ["not readable"] * 3
+    (tmp_path / "c.json").write_text('{"cases": [{"id": "a", "note": "n", "record": {"full_name": "Tan", "dob": "1970-01-02", "phone": ""}}]}')
+    cases = registry.corpus(spark, str(tmp_path / "c.json"), "struct<id:string,note:string,record:struct<full_name:string,nric:string,dob:string,phone:string,address:string,policy_number:string>>")
+    r = evalkit.case_records(cases).first()
+    assert (r["full_name"], r["nric"], r["dob"], r["phone"], r["clinical_text"]) == ("Tan", "", datetime.date(1970, 1, 2), None, "n")
+    folder = str(tmp_path / "bank")
+    bank.append(spark.createDataFrame([("k", '{"a": 1}'), ("bad", "{")], "key string, form string"), folder)
+    bank.append(spark.createDataFrame([("k", '{"a": 2}'), ("n", '{"b": 1}')], "key string, form string"), folder)
+    assert {tuple(x) for x in bank.banked(spark, folder).collect()} == {("k", '{"a": 1}'), ("n", '{"b": 1}')} and bank.banked(spark, None).count() == 0
+    assert [bank.backend(*x) for x in (("d", "t"), (None, "t"), ("", None))] == ["folder", "remote", "none"]
