@@ -40,6 +40,7 @@ PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 #: Bytes of a stream that are looked up at once, pixels among which repeats are sought, and least length of one.
 SPAN, NEARBY, REPEAT = 1 << 12, 1 << 19, 8
 CACHE_MULT = 0x1E35A7BD
+MIX, PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(NEARBY - 1)
 EIGHT = np.arange(8)
 
 
@@ -427,7 +428,7 @@ def decode(data: bytes) -> np.ndarray:
         else:
             n = bits.read(8) + 1
             deltas = read_pixels(bits, n, 1, False)
-            colours = _joined(*(np.cumsum(c) for c in _channels(deltas)))
+            colours = np.cumsum(deltas.view(np.uint8).reshape(-1, 4), 0, np.uint8).view(np.uint32).reshape(-1)  # each channel by itself
             pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             undo.append((kind, wide, pack, colours))
             wide = -(-wide >> pack)
@@ -442,8 +443,8 @@ def decode(data: bytes) -> np.ndarray:
         elif kind == CROSS:
             pixels = _cross(pixels, _per_block(values, own, height, shift), 1)
         elif kind == GREEN:
-            a, r, g, b = _channels(pixels)
-            pixels = _joined(a, r + g, g, b + g)
+            green = pixels >> 8 & 255
+            pixels = pixels & 0xFF00FF00 | (pixels & 0x00FF00FF) + (green << 16 | green) & 0x00FF00FF
         else:
             index = (pixels >> 8 & 255).reshape(height, -1)
             if shift:
@@ -717,7 +718,9 @@ def _repeats(samples: np.ndarray, least: int = REPEAT, most: int = 4096) -> list
         if len(own) <= least:
             break
         key = np.ndarray(len(own) - 7, "<u8", own.tobytes(), 0, 1)
-        order = np.argsort(key, kind="stable")
+        order = key * MIX & ~PLACE | np.arange(len(key), dtype=np.uint64)  # by a hash, then by place
+        order.sort()
+        order = (order & PLACE).astype(np.int64)
         k = key[order]
         same = np.flatnonzero(k[1:] == k[:-1])
         if not len(same):
