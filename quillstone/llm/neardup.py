@@ -177,7 +177,7 @@ def _dealt(prefix: DataFrame) -> DataFrame:
     """Lists in parts of about PART rows: the rows of a list's largest label are dealt to its parts, the others too, and these also ask in each part."""
     by_label = prefix.groupBy("sh", "label").agg(F.count("*").alias("c"))
     of = by_label.groupBy("sh").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
-    rows = prefix.join(of, "sh").withColumn("parts", F.ceil(F.col("all") / PART).cast("int"))
+    rows = prefix.join(settled(of, "dup-parts"), "sh").withColumn("parts", F.ceil(F.col("all") / PART).cast("int"))
     key = lambda part: F.xxhash64("sh", part)
     own = rows.select(key(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).alias("part"), "rep", "n", "pos", "label", F.lit(0).cast("long").alias("asks"))
     few = rows.filter("label <> most").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -236,13 +236,13 @@ def _grouped(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
     near = by_list(lists.filter(F.col("df") <= SMALL), "v", ["rep", "n"], _short_pairs, "a long, b long")
     hot = lists.filter(F.col("df") > SMALL).select("v", "rep")
-    led = hot.join(hot.groupBy("v").agg(F.min("rep").alias("leader")), "v").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    led = hot.join(settled(hot.groupBy("v").agg(F.min("rep").alias("leader")), "dup-leaders"), "v").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     first = settled(verified(likely(near.union(led).distinct(), classes), texts), "dup-links")
 
     # Documents of long lists that the first links leave in several parts meet in the short lists of all they retain.
     labels = first.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label"))
     marked = hot.join(labels, "rep", "left").select("v", "rep", F.coalesce("label", "rep").alias("label"))
-    split = marked.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("v")
+    split = settled(marked.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("v"), "dup-split")
     open_ = settled(marked.join(split, "v", "left_semi").select("rep", "label").distinct(), "dup-open")
     wide = settled(_with_sizes(classes.join(open_, "rep").select("rep", "n", "label", F.explode("sketch").alias("v"))), "dup-wide")
     again = by_list(wide.filter(F.col("df") <= SMALL), "v", ["rep", "n", "label"], _short_pairs, "a long, b long").distinct()
@@ -269,8 +269,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
 
 def _with_sizes(postings: DataFrame) -> DataFrame:
-    """Postings of lists of two or more, with the list's size as df."""
-    return postings.join(postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "v")
+    """Postings of lists of two or more, with the list's size as df. What is joined to a hot list's rows is a table of its own here and below, so that they can be split over tasks."""
+    return postings.join(settled(postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "dup-sizes"), "v")
 
 
 def _repeats(rows: DataFrame, key: str) -> bool:
