@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.text import squashed
 
 
+#: Quotes that are sent to all tasks.
+FEW = 100_000
+
+
 def _found(n: DataFrame, quotes: DataFrame, anchor: int) -> DataFrame:
     """The rows of n (note_id, t, ...) with each different q that their t holds anywhere, the quotes' rows aside.
 
     Where a quote occurs, all its words but the first and the last are whole words of the note: the note's first and last
-    may go on beyond it. So notes and quotes meet by runs of at most `anchor` of these inner words; quotes of one or two
-    words have none and are compared with each note.
+    may go on beyond it. So notes and quotes meet by hashes of runs of at most `anchor` of these inner words; quotes of one or
+    two words have none and are compared with each note. While the quotes are few they are sent to the notes, whose runs then
+    don't move; what meets is compared letter by letter.
     """
     w = F.split("q", " ")
     k = F.greatest(F.lit(0), F.least(F.lit(anchor), F.size(w) - 2))
-    q = quotes.select("q").distinct().withColumn("k", k).withColumn("key", F.array_join(F.slice(w, F.lit(2), F.col("k")), " "))
-    lengths = sorted(r[0] for r in q.select("k").distinct().collect())  # at most anchor + 1 values
+    q = quotes.select("q").distinct().withColumn("k", k).withColumn("key", F.xxhash64(F.array_join(F.slice(w, F.lit(2), F.col("k")), " ")))
+    counts = {r[0]: r[1] for r in q.groupBy("k").count().collect()}  # at most anchor + 1 rows
+    lengths, few = sorted(counts), sum(counts.values()) <= FEW
     words = n.select("note_id", F.split("t", " ").alias("w"))
 
     def runs(k: int) -> DataFrame:
         """Each note's different runs of k words."""
-        keys = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
+        keys = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
         return words.filter(F.size("w") >= k).select("note_id", F.lit(k).alias("k"), F.explode(F.array_distinct(keys)).alias("key"))
 
     out = n.crossJoin(q.filter("k = 0").select("q")).filter(F.contains("t", "q")) if not lengths or lengths[0] == 0 else None
@@ -32,7 +38,7 @@ def _found(n: DataFrame, quotes: DataFrame, anchor: int) -> DataFrame:
         if k:
             grams = runs(k) if grams is None else grams.union(runs(k))
     if grams is not None:
-        pairs = grams.join(q, ["k", "key"]).select(F.col("note_id").alias("of"), "q").distinct()
+        pairs = grams.join(F.broadcast(q) if few else q, ["k", "key"]).select(F.col("note_id").alias("of"), "q").distinct()
         more = n.join(pairs, F.col("note_id").eqNullSafe(F.col("of"))).drop("of").filter(F.contains("t", "q"))
         out = more if out is None else out.union(more)
     return out

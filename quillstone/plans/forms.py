@@ -696,3 +696,93 @@ def hosts_and_labels(spark, sf_dir):
     n = F.col("p_size")
     host = F.when(n % 3 == 0, F.when(n % 2 == 0, "Claims.Insurer.SG").otherwise("insurer.sg")).otherwise("notinsurer.sg")
     return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), match.host_matches(host, F.array(F.lit("*.insurer.sg"), F.lit(""))).alias("hit"), text.display_label(F.when(n % 2 != 0, F.col("p_type")), F.lit("date_of_birth")).alias("shown"))
+
+
+@query("""
+SELECT p_partkey AS k, CASE WHEN p_size % 7 = 0 THEN 'encrypted' WHEN p_size % 5 = 0 THEN 'no pages' WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'scan' ELSE 'nowhere to write' END AS why,
+       CASE WHEN p_size % 7 = 0 THEN 'encrypted' WHEN p_size % 5 = 0 THEN 'no pages' END AS why_rendered FROM part
+""")
+def intake_refusals(spark, sf_dir):
+    """Parts as uploads: why each can't be taken in, without and with a way to render pages."""
+    n = F.col("p_size")
+    why = lambda render: geometry.refusal(n % 7 == 0, F.when(n % 5 == 0, 0).otherwise(2), n % 3 == 0, n % 2 != 0, render)
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), why(False).alias("why"), why(True).alias("why_rendered"))
+
+
+WORDS = ("true", " Yes", "Y", "ON", "checked", "1", "false", "no ", "N", "Off", "unchecked", "0", "maybe", "", "yes please")
+
+
+@query("""
+SELECT p_partkey AS k, CASE WHEN p_partkey % 15 < 6 THEN true WHEN p_partkey % 15 < 12 THEN false END AS intent FROM part
+""")
+def tick_words(spark, sf_dir):
+    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), fill.tick_intent(F.element_at(F.array(*map(F.lit, WORDS)), (F.col("p_partkey") % 15 + 1).cast("int"))).alias("intent"))
+
+
+@query("""
+SELECT o_orderkey, strftime(o_orderdate, '%-d %B %Y') || CASE WHEN day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) THEN ' (or ' || strftime(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)), '%-d %B %Y') || ')' ELSE '' END AS said FROM orders
+""")
+def readable_dates(spark, sf_dir):
+    from ..functions import dates
+
+    return t(spark, sf_dir, "orders").select("o_orderkey", dates.readable(dates.day_first(F.col("o_orderdate"))).alias("said"))
+
+
+@query("""
+WITH f AS (SELECT o_orderkey, unnest([strftime(o_orderdate, '%d/%m/%Y'), strftime(o_orderdate, '%-d/%-m/%Y'), strftime(o_orderdate, '%d/%m/%y'), strftime(o_orderdate, '%d-%m-%Y'), strftime(o_orderdate, '%-d-%-m-%Y'), strftime(o_orderdate, '%d.%m.%Y'), strftime(o_orderdate, '%-d.%-m.%Y'), strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%-d %b %Y'), strftime(o_orderdate, '%d %b %Y'), strftime(o_orderdate, '%-d %B %Y'), strftime(o_orderdate, '%d %B %Y')]) AS s FROM orders WHERE o_orderkey % 4 = 0),
+d AS (SELECT DISTINCT o_orderkey, s FROM f)
+SELECT o_orderkey, string_agg(s, '|' ORDER BY length(s) DESC, s) AS forms FROM d GROUP BY o_orderkey
+""")
+def birth_renderings(spark, sf_dir):
+    """The ways in which a date may stand in a note, the longest first."""
+    from ..functions import dates
+
+    o = t(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select("o_orderkey", dates.renderings(F.col("o_orderdate")).alias("r"))
+    falls = F.forall(F.sequence(F.lit(1), F.size("r") - 1), lambda i: F.length(F.get("r", i - 1)) >= F.length(F.get("r", i)))
+    ordered = F.array_sort(F.transform("r", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    return o.select("o_orderkey", F.when(falls, F.array_join(F.transform(ordered, lambda y: y["x"]), "|")).alias("forms"))
+
+
+@query("""
+SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN 'a b c' WHEN 2 THEN 'Uploaded form' WHEN 3 THEN 'Uploaded form' ELSE left(repeat('x', 100), 80) END AS shown,
+       CASE WHEN p_partkey % 2 = 0 THEN md5(p_name) END AS key, p_partkey % 3 = 0 AS valid FROM part
+""")
+def names_and_keys(spark, sf_dir):
+    """File names as a bank shows them, form ids and hashes."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    file = F.when(k % 5 == 0, F.concat(F.lit("C:\\docs\\"), name, F.lit(".PDF"))).when(k % 5 == 1, "/x/a*b?  c.pdf").when(k % 5 == 2, ".hidden.pdf").when(k % 5 == 3, "x/??.pdf").otherwise(F.concat(F.repeat(F.lit("x"), 100), F.lit(".pdf")))
+    digest = F.md5(name.cast("binary"))
+    ident = F.when(k % 2 == 0, bank.form_id(digest)).otherwise(F.concat(F.lit("upload_x"), digest))
+    asked = F.when(k % 3 == 0, F.upper(F.sha2(name, 256))).when(k % 3 == 1, F.lit("abc")).otherwise(F.concat(F.lit("z"), digest))
+    return t(spark, sf_dir, "part").select(k.alias("k"), bank.display_name(file).alias("shown"), bank.key_of(ident).alias("key"), bank.valid_hash(asked).alias("valid"))
+
+
+@query("""
+WITH x AS (SELECT p_partkey AS k, ['None of the above.', 'N/A', 'not  applicable (NA)', 'Nil', 'None whatsoever', ''][p_partkey % 6 + 1] AS label, CASE WHEN p_partkey % 4 = 0 THEN 'none' ELSE p_type END AS value FROM part)
+SELECT k, CASE k % 6 WHEN 4 THEN false WHEN 5 THEN k % 4 = 0 ELSE true END AS none FROM x
+""")
+def none_options(spark, sf_dir):
+    """Options that say none of the others, by their labels and, where there is none, their values."""
+    k = F.col("p_partkey")
+    label = F.element_at(F.array(*map(F.lit, ("None of the above.", "N/A", "not  applicable (NA)", "Nil", "None whatsoever", ""))), (k % 6 + 1).cast("int"))
+    return t(spark, sf_dir, "part").select(k.alias("k"), match.is_none_option(label, F.when(k % 4 == 0, "none").otherwise(F.col("p_type"))).alias("none"))
+
+
+@query("""
+SELECT c_custkey, '[PATIENT] came with [REDACTED_1], lives at ' || CASE WHEN c_custkey % 2 = 0 THEN '[REDACTED_2]' ELSE 'home' END || '.' AS redacted_text, CAST(4 + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_entries,
+       c_name || ' came with Dr  Koh, lives at ' || CASE WHEN c_custkey % 2 = 0 THEN '12 Lor Ah Soo' ELSE 'home' END || '. [GONE_3]' AS back FROM customer
+""")
+def swept_notes(spark, sf_dir):
+    """Notes about customers that a sweep looked over after the two passes, and the tokens turned back."""
+    from ..operators import redact
+
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    home = F.when(k % 2 == 0, "12 Lor Ah Soo").otherwise("home")
+    note = F.concat("c_name", F.lit(" came with Dr  Koh, lives at "), home, F.lit("."))
+    n = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("full_name"), F.lit("").alias("nric"), F.lit("1950-01-01").cast("date").alias("dob"), none.alias("phone"), none.alias("address"), none.alias("policy_number"), note.alias("clinical_text"))
+    found = F.array(F.lit(" dr  koh "), F.lit("[X_1]"), F.lit("nobody"), F.lit(""), F.when(k % 2 == 0, "12 lor ah soo").otherwise("absent"))
+    got = redact.redacted(n, sweep=found)
+    # The sweep's own wording stands in the map; here the note's, so that the text comes back as it was.
+    entries = F.transform("redaction_map", lambda e: F.struct(e["token"].alias("token"), F.when(e["token"] == "[REDACTED_1]", "Dr  Koh").when(e["token"] == "[REDACTED_2]", "12 Lor Ah Soo").otherwise(e["value"]).alias("value")))
+    back = redact.remerged(F.concat("redacted_text", F.lit(" [GONE_3]")), entries)
+    return got.select("c_custkey", "redacted_text", F.size("redaction_map").cast("long").alias("n_entries"), back["text"].alias("back"))

@@ -267,7 +267,9 @@ def leak_count(spark, sf_dir):
     return leak_metrics(cases.filter(F.size("must_not_survive") > 0))
 
 
-@query()
+@query("""
+SELECT c_custkey, 'Seen at Mount Alvernia Hospital: [PATIENT], born [DOB], balance ' || c_acctbal || '. Call [PHONE_2].' AS redacted_text, CAST(4 AS BIGINT) AS n_entries FROM customer
+""")
 def dictionary_redact(spark, sf_dir):
     """Notes written about customers: the name, number and date in them must go, the hospital's must stay."""
     c = t(spark, sf_dir, "customer")
@@ -318,7 +320,17 @@ def logical_lines(spark, sf_dir):
     return t(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", F.size(text.logical_lines(F.col("text"))).cast("long").alias("n_lines"))
 
 
-@query()
+STEPPED = LOCATED.replace("w AS (SELECT *, list_distinct", "w0 AS (SELECT *, list_distinct").replace(
+    "s AS (SELECT f.grp",
+    """w AS (SELECT k, p_size, grp || '~' || (k % 2) AS grp, n, ts FROM w0 WHERE p_size <= 25 UNION ALL SELECT k, p_size, grp || '~' || v.s, n, ts FROM w0, (VALUES (0), (1)) v(s) WHERE p_size > 25),
+s AS (SELECT f.grp""",
+)
+
+
+@query(STEPPED + """, e AS (SELECT split_part(grp, '~', 1) AS grp, 'step ' || split_part(grp, '~', 2) AS step, CAST(count(*) FILTER (WHERE status = 'matched') AS BIGINT) AS matched, CAST(count(*) AS BIGINT) AS intended FROM z GROUP BY ALL),
+y AS (SELECT *, matched / intended AS match_rate, matched >= 3 AND matched / intended >= 0.7 AS safe_to_fill FROM e)
+SELECT *, count(*) OVER (PARTITION BY grp) > 1 AND bool_or(safe_to_fill) OVER (PARTITION BY grp) AND NOT safe_to_fill AS deferred FROM y
+""")
 def step_guard(spark, sf_dir):
     """Parts in steps by number: which steps of a plan are on the page?"""
     fields, controls = _plan(spark, sf_dir)
