@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import squashed
 
 
-#: Quotes that are sent to all tasks.
-FEW = 100_000
+#: Characters of quotes that are sent to all tasks.
+FEW = 16_000_000
 
 
 def _found(n: DataFrame, quotes: DataFrame, anchor: int) -> DataFrame:
@@ -23,7 +23,7 @@ def _found(n: DataFrame, quotes: DataFrame, anchor: int) -> DataFrame:
     w = F.split("q", " ")
     k = F.greatest(F.lit(0), F.least(F.lit(anchor), F.size(w) - 2))
     q = quotes.select("q").distinct().withColumn("k", k).withColumn("key", F.xxhash64(F.array_join(F.slice(w, F.lit(2), F.col("k")), " ")))
-    counts = {r[0]: r[1] for r in q.groupBy("k").count().collect()}  # at most anchor + 1 rows
+    counts = {r[0]: r[1] for r in q.groupBy("k").agg(F.sum(F.length("q") + 32)).collect()}  # at most anchor + 1 rows
     lengths, few = sorted(counts), sum(counts.values()) <= FEW
     words = n.select("note_id", F.split("t", " ").alias("w"))
 
