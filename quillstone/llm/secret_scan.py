@@ -154,7 +154,8 @@ def fitting(s: str, at: int) -> tuple[str, int] | None:
         if head[0] != 0x30 or n == 0x80 or (n > 0x80 and k > 4):
             return None
         size = 2 + n if n < 0x80 else 2 + k + int.from_bytes(head[2 : 2 + k], "big")
-        if head[2 if n < 0x80 else 2 + k] not in TAGS:  # no key begins so: not worth decoding
+        inner = head[2 if n < 0x80 else 2 + k]
+        if inner not in TAGS and inner & 0xC0 != 0x80:  # nothing begins so: not worth decoding
             return None
         end = at + -(-size * 4 // 3)
         if size < 24 or end > len(s.rstrip("=")):
