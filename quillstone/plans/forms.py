@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import bank, evalkit, extract, fill, geometry, intake, live, match, panel, provider, quotes, review, sinks
-from ..sources import html
+from ..sources import files, html
 from ..streaming.changes import changes, quiet
 from .queries import AS_OF, query, t
 
@@ -786,3 +788,37 @@ def swept_notes(spark, sf_dir):
     entries = F.transform("redaction_map", lambda e: F.struct(e["token"].alias("token"), F.when(e["token"] == "[REDACTED_1]", "Dr  Koh").when(e["token"] == "[REDACTED_2]", "12 Lor Ah Soo").otherwise(e["value"]).alias("value")))
     back = redact.remerged(F.concat("redacted_text", F.lit(" [GONE_3]")), entries)
     return got.select("c_custkey", "redacted_text", F.size("redaction_map").cast("long").alias("n_entries"), back["text"].alias("back"))
+
+
+def _files(spark, sf_dir):
+    """Nations as files of JSON: suppliers with even keys are boxes, the others text around them; some files are encrypted or broken."""
+    k = F.col("s_suppkey")
+    y = 800.0 - (k * 53 % 800).cast("double")
+    box = F.when(k % 2 == 0, F.struct(F.concat(F.lit("f"), k.cast("string")).alias("name"), F.lit("/Tx").alias("kind"), (k * 37 % 600).cast("double").alias("x0"), (y - 40).alias("y0"), (k * 37 % 600 + 50).cast("double").alias("x1"), y.alias("y1"), F.array(F.lit("/Off"), F.lit("Yes")).alias("states"), F.when(k % 10 == 0, "x").otherwise(" ").alias("value")))
+    run = F.when(k % 2 == 1, F.struct((k * 37 % 600).cast("double").alias("x"), y.alias("y"), F.concat(F.lit(" "), "s_name", F.lit("\n")).alias("text")))
+    s = t(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") % 5).alias("file")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k, box.alias("b"), run.alias("r")))), lambda x: F.struct(x["b"], x["r"])).alias("x"))
+    page = F.struct(F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit("Printed").alias("text"), F.filter(F.transform("x", lambda z: z["r"]), lambda r: r.isNotNull()).alias("runs"), F.filter(F.transform("x", lambda z: z["b"]), lambda b: b.isNotNull()).alias("boxes"))
+    body = F.to_json(F.struct((F.col("file") == 3).alias("encrypted"), F.array(page).alias("pages")))
+    return s.select("file", F.encode(F.when(F.col("file") == 4, "{").otherwise(body), "utf-8").alias("content"))
+
+
+@query("""
+WITH b AS (SELECT s_nationkey % 5 AS file, s_suppkey AS k, s_name AS text, (s_suppkey * 37 % 600) * 1.0 AS x, (s_suppkey * 53 % 800) * 1.0 AS y FROM supplier WHERE s_nationkey % 5 < 3),
+j AS (SELECT w.file, w.k, r.text, r.k AS o, w.x - r.x AS ahead, w.y - r.y AS above, abs(r.y - w.y - 20) < 56 AND r.x < w.x AS line FROM b w JOIN b r ON w.file = r.file AND w.k % 2 = 0 AND r.k % 2 = 1),
+c AS (SELECT *, CASE WHEN line THEN CASE WHEN ahead <= 260 THEN 0 END WHEN above > 0 AND above <= 40 AND abs(ahead) <= 260 THEN 1 END AS place FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY file, k ORDER BY place, CASE WHEN place = 0 THEN ahead ELSE above END, o) AS rank FROM c WHERE place IS NOT NULL),
+n AS (SELECT file, k, string_agg(text, '|' ORDER BY rank) AS nearby FROM r WHERE rank <= 4 GROUP BY ALL)
+SELECT b.file, 'f' || b.k AS name, b.x, b.y, 50.0 AS w, 40.0 AS h, 'Yes' AS states, coalesce(nearby, '') AS nearby FROM b LEFT JOIN n USING (file, k) WHERE b.k % 2 = 0
+""")
+def file_widgets(spark, sf_dir):
+    """The boxes of files with the texts near them, by a reader of JSON."""
+    w = files.widgets(files.opened(_files(spark, sf_dir), json.loads))
+    return w.select("file", "name", "box.x", "box.y", F.round("box.w", 6).alias("w"), F.round("box.h", 6).alias("h"), F.array_join("states", ",").alias("states"), F.array_join("nearby", "|").alias("nearby"))
+
+
+@query("""
+SELECT s_nationkey % 5 AS file, CAST(CASE WHEN s_nationkey % 5 < 3 THEN 1 ELSE 0 END AS INTEGER) AS pages, CAST(CASE WHEN s_nationkey % 5 < 3 THEN count(*) FILTER (WHERE s_suppkey % 2 = 0) ELSE 0 END AS INTEGER) AS boxes, CAST(CASE WHEN s_nationkey % 5 < 3 THEN 7 ELSE 0 END AS INTEGER) AS text_chars,
+       CASE WHEN s_nationkey % 5 < 3 THEN count(*) FILTER (WHERE s_suppkey % 10 = 0) > 0 ELSE false END AS filled, CASE s_nationkey % 5 WHEN 3 THEN 'encrypted' WHEN 4 THEN 'not readable' END AS refusal FROM supplier GROUP BY s_nationkey % 5
+""")
+def file_probes(spark, sf_dir):
+    return files.probes(files.opened(_files(spark, sf_dir), json.loads))
