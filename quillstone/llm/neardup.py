@@ -295,6 +295,8 @@ def unique(docs: DataFrame) -> DataFrame:
     own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names of the documents' columns can't clash with those below
     ident, text = (docs.columns.index(c) for c in ("doc_id", "text"))
     as_they_came = lambda df: df.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    if kept.count() <= FEW:
+        kept = F.broadcast(kept)
     if not _repeats(docs, "doc_id"):
         return as_they_came(own.join(kept, F.col(f"c{ident}").eqNullSafe(F.col("kept_id")), "left_semi"))
     with_mark = T.StructType([*own.schema.fields, T.StructField("mark", T.BinaryType())])
