@@ -137,7 +137,7 @@ def live_fields(spark, sf_dir):
 WITH f AS (SELECT p_brand AS form, p_partkey AS field, 1 + p_partkey % 4 AS page, (p_size * 7 % 300) * 1.0 AS x, (p_size * 11 % 700) * 1.0 AS y, p_partkey % 6 = 0 AS tick, p_partkey % 10 = 1 AS token, p_partkey % 11 = 2 AS blank, p_name, 10.0 + p_size % 5 AS h FROM part),
 v AS (SELECT * FROM f WHERE NOT blank UNION ALL SELECT 'Brand#11', -p_partkey - 1, NULL, NULL, NULL, false, false, false, p_name, NULL FROM part WHERE p_size = 7)
 SELECT form, field, CAST(page AS INTEGER) AS page, CASE WHEN tick THEN 'tick' ELSE 'text' END AS what, CASE WHEN field < 0 THEN 'unknown field' WHEN token AND NOT tick THEN 'unresolved token' WHEN page > 3 THEN 'no such page' END AS error,
-       CASE WHEN field >= 0 AND NOT (token AND NOT tick) AND page < 4 THEN x + 2 END AS left, CASE WHEN field >= 0 AND NOT (token AND NOT tick) AND page < 4 THEN 842 - y - 2 END AS top, CASE WHEN field >= 0 AND tick AND page < 4 THEN round(least(400, h + 20) * 0.9, 6) END AS tick_size
+       CASE WHEN field >= 0 AND NOT (token AND NOT tick) AND page < 4 THEN CAST(x + 2 AS DOUBLE) END AS left, CASE WHEN field >= 0 AND NOT (token AND NOT tick) AND page < 4 THEN CAST(842 - y - 2 AS DOUBLE) END AS top, CASE WHEN field >= 0 AND tick AND page < 4 THEN CAST(round(least(400, h + 20) * 0.9, 6) AS DOUBLE) END AS tick_size
 FROM v
 """)
 def overlay_rows(spark, sf_dir):
@@ -283,7 +283,7 @@ def intake_pages(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey AS k, (p_size % 7) * 1.0 AS x, 842.0 - ((p_size % 11) * 10 + 20) AS y, 30.0 AS w, 20.0 AS h, round(1500.0 / greatest(600 + p_size, 842), 9) AS zoom, p_size * 13 >= 40 * greatest(p_size % 5, 1) / 2.0 AS has_text, p_size % 4 = 1 AS has_answer FROM part
+SELECT p_partkey AS k, CAST(p_size % 7 AS DOUBLE) AS x, CAST(842.0 - ((p_size % 11) * 10 + 20) AS DOUBLE) AS y, CAST(30 AS DOUBLE) AS w, CAST(20 AS DOUBLE) AS h, round(1500.0 / greatest(600 + p_size, 842), 9) AS zoom, p_size * 13 >= 40 * greatest(p_size % 5, 1) / 2.0 AS has_text, p_size % 4 = 1 AS has_answer FROM part
 """)
 def page_shapes(spark, sf_dir):
     """Corners of rectangles, sizes, characters and values of parts as if they were pages and their fields."""
@@ -544,7 +544,7 @@ def form_scores(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey AS k, p_size * 1.0 + 2 AS left, 842.0 - p_size - 2 AS top, CASE WHEN p_partkey % 2 = 0 THEN 'field_' || p_partkey END AS value_str, CASE WHEN p_partkey % 2 = 1 THEN true END AS value_bool FROM part WHERE p_size % 5 > 0
+SELECT p_partkey AS k, CAST(p_size + 2 AS DOUBLE) AS left, CAST(842.0 - p_size - 2 AS DOUBLE) AS top, CASE WHEN p_partkey % 2 = 0 THEN 'field_' || p_partkey END AS value_str, CASE WHEN p_partkey % 2 = 1 THEN true END AS value_bool FROM part WHERE p_size % 5 > 0
 """)
 def proof_sheet(spark, sf_dir):
     """Parts with a place on a form: the sheet that shows each box's own name or a tick."""
@@ -808,7 +808,7 @@ j AS (SELECT w.file, w.k, r.text, r.k AS o, w.x - r.x AS ahead, w.y - r.y AS abo
 c AS (SELECT *, CASE WHEN line THEN CASE WHEN ahead <= 260 THEN 0 END WHEN above > 0 AND above <= 40 AND abs(ahead) <= 260 THEN 1 END AS place FROM j),
 r AS (SELECT *, row_number() OVER (PARTITION BY file, k ORDER BY place, CASE WHEN place = 0 THEN ahead ELSE above END, o) AS rank FROM c WHERE place IS NOT NULL),
 n AS (SELECT file, k, string_agg(text, '|' ORDER BY rank) AS nearby FROM r WHERE rank <= 4 GROUP BY ALL)
-SELECT b.file, 'f' || b.k AS name, b.x, b.y, 50.0 AS w, 40.0 AS h, 'Yes' AS states, coalesce(nearby, '') AS nearby FROM b LEFT JOIN n USING (file, k) WHERE b.k % 2 = 0
+SELECT b.file, 'f' || b.k AS name, CAST(b.x AS DOUBLE) AS x, CAST(b.y AS DOUBLE) AS y, CAST(50 AS DOUBLE) AS w, CAST(40 AS DOUBLE) AS h, 'Yes' AS states, coalesce(nearby, '') AS nearby FROM b LEFT JOIN n USING (file, k) WHERE b.k % 2 = 0
 """)
 def file_widgets(spark, sf_dir):
     """The boxes of files with the texts near them, by a reader of JSON."""
