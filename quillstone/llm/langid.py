@@ -33,7 +33,7 @@ from .common import batch, map_rows, pieces, table
 #: Bounds of the training sample, and of the model.
 PER_LANGUAGE, TRAIN_WORDS, RUN, LEXICON = 400, 200, 40, 20_000
 #: Characters that a worker has features and marginals of at a time.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
 DIMS = 1 << 17
 #: A word's log potential is at most this far below that of its best label: no single word decides a text.
 FLOOR = -16.0

@@ -152,8 +152,8 @@ def planned(histogram: dict[int, int], capacity: int = SEQUENCE) -> Plan:
     return plan
 
 
-def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = SEQUENCE) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32."""
+def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = SEQUENCE, forget: bool = False) -> DataFrame:
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32. forget: workers drop the words they remember after each task, for the sake of the work that follows in them."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +168,15 @@ def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int =
                         for c, v in zip(out, (d, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                             c.append(v)
                 yield batch(schema, out)
+        if forget:
+            enc.memo.clear()
 
     return map_rows(docs, ["doc_id", "text"], run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = SEQUENCE) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = SEQUENCE, forget: bool = False) -> DataFrame:
     spark = docs.sparkSession
-    parts = settled(cut(docs, vocabulary, capacity), "pack-pieces")
+    parts = settled(cut(docs, vocabulary, capacity, forget), "pack-pieces")
     plan = planned({r[0]: r[1] for r in parts.groupBy("length").count().collect()}, capacity)  # a row per length
     by: dict[int, list] = defaultdict(list)
     for length, rank, *rest in plan.segments:
