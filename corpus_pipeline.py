@@ -41,7 +41,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             at = whole.schema.get_field_index("text")
-            for b in pieces(whole):
+            for b in pieces(whole, 2_000_000):
                 text = pa.array([None if t is None else secret_scan.masked(t) for t in b.column("text").to_pylist()], whole.schema.field(at).type)
                 yield b.set_column(at, whole.schema.field(at), text)
 
@@ -67,7 +67,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 2048 tokens; each row is a document, null and empty texts have the end id alone."""
-    return packing.packed(docs)
+    return packing.packed(docs, forget=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("sequences", sequences)]
