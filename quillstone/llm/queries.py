@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, packing, quality, secret_scan, substring, warc, wavelet, webp
+from . import collocation, infill, langid, mixing, neardup, packing, quality, secret_scan, simhash, substring, warc, wavelet, webp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_substring": substring.op9_substring,
     "op10_warc": warc.op10_warc,
+    "op11_simhash": simhash.op11_simhash,
+    "op12_collocation": collocation.op12_collocation,
+    "op13_infill": infill.op13_infill,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +29,6 @@ SQL: dict[str, str] = {
     "op7_mixing": mixing.OP7_SQL,
     "op9_substring": substring.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_collocation": collocation.OP12_SQL,
+    "op13_infill": infill.OP13_SQL,
 }
