@@ -115,14 +115,16 @@ def _runs_of(it: Iterator[pa.RecordBatch], slots: int) -> Iterator[tuple[Run, li
 
 
 def _packed(positions: np.ndarray, counts: np.ndarray) -> bytes:
+    """Positions as gaps of 4 bytes and counts of 8, byte by byte, so that zeros stand together."""
     gaps = np.diff(positions, prepend=0).astype("<u4")
-    return zstandard.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     rows = np.frombuffer(zstandard.decompress(data), np.uint8)
-    gaps, counts = (np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").reshape(-1) for x in (rows[: len(rows) // 2], rows[len(rows) // 2 :]))
-    return np.cumsum(gaps, dtype=np.int64), counts
+    n = len(rows) // 12
+    gaps, counts = (np.ascontiguousarray(x.reshape(size, -1).T).view(f"<u{size}").reshape(-1) for x, size in ((rows[: 4 * n], 4), (rows[4 * n :], 8)))
+    return np.cumsum(gaps, dtype=np.int64), counts.astype(np.int64)
 
 
 def sketch(docs: DataFrame, slots: int) -> DataFrame:
@@ -170,8 +172,15 @@ def frequent(sketched: DataFrame, slots: int, least: int) -> DataFrame:
 
 
 def in_slots(docs: DataFrame, slots: int, hot: Broadcast) -> DataFrame:
-    """lang and phrase of the phrases that occur in the given sorted slots; repeated by each task."""
+    """lang and phrase of the phrases that occur in the given sorted slots.
+
+    A task tells each phrase once; what it tells of a language and slice of hashes is one compressed row, and the rows are united where the
+    slice goes. They hold no more than the occurrences of frequent phrases.
+    """
+    spark = docs.sparkSession
+    told_schema = pa.schema([("lang", pa.string()), ("slice", pa.int32()), ("phrases", pa.binary())])
     names = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
+    n_slices = 2 * partitions(spark)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = hot.value
@@ -179,6 +188,13 @@ def in_slots(docs: DataFrame, slots: int, hot: Broadcast) -> DataFrame:
         maybe = np.zeros(1 << 23, bool)
         maybe[(wanted & mask).astype(np.int64)] = True
         told: set[int] = set()
+        rows: dict[tuple[str, int], list[bytes]] = {}
+        kept = 0
+
+        def flushed() -> pa.RecordBatch:
+            keys = list(rows)
+            return batch(told_schema, [[k[0] for k in keys], [k[1] for k in keys], [zstandard.compress(b"\n".join(sorted(rows[k])), 1) for k in keys]])
+
         for r, langs in _runs_of(it, slots):
             of = np.repeat(np.arange(len(r.size)), r.size)
             for n, at, h in r.phrases():
@@ -187,73 +203,120 @@ def in_slots(docs: DataFrame, slots: int, hot: Broadcast) -> DataFrame:
                 place = np.minimum(np.searchsorted(wanted, s[few]), len(wanted) - 1)
                 few = few[wanted[place] == s[few]]
                 key, first = np.unique(h[few], return_index=True)
-                at = at[few[first]]
-                fresh = [k for k, x in enumerate(key.tolist()) if x not in told]
-                if len(told) > 1 << 20:
-                    told.clear()
-                told.update(key[fresh].tolist())
-                at = at[fresh].tolist()
-                yield batch(names, [[langs[r.lang[of[k]]] for k in at], [b" ".join(r.words[k : k + n]).decode("utf-8", "replace") for k in at]])
+                at = at[few[first]].tolist()
+                for k, x in enumerate(key.tolist()):
+                    if x not in told:
+                        told.add(x)
+                        a = at[k]
+                        phrase = b" ".join(r.words[a : a + n])
+                        rows.setdefault((langs[r.lang[of[a]]], x % n_slices), []).append(phrase)
+                        kept += len(phrase)
+            if kept > 1 << 25:
+                yield flushed()
+                rows, kept = {}, 0
+                told.clear()
+        if rows:
+            yield flushed()
+
+    def united(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, set()
+        out = lambda: batch(names, [[now[0]] * len(held), [p.decode("utf-8", "replace") for p in held]])
+        for b in it:
+            for lang, k, data in zip(*(b.column(c).to_pylist() for c in ("lang", "slice", "phrases")), strict=True):
+                if (lang, k) != now:
+                    if held:
+                        yield out()
+                    now, held = (lang, k), set()
+                held.update(zstandard.decompress(data).split(b"\n"))
+        if held:
+            yield out()
 
-    return map_rows(docs, ["lang", "text"], run, "lang string, phrase string")
+    told = map_rows(docs, ["lang", "text"], run, "lang string, slice int, phrases binary")
+    return told.repartition(n_slices, "lang", "slice").sortWithinPartitions("lang", "slice").mapInArrow(united, "lang string, phrase string")
 
 
+#: Patterns whose counts make one row.
+COUNTS = 1 << 14
 _automata: dict[tuple[str, str], ahocorasick.Automaton] = {}
 
 
 def _automaton(made: Broadcast, lang: str) -> ahocorasick.Automaton:
-    """A worker keeps the automata of one pass."""
+    """A worker keeps the automata of one pass. The empty pattern, a language's first, counts its words."""
     key = (made.value["pass"], lang)
     if key not in _automata:
         if any(k[0] != key[0] for k in _automata):
             _automata.clear()
         a = ahocorasick.Automaton()
-        for k, phrase in enumerate(made.value["patterns"].get(lang, ())):
-            a.add_word(f" {phrase.encode().decode('latin-1')} ", k)
+        for k, phrase in enumerate(made.value["patterns"][lang]):
+            if phrase:
+                a.add_word(f" {phrase.encode().decode('latin-1')} ", k)
         a.make_automaton()
         _automata[key] = a
     return _automata[key]
 
 
-def counted(docs: DataFrame, made: Broadcast, words: bool) -> DataFrame:
-    """lang, phrase and f: the matches of each pattern by task; with words, also the number of all words as that of the empty phrase."""
-    names = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+def _matches(found: ahocorasick.Automaton, guarded: bytes, n: int) -> np.ndarray:
+    """How often each of n patterns matches. The automaton goes on where a part of a long text ends."""
+    sums, it = np.zeros(n, np.int64), None
+    for at in range(0, len(guarded), CUT):
+        part = guarded[at : at + CUT].decode("latin-1")
+        if it is None:
+            it = found.iter(part)
+        else:
+            it.set(part)
+        sums += np.bincount(np.fromiter((k for _, k in it), np.int64), minlength=n)
+    return sums
+
+
+def counted(docs: DataFrame, made: Broadcast) -> DataFrame:
+    """lang, phrase and f: the matches of each pattern, and the number of all words as that of the empty one."""
+    names = pa.schema([("slice", pa.int64()), ("counts", pa.binary())])
+    out = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        total: dict[str, int] = {}
+        patterns, first = made.value["patterns"], made.value["first"]
+        sums = np.zeros(made.value["size"], np.int64)
         for whole in it:
-            for b in pieces(whole):
+            for b in pieces(whole, 1 << 22):
+                texts: dict[str, list[bytes]] = {}
                 for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                     lang = UNKNOWN if lang is None else lang
-                    patterns = made.value["patterns"].get(lang, ())
-                    if lang not in sums:
-                        sums[lang], total[lang] = np.zeros(len(patterns), np.int64), 0
-                    lines = [p.split() for p in folded(text).split(b"\n")]
-                    total[lang] += sum(map(len, lines))
-                    if not patterns:
-                        continue
-                    guarded = b" \n ".join(map(b" ".join, lines))
-                    found = None
-                    for at in range(0, len(guarded), CUT):  # the automaton goes on where a part ends
-                        part = (b" " * (at == 0) + guarded[at : at + CUT] + b" " * (at + CUT >= len(guarded))).decode("latin-1")
-                        if found is None:
-                            found = _automaton(made, lang).iter(part)
-                        else:
-                            found.set(part)
-                        hits = np.fromiter((k for _, k in found), np.int64)
-                        if len(hits) * 8 > len(patterns):
-                            sums[lang] += np.bincount(hits, minlength=len(patterns))
-                        else:
-                            np.add.at(sums[lang], hits, 1)
-        for lang, c in sums.items():
-            at = np.flatnonzero(c)
-            patterns = made.value["patterns"].get(lang, ())
-            yield batch(names, [[lang] * len(at), [patterns[k] for k in at.tolist()], pa.array(c[at])])
-            if words:
-                yield batch(names, [[lang], [""], [total[lang]]])
-
-    return map_rows(docs, ["lang", "text"], run, "lang string, phrase string, f long")
+                    if lang in patterns and text:
+                        lines = [p.split() for p in folded(text).split(b"\n")]
+                        sums[first[lang]] += sum(map(len, lines))
+                        texts.setdefault(lang, []).append(b" \n ".join(map(b" ".join, lines)))
+                for lang, ts in texts.items():
+                    a, n = first[lang], len(patterns[lang])
+                    if n > 1:
+                        sums[a : a + n] += _matches(_automaton(made, lang), b" " + b" \n ".join(ts) + b" ", n)
+        for k in range(0, len(sums), COUNTS):
+            at = np.flatnonzero(sums[k : k + COUNTS])
+            if len(at):
+                yield batch(names, [[k // COUNTS], [_packed(at, sums[k + at])]])
+
+    def added(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, np.zeros(COUNTS, np.int64)
+        every = [(lang, p) for lang, ps in made.value["patterns"].items() for p in ps]
+
+        def total() -> pa.RecordBatch:
+            at = np.flatnonzero(sums)
+            named = [every[now * COUNTS + k] for k in at.tolist()]
+            return batch(out, [[x[0] for x in named], [x[1] for x in named], pa.array(sums[at])])
+
+        for b in it:
+            for k, data in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                if k != now:
+                    if now is not None:
+                        yield total()
+                    now = k
+                    sums[:] = 0
+                at, c = _unpacked(data)
+                sums[at] += c
+        if now is not None:
+            yield total()
+
+    parts = map_rows(docs, ["lang", "text"], run, "slice long, counts binary")
+    return parts.repartition(partitions(docs.sparkSession), "slice").sortWithinPartitions("slice").mapInArrow(added, "lang string, phrase string, f long")
 
 
 def candidates(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -271,7 +334,7 @@ def candidates(docs: DataFrame, least: int = LEAST) -> DataFrame:
         if not len(wanted):
             continue
         sent = spark.sparkContext.broadcast(wanted)
-        found.append(settled(in_slots(docs, slots, sent).distinct(), "col-candidates"))
+        found.append(settled(in_slots(docs, slots, sent), "col-candidates"))
         sent.destroy()
     out = spark.createDataFrame([], "lang string, phrase string")
     for df in found:
@@ -280,7 +343,7 @@ def candidates(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def counts(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """lang, phrase and f of the phrases and the words in them, and of the empty phrase: the number of a language's words."""
+    """lang, phrase and f of the phrases and the words in them, and of the empty phrase: the number of a language's words, once a pass."""
     spark = docs.sparkSession
     of = phrases.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))
     patterns = settled(phrases.union(of).distinct(), "col-patterns")
@@ -289,9 +352,12 @@ def counts(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     for k in range(passes):  # patterns are dealt by hash: passes have about as many characters
         by: dict[str, list[str]] = {}
         for lang, phrase in zip(*(c.to_pylist() for c in patterns.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(passes)) == k).select("lang", "phrase").toArrow().columns), strict=True):
-            by.setdefault(lang, []).append(phrase)
-        sent = spark.sparkContext.broadcast({"pass": uuid.uuid4().hex, "patterns": by})
-        part = settled(counted(docs, sent, k == 0).groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "col-counts")
+            by.setdefault(lang, [""]).append(phrase)
+        first, size = {}, 0
+        for lang, ps in by.items():
+            first[lang], size = size, size + len(ps)
+        sent = spark.sparkContext.broadcast({"pass": uuid.uuid4().hex, "patterns": by, "first": first, "size": size})
+        part = settled(counted(docs, sent), "col-counts")
         sent.destroy()
         found = part if found is None else found.union(part)
     return found
@@ -299,7 +365,7 @@ def counts(docs: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def scored(counts: DataFrame, least: int = LEAST, percent: int = PERCENT) -> DataFrame:
     """lang, phrase, a, l, r, n and score of the candidates that no longer one makes superfluous."""
-    n = counts.filter("phrase = ''").select("lang", F.col("f").alias("n"))
+    n = counts.filter("phrase = ''").groupBy("lang").agg(F.max("f").alias("n"))
     cands = counts.withColumn("words", F.split("phrase", " ")).filter((F.size("words") >= 2) & (F.col("f") >= least))
     joined = lambda at, size: F.array_join(F.slice("words", at, size), " ")
     cut = cands.select("lang", "phrase", F.col("f").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
