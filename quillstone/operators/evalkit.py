@@ -16,7 +16,8 @@ def leak_metrics(cases: DataFrame, swept: bool = False) -> DataFrame:
 
 
 def case_scores(rows: DataFrame, checks: DataFrame) -> DataFrame:
-    """faults and misses of each case. rows: case, field, value (null where a box is unticked), needs_review. checks: case, kind, field, want.
+    """faults and misses of each case. rows: case, field, value (null where a box is unticked), needs_review and, for
+    phrases that run over values, ord. checks: case, kind, field, want.
 
     A check of a field that the form hasn't is a fault. fills: blank is a miss. blank: a value is a fault. equals: another value
     is a fault, none a miss. holds: a row that isn't held for review is a fault. forbid_in: the text within the field's value, and
@@ -34,7 +35,9 @@ def case_scores(rows: DataFrame, checks: DataFrame) -> DataFrame:
         .when((kind == "forbid_in") & F.contains(F.lower("v"), F.lower("want")), "fault")
     )
     one = per.select("case", bucket.alias("bucket"))
-    every = rows.filter("value <> ''").groupBy("case").agg(F.lower(F.concat_ws(" ", F.array_sort(F.collect_list("value")))).alias("all"))  # a form's own values
+    place = F.col("ord") if "ord" in rows.columns else F.lit(0)
+    listed = F.array_sort(F.collect_list(F.struct(place.alias("ord"), "value")))  # a form's own values
+    every = rows.filter("value <> ''").groupBy("case").agg(F.lower(F.concat_ws(" ", F.transform(listed, lambda x: x["value"]))).alias("all"))
     anywhere = checks.filter("kind = 'forbid'").select("case", "want").join(every, "case", "left")
     two = anywhere.select("case", F.when(F.contains("all", F.lower("want")), "fault").alias("bucket"))
     return one.union(two).groupBy("case").agg(F.count_if(F.col("bucket") == "fault").alias("faults"), F.count_if(F.col("bucket") == "miss").alias("misses"))

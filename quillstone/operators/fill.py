@@ -43,6 +43,11 @@ def repeat_key(kind: Column, labels: Column) -> Column:
     return F.when((kind == "select") & (F.size(keys) >= 2), F.array_join(keys, "|"))
 
 
+def fillable() -> Column:
+    """Whether a control can be written at all; only these are matched."""
+    return ~F.coalesce("disabled", F.lit(False)) & ~F.coalesce("read_only", F.lit(False))
+
+
 def answered() -> Column:
     ticked = F.coalesce("checked", F.lit(False))
     return F.when(F.col("type").isin("checkbox", "radio", *GROUPS), ticked).otherwise(F.trim(F.coalesce("existing", F.lit(""))) != "")
@@ -100,14 +105,16 @@ def filled_page(fields: DataFrame, controls: DataFrame, values: DataFrame) -> Da
     """Locates the fields anew on a page as it is now and gives the outcomes of writing their values.
 
     fields and controls: as match.located_by_step takes them; controls also with type, existing, shown, checked, disabled,
-    read_only, options and option_values. values: grp, field, value.
+    read_only, options and option_values. values: grp, field, value. Disabled and read-only controls are no candidates; the options
+    they show count as taken.
     """
     from .match import located_by_step, report
 
-    rows, _ = located_by_step(fields, controls.select("grp", "control", "control_ord", "label"))
+    own = [c for c in ("grp", "control", "control_ord", "label", "selector") if c in controls.columns]
+    rows, _ = located_by_step(fields, controls.filter(fillable()).select(*own))
     rows = rows.persist()  # asked for three times
     safe = report(rows).select(F.col("grp").alias("_g"), "safe_to_fill")
-    on = controls.drop("label", "control_ord")
+    on = controls.drop("label", "control_ord", "selector")
     j = rows.drop("score").join(values, ["grp", "field"], "left").join(on, ["grp", "control"], "left").join(safe, F.col("grp") == F.col("_g"))
     rest = on.join(rows.filter("control IS NOT NULL").select("grp", "control"), ["grp", "control"], "left_anti").join(safe, F.col("grp") == F.col("_g"))
     cols = ["type", "existing", "shown", "checked", "disabled", "read_only", "options", "option_values"]

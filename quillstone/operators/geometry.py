@@ -11,16 +11,37 @@ LEFT, ABOVE = 260, 40
 EDGE, LEAST_W, LEAST_H, MOST_AREA = 0.02, 0.01, 0.004, 0.25
 
 
+def _line(h: Column) -> Column:
+    """How far from a box's middle its line reaches."""
+    return 1.4 * F.greatest(h, F.lit(8.0))
+
+
+def _strips(lo: Column, hi: Column, size: Column | float) -> Column:
+    """Numbers of the strips of a size that a range touches."""
+    return F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long"))
+
+
 def nearest_text(widgets: DataFrame, runs: DataFrame, most: int = 4) -> DataFrame:
     """(page, widget, rank, text): text left on the line before text above, the nearest first, each text once.
 
     widgets: page, widget, x, y (top), h. runs: page, text, tx, ty and, to break ties, tord. A line is as far from the box's
-    middle as 1.4 of its height, or of 8 points; what begins left on it, however far, is never above. A page's runs are few.
+    middle as 1.4 of its height, or of 8 points; what begins left on it, however far, is never above.
+
+    Boxes and text meet in the cells of a grid, LEFT wide and ABOVE high, or a power of two times as high for boxes whose line is: a box asks the
+    few cells that its line and the place above it touch, a text stands in one cell of each height that its page's boxes have.
     """
     runs = runs if "tord" in runs.columns else runs.withColumn("tord", F.lit(0))
-    j = widgets.join(runs, "page")
+    middle, reach = F.col("y") + F.col("h") / 2, _line(F.col("h"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(2 * reach / ABOVE))).cast("int")
+    tall = F.pow(F.lit(2.0), F.col("level")) * ABOVE
+    asks = widgets.filter("x IS NOT NULL AND y IS NOT NULL AND h IS NOT NULL").withColumn("level", level)
+    asks = asks.withColumn("i", F.explode(_strips(F.col("x") - LEFT, F.col("x") + LEFT, LEFT)))
+    asks = asks.withColumn("j", F.explode(_strips(F.least(F.col("y") - ABOVE, middle - reach), F.greatest(F.col("y"), middle + reach), tall)))
+    levels = asks.select("page", "level").distinct()
+    stands = runs.join(levels, "page").withColumns({"i": F.floor(F.col("tx") / LEFT).cast("long"), "j": F.floor(F.col("ty") / tall).cast("long")})
+    j = asks.join(stands, ["page", "level", "i", "j"])
     left, above = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-    line = (F.abs(F.col("ty") - F.col("y") - F.col("h") / 2) < 1.4 * F.greatest(F.col("h"), F.lit(8.0))) & (left > 0)
+    line = (F.abs(F.col("ty") - F.col("y") - F.col("h") / 2) < _line(F.col("h"))) & (left > 0)
     place = F.when(line, F.when(left <= LEFT, 0)).when((above > 0) & (above <= ABOVE) & (F.abs(left) <= LEFT), 1)
     near = j.withColumn("place", place).filter("place IS NOT NULL").withColumn("gap", F.when(F.col("place") == 0, left).otherwise(above))
     once = near.groupBy("page", "widget", "text").agg(F.min(F.struct("place", "gap", "tord")).alias("b"))

@@ -7,42 +7,87 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, dice, normalised, option_key
+from .tables import written
 
 LEAST, MARGIN, RATE, FEWEST = 0.6, 0.05, 0.7, 3
+#: What rounding may take from a bound.
+SLACK = 1e-9
 FORM_RATE, FORM_MARGIN = 0.4, 0.15
 
 
-def pairs(fields: DataFrame, controls: DataFrame) -> DataFrame:
-    """group, field, control, score for pairs that share a token or are equal when normalised.
+def _labels(rows: DataFrame, ident: str, short: str) -> DataFrame:
+    """grp, the row's id, ord and, if there is one, selector, its normalised label and content words."""
+    more = [F.col("selector").alias(f"{short}s")] if "selector" in rows.columns else [F.lit(None).cast("string").alias(f"{short}s")]
+    return rows.select("grp", ident, f"{ident}_ord", normalised(F.col("label")).alias(f"{short}n"), content_tokens(F.col("label")).alias(f"{short}t"), *more)
 
-    fields: grp, field, field_ord, label; controls: grp, control, control_ord, label (fillable ones).
+
+def pairs(fields: DataFrame, controls: DataFrame, least: float = 0.0) -> DataFrame:
+    """grp, field, control, score and preferred of pairs that score `least` or more.
+
+    fields: grp, field, field_ord, label; controls: grp, control, control_ord, label (fillable ones); both may have selector, and
+    preferred tells where it is the same. Without `least`, pairs are those that share a content word or are equal when normalised. With it, a
+    label's words are put in the order of their rarity: of a label of n words, only the first n - c + 1 are looked up, c being the fewest
+    that a partner must share: least * n with a longer one, n * least / (2 - least) with any. Two labels that share so many share one of these.
+    Partners' sizes are bounded, too.
     """
-    f = fields.select("grp", "field", "field_ord", normalised(F.col("label")).alias("fn"), content_tokens(F.col("label")).alias("ft"))
-    c = controls.select("grp", "control", "control_ord", normalised(F.col("label")).alias("cn"), content_tokens(F.col("label")).alias("ct"))
-    keys = lambda t, n: F.explode(F.concat(F.transform(t, lambda x: F.concat(F.lit("t:"), x)), F.array(F.concat(F.lit("n:"), n))))
-    fk = f.select("grp", "field", keys(F.col("ft"), F.col("fn")).alias("k"))
-    ck = c.select("grp", "control", keys(F.col("ct"), F.col("cn")).alias("k"))
-    hit = fk.join(ck, ["grp", "k"]).filter("k <> 'n:'").select("grp", "field", "control").distinct()
+    f, c = _labels(fields, "field", "f"), _labels(controls, "control", "c")
+    if least:
+        hit = written(_prefixed(f, c, least), "labels")
+    else:
+        keys = lambda t, n: F.explode(F.concat(F.transform(t, lambda x: F.concat(F.lit("t:"), x)), F.array(F.concat(F.lit("n:"), n))))
+        fk, ck = f.select("grp", "field", keys(F.col("ft"), F.col("fn")).alias("k")), c.select("grp", "control", keys(F.col("ct"), F.col("cn")).alias("k"))
+        hit = fk.join(ck, ["grp", "k"]).filter("k <> 'n:'").select("grp", "field", "control").distinct()
     full = hit.join(f, ["grp", "field"]).join(c, ["grp", "control"])
-    return full.select("grp", "field", "field_ord", "control", "control_ord", dice(F.col("ft"), F.col("ct"), F.col("fn") == F.col("cn")).alias("score"))
+    score = dice(F.col("ft"), F.col("ct"), F.col("fn") == F.col("cn"))
+    out = full.select("grp", "field", "field_ord", "control", "control_ord", score.alias("score"), F.coalesce(F.col("fs") == F.col("cs"), F.lit(False)).alias("preferred"))
+    return out.filter(F.col("score") >= least - SLACK) if least else out
+
+
+def _prefixed(f: DataFrame, c: DataFrame, least: float) -> DataFrame:
+    """Candidates (grp, field, control) by the rarest words of labels, and those that are equal."""
+    words = f.select(F.explode("ft").alias("w")).union(c.select(F.explode("ct"))).groupBy("w").agg(F.count("*").alias("df"))
+
+    def prefix(rows: DataFrame, ident: str, t: str) -> DataFrame:
+        each = rows.select("grp", ident, F.size(t).alias("n"), F.explode(t).alias("w")).join(words, "w")
+        listed = each.groupBy("grp", ident, "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))  # a label's own words
+        fewest = lambda share: (F.col("n") - F.ceil(F.col("n") * share - SLACK) + 1).cast("int")
+        looked = listed.select("grp", ident, "n", fewest(least).alias("few"), F.posexplode(F.slice("ws", F.lit(1), fewest(least / (2 - least)))).alias("pos", "e"))
+        return looked.select("grp", ident, "n", (F.col("pos") < F.col("few")).alias("first"), "e.w")
+
+    # The shorter label of two must share least * n of its n words, so fewer of its words are looked up.
+    a, b = prefix(f, "field", "ft"), prefix(c, "control", "ct").withColumnsRenamed({"n": "m", "first": "last"})
+    both = lambda short, one, two: F.explode(F.when(F.col(short), F.array(F.lit(one), F.lit(two))).otherwise(F.array(F.lit(two)))).alias("role")
+    a, b = a.select("grp", "field", "n", "w", both("first", 1, 2)), b.select("grp", "control", "m", "w", both("last", 2, 1))
+    shorter = F.when(F.col("role") == 1, F.col("n") <= F.col("m")).otherwise(F.col("n") > F.col("m"))
+    fits = (F.greatest("n", "m") * least / (2 - least) - SLACK) <= F.least("n", "m")
+    near = a.join(b, ["grp", "w", "role"]).filter(shorter & fits).select("grp", "field", "control")
+    same = f.filter("fn <> ''").select("grp", "field", F.col("fn").alias("n")).join(c.select("grp", "control", F.col("cn").alias("n")), ["grp", "n"]).select("grp", "field", "control")
+    return near.union(same).distinct()
 
 
 def top1(scored: DataFrame) -> DataFrame:
-    """Each field's best control: matched, ambiguous (a runner-up within the margin) or unmatched."""
-    w = W.partitionBy("grp", "field").orderBy(F.col("score").desc(), "control_ord")
-    best = scored.withColumns({"rn": F.row_number().over(w), "second": F.lead("score").over(w)}).filter("rn = 1").drop("rn")
-    status = F.when(F.col("score") < LEAST, "unmatched").when(F.round(F.col("score") - F.coalesce("second", F.lit(-1.0)), 9) < MARGIN, "ambiguous").otherwise("matched")
-    return best.withColumn("status", status)
+    """Each field's best control: matched, ambiguous (a runner-up within the margin) or unmatched. Of likely ones the field's own selector decides."""
+    own = F.coalesce("preferred", F.lit(False)) & (F.col("score") >= LEAST) if "preferred" in scored.columns else F.lit(False)
+    w = W.partitionBy("grp", "field").orderBy(F.col("own").desc(), F.col("score").desc(), "control_ord")
+    best = scored.withColumn("own", own).withColumns({"rn": F.row_number().over(w), "second": F.lead("score").over(w)}).filter("rn = 1").drop("rn")
+    status = F.when(F.col("own"), "matched").when(F.col("score") < LEAST, "unmatched").when(F.round(F.col("score") - F.coalesce("second", F.lit(-1.0)), 9) < MARGIN, "ambiguous").otherwise("matched")
+    return best.withColumn("status", status).drop("own", "preferred")
+
 
+def located(fields: DataFrame, controls: DataFrame, scores: bool = True) -> DataFrame:
+    """One row per field; of fields that want one control the strongest gets it, the others are ambiguous.
 
-def located(fields: DataFrame, controls: DataFrame) -> DataFrame:
-    """One row per field; of fields that want one control the strongest gets it, the others are ambiguous."""
-    best = top1(pairs(fields, controls))
+    Without scores, a field whose best control is too weak has score 0, and only pairs that may matter are made: the weakest
+    runner-up within the margin of a good control scores LEAST - MARGIN.
+    """
+    best = top1(pairs(fields, controls, 0.0 if scores else LEAST - MARGIN))
     w = W.partitionBy("grp", "control").orderBy(F.col("score").desc(), "field_ord")
     won = best.filter("status = 'matched'").withColumn("rank", F.row_number().over(w)).select("grp", "field", F.col("rank"))
     out = fields.select("grp", "field", "field_ord").join(best.drop("field_ord"), ["grp", "field"], "left").join(won, ["grp", "field"], "left")
     status = F.when(F.col("rank") > 1, "ambiguous").otherwise(F.coalesce("status", F.lit("unmatched")))
-    return out.select("grp", "field", "field_ord", F.when(status == "matched", F.col("control")).alias("control"), F.coalesce("score", F.lit(0.0)).alias("score"), status.alias("status"))
+    score = F.coalesce("score", F.lit(0.0))
+    score = score if scores else F.when(score >= LEAST, score).otherwise(0.0)
+    return out.select("grp", "field", "field_ord", F.when(status == "matched", F.col("control")).alias("control"), score.alias("score"), status.alias("status"))
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -56,17 +101,18 @@ def located_by_step(fields: DataFrame, controls: DataFrame) -> tuple[DataFrame,
     """(rows, steps): fields of the steps that clear the guard by themselves are located together; those of other steps wait.
 
     fields also has `step` (null: none). Where a group has one step only, or no step clears the guard, all its
-    fields are located. steps: grp, step, matched, intended, match_rate, safe_to_fill, deferred.
+    fields are located. steps: grp, step, matched, intended, match_rate, safe_to_fill, deferred. Scores below LEAST are 0.
     """
     f = fields.withColumn("step", F.coalesce("step", F.lit("")))
     inner = F.struct("grp", "step").alias("grp")
-    asked = f.select(inner, "field", "field_ord", "label")
-    shown = controls.join(f.select(F.col("grp").alias("g"), "step").distinct(), F.col("grp") == F.col("g")).select(inner, "control", "control_ord", "label")
-    each = report(located(asked, shown)).select("grp.*", "matched", "intended", "match_rate", "safe_to_fill").persist()  # a row per step, asked for three times
+    own = [c for c in ("selector",) if c in f.columns and c in controls.columns]
+    asked = f.select(inner, "field", "field_ord", "label", *own)
+    shown = controls.join(f.select(F.col("grp").alias("g"), "step").distinct(), F.col("grp") == F.col("g")).select(inner, "control", "control_ord", "label", *own)
+    each = report(located(asked, shown, scores=False)).select("grp.*", "matched", "intended", "match_rate", "safe_to_fill").persist()  # a row per step, asked for three times
     of_group = each.groupBy("grp").agg(F.count("*").alias("n"), F.bool_or("safe_to_fill").alias("some"))
     steps = each.join(of_group, "grp").withColumn("deferred", (F.col("n") > 1) & F.col("some") & ~F.col("safe_to_fill")).drop("n", "some")
-    now = f.join(steps.filter("NOT deferred").select("grp", "step"), ["grp", "step"]).select("grp", "field", "field_ord", "label")
-    return located(now, controls), steps
+    now = f.join(steps.filter("NOT deferred").select("grp", "step"), ["grp", "step"]).select("grp", "field", "field_ord", "label", *own)
+    return located(now, controls, scores=False), steps
 
 
 def unclaimed(controls: DataFrame, rows: DataFrame) -> DataFrame:
@@ -82,21 +128,34 @@ def identified(scores: DataFrame) -> DataFrame:
 
 
 def enriched(scored: DataFrame) -> DataFrame:
-    """Controls, the best-scored first, each take their best unclaimed field if confident. A page's controls are few, so a page is one group."""
-
-    def greedy(pdf):
-        pdf = pdf.sort_values(["control_ord", "field_ord"], kind="stable")
-        order = pdf.groupby("control", sort=False)["score"].max().sort_values(ascending=False, kind="stable")
-        taken, out = set(), []
-        for control in order.index:
-            rows = pdf[(pdf["control"] == control) & ~pdf["field"].isin(taken)].sort_values("score", ascending=False, kind="stable")
-            if rows.empty or rows["score"].iloc[0] < LEAST or (len(rows) > 1 and round(rows["score"].iloc[0] - rows["score"].iloc[1], 9) < MARGIN):
-                continue
-            taken.add(rows["field"].iloc[0])
-            out.append(rows.iloc[0])
-        return pdf.iloc[0:0] if not out else type(pdf)(out).sort_values("control_ord")[list(pdf.columns)]
-
-    return scored.groupBy("grp").applyInPandas(greedy, scored.schema)
+    """Controls, the best-scored first, each take their best unclaimed field if it is good enough and no other is within the margin.
+
+    Decided in rounds over all groups at once: a control decides as soon as none before it that is still undecided could take a
+    field which matters to it. Then all before it that touch its fields have decided, so the rounds give what taking turns gives;
+    their number is that of the longest chain of controls that wait for each other.
+    """
+    spark = scored.sparkSession
+    scored = scored.drop("preferred")
+    top = scored.groupBy("grp", "control").agg(F.max("score").alias("top"), F.min(F.struct("control_ord", "field_ord")).alias("first"))
+    turn = F.row_number().over(W.partitionBy("grp").orderBy(F.col("top").desc(), "first"))
+    near = scored.filter(F.col("score") > LEAST - MARGIN - SLACK).join(top.filter(F.col("top") >= LEAST).select("grp", "control", turn.alias("turn")), ["grp", "control"])
+    open_ = written(near, "greedy")
+    done: list[DataFrame] = []
+    while not open_.isEmpty():
+        takers = F.min(F.when(F.col("score") >= LEAST, F.col("turn"))).over(W.partitionBy("grp", "field"))
+        ready = F.min(F.coalesce(F.col("next") >= F.col("turn"), F.lit(True))).over(W.partitionBy("grp", "control"))
+        w = W.partitionBy("grp", "control").orderBy(F.col("score").desc(), "field_ord", "field")
+        rows = open_.withColumn("next", takers).withColumn("ready", ready)
+        rows = rows.withColumns({"rn": F.row_number().over(w), "second": F.lead("score").over(w)})
+        sure = F.col("ready") & (F.col("rn") == 1) & (F.col("score") >= LEAST) & (F.col("second").isNull() | (F.round(F.col("score") - F.col("second"), 9) >= MARGIN))
+        rows = written(rows.withColumn("taken", sure), "greedy")
+        taken = rows.filter("taken")
+        done.append(taken.select(*scored.columns))
+        open_ = written(rows.filter("NOT ready").join(taken.select("grp", "field"), ["grp", "field"], "left_anti").select(*near.columns), "greedy")
+    out = spark.createDataFrame([], scored.schema)
+    for df in done:
+        out = out.union(df)
+    return out.orderBy("grp", "control_ord")
 
 
 def host_matches(host: Column, patterns: Column) -> Column:

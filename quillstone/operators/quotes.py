@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import squashed
 
 
 #: Characters of quotes that are sent to all tasks.
 FEW = 16_000_000
+#: Characters of short quotes in one automaton, of some 100 bytes a character at most.
+SHARD = 1_000_000
 
 
 def _found(n: DataFrame, quotes: DataFrame, anchor: int) -> DataFrame:
     """The rows of n (note_id, t, ...) with each different q that their t holds anywhere, the quotes' rows aside.
 
     Where a quote occurs, all its words but the first and the last are whole words of the note: the note's first and last
-    may go on beyond it. So notes and quotes meet by hashes of runs of at most `anchor` of these inner words; quotes of one or
-    two words have none and are compared with each note. While the quotes are few they are sent to the notes, whose runs then
-    don't move; what meets is compared letter by letter.
+    may go on beyond it. So notes and quotes meet by hashes of runs of at most `anchor` of these inner words, and what meets is
+    compared letter by letter. While the quotes are few they are sent to the notes, whose runs then don't move. Quotes of one or two
+    words have no inner word: automata of about SHARD characters find them, each in one pass over the notes.
     """
     w = F.split("q", " ")
     k = F.greatest(F.lit(0), F.least(F.lit(anchor), F.size(w) - 2))
@@ -32,8 +39,11 @@ def _found(n: DataFrame, quotes: DataFrame, anchor: int) -> DataFrame:
         keys = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
         return words.filter(F.size("w") >= k).select("note_id", F.lit(k).alias("k"), F.explode(F.array_distinct(keys)).alias("key"))
 
-    out = n.crossJoin(q.filter("k = 0").select("q")).filter(F.contains("t", "q")) if not lengths or lengths[0] == 0 else None
-    grams = None
+    out, grams = None, None
+    shards = -(-counts.get(0, 0) // SHARD)
+    for s in range(shards):
+        part = _short(n, q.filter((F.col("k") == 0) & (F.pmod(F.xxhash64("q"), F.lit(shards)) == s)).select("q"))
+        out = part if out is None else out.union(part)
     for k in lengths:
         if k:
             grams = runs(k) if grams is None else grams.union(runs(k))
@@ -41,7 +51,28 @@ def _found(n: DataFrame, quotes: DataFrame, anchor: int) -> DataFrame:
         pairs = grams.join(F.broadcast(q) if few else q, ["k", "key"]).select(F.col("note_id").alias("of"), "q").distinct()
         more = n.join(pairs, F.col("note_id").eqNullSafe(F.col("of"))).drop("of").filter(F.contains("t", "q"))
         out = more if out is None else out.union(more)
-    return out
+    return n.select("*", F.lit("").alias("q")).limit(0) if out is None else out
+
+
+def _short(n: DataFrame, quotes: DataFrame) -> DataFrame:
+    """The rows of n with each q of a bounded set that their t holds: one automaton reads each note once."""
+    sent = n.sparkSession.sparkContext.broadcast([r["q"] for r in quotes.toLocalIterator()])
+    schema = T.StructType([*n.schema.fields, T.StructField("q", T.StringType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton()
+        for q in sent.value:
+            found.add_word(q, q)
+        found.make_automaton()
+        for b in it:
+            rows, held = [], []
+            for k, text in enumerate(b.column("t").to_pylist()):
+                for q in sorted({q for _, q in found.iter(text)}) if text and sent.value else ():
+                    rows.append(k)
+                    held.append(q)
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows, pa.int64())).columns, pa.array(held, pa.string())], names=[*b.schema.names, "q"])
+
+    return n.mapInArrow(run, schema)
 
 
 def _texts(notes: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import bank, evalkit, extract, fill, geometry, intake, live, match, panel, provider, quotes, review, sinks
 from ..sources import files, html
+from ..operators.tables import temporary_folder
+from ..streaming import pages
 from ..streaming.changes import changes, quiet
 from .queries import AS_OF, query, t
 
@@ -605,6 +607,34 @@ def settled_changes(spark, sf_dir):
     return changes(q, "user_id", ["ts", "event_id"], F.col("event_type")).select("event_id", "user_id", "event_type")
 
 
+#: Users as pages: their clicks are answers, their other events show what the page is; quiet is an hour without those.
+POINTS = """
+WITH e AS (SELECT user_id::VARCHAR AS page, ts, event_id, CASE WHEN event_type <> 'click' THEN event_type END AS sig FROM events),
+q AS (SELECT *, lead(ts) OVER (PARTITION BY page ORDER BY ts, event_id) AS nxt FROM e WHERE sig IS NOT NULL),
+d AS (SELECT *, sig IS DISTINCT FROM lag(sig) OVER (PARTITION BY page ORDER BY ts, event_id) AS changed FROM q WHERE (nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) >= 3600000000) AND {decided}),
+c AS (SELECT *, lag(ts) OVER (PARTITION BY page ORDER BY ts, event_id) AS was FROM d WHERE changed),
+n AS (SELECT c.event_id, count(*) AS n FROM c JOIN e ON e.page = c.page AND e.sig IS NULL AND epoch_us(e.ts) <= epoch_us(c.ts) + 3600000000 AND (was IS NULL OR epoch_us(e.ts) > epoch_us(was) + 3600000000) GROUP BY 1)
+SELECT page, event_id AS ord, sig, changed, CAST(coalesce(n, 0) AS BIGINT) AS discarded FROM d LEFT JOIN n USING (event_id)
+"""
+
+
+def _page_events(e):
+    return e.select(F.col("user_id").alias("page"), F.col("ts").alias("at"), F.col("event_id").alias("ord"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("sig"))
+
+
+@query(POINTS.format(decided="true"))
+def quiet_points(spark, sf_dir):
+    """Where each page comes to rest, whether it has changed by then, and how many answers the change ends."""
+    return pages.points_of(_page_events(t(spark, sf_dir, "events")), 3600).drop("at")
+
+
+@query(POINTS.format(decided="epoch_us(ts) + 3600000000 < (SELECT max(epoch_ms(ts)) FROM events) * 1000"))
+def streamed_points(spark, sf_dir):
+    """The same from a stream with state and timers: what is decided when the stream has read all events."""
+    source = spark.readStream.schema(t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    return pages.drained(pages.points(_page_events(source), 3600), temporary_folder(spark, "points")).drop("at")
+
+
 @query("""
 WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_id % 50 = 0), r AS (SELECT e.user_id AS page, e.event_type AS label FROM events e WHERE e.user_id NOT IN (SELECT user_id FROM c))
 SELECT page, CAST(count(*) AS BIGINT) AS n, count(*)::VARCHAR AS text FROM r GROUP BY page
