@@ -107,7 +107,7 @@ def _lines(spark, sf_dir):
 
 
 def _controls(spark, sf_dir):
-    c = _lines(spark, sf_dir).filter("l_orderkey % 5 < 3")
+    c = _lines(spark, sf_dir)
     label = F.when(F.col("l_way") == "RAIL", "").otherwise(F.concat(F.lit("Way of "), F.lower("l_way"), F.lit(", call 91234567")))
     return c.select((F.col("l_orderkey") % 200).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), label.alias("label"), F.when(F.col("l_linenumber") == 1, "date").when(F.col("l_linenumber") == 2, "radio-group").otherwise("select-one").alias("type"),
                     F.array(F.col("l_returnflag"), F.lit(" ")).alias("options"), F.lit("").alias("description"), F.when(F.col("l_linenumber") == 3, F.lit(4)).alias("instance"))
@@ -116,7 +116,7 @@ def _controls(spark, sf_dir):
 @query("""
 SELECT l_orderkey % 200 AS page, CAST(count(*) FILTER (WHERE ['AIR', 'RAIL', 'SHIP', 'TRUCK'][l_partkey % 4 + 1] <> 'RAIL') AS BIGINT) AS n_fields,
        CASE WHEN count(*) FILTER (WHERE ['AIR', 'RAIL', 'SHIP', 'TRUCK'][l_partkey % 4 + 1] <> 'RAIL') = 0 THEN 'no labelled fields' WHEN count(*) FILTER (WHERE ['AIR', 'RAIL', 'SHIP', 'TRUCK'][l_partkey % 4 + 1] <> 'RAIL') > 50 THEN 'too many fields' END AS error
-FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) AS l WHERE l_orderkey % 5 < 3 GROUP BY ALL
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) AS l GROUP BY ALL
 """)
 def live_limits(spark, sf_dir):
     return live.page_errors(_controls(spark, sf_dir))
@@ -124,13 +124,13 @@ def live_limits(spark, sf_dir):
 
 @query("""
 WITH c AS (SELECT l_orderkey AS page, l_linenumber AS ord, 'Way of ' || lower(['AIR', 'RAIL', 'SHIP', 'TRUCK'][l_partkey % 4 + 1]) || CASE WHEN l_linenumber = 3 THEN ', call 91234567 (entry 4)' ELSE ', call 91234567' END AS raw,
-             trim(regexp_replace('way_of_' || lower(['AIR', 'RAIL', 'SHIP', 'TRUCK'][l_partkey % 4 + 1]) || CASE WHEN l_linenumber = 3 THEN '_call_91234567_entry_4' ELSE '_call_91234567' END, '[^a-z0-9]+', '_', 'g'), '_') AS base, l_linenumber AS n, l_returnflag AS flag FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) AS l WHERE l_orderkey % 10 = 1),
+             trim(regexp_replace('way_of_' || lower(['AIR', 'RAIL', 'SHIP', 'TRUCK'][l_partkey % 4 + 1]) || CASE WHEN l_linenumber = 3 THEN '_call_91234567_entry_4' ELSE '_call_91234567' END, '[^a-z0-9]+', '_', 'g'), '_') AS base, l_linenumber AS n, l_returnflag AS flag FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) AS l),
 k AS (SELECT *, row_number() OVER (PARTITION BY page, base ORDER BY ord) AS r FROM c)
 SELECT page, ord, base || CASE WHEN r > 1 THEN '_' || r ELSE '' END AS id, CASE n WHEN 1 THEN 'date' WHEN 2 THEN 'checkbox' ELSE 'text' END AS type, 'llm' AS source, replace(raw, '91234567', '[PHONE_2]') AS label, flag AS options FROM k
 """)
 def live_fields(spark, sf_dir):
     """Orders' lines as controls of a page each: entry labels, numbered ids, types, scrubbed labels and options."""
-    c = _lines(spark, sf_dir).filter("l_orderkey % 10 = 1")
+    c = _lines(spark, sf_dir)
     c = c.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("Way of "), F.lower("l_way"), F.lit(", call 91234567")).alias("label"), F.when(F.col("l_linenumber") == 1, "Date").when(F.col("l_linenumber") == 2, "radio-group").otherwise("number").alias("type"), F.array(F.col("l_returnflag"), F.lit(" ")).alias("options"), F.lit("").alias("description"), F.when(F.col("l_linenumber") == 3, F.lit(4)).alias("instance"))
     return live.live_fields(c).select("page", "ord", "id", "type", "source", "label", F.array_join("options", ",").alias("options"))
 
@@ -143,14 +143,14 @@ SELECT form, field, CAST(page AS INTEGER) AS page, CASE WHEN tick THEN 'tick' EL
 FROM v
 """)
 def overlay_rows(spark, sf_dir):
-    """Parts as boxes on three pages: ticks, texts, blanks, unknown ids, tokens and a page too many."""
+    """Parts as boxes on three pages: ticks, texts, blanks, unknown ids with and without a value, tokens and a page too many."""
     p = t(spark, sf_dir, "part")
     k = F.col("p_partkey")
     box = F.struct((1 + k % 4).cast("int").alias("page"), (F.col("p_size") * 7 % 300).cast("double").alias("x"), (F.col("p_size") * 11 % 700).cast("double").alias("y"), F.lit(400.0).alias("w"), (30.0 + F.col("p_size") % 5).alias("h"), F.lit(None).cast("double").alias("size"))
     fields = p.select(F.col("p_brand").alias("form"), k.alias("field"), box.alias("box"))
     tick = k % 6 == 0
     own = p.select(F.col("p_brand").alias("form"), k.alias("field"), F.when(k % 11 == 2, F.when(~tick, "")).when(~tick, F.when(k % 10 == 1, F.concat("p_name", F.lit(" [NRIC_2]"))).otherwise(F.col("p_name"))).alias("value_str"), F.when(tick, k % 11 != 2).alias("value_bool"))
-    odd = p.filter("p_size = 7").select(F.lit("Brand#11").alias("form"), (-k - 1).alias("field"), F.col("p_name").alias("value_str"), F.lit(None).cast("boolean").alias("value_bool"))
+    odd = p.filter("p_size = 7").select(F.lit("Brand#11").alias("form"), (-k - 1).alias("field"), F.when(k % 4 == 0, F.col("p_name")).when(k % 4 == 1, "").alias("value_str"), F.when(k % 4 == 2, False).alias("value_bool"))
     pages = p.select(F.col("p_brand").alias("form")).distinct().select("form", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("page"), F.lit(842.0).alias("height"))
     got = sinks.overlay_rows(fields, own.union(odd), pages)
     return got.select("form", "field", "page", "what", "error", "left", "top", F.when(F.col("what") == "tick", F.round("size", 6)).alias("tick_size"))
@@ -166,32 +166,32 @@ def text_widths(spark, sf_dir):
 
 
 @query("""
-WITH x AS (SELECT l_orderkey, l_linenumber, l_linenumber % 7 AS m, l_quantity > 25 AS yes, ['AIR', 'RAIL', 'SHIP', 'TRUCK'][l_partkey % 4 + 1] AS way FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) AS l WHERE l_orderkey % 4 = 1)
+WITH x AS (SELECT l_orderkey, l_linenumber, l_linenumber % 7 AS m, l_quantity > 25 AS yes, ['AIR', 'RAIL', 'SHIP', 'TRUCK'][l_partkey % 4 + 1] AS way FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) AS l)
 SELECT l_orderkey AS form, l_linenumber AS name,
        CASE WHEN m = 1 THEN CASE WHEN yes THEN 'Yes' ELSE '/Off' END WHEN m IN (4, 6) THEN way WHEN m = 3 AND NOT yes THEN '/Off' END AS write,
        CAST(CASE WHEN m = 1 OR (m = 3 AND NOT yes) THEN 0 WHEN m IN (4, 6) THEN 2 END AS BIGINT) AS flags,
        CASE WHEN m = 2 THEN 'a tick box wants a yes or no' WHEN m = 3 AND yes THEN 'a tick box without a state' WHEN m = 5 THEN 'not a tick box' WHEN m = 0 THEN 'unknown field' END AS error FROM x
 """)
 def form_rows(spark, sf_dir):
-    """Orders' lines as values for a file's own fields: tick boxes with and without a state, wrong kinds, comb fields, unknown names."""
-    x = _lines(spark, sf_dir).filter("l_orderkey % 4 = 1").withColumn("m", F.col("l_linenumber") % 7)
+    """Orders' lines as values for a file's own fields: tick boxes with and without a state, wrong kinds, comb fields, unknown names with and without a value."""
+    x = _lines(spark, sf_dir).withColumn("m", F.col("l_linenumber") % 7)
     m = F.col("m")
     box = m.isin(1, 2, 3)
     fields = x.filter("m <> 0").select(F.col("l_orderkey").alias("form"), F.col("l_linenumber").alias("name"), F.when(box, "/Btn").otherwise("/Tx").alias("kind"), F.when(m == 3, F.array(F.lit("/Off"))).otherwise(F.array(F.lit("/Off"), F.lit("Yes"), F.lit("No"))).alias("states"), F.when(box, 0).otherwise((1 << 24) + (1 << 23) + 2).alias("flags"))
     yes = F.col("l_quantity") > 25
-    values = x.select(F.col("l_orderkey").alias("form"), F.col("l_linenumber").alias("name"), F.when(m.isin(2, 4, 6, 0), F.col("l_way")).alias("value_str"), F.when(m.isin(1, 3, 5), yes).alias("value_bool"))
+    values = x.select(F.col("l_orderkey").alias("form"), F.col("l_linenumber").alias("name"), F.when(m.isin(2, 4, 6) | ((m == 0) & yes), F.col("l_way")).alias("value_str"), F.when(m.isin(1, 3, 5), yes).alias("value_bool"))
     return sinks.form_rows(fields, values)
 
 
 @query("""
-WITH f AS (SELECT DISTINCT l_orderkey AS form, l_linenumber AS field FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) AS l WHERE l_orderkey % 3 = 0),
-u AS (SELECT o_orderkey AS form, string_agg(f.n::VARCHAR, ', ' ORDER BY f.n::VARCHAR) AS ids FROM orders, (VALUES (1), (6), (12)) f(n) WHERE o_orderkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM f x WHERE x.form = o_orderkey AND x.field = f.n) GROUP BY 1)
-SELECT o_orderkey AS form, CASE WHEN o_orderstatus = 'F' THEN 'filled in the browser' ELSE 'unknown field ids: ' || ids END AS error FROM orders LEFT JOIN u ON form = o_orderkey WHERE o_orderkey % 3 = 0 AND (o_orderstatus = 'F' OR ids IS NOT NULL)
+WITH f AS (SELECT DISTINCT l_orderkey AS form, l_linenumber AS field FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) AS l),
+u AS (SELECT o_orderkey AS form, string_agg(f.n::VARCHAR, ', ' ORDER BY f.n::VARCHAR) AS ids FROM orders, (VALUES (1), (6), (12)) f(n) WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.form = o_orderkey AND x.field = f.n) GROUP BY 1)
+SELECT o_orderkey AS form, CASE WHEN o_orderstatus = 'F' THEN 'filled in the browser' ELSE 'unknown field ids: ' || ids END AS error FROM orders LEFT JOIN u ON form = o_orderkey WHERE (o_orderstatus = 'F' OR ids IS NOT NULL)
 """)
 def fill_errors(spark, sf_dir):
     """Orders as forms of as many fields as they have lines, each asked to fill fields 1, 6 and 12."""
-    o = t(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
-    fields = _lines(spark, sf_dir).filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("form"), F.col("l_linenumber").cast("int").alias("field")).distinct()
+    o = t(spark, sf_dir, "orders")
+    fields = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("form"), F.col("l_linenumber").cast("int").alias("field")).distinct()
     values = o.select(F.col("o_orderkey").alias("form"), F.explode(F.array(*map(F.lit, (1, 6, 12)))).alias("field"))
     forms = o.select(F.col("o_orderkey").alias("form"), F.when(F.col("o_orderstatus") == "F", "web").otherwise("overlay").alias("fill_mode"))
     return sinks.fill_errors(forms, fields, values)
@@ -242,7 +242,7 @@ def upload_guards(spark, sf_dir):
 
 
 WIDGETS = """
-w AS (SELECT p_brand AS form, 1 + p_partkey % 3 AS page, p_partkey AS k, p_name AS name, p_partkey % 5 = 0 AS box, CASE p_partkey % 6 WHEN 0 THEN 'date' WHEN 1 THEN 'checkbox' WHEN 2 THEN 'number' ELSE 'text' END AS told, p_partkey % 7 <> 0 AS inc, CASE WHEN p_partkey % 8 = 0 THEN ' ' ELSE ' ' || p_type || ' ' END AS label FROM part WHERE p_size <= 20),
+w AS (SELECT p_brand AS form, 1 + p_partkey % 3 AS page, p_partkey AS k, p_name AS name, p_partkey % 5 = 0 AS box, CASE p_partkey % 6 WHEN 0 THEN 'date' WHEN 1 THEN 'checkbox' WHEN 2 THEN 'number' ELSE 'text' END AS told, p_partkey % 7 <> 0 AS inc, CASE WHEN p_partkey % 8 = 0 THEN ' ' ELSE ' ' || p_type || ' ' END AS label FROM part),
 r AS (SELECT *, CASE WHEN box THEN 'checkbox' WHEN told IN ('checkbox', 'number') THEN 'text' ELSE told END AS type FROM w WHERE inc AND trim(label) <> '' AND NOT (page = 2 AND form = 'Brand#11')),
 n AS (SELECT *, rtrim(left(trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_'), 40), '_') AS base, row_number() OVER (PARTITION BY form ORDER BY page, k) - 1 AS ord FROM r)
 """
@@ -255,7 +255,7 @@ SELECT form, CAST(ord AS INTEGER) AS ord, base || CASE WHEN row_number() OVER (P
 """)
 def intake_boxes(spark, sf_dir):
     """Small parts as boxes of their brand's form: replies name some of them, one page's reply can't be read, and the file decides what is a tick box."""
-    p = t(spark, sf_dir, "part").filter("p_size <= 20")
+    p = t(spark, sf_dir, "part")
     k = F.col("p_partkey")
     page = (1 + k % 3).cast("int")
     widgets = p.select(F.col("p_brand").alias("form"), page.alias("page"), k.alias("ord"), F.col("p_name").alias("name"), F.when(k % 5 == 0, "/Btn").otherwise("/Tx").alias("kind"), F.array().cast("array<string>").alias("states"), F.array().cast("array<string>").alias("nearby"))
@@ -312,12 +312,12 @@ def panel_details(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT l_orderkey AS claim, l_linenumber AS id, CASE WHEN l_linenumber % 3 = 0 THEN CASE WHEN l_quantity > 25 THEN '' ELSE 'edited' END WHEN l_returnflag = 'A' THEN NULL ELSE ['AIR', 'RAIL', 'SHIP', 'TRUCK'][l_partkey % 4 + 1] END AS v, l_returnflag = 'R' AS held, l_linenumber = 2 AS ok FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) AS l WHERE l_orderkey % 4 = 2)
+WITH r AS (SELECT l_orderkey AS claim, l_linenumber AS id, CASE WHEN l_linenumber % 3 = 0 THEN CASE WHEN l_quantity > 25 THEN '' ELSE 'edited' END WHEN l_returnflag = 'A' THEN NULL ELSE ['AIR', 'RAIL', 'SHIP', 'TRUCK'][l_partkey % 4 + 1] END AS v, l_returnflag = 'R' AS held, l_linenumber = 2 AS ok FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) AS l)
 SELECT claim, string_agg(id || '=' || v, ',' ORDER BY id) AS plan FROM (SELECT DISTINCT * FROM r) WHERE trim(v) <> '' AND (NOT held OR ok) GROUP BY claim
 """)
 def fill_values(spark, sf_dir):
     """Orders' lines as reviewed rows: edits win, even blank ones, and rows held for review go only if confirmed."""
-    x = _lines(spark, sf_dir).filter("l_orderkey % 4 = 2")
+    x = _lines(spark, sf_dir)
     rows = x.select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("id"), F.when(F.col("l_returnflag") != "A", F.col("l_way")).alias("value_str"), F.lit(None).cast("boolean").alias("value_bool"), (F.col("l_returnflag") == "R").alias("needs_review"))
     edits = x.filter("l_linenumber % 3 = 0").select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("id"), F.when(F.col("l_quantity") > 25, "").otherwise("edited").alias("edit"))
     confirmed = x.filter("l_linenumber = 2").select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("id"))
@@ -421,12 +421,12 @@ CONTROL_ROWS = """('c1', 'text', 'n', 'Name', 'label[for]', '#a', NULL, 1, false
 
 def _form_pages(spark, sf_dir):
     k = F.col("c_custkey").cast("string")
-    return t(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://Portal.example/claims?id="), k).alias("url"), F.replace(F.lit(FORM_HTML), F.lit("{k}"), k).alias("html"))
+    return t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://Portal.example/claims?id="), k).alias("url"), F.replace(F.lit(FORM_HTML), F.lit("{k}"), k).alias("html"))
 
 
 @query(f"""
 SELECT c_custkey AS page_id, v.ref, v.type, v.name, CASE WHEN how = 'section-heading' THEN label || ' ' || c_custkey ELSE label END AS label, how AS label_source, selector, CAST(entry AS INTEGER) AS entry, CAST(members AS INTEGER) AS members, has_value, visible, opts AS options
-FROM customer, (VALUES {CONTROL_ROWS}) v(ref, type, name, label, how, selector, entry, members, has_value, visible, opts) WHERE c_custkey % 3 = 0
+FROM customer, (VALUES {CONTROL_ROWS}) v(ref, type, name, label, how, selector, entry, members, has_value, visible, opts)
 """)
 def page_controls(spark, sf_dir):
     """Forms about customers, each with all ways to name a control, groups, entries, hidden parts and types that are left out."""
@@ -436,7 +436,7 @@ def page_controls(spark, sf_dir):
 
 @query("""
 SELECT c_custkey AS page_id, 'portal.example' AS host, CAST(11 AS INTEGER) AS control_count, 'Admission ' || c_custkey AS step_hint, CAST(1 AS INTEGER) AS skipped_passwords, CAST(1 AS INTEGER) AS scrubbed_strings,
-       'text:1:Name|select:1:Ward|text:1:|text:1:Say [NRIC]|text:1:Bed|text:1:Entry|text:1:Entry|text:0:|radio-group:1:Admission ' || c_custkey || '|checkbox-group:1:Admission ' || c_custkey || '|checkbox:1:Alone' AS signature FROM customer WHERE c_custkey % 3 = 0
+       'text:1:Name|select:1:Ward|text:1:|text:1:Say [NRIC]|text:1:Bed|text:1:Entry|text:1:Entry|text:0:|radio-group:1:Admission ' || c_custkey || '|checkbox-group:1:Admission ' || c_custkey || '|checkbox:1:Alone' AS signature FROM customer
 """)
 def page_dumps(spark, sf_dir):
     """What a dump of each of these forms says of the page, and its signature."""
@@ -446,7 +446,7 @@ def page_dumps(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT o_orderkey AS k, o_orderstatus, o_orderkey % 8 AS m FROM orders WHERE o_orderkey % 3 = 1),
+WITH c AS (SELECT o_orderkey AS k, o_orderstatus, o_orderkey % 8 AS m FROM orders),
 r AS (SELECT k, m, f.id, f.typ FROM c, (VALUES ('name', 'demographics.full_name'), ('seen', 'llm'), ('ward', 'llm'), ('well', 'llm')) f(id, typ) WHERE m NOT IN (0, 1, 2, 3)),
 v AS (SELECT k AS claim, id, CASE id WHEN 'name' THEN CASE WHEN m = 4 THEN NULL ELSE 'Tan ' || k END WHEN 'seen' THEN CASE WHEN m = 5 THEN '05/03/24' ELSE '25/03/24' END WHEN 'ward' THEN CASE WHEN m = 6 THEN NULL ELSE 'Ward B1' END ELSE 'true' END AS value,
         CASE id WHEN 'name' THEN 'demographic' WHEN 'seen' THEN 'extracted' WHEN 'ward' THEN CASE WHEN m = 6 THEN 'missing' ELSE 'inferred' END ELSE 'extracted' END AS status FROM r)
@@ -455,7 +455,7 @@ UNION ALL SELECT k, NULL, NULL, NULL, CASE m WHEN 0 THEN 'refused' WHEN 1 THEN '
 """)
 def provider_replay(spark, sf_dir):
     """Orders as claims on one form, answered from recorded replies: answers, off-list and coerced values, demographics copied in, and four kinds of failure."""
-    o = t(spark, sf_dir, "orders").filter("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 8).alias("m"))
+    o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 8).alias("m"))
     claims = o.select("key", F.lit("f").alias("form"), F.concat(F.lit("Seen. [PATIENT] "), F.col("key").cast("string")).alias("redacted_text"))
     none = None
     fields = spark.createDataFrame(
@@ -508,10 +508,10 @@ def citations(spark, sf_dir):
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE doc_id % 10 = 0),
+WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
 b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM benchmark),
 p AS (SELECT item_id, string_split(q, ' ') AS w FROM b),
-s AS (SELECT item_id, array_to_string(w[1:8], ' ') || '. ' || array_to_string(w[9:14], ' ') AS q FROM p),
+s AS (SELECT item_id, array_to_string(w[1:8], ' ') || '. ' || array_to_string(w[9:], ' ') AS q FROM p),
 e AS (SELECT item_id, string_split(regexp_replace(q, '([.;]) ', '\1' || chr(10), 'g'), chr(10)) AS ps FROM s),
 k AS (SELECT item_id, unnest(range(1, len(ps) + 1)) AS piece, unnest(ps) AS raw FROM e),
 f AS (SELECT item_id, piece, raw, 0 AS form FROM k WHERE contains(raw, ' ') UNION ALL SELECT item_id, piece, regexp_replace(raw, '[.,;:]+$', ''), 1 FROM k WHERE contains(raw, ' ')),
@@ -521,9 +521,9 @@ SELECT doc_id AS note_id, item_id AS quote_id, CAST(piece AS INTEGER) AS piece,
 """)
 def quote_pieces(spark, sf_dir):
     """Benchmark passages cut after their eighth word, as quotes that no note holds whole: the pieces that occur once in the notes."""
-    notes = t(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("note_id"), text.squashed(F.col("text")).alias("text"))
+    notes = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), text.squashed(F.col("text")).alias("text"))
     w = F.split(text.squashed(F.col("text")), " ")
-    asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.concat(F.array_join(F.slice(w, 1, 8), " "), F.lit(". "), F.array_join(F.slice(w, 9, 6), " ")).alias("quote"))
+    asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.concat(F.array_join(F.slice(w, 1, 8), " "), F.lit(". "), F.array_join(F.slice(w, F.lit(9), F.size(w)), " ")).alias("quote"))
     return quotes.pieces_located(notes, asked)
 
 
@@ -560,7 +560,7 @@ def proof_sheet(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT o_orderkey AS claim, o_orderkey % 6 AS m, o_custkey % 3 = 0 AS blank FROM orders WHERE o_orderkey % 5 = 2),
+WITH r AS (SELECT o_orderkey AS claim, o_orderkey % 6 AS m, o_custkey % 3 = 0 AS blank FROM orders),
 f AS (SELECT claim, m, blank, v.id FROM r, (VALUES ('who'), ('note'), ('payer'), ('born')) v(id))
 SELECT claim, id, CASE id WHEN 'who' THEN CASE WHEN m < 2 THEN 'Seen by Tan ' || claim WHEN m < 4 THEN NULL ELSE 'plain' END WHEN 'note' THEN 'ok' WHEN 'payer' THEN CASE WHEN blank THEN 'Form Mutual' ELSE 'Own Mutual' END ELSE CASE WHEN m = 0 THEN '25/03/1970' ELSE '04/03/1970' END END AS value,
        CASE id WHEN 'who' THEN CASE WHEN m IN (2, 3) THEN 'missing' ELSE 'extracted' END WHEN 'note' THEN 'inferred' ELSE 'demographic' END AS status,
@@ -569,7 +569,7 @@ SELECT claim, id, CASE id WHEN 'who' THEN CASE WHEN m < 2 THEN 'Seen by Tan ' ||
 """)
 def claim_rows(spark, sf_dir):
     """Orders as claims: tokens turned back or, where one stays, the value blanked; details copied in, the insurer from the form where there is none."""
-    o = t(spark, sf_dir, "orders").filter("o_orderkey % 5 = 2").select(F.col("o_orderkey").alias("claim"), (F.col("o_orderkey") % 6).alias("m"), (F.col("o_custkey") % 3 == 0).alias("blank"))
+    o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim"), (F.col("o_orderkey") % 6).alias("m"), (F.col("o_custkey") % 3 == 0).alias("blank"))
     kinds = (("who", "text", "llm"), ("note", "text", "llm"), ("payer", "text", "demographics.insurer"), ("born", "date", "demographics.dob"))
     f = o.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("id"), F.lit(b).alias("type"), F.lit(c).alias("source")) for a, b, c in kinds])).alias("x")).select("claim", "m", "x.*")
     who = F.when(F.col("m") < 2, "Seen by [PATIENT]").when(F.col("m") < 4, "By [NRIC_7] and [PATIENT]").otherwise("plain")
@@ -655,38 +655,38 @@ def filled_counts(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT p_brand AS form, string_agg('"b' || (n - 1) || '"', ',' ORDER BY n) AS refs FROM (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_size = 3) GROUP BY 1)
+WITH f AS (SELECT p_brand AS form, string_agg('"b' || (n - 1) || '"', ',' ORDER BY n) AS refs FROM (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) GROUP BY 1)
 SELECT form, '{"type":"object","properties":{"boxes":{"type":"array","items":{"type":"object","properties":{"ref":{"type":"string","enum":[' || refs || ']},"label":{"type":"string"},"description":{"type":"string"},"type":{"type":"string","enum":["text","date","checkbox"]},"options":{"type":"array","items":{"type":"string"}},"include":{"type":"boolean"}},"required":["ref","label","description","type","options","include"],"additionalProperties":false}}},"required":["boxes"],"additionalProperties":false}' AS boxes,
  '{"type":"object","properties":{"fields":{"type":"array","items":{"type":"object","properties":{"id":{"type":"string","enum":[' || refs || ']},"value":{"type":"string"},"status":{"type":"string","enum":["extracted","inferred","missing"]},"source":{"type":"string"},"reasoning":{"type":"string"}},"required":["id","value","status","source","reasoning"],"additionalProperties":false}}},"required":["fields"],"additionalProperties":false}' AS answers FROM f
 """)
 def reply_grammars(spark, sf_dir):
     """What replies about a brand's boxes and questions must look like."""
-    p = t(spark, sf_dir, "part").filter("p_size = 3").select(F.col("p_brand").alias("form"), F.lit(1).alias("page"), F.col("p_partkey").alias("ord"))
+    p = t(spark, sf_dir, "part").select(F.col("p_brand").alias("form"), F.lit(1).alias("page"), F.col("p_partkey").alias("ord"))
     refs = intake.pages_of(p).groupBy("form").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "ref"))), lambda x: x["ref"]).alias("refs"))
     return refs.select("form", intake.box_grammar(F.col("refs")).alias("boxes"), intake.answer_grammar(F.col("refs")).alias("answers"))
 
 
 @query("""
-WITH w AS (SELECT p_brand AS form, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n, p_name, p_size FROM part WHERE p_size <= 4),
+WITH w AS (SELECT p_brand AS form, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n, p_name, p_size FROM part),
 l AS (SELECT form, string_agg('<box ref="b' || n || '" pdf_name="' || p_name || '" type="' || CASE WHEN p_size = 1 THEN 'checkbox' WHEN p_size = 2 THEN 'choice' ELSE 'text' END || '" nearby="Near | ' || p_size || '"' || CASE WHEN p_size < 3 THEN ' accepts="Yes | No"' ELSE '' END || ' />', chr(10) ORDER BY k) AS lines FROM w GROUP BY form)
 SELECT form, '<page number="1">' || chr(10) || '<printed_text>' || chr(10) || 'Printed ' || form || chr(10) || '</printed_text>' || chr(10) || '<boxes>' || chr(10) || lines || chr(10) || '</boxes>' || chr(10) || '</page>' AS prompt FROM l
 """)
 def page_prompts(spark, sf_dir):
-    """Small parts as the boxes of their brand's page, as a reader of pages is asked about them."""
+    """Parts as the boxes of their brand's page, as a reader of pages is asked about them."""
     n, none = F.col("p_size"), F.array().cast("array<string>")
-    w = t(spark, sf_dir, "part").filter("p_size <= 4").select(F.col("p_brand").alias("form"), F.lit(1).alias("page"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.when(n == 1, "/Btn").when(n == 2, "/Ch").otherwise("/Tx").alias("kind"), F.when(n < 3, F.array(F.lit("Yes"), F.lit("No"))).otherwise(none).alias("states"), F.array(F.lit("Near"), n.cast("string")).alias("nearby"))
+    w = t(spark, sf_dir, "part").select(F.col("p_brand").alias("form"), F.lit(1).alias("page"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.when(n == 1, "/Btn").when(n == 2, "/Ch").otherwise("/Tx").alias("kind"), F.when(n < 3, F.array(F.lit("Yes"), F.lit("No"))).otherwise(none).alias("states"), F.array(F.lit("Near"), n.cast("string")).alias("nearby"))
     printed = w.select("form", "page", F.concat(F.lit("Printed "), "form").alias("text")).distinct()
     return intake.page_prompts(w, printed).select("form", "prompt")
 
 
 @query("""
-WITH f AS (SELECT p_brand AS form, string_agg('{"id":"f' || p_partkey || '","type":"text","description":"' || CASE WHEN p_size = 2 THEN '' ELSE p_type END || '"' || CASE WHEN p_size = 1 THEN ',"options":["a","b"]' ELSE '' END || '}', ',' ORDER BY p_partkey) AS qs FROM part WHERE p_size <= 3 AND p_partkey % 5 > 0 GROUP BY p_brand)
+WITH f AS (SELECT p_brand AS form, string_agg('{"id":"f' || p_partkey || '","type":"text","description":"' || CASE WHEN p_size = 2 THEN '' ELSE p_type END || '"' || CASE WHEN p_size = 1 THEN ',"options":["a","b"]' ELSE '' END || '}', ',' ORDER BY p_partkey) AS qs FROM part WHERE p_partkey % 5 > 0 GROUP BY p_brand)
 SELECT form, '[' || qs || ']' AS questions FROM f
 """)
 def question_lines(spark, sf_dir):
-    """Small parts as questions of their brand's form; those that the patient's details answer aren't asked."""
+    """Parts as questions of their brand's form; those that the patient's details answer aren't asked."""
     n, k, none = F.col("p_size"), F.col("p_partkey"), F.array().cast("array<string>")
-    f = t(spark, sf_dir, "part").filter("p_size <= 3").select(F.col("p_brand").alias("form"), k.alias("ord"), F.concat(F.lit("f"), k.cast("string")).alias("id"), F.lit("text").alias("type"), F.when(k % 5 > 0, "llm").otherwise("demographics.dob").alias("source"), F.when(n != 2, F.col("p_type")).alias("description"), F.when(n == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(none).alias("options"))
+    f = t(spark, sf_dir, "part").select(F.col("p_brand").alias("form"), k.alias("ord"), F.concat(F.lit("f"), k.cast("string")).alias("id"), F.lit("text").alias("type"), F.when(k % 5 > 0, "llm").otherwise("demographics.dob").alias("source"), F.when(n != 2, F.col("p_type")).alias("description"), F.when(n == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(none).alias("options"))
     return provider.question_lines(f)
 
 
@@ -704,18 +704,20 @@ def upload_rows(spark, sf_dir):
 
 
 @query("""
-WITH g AS (SELECT p_brand AS grp, p_partkey AS k, p_size % 4 AS m FROM part WHERE p_size <= 20),
-b AS (SELECT grp, count(*) AS n FROM g GROUP BY grp)
-SELECT g.grp AS form, k AS field, CASE WHEN b.n < 3 THEN 'skipped' WHEN m = 0 THEN 'skipped' WHEN m = 1 THEN 'skipped' ELSE 'filled' END AS status, CASE WHEN b.n < 3 THEN 'match is not safe' WHEN m = 0 THEN 'no value' WHEN m = 1 THEN 'already answered' END AS reason FROM g JOIN b USING (grp)
+WITH g AS (SELECT p_brand AS grp, p_partkey AS k, p_size % 4 AS m, p_size % 7 = 3 AS shut FROM part),
+b AS (SELECT grp, count(*) AS n, count(*) FILTER (WHERE NOT shut) AS live FROM g GROUP BY grp)
+SELECT g.grp AS form, k AS field, CASE WHEN b.live < 3 OR b.live < 0.7 * b.n OR shut OR m < 2 THEN 'skipped' ELSE 'filled' END AS status,
+       CASE WHEN b.live < 3 OR b.live < 0.7 * b.n THEN 'match is not safe' WHEN shut THEN 'unmatched' WHEN m = 0 THEN 'no value' WHEN m = 1 THEN 'already answered' END AS reason FROM g JOIN b USING (grp)
 """)
 def filled_page(spark, sf_dir):
-    """Parts as a brand's questions on a page that shows the same: located anew and written where nothing stands."""
-    p = t(spark, sf_dir, "part").filter("p_size <= 20")
-    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    """Parts as a brand's questions on a page that shows the same: located anew and written where nothing stands. Some have a twin that is disabled, some are read-only."""
+    p = t(spark, sf_dir, "part")
+    k, none, n = F.col("p_partkey"), F.lit(None).cast("string"), F.col("p_size")
     label = F.concat(F.lit("q"), k.cast("string"))
     fields = p.select(F.col("p_brand").alias("grp"), k.alias("field"), k.alias("field_ord"), label.alias("label"), F.lit("").alias("step"))
-    controls = p.select(F.col("p_brand").alias("grp"), k.alias("control"), k.alias("control_ord"), label.alias("label"), F.lit("text").alias("type"), F.when(F.col("p_size") % 4 == 1, "set").alias("existing"), none.alias("shown"), F.lit(False).alias("checked"), F.lit(False).alias("disabled"), F.lit(False).alias("read_only"), F.lit(None).cast("array<string>").alias("options"), F.lit(None).cast("array<string>").alias("option_values"))
-    values = p.select(F.col("p_brand").alias("grp"), k.alias("field"), F.when(F.col("p_size") % 4 != 0, "x").alias("value"))
+    shown = lambda rows, ref, off, shut: rows.select(F.col("p_brand").alias("grp"), ref.alias("control"), ref.alias("control_ord"), label.alias("label"), F.lit("text").alias("type"), F.when(n % 4 == 1, "set").alias("existing"), none.alias("shown"), F.lit(False).alias("checked"), off.alias("disabled"), shut.alias("read_only"), F.lit(None).cast("array<string>").alias("options"), F.lit(None).cast("array<string>").alias("option_values"))
+    controls = shown(p, k, F.lit(False), n % 7 == 3).union(shown(p.filter("p_size % 5 = 0"), -k, F.lit(True), F.lit(False)))
+    values = p.select(F.col("p_brand").alias("grp"), k.alias("field"), F.when(n % 4 != 0, "x").alias("value"))
     return fill.filled_page(fields, controls, values)
 
 
@@ -761,7 +763,7 @@ def readable_dates(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT o_orderkey, unnest([strftime(o_orderdate, '%d/%m/%Y'), strftime(o_orderdate, '%-d/%-m/%Y'), strftime(o_orderdate, '%d/%m/%y'), strftime(o_orderdate, '%d-%m-%Y'), strftime(o_orderdate, '%-d-%-m-%Y'), strftime(o_orderdate, '%d.%m.%Y'), strftime(o_orderdate, '%-d.%-m.%Y'), strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%-d %b %Y'), strftime(o_orderdate, '%d %b %Y'), strftime(o_orderdate, '%-d %B %Y'), strftime(o_orderdate, '%d %B %Y')]) AS s FROM orders WHERE o_orderkey % 4 = 0),
+WITH f AS (SELECT o_orderkey, unnest([strftime(o_orderdate, '%d/%m/%Y'), strftime(o_orderdate, '%-d/%-m/%Y'), strftime(o_orderdate, '%d/%m/%y'), strftime(o_orderdate, '%d-%m-%Y'), strftime(o_orderdate, '%-d-%-m-%Y'), strftime(o_orderdate, '%d.%m.%Y'), strftime(o_orderdate, '%-d.%-m.%Y'), strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%-d %b %Y'), strftime(o_orderdate, '%d %b %Y'), strftime(o_orderdate, '%-d %B %Y'), strftime(o_orderdate, '%d %B %Y')]) AS s FROM orders),
 d AS (SELECT DISTINCT o_orderkey, s FROM f)
 SELECT o_orderkey, string_agg(s, '|' ORDER BY length(s) DESC, s) AS forms FROM d GROUP BY o_orderkey
 """)
@@ -769,7 +771,7 @@ def birth_renderings(spark, sf_dir):
     """The ways in which a date may stand in a note, the longest first."""
     from ..functions import dates
 
-    o = t(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select("o_orderkey", dates.renderings(F.col("o_orderdate")).alias("r"))
+    o = t(spark, sf_dir, "orders").select("o_orderkey", dates.renderings(F.col("o_orderdate")).alias("r"))
     falls = F.forall(F.sequence(F.lit(1), F.size("r") - 1), lambda i: F.length(F.get("r", i - 1)) >= F.length(F.get("r", i)))
     ordered = F.array_sort(F.transform("r", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
     return o.select("o_orderkey", F.when(falls, F.array_join(F.transform(ordered, lambda y: y["x"]), "|")).alias("forms"))
