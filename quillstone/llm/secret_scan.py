@@ -1,12 +1,15 @@
 """Secret scans with structural confirmation.
 
 Base spans come from three patterns. Longer base64, hex and dotted candidates are then decoded and only
-reported if their structure holds: ASN.1 keys whose nested lengths add up (nested 12 deep at most), the binary container that
+reported if their structure holds: ASN.1 keys whose nested lengths add up at every depth, the binary container that
 begins with "openssh-key-v1", PEM blocks with such a body or with the headers of an encrypted one, and signed tokens whose header is JSON with "alg".
 
 Defined cases: a null text is an empty one and has no spans; an empty table gives an empty result;
 repeated rows each get a row; spans are in code points, the end exclusive; of spans that begin together the kind in the order
-of KINDS comes first; very long texts are read whole, in time that grows with their length; further columns aren't read.
+of KINDS comes first; very long texts are read whole; further columns aren't read.
+
+Time grows with a text's length: a run of characters is decoded once for each of the four places that a key may begin at,
+and what follows from a place in it (its element, whether that holds together, where the next one begins) is found once, whoever asks.
 """
 
 from __future__ import annotations
@@ -16,7 +19,10 @@ import binascii
 import hashlib
 import json
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +40,7 @@ BLOCK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}(?:\r?\n[ \t]*[A-Z
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 #: How encoded keys begin: a SEQUENCE with a length in one, two or more bytes, or the container's name.
 BEGINS = re.compile(r"M[A-P]|b3BlbnNz")
+LINE = re.compile(r"\S+")
 HEAD = re.compile(r"-----BEGIN ([A-Z0-9 ]*)KEY-----")
 BODY = re.compile(r"[A-Za-z0-9+/=\s:,-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
@@ -44,77 +51,127 @@ OPENSSH = b"openssh-key-v1\0"
 TAGS = {0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x16, 0x17, 0x18, 0x30, 0x31}
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """The elements that fill `data` exactly, or None."""
-    out, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+class Chains:
+    """Places of a byte string, each of which leads to the next one behind its element or ends there.
+
+    step(p) gives (next, begin of its inner chain or None, its own mark) or None where no element stands; a place is found to lead on only if its inner
+    chain runs into the next place exactly. Places are worked out once, those to the right first; each also keeps a far place on its chain, so
+    that whether two places are on one chain takes a logarithm of its length.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        self.data, none = data, array("i", [-1]) * (len(data) + 1)
+        self.next, self.far, self.depth, self.marks, self.inner_marks = none, none[:], none[:], none[:], none[:]
+
+    def step(self, p: int) -> tuple[int, int | None, bool] | None:
+        raise NotImplementedError
+
+    def _end(self, p: int) -> None:
+        self.next[p] = self.far[p] = p
+        self.depth[p] = self.marks[p] = self.inner_marks[p] = 0
+
+    def know(self, p: int) -> None:
+        todo, following = [p], self.next
+        while todo:
+            p = todo[-1]
+            if following[p] >= 0:
+                todo.pop()
+                continue
+            found = self.step(p)
+            if found is None:
+                self._end(p)
+                continue
+            q, c, mark = found
+            if following[q] < 0:
+                todo.append(q)
+                continue
+            if c is not None:
+                if following[c] < 0:
+                    todo.append(c)
+                    continue
+                if not self.meets(c, q):
+                    self._end(p)
+                    continue
+            far, depth = self.far, self.depth
+            following[p], depth[p] = q, depth[q] + 1
+            f = far[q]
+            far[p] = far[f] if depth[q] - depth[f] == depth[f] - depth[far[f]] else q
+            self.marks[p] = self.marks[q] + mark
+            self.inner_marks[p] = self.inner_marks[q] + (mark or (c is not None and self.data[p] == 0x30 and self.marks[c] > self.marks[q]))
+
+    def meets(self, p: int, q: int) -> bool:
+        """Whether the chain from p, which is known, comes to q."""
+        while p < q:
+            f = self.far[p]
+            if f <= p:
+                return False
+            p = f if f <= q else self.next[p]
+        return p == q
+
+    def after(self, p: int, steps: int) -> int | None:
+        """The place so many elements on from p."""
+        self.know(p)
+        target = self.depth[p] - steps
+        while target >= 0 and self.depth[p] > target:
+            f = self.far[p]
+            p = f if self.depth[f] >= target else self.next[p]
+        return p if target >= 0 else None
+
+
+class Der(Chains):
+    """ASN.1 elements: tags that keys have, lengths in their shortest form, and constructed ones filled exactly. Marks: INTEGER and OBJECT IDENTIFIER."""
+
+    def step(self, p: int) -> tuple[int, int | None, bool] | None:
+        data, end = self.data, len(self.data)
+        if p + 2 > end:
+            return None
+        tag, n, at = data[p], data[p + 1], p + 2
+        if tag & 0xC0 != 0x80 and tag not in TAGS:
             return None
-        tag, n, at = data[at], data[at + 1], at + 2
         if n & 0x80:
             k = n & 0x7F
-            if not 1 <= k <= 4 or at + k > len(data) or data[at] == 0:
+            if not 1 <= k <= 4 or at + k > end or data[at] == 0:
                 return None
             n, at = int.from_bytes(data[at : at + k], "big"), at + k
             if n < 0x80:
                 return None
-        if at + n > len(data):
+        if at + n > end:
             return None
-        out.append((tag, data[at : at + n]))
-        at += n
-    return out
+        return at + n, at if tag & 0x20 and n else None, tag in (0x02, 0x06)
 
-
-def nested(data: bytes, depth: int = 0) -> bool:
-    """All lengths below add up, and tags are those of keys."""
-    items = der_items(data)
-    if not items or depth > 12:
-        return False
-    for tag, body in items:
-        if tag & 0xC0 == 0x80 or tag & 0xE0 == 0xA0:  # context-specific
-            if tag & 0x20 and body and not nested(body, depth + 1):
-                return False
-        elif tag not in TAGS:
-            return False
-        elif tag & 0x20 and body and not nested(body, depth + 1):
+    def key_at(self, p: int, size: int) -> bool:
+        """One SEQUENCE of that size whose inner lengths add up, holding at least two elements, an INTEGER or an OBJECT IDENTIFIER among them or theirs."""
+        found = self.step(p) if size >= 24 and self.data[p] == 0x30 else None
+        if not found or found[0] != p + size or found[1] is None:
             return False
-    return True
+        q, c, _ = found
+        self.know(c)
+        self.know(q)
+        return self.meets(c, q) and self.depth[c] - self.depth[q] >= 2 and self.inner_marks[c] > self.inner_marks[q]
+
+
+class Strings(Chains):
+    """Strings with their lengths in four bytes before them."""
+
+    def step(self, p: int) -> tuple[int, int | None, bool] | None:
+        q = p + 4 + int.from_bytes(self.data[p : p + 4], "big")
+        return (q, None, False) if p + 4 <= len(self.data) and q <= len(self.data) else None
+
+    def container_at(self, p: int) -> tuple[bool, int | None]:
+        """Of the container whose name stands at p: whether its cipher, kdf and options are there, and where it ends if all the keys that it counts are."""
+        at = self.after(p + len(OPENSSH), 3) if p + len(OPENSSH) <= len(self.data) else None
+        if at is None or at + 8 > len(self.data):
+            return False, None
+        return True, self.after(at + 4, int.from_bytes(self.data[at : at + 4], "big") + 1)
 
 
 def is_key(data: bytes) -> bool:
-    """One SEQUENCE with nested lengths that add up, holding at least two elements, an INTEGER or an OBJECT IDENTIFIER among them."""
-    top = der_items(data)
-    if not top or len(top) != 1 or top[0][0] != 0x30 or len(data) < 24 or not nested(data):
-        return False
-    inner = der_items(top[0][1]) or []
-    flat = [t for t, _ in inner] + [t for tag, body in inner if tag == 0x30 for t, _ in der_items(body) or []]
-    return len(inner) >= 2 and (0x02 in flat or 0x06 in flat)
+    return data[:1] == b"\x30" and Der(data).key_at(0, len(data))
 
 
 def is_openssh(data: bytes) -> bool:
     """After the magic come length-prefixed strings: cipher, kdf, kdf options, a count, public keys."""
-    if not data.startswith(OPENSSH):
-        return False
-    at = len(OPENSSH)
-    for _ in range(3):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 8 <= len(data)
-
-
-def openssh_size(data: bytes) -> int | None:
-    """Bytes of a whole container: its three strings, the public keys that it counts and the private part."""
-    at = len(OPENSSH)
-    for _ in range(3):
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    count = int.from_bytes(data[at : at + 4], "big")
-    at += 4
-    for _ in range(min(count, 64) + 1):
-        if at + 4 > len(data):
-            return None
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at if at <= len(data) and count <= 64 else None
+    return data.startswith(OPENSSH) and Strings(data).container_at(0)[0]
 
 
 def unbase64(s: str) -> bytes | None:
@@ -139,54 +196,69 @@ def is_encrypted(block: str) -> bool:
     return bool(body) and len(body) >= 16
 
 
-def fitting(s: str, at: int) -> tuple[str, int] | None:
-    """Kind and end of the key whose base64 begins at `at` and ends in s, whatever else follows it there."""
-    head = unbase64(s[at : at + 28][: (min(28, len(s) - at) // 4) * 4])
-    if not head or len(head) < 6:
-        return None
-    if head.startswith(OPENSSH):
-        if int.from_bytes(head[len(OPENSSH) : len(OPENSSH) + 4], "big") > len(s):  # the first string's length
-            return None
-        data = unbase64(s[at : len(s) - (len(s.rstrip("=")) - at) % 4]) or b""
-        end = at + -(-size * 4 // 3) if (size := openssh_size(data)) else len(s) - ((len(s.rstrip("=")) - at) % 4 == 1)
-    else:
-        n, k = head[1], head[1] & 0x7F
-        if head[0] != 0x30 or n == 0x80 or (n > 0x80 and k > 4):
-            return None
-        size = 2 + n if n < 0x80 else 2 + k + int.from_bytes(head[2 : 2 + k], "big")
-        inner = head[2 if n < 0x80 else 2 + k]
-        if inner not in TAGS and inner & 0xC0 != 0x80:  # nothing begins so: not worth decoding
-            return None
-        end = at + -(-size * 4 // 3)
-        if size < 24 or end > len(s.rstrip("=")):
+class Decoded:
+    """A run of base64 of either alphabet, decoded from each of the four places that a key in it may begin at, and what is known of the bytes."""
+
+    def __init__(self, s: str) -> None:
+        self.s, self.size = s, len(s.rstrip("="))
+        self.kinds: dict[tuple[type, int], Chains] = {}
+
+    def chains(self, kind: type, phase: int) -> Chains:
+        if (kind, phase) not in self.kinds:
+            end = self.size - ((self.size - phase) % 4 == 1)
+            self.kinds[kind, phase] = kind(unbase64(self.s[phase:end]) or b"")
+        return self.kinds[kind, phase]
+
+    def fitting(self, at: int) -> tuple[str, int] | None:
+        """Kind and end of the key whose base64 begins at `at`, whatever else follows it in the run."""
+        s, phase = self.s, at % 4
+        head = unbase64(s[at : at + 28][: (min(28, self.size - at) // 4) * 4])
+        if not head or len(head) < 6:
             return None
-    kind = key_kind(unbase64(s[at:end]))
-    if not kind:
-        return None
-    while end < len(s) and s[end] == "=":
-        end += 1
-    return kind, end
+        place = (at - phase) // 4 * 3
+        if head.startswith(OPENSSH):
+            if int.from_bytes(head[len(OPENSSH) : len(OPENSSH) + 4], "big") > len(s):  # the first string's length
+                return None
+            found, stop = self.chains(Strings, phase).container_at(place)
+            if not found:
+                return None
+            end = at + -(-(stop - place) * 4 // 3) if stop is not None else len(s) - ((self.size - at) % 4 == 1)
+            kind = "openssh"
+        else:
+            n, k = head[1], head[1] & 0x7F
+            if head[0] != 0x30 or n == 0x80 or (n > 0x80 and k > 4):
+                return None
+            size = 2 + n if n < 0x80 else 2 + k + int.from_bytes(head[2 : 2 + k], "big")
+            inner = head[2 if n < 0x80 else 2 + k]
+            end = at + -(-size * 4 // 3)
+            if (inner not in TAGS and inner & 0xC0 != 0x80) or size < 24 or end > self.size or not self.chains(Der, phase).key_at(place, size):
+                return None
+            kind = "der"
+        while end < len(s) and s[end] == "=":
+            end += 1
+        return kind, end
 
 
 def encoded_keys(text: str) -> list[tuple[int, int, int]]:
     """Keys in base64 of either alphabet: in one run of characters, even glued to others, or broken over lines."""
     out: list[tuple[int, int, int]] = []
     for m in ENCODED.finditer(text):
-        free = 0
+        free, run = 0, None
         for b in BEGINS.finditer(m[0]):
-            if b.start() >= free and (found := fitting(m[0], b.start())):
+            run = run or Decoded(m[0])
+            if b.start() >= free and (found := run.fitting(b.start())):
                 out.append((m.start() + b.start(), _index(found[0]), m.start() + found[1]))
                 free = found[1]
     for m in BLOCK.finditer(text):
         if not BEGINS.search(m[0]):
             continue
-        places = [i for i in range(m.start(), m.end()) if not text[i].isspace()]
-        whole = "".join(text[i] for i in places)
-        starts = {0} | {k for k in range(1, len(places)) if places[k] - places[k - 1] > 1}
-        free = 0
-        for k in sorted(starts):
-            if k >= free and BEGINS.match(whole, k) and (found := fitting(whole, k)):
-                out.append((places[k], _index(found[0]), places[found[1] - 1] + 1))
+        lines = [(x.start() + m.start(), x.end() - x.start()) for x in LINE.finditer(m[0])]
+        begins = list(accumulate((n for _, n in lines), initial=0))  # of the lines, in what they make together
+        run, free = Decoded("".join(text[a : a + n] for a, n in lines)), 0
+        for (a, _), k in zip(lines, begins, strict=False):
+            if k >= free and BEGINS.match(run.s, k) and (found := run.fitting(k)):
+                last = bisect_left(begins, found[1]) - 1
+                out.append((a, _index(found[0]), lines[last][0] + found[1] - begins[last]))
                 free = found[1]
     return out
 

@@ -424,6 +424,101 @@ def test_scans_take_time_by_length():
         assert time.perf_counter() - began < 20
 
 
+def plain_items(data):
+    out, at = [], 0
+    while at < len(data):
+        if at + 2 > len(data):
+            return None
+        tag, n, at = data[at], data[at + 1], at + 2
+        if n & 0x80:
+            k = n & 0x7F
+            if not 1 <= k <= 4 or at + k > len(data) or data[at] == 0 or (n := int.from_bytes(data[at : at + k], "big")) < 0x80:
+                return None
+            at += k
+        if at + n > len(data) or (tag & 0xC0 != 0x80 and tag not in secret_scan.TAGS):
+            return None
+        if tag & 0x20 and n and plain_items(data[at : at + n]) is None:
+            return None
+        out.append((tag, data[at : at + n]))
+        at += n
+    return out
+
+
+def plain_key(data):
+    top = plain_items(data)
+    if not top or len(top) != 1 or top[0][0] != 0x30 or len(data) < 24:
+        return False
+    inner = plain_items(top[0][1])
+    flat = [t for t, _ in inner] + [t for tag, body in inner if tag == 0x30 for t, _ in plain_items(body)]
+    return len(inner) >= 2 and (2 in flat or 6 in flat)
+
+
+def element(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + size + body
+
+
+def test_keys_against_plain_recursion():
+    r = random.Random(11)
+
+    def made(depth):
+        if not depth or r.random() < 0.4:
+            return element(r.choice([2, 4, 6, 5, 12, 0x80, 7]), bytes(r.randrange(256) for _ in range(r.choice([0, 1, 3, 9, 40, 200]))))
+        return element(r.choice([0x30, 0x30, 0x31, 0xA0, 0xA1]), b"".join(made(depth - 1) for _ in range(r.randrange(5))))
+
+    hits = 0
+    for _ in range(3000):
+        data = element(0x30, b"".join(made(4) for _ in range(r.randrange(1, 5))))
+        if r.random() < 0.5:
+            i = r.randrange(len(data))
+            data = data[:i] + bytes([r.choice([data[i] ^ 1, r.randrange(256)])]) + data[i + 1 :]
+        assert secret_scan.is_key(data) == plain_key(data)
+        hits += plain_key(data)
+        text = "ab/" + base64.b64encode(b"xy" + data + b"zz").decode()  # any place of a run
+        whole = secret_scan.Der(b"xy" + data + b"zz")
+        assert whole.key_at(2, len(data)) == plain_key(data) and isinstance(secret_scan.spans(text), tuple)
+    assert 200 < hits < 2800
+
+
+def test_keys_of_any_depth_and_number():
+    deep = element(2, b"\1")
+    for _ in range(3000):
+        deep = element(0x30, deep + element(2, b"\1"))
+    assert secret_scan.is_key(deep)
+    part = lambda b: len(b).to_bytes(4, "big") + b
+    many = secret_scan.OPENSSH + part(b"none") + part(b"none") + part(b"") + (500).to_bytes(4, "big") + part(b"pub") * 500 + part(b"private" * 9)
+    s = base64.b64encode(many).decode().rstrip("=")
+    assert [(a, e) for a, _, e in secret_scan.spans(f"x {s}/tail")[1]] == [(2, 2 + len(s))] and secret_scan.Strings(many).container_at(0) == (True, len(many))
+
+
+def test_nested_candidates_take_time_by_length():
+    import time
+
+    def took(text):
+        began = time.perf_counter()
+        secret_scan.spans(text)
+        return time.perf_counter() - began
+
+    made = (
+        lambda n: base64.b64encode(b"".join(b"\x30\x83" + (n // 2).to_bytes(3, "big") + b"\x30" for _ in range(n // 6))).decode(),
+        lambda n: base64.b64encode(secret_scan.OPENSSH * (n // 15)).decode(),
+        lambda n: base64.b64encode(b"".join(b"\x30\x83" + (n // 2).to_bytes(3, "big") + b"\x04\x03\x30\x80\x80" for _ in range(n // 10))).decode(),
+    )
+    for make in made:
+        for broken in (False, True):
+            texts = [make(n) for n in (500_000, 4_000_000)]
+            texts = ["\n".join(t[i : i + 64] for i in range(0, len(t), 64)) for t in texts] if broken else texts
+            a, b = map(took, texts)
+            assert b < 30 * max(a, 0.3) and b < 25
+
+
+def test_sample_thresholds_hold_at_any_count():
+    for n in (1, 399, 600, 601, 10**6, 10**9, 10**13):
+        t = langid.threshold(n, 400)
+        assert 0 < t <= langid.HASHES and abs(n * t / langid.HASHES - min(n, 600)) < 1e-3 * 600
+
+
 def test_secrets_against_plain_patterns(spark):
     import re
 
