@@ -311,15 +311,24 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == HELD
 
 
+#: Hashes of ids are below this: far more than there can be documents.
+HASHES = 1 << 62
+
+
+def threshold(n: int, per_language: int) -> int:
+    """Of n hashes, somewhat more than per_language lie below it, however many there are."""
+    return min(HASHES, 3 * per_language * HASHES // (2 * n))
+
+
 def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """The model fit on a bounded sample: in each language the documents with the smallest hashes of their doc_id."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("h"))
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not counts:
         return fit([])
     near = F.lit(False)
     for lang, n in sorted(counts.items()):
-        near |= (F.col("lang") == lang) & (F.col("h") < int(min(1.0, 1.5 * per_language / n) * (1 << 20)))
+        near |= (F.col("lang") == lang) & (F.col("h") < threshold(n, per_language))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("doc_id", pa.int64()), ("w", pa.string())])
