@@ -384,8 +384,9 @@ def scored(counts: DataFrame, least: int = LEAST, percent: int = PERCENT) -> Dat
 
 def ranked(scores: DataFrame, top: int = TOP) -> DataFrame:
     order: list[Column] = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(*order))  # a limit on it lets each task keep only its own first ones
+    best = scores.withColumn("rank", rank).filter(F.col("rank") <= top)
+    return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def mined(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, top: int = TOP) -> DataFrame:
