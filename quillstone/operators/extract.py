@@ -7,13 +7,12 @@ else owns, 6 dates old enough for a birth (offered only), 7 lines with a postal
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import birth_dates, parse_date
 from ..functions.patterns import ALIASES, DATE, EMAIL, HARD_GAP, INSURER, INSURER_NAMES, LABELLED, LABELS, NRIC, PHONE, POLICY, POLICY_WORD, POSTAL, QUALIFIERS, STRICT_PHONE, whole
 from ..functions.text import find_all, label_key, let, logical_lines, squashed
-from .lines import LEAST_FIELDS, LEAST_WORDS, is_owned, reading, unowned
+from .lines import LEAST_FIELDS, LEAST_WORDS, is_name, is_owned, is_same_name, none, reading, unowned, words
 
 FIELDS = ("full_name", "nric", "dob", "phone", "address", "policy_number", "insurer")
 
@@ -122,91 +121,96 @@ def label_field(label: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(ALIASES.items()) for x in kv]), bare)
 
 
-def _facts(note_lines: DataFrame, as_of: Column) -> DataFrame:
-    """(note_id, pass, line, k, field, value, how) of single lines."""
-    name = F.when(F.col("field") == "full_name", F.col("value"))
-    rows = note_lines.withColumns({"r": reading("s", "known", as_of), "p": reading(name, "known", as_of)})
-    fact = lambda n, k, field, value, how: F.struct(F.lit(n).alias("pass"), k.cast("int").alias("k"), field.alias("field"), value.alias("value"), F.lit(how).alias("how"))
-    none = F.array().cast("array<struct<pass:int,k:int,field:string,value:string,how:string>>")
-    listed = lambda n, pairs, how: F.transform(pairs, lambda x, k: fact(n, k, x["field"], x["value"], how))
-    sole = lambda names, n, how: F.when(F.size(names) == 1, F.array(fact(n, F.lit(99), F.lit("full_name"), F.get(names, 0), how)))
-    born = F.date_format(parse_date(F.col("value"), as_of), "yyyy-MM-dd")
-    own = F.when(F.col("field") == "dob", born).otherwise(normalised_value(F.col("field"), F.col("value")))
-    pieces = F.filter(F.split("value", HARD_GAP, -1), lambda x: F.trim(x) != "")
-    cut = F.filter(F.transform(pieces, lambda x: segment(x, as_of)), lambda x: x.isNotNull())
-    single = F.array(fact(1, F.lit(0), F.lit("full_name"), F.trim("value"), "labelled"))
-    by_name = F.when(F.col("p.header").isNotNull(), F.concat(listed(1, F.col("p.header"), "patient-line"), F.coalesce(sole(F.col("p.names"), 1, "patient-line"), none)))
-    by_name = by_name.when(F.size(pieces) <= 1, single).otherwise(listed(1, cut, "patient-line"))
-    by_label = F.when(F.col("field") == "full_name", by_name).when(F.col("field").isNotNull(), F.array(fact(1, F.lit(0), F.col("field"), own, "labelled")))
-    by_header = F.when(F.col("r.header").isNotNull(), F.concat(listed(2, F.col("r.header"), "header-line"), F.coalesce(sole(F.col("r.names"), 2, "header-line"), none)))
-    address = F.trim(F.regexp_replace(F.trim("s"), rf"(?iU)^(?:{'|'.join(LABELS['address'])})\s*[:.\-]?\s+", ""))
-    by_place = F.when(F.col("s").rlike(POSTAL) & ~is_owned(F.col("s"), POSTAL) & F.col("r.header").isNull(), F.array(fact(7, F.lit(0), F.lit("address"), address, "sole-match")))
-    inner = F.transform("r.regions", lambda x, k: fact(4, k, x["field"], x["value"], "labelled-inline"))
-    every = F.concat(*[F.coalesce(x, none) for x in (by_label, by_header, inner, by_place)])
-    return rows.select("note_id", "line", F.explode(every).alias("f")).select("note_id", "f.pass", "line", "f.k", "f.field", "f.value", "f.how")
-
-
-def _blocks(note_lines: DataFrame, as_of: Column) -> DataFrame:
+FACT = "struct<pass:int,line:int,k:int,field:string,value:string,how:string>"
+ASK = "struct<pass:int,line:int,k:int,field:string,candidates:array<string>,how:string>"
+
+
+def _fact(n: int, line: Column, k: Column, field: Column, value: Column, how: str) -> Column:
+    return F.struct(F.lit(n).alias("pass"), line.alias("line"), k.cast("int").alias("k"), field.alias("field"), value.alias("value"), F.lit(how).alias("how"))
+
+
+def _line(s: Column, line: Column, known: Column, as_of: Column) -> Column:
+    """struct(line, blank, fits, several, rest, fields, facts) of a line; facts are what it says by itself."""
+
+    def of(x: Column) -> Column:
+        field, value, r, p = x["field"], x["value"], F.get(x["both"], F.lit(0)), F.get(x["both"], F.lit(1))
+        fact = lambda n, k, f, v, how: _fact(n, line, k, f, v, how)
+        listed = lambda n, pairs, how: F.transform(pairs, lambda y, k: fact(n, k, y["field"], y["value"], how))
+        sole = lambda names, n, how: F.when(F.size(names) == 1, F.array(fact(n, F.lit(99), F.lit("full_name"), F.get(names, F.lit(0)), how))).otherwise(none(FACT))
+        head = lambda h, n, how: F.concat(listed(n, h["fields"], how), sole(h["names"], n, how))
+        born = F.date_format(parse_date(value, as_of), "yyyy-MM-dd")
+        own = F.when(field == "dob", born).otherwise(normalised_value(field, value))
+        pieces = F.filter(F.split(value, HARD_GAP, -1), lambda y: F.trim(y) != "")
+        cut = F.filter(F.transform(pieces, lambda y: segment(y, as_of)), lambda y: y.isNotNull())
+        single = F.array(fact(1, F.lit(0), F.lit("full_name"), F.trim(value), "labelled"))
+        by_name = F.when(p["head"].isNotNull(), head(p["head"], 1, "patient-line")).when(F.size(pieces) <= 1, single).otherwise(listed(1, cut, "patient-line"))
+        by_label = F.when(field == "full_name", by_name).when(field.isNotNull(), F.array(fact(1, F.lit(0), field, own, "labelled")))
+        by_header = F.when(r["head"].isNotNull(), head(r["head"], 2, "header-line"))
+        place = F.trim(F.regexp_replace(F.trim(s), rf"(?iU)^(?:{'|'.join(LABELS['address'])})\s*[:.\-]?\s+", ""))
+        by_place = F.when(s.rlike(POSTAL) & ~is_owned(s, POSTAL) & r["head"].isNull(), F.array(fact(7, F.lit(0), F.lit("address"), place, "sole-match")))
+        inner = F.transform(r["regions"], lambda y, k: fact(4, k, y["field"], y["value"], "labelled-inline"))
+        facts = F.concat(*[F.coalesce(y, none(FACT)) for y in (by_label, by_header, inner, by_place)])
+        several = r["n"] > 0
+        fits = F.when(several, r["rest"] == "").otherwise(is_name(r["rest"]))
+        return F.struct(line.alias("line"), (~s.rlike(r"(?U)\S")).alias("blank"), fits.alias("fits"), several.alias("several"), r["rest"].alias("rest"), r["fields"].alias("fields"), facts.alias("facts"))
+
+    field = field_of(F.regexp_extract(s, LABELLED, 1))
+    value = F.when(field.isNotNull(), F.regexp_extract(s, LABELLED, 2))
+    both = F.transform(F.array(s, F.when(field == "full_name", value)), lambda y: reading(y, known, as_of))  # of the line, and of the name that it labels
+    parts = F.struct(field.alias("field"), value.alias("value"), both.alias("both"))
+    return let(parts, of)
+
+
+def _blocks(ls: Column, known: Column) -> Column:
     """Facts of runs of two or more lines, each of which is one value or one name and nothing else."""
-    blank = ~F.col("s").rlike(r"(?U)\S")
-    w = W.partitionBy("note_id").orderBy("line")
-    rows = note_lines.withColumn("block", F.sum(F.when(blank, 1).otherwise(0)).over(w)).filter(~blank).withColumn("r", reading("s", "known", as_of))
-    rest, several = F.col("r.rest"), F.col("r.n") > 0
-    words = F.filter(F.split(rest, r"(?U)\s+"), lambda x: x != "")
-    fits = F.when(several, rest == "").otherwise(is_name(rest))
-    g = rows.withColumns({"fits": fits, "several": several, "words": F.size(words)}).groupBy("note_id", "block")
-    one = g.agg(F.bool_and("fits").alias("fits"), F.count("*").alias("lines"), F.any_value("known").alias("known"), F.array_sort(F.collect_list(F.struct("line", "r.fields", F.when(~F.col("several"), rest).alias("name")))).alias("ls"))
-    flat = F.flatten(F.transform("ls", lambda x: F.transform(x["fields"], lambda y: F.struct(x["line"].alias("line"), y["field"].alias("field"), y["value"].alias("value")))))
-    one = one.filter("fits AND lines >= 2").withColumn("found", flat).filter(F.size(F.array_distinct(F.transform("found", lambda y: y["field"]))) >= LEAST_FIELDS)
-    names = F.filter(F.transform("ls", lambda x: x["name"]), lambda x: F.coalesce(x != "", F.lit(False)))
-    long = F.filter(names, lambda x: F.size(F.filter(F.split(x, r"(?U)\s+"), lambda y: y != "")) >= LEAST_WORDS)
-    mine = F.filter(names, lambda x: is_same_name(x, F.col("known")))
-    chosen = F.when(F.coalesce("known", F.lit("")) != "", mine).otherwise(long)
-    first = F.get(F.transform("ls", lambda x: x["line"]), 0)
-    name = F.when(F.size(chosen) == 1, F.array(F.struct(first.alias("line"), F.lit("full_name").alias("field"), F.get(chosen, 0).alias("value"))))
-    every = F.concat("found", F.coalesce(name, F.array().cast("array<struct<line:int,field:string,value:string>>")))
-    return one.select("note_id", F.posexplode(every).alias("k", "f")).select("note_id", F.lit(3).alias("pass"), "f.line", "k", "f.field", "f.value", F.lit("header-block").alias("how"))
-
-
-def is_name(text: Column) -> Column:
-    """One to six words, each a particle or with a capital first."""
-    from ..functions.patterns import PARTICLES
-
-    ws = F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
-    return F.size(ws).between(1, 6) & F.forall(ws, lambda x: F.trim(F.lower(x), F.lit(".")).isin(*PARTICLES) | x.rlike(r"^\p{Lu}"))
-
-
-def is_same_name(text: Column, known: Column) -> Column:
-    """Case, commas and blanks aside; the first or the last word may stand at the other end."""
-    words = lambda x: F.filter(F.split(F.translate(F.lower(x), ",", " "), r"(?U)\s+"), lambda y: y != "")
-    a, b = words(text), words(F.coalesce(known, F.lit("")))
-    turned = lambda k: let(k, lambda x: F.array(x, F.concat(F.slice(x, 2, F.size(x)), F.slice(x, 1, 1)), F.concat(F.slice(x, -1, 1), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))))))
-    return (F.size(a) > 0) & (F.size(b) > 0) & F.when(F.size(b) > 0, F.array_contains(turned(b), a))
+
+    def cut(stops: Column) -> Column:
+        of = lambda k: F.slice(ls, F.get(stops, k) + 2, F.get(stops, k + 1) - F.get(stops, k) - 1)
+        return F.transform(F.sequence(F.lit(0), F.size(stops) - 2), of)
+
+    stops = F.concat(F.array(F.lit(-1)), F.transform(F.filter(ls, lambda x: x["blank"]), lambda x: x["line"]), F.array(F.size(ls)))
+    whole = F.filter(let(stops, cut), lambda b: (F.size(b) >= 2) & F.forall(b, lambda x: x["fits"]))
+
+    def facts(b: Column) -> Column:
+        values = F.flatten(F.transform(b, lambda x: F.transform(x["fields"], lambda y: F.struct(x["line"].alias("line"), y["field"].alias("field"), y["value"].alias("value")))))
+        names = F.filter(F.transform(b, lambda x: F.when(~x["several"], x["rest"])), lambda n: F.coalesce(n != "", F.lit(False)))
+        mine = F.filter(names, lambda n: is_same_name(n, known))
+        long = F.filter(names, lambda n: F.size(words(n)) >= LEAST_WORDS)
+        name = let(F.when(F.coalesce(known, F.lit("")) != "", mine).otherwise(long), lambda c: F.when(F.size(c) == 1, F.array(_fact(3, F.get(b, F.lit(0))["line"], F.lit(99), F.lit("full_name"), F.get(c, F.lit(0)), "header-block"))).otherwise(none(FACT)))
+        listed = lambda vs: F.when(F.size(F.array_distinct(F.transform(vs, lambda y: y["field"]))) >= LEAST_FIELDS, F.concat(F.transform(vs, lambda y, k: _fact(3, y["line"], k, y["field"], y["value"], "header-block")), name)).otherwise(none(FACT))
+        return let(values, listed)
+
+    return F.flatten(F.transform(whole, facts))
 
 
 def parsed(notes: DataFrame, as_of: Column) -> DataFrame:
     """(note_id, field, value, how, choices). Two candidates mean neither: value is null and choices lists them.
 
-    notes: note_id (one row each), text and, if there is one, known_name, which a header's name is then checked against.
+    notes: note_id (one row each), text and, if there is one, known_name, which a header's name is then checked against. Each note is read
+    once and by itself: no row meets another.
     """
     known = F.col("known_name") if "known_name" in notes.columns else F.lit(None).cast("string")
-    cut = notes.select("note_id", known.alias("known"), F.posexplode(logical_lines(F.col("text"))).alias("line", "s"))
-    cut = cut.withColumn("field", field_of(F.regexp_extract("s", LABELLED, 1))).withColumn("value", F.when(F.col("field").isNotNull(), F.regexp_extract("s", LABELLED, 2)))
-    single = _facts(cut, as_of)
-    inner = single.filter("pass = 4").withColumn("candidates", values_of(F.col("field"), F.col("value"), as_of)).filter(F.size("candidates") > 0)
-    lines = logical_lines(F.col("text"))
-    free = lambda pattern: F.array_join(F.transform(lines, lambda x: unowned(x, pattern)), "\n")
-    wide = F.array(*[F.struct(F.lit(n).alias("pass"), F.lit(f).alias("field"), c.alias("candidates")) for n, f, c in (
-        (5, "nric", nric_values(free(NRIC))), (5, "phone", phone_values(free(STRICT_PHONE))), (5, "insurer", insurer_values(free(INSURER))), (6, "dob", birth_candidates(F.col("text"), as_of)),
-    )])
-    whole_text = notes.filter("text IS NOT NULL").select("note_id", F.explode(wide).alias("x")).select("note_id", "x.pass", F.lit(0).alias("line"), F.lit(0).alias("k"), "x.field", "x.candidates", F.lit("sole-match").alias("how"))
-    places = single.filter("pass = 7 AND value <> ''").groupBy("note_id", "field", "value").agg(F.min("line").alias("line")).groupBy("note_id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]).alias("candidates"))
-    places = places.select("note_id", F.lit(7).alias("pass"), F.lit(0).alias("line"), F.lit(0).alias("k"), "field", "candidates", F.lit("sole-match").alias("how"))
-    asked = inner.select("note_id", "pass", "line", "k", "field", "candidates", "how").union(whole_text).union(places)
-    order = F.struct("pass", "line", "k")
-    sure = single.filter("pass < 3").union(_blocks(cut, as_of)).select("note_id", "pass", "line", "k", "field", "value", "how")
-    sure = sure.union(asked.filter((F.size("candidates") == 1) & (F.col("pass") != 6)).select("note_id", "pass", "line", "k", "field", F.get("candidates", 0).alias("value"), "how"))
-    sure = sure.filter("value <> ''").groupBy("note_id", "field").agg(F.min_by(F.struct("value", "how"), order).alias("v"))
-    open_ = asked.filter((F.size("candidates") > 1) | ((F.col("pass") == 6) & (F.size("candidates") > 0))).groupBy("note_id", "field").agg(F.min_by("candidates", order).alias("choices"))
-    j = sure.join(open_, ["note_id", "field"], "full")
-    return j.select("note_id", "field", F.col("v.value").alias("value"), F.col("v.how").alias("how"), F.when(F.col("v").isNull(), F.col("choices")).alias("choices"))
+    rows = notes.filter("text IS NOT NULL").select("note_id", "text", known.alias("known"), logical_lines(F.col("text")).alias("lines"))
+    rows = rows.select("note_id", "text", "known", "lines", F.transform("lines", lambda s, i: _line(s, i, F.col("known"), as_of)).alias("ls"))
+
+    ask = lambda n, line, k, field, candidates, how: F.struct(F.lit(n).alias("pass"), line.alias("line"), k.alias("k"), field.alias("field"), candidates.alias("candidates"), F.lit(how).alias("how"))
+    zero = F.lit(0)
+    free = lambda pattern: F.array_join(F.transform("lines", lambda x: unowned(x, pattern)), "\n")
+    wide = ((5, "nric", nric_values(free(NRIC))), (5, "phone", phone_values(free(STRICT_PHONE))), (5, "insurer", insurer_values(free(INSURER))), (6, "dob", birth_candidates(F.col("text"), as_of)))
+    own = F.flatten(F.transform("ls", lambda x: x["facts"]))
+    rows = rows.select("note_id", F.concat(own, _blocks(F.col("ls"), F.col("known"))).alias("facts"), F.array(*[ask(n, zero, zero, F.lit(f), c, "sole-match") for n, f, c in wide]).alias("wide"))
+
+    of_pass = lambda test: F.filter("facts", lambda x: test(x["pass"]) & (x["value"] != ""))
+    inner = F.transform(of_pass(lambda n: n == 4), lambda x: ask(4, x["line"], x["k"], x["field"], values_of(x["field"], x["value"], as_of), "labelled-inline"))
+    spots = F.array_distinct(F.transform(of_pass(lambda n: n == 7), lambda x: x["value"]))
+    asked = F.filter(F.concat(inner, F.col("wide"), F.array(ask(7, zero, zero, F.lit("address"), spots, "sole-match"))), lambda x: F.size(x["candidates"]) > 0)
+    rows = rows.select("note_id", of_pass(lambda n: n < 4).alias("said"), asked.alias("asked"))
+
+    alone = F.filter("asked", lambda x: (F.size(x["candidates"]) == 1) & (x["pass"] != 6))
+    sure = F.concat(F.col("said"), F.transform(alone, lambda x: F.struct(x["pass"].alias("pass"), x["line"].alias("line"), x["k"].alias("k"), x["field"].alias("field"), F.get(x["candidates"], zero).alias("value"), x["how"].alias("how"))))
+    open_ = F.filter("asked", lambda x: (F.size(x["candidates"]) > 1) | (x["pass"] == 6))
+    rows = rows.select("note_id", F.array_sort(sure).alias("sure"), F.array_sort(open_).alias("open"))  # by pass, line and place in it
+    first = lambda c, f: F.get(F.filter(c, lambda x: x["field"] == f), zero)
+    each = F.transform(F.array(*map(F.lit, FIELDS)), lambda f: F.struct(f.alias("field"), first("sure", f).alias("v"), first("open", f)["candidates"].alias("choices")))
+    rows = rows.select("note_id", F.explode(F.filter(each, lambda x: x["v"].isNotNull() | x["choices"].isNotNull())).alias("x"))
+    return rows.select("note_id", "x.field", F.col("x.v.value").alias("value"), F.col("x.v.how").alias("how"), F.when(F.col("x.v").isNull(), F.col("x.choices")).alias("choices"))
