@@ -79,6 +79,22 @@ def parse_notes(spark, sf_dir):
     return got.select("note_id", "field", "value", "how", F.coalesce(F.size("choices"), F.lit(0)).cast("long").alias("n_choices"))
 
 
+@query(f"""
+WITH c AS (SELECT c_custkey AS k, ['{"', '".join(NAMES)}'] AS names FROM customer),
+n AS (SELECT k, names[k % 4 + 1] AS a, names[(k + 1) % 4 + 1] AS b FROM c)
+SELECT k AS note_id, CASE k % 4 WHEN 0 THEN a WHEN 1 THEN b END AS full_name, CASE WHEN k % 4 < 2 THEN 'header-line' END AS how FROM n
+""")
+def known_names(spark, sf_dir):
+    """Headers with two names about customers: the one that was known beforehand is the patient's; with another or none known, neither is."""
+    k = F.col("c_custkey")
+    name = lambda n: F.element_at(F.array(*map(F.lit, NAMES)), (n % len(NAMES) + 1).cast("int"))
+    note = F.concat_ws(" · ", name(k), name(k + 1), F.concat(F.lit("S"), F.lpad(k.cast("string"), 7, "0"), F.lit("D")), F.lit("04/11/1972"))
+    known = F.when(k % 4 == 0, F.upper(name(k))).when(k % 4 == 1, name(k + 1)).when(k % 4 == 2, "Somebody Else")
+    notes = t(spark, sf_dir, "customer").select(k.alias("note_id"), note.alias("text"), known.alias("known_name"))
+    got = extract.parsed(notes, F.lit(AS_OF).cast("date")).filter("field = 'full_name'").select(F.col("note_id").alias("n"), "value", "how")
+    return notes.join(got, F.col("note_id") == F.col("n"), "left").select("note_id", F.col("value").alias("full_name"), "how")
+
+
 ASKS = (
     ("Patient's Full Name", "full_name"), ("Hospital name", None), ("Name of the Patient", "full_name"), ("NRIC No.", "nric"), ("D.O.B", "dob"), ("Please enter the Policy Number", "policy_number"), ("Name of attending physician", None),
     ("Contact No", "phone"), ("Date of Birth", "dob"), ("Plan", None), ("Insurance company", "insurer"), ("the the", None), ("Residential Address", "address"),
@@ -430,7 +446,7 @@ FROM customer, (VALUES {CONTROL_ROWS}) v(ref, type, name, label, how, selector,
 """)
 def page_controls(spark, sf_dir):
     """Forms about customers, each with all ways to name a control, groups, entries, hidden parts and types that are left out."""
-    c = html.controls(_form_pages(spark, sf_dir))
+    c = html.controls(_form_pages(spark, sf_dir), spark.sparkContext.defaultParallelism)
     return c.select("page_id", "ref", "type", "name", "label", "label_source", "selector", F.col("instance").alias("entry"), "members", "has_value", "visible", F.coalesce(F.array_join("options.values", "|"), F.lit("")).alias("options"))
 
 
@@ -440,11 +456,21 @@ SELECT c_custkey AS page_id, 'portal.example' AS host, CAST(11 AS INTEGER) AS co
 """)
 def page_dumps(spark, sf_dir):
     """What a dump of each of these forms says of the page, and its signature."""
-    d = html.dumps(_form_pages(spark, sf_dir))
+    d = html.dumps(_form_pages(spark, sf_dir), spark.sparkContext.defaultParallelism)
     s = html.signature(d).withColumnRenamed("page_id", "p")
     return d.join(s, F.col("page_id") == F.col("p")).select("page_id", "host", "control_count", "step_hint", "skipped_passwords", "scrubbed_strings", "signature")
 
 
+@query(r"""
+SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
+       CAST(len(regexp_extract_all(html, '(?i)<(?:select|textarea|input)[\s/>]')) - len(regexp_extract_all(html, '(?i)<input[^>]*type=["'']?(?:password|submit|button|reset|image|file|hidden)')) AS INTEGER) AS control_count,
+       CAST(len(regexp_extract_all(html, '(?i)<input[^>]*type=["'']?password')) AS INTEGER) AS skipped_passwords FROM pages
+""")
+def page_inventory(spark, sf_dir):
+    """What the inventory says of each page of the table."""
+    return html.dumps(t(spark, sf_dir, "pages"), spark.sparkContext.defaultParallelism).select("page_id", "host", "control_count", "skipped_passwords")
+
+
 @query("""
 WITH c AS (SELECT o_orderkey AS k, o_orderstatus, o_orderkey % 8 AS m FROM orders),
 r AS (SELECT k, m, f.id, f.typ FROM c, (VALUES ('name', 'demographics.full_name'), ('seen', 'llm'), ('ward', 'llm'), ('well', 'llm')) f(id, typ) WHERE m NOT IN (0, 1, 2, 3)),

@@ -127,6 +127,30 @@ def test_html_inventory(spark):
     assert got[4]["label"] == "[NRIC]" and got[5]["options"].asDict() == {"count": 2, "truncated": False, "withheld": True, "values": []}
 
 
+def test_inventory_takes_time_by_length():
+    import time
+
+    n = 8000
+    pages = (
+        "".join(f"<div><label>Q{i}</label><input name=n{i}></div>" for i in range(n)),
+        "<form><div>" + "<b>much text</b>" * 2000 + "</div><div>" + "".join(f"<input name=n{i}>" for i in range(n)) + "</div></form>",
+        "<div>" * 3000 + "<b>t</b><input>" * n,
+        "<fieldset><legend>One</legend>" + "<p><input name=a></p>" * n + "</fieldset>",
+        "<div>" * n + "</span>" * n + "<p>" * n,
+    )
+    for page in pages:
+        began = time.perf_counter()
+        html.dumped(page)
+        assert time.perf_counter() - began < 5
+
+
+def test_entries_count_within_their_own_parent():
+    row = "<li><b>Entry</b><input name=a{i}></li>"
+    page = "<ul>" + "".join(row.format(i=i) for i in range(3)) + "</ul><div><div><input name=x><input name=y></div><div><input name=z><input name=w></div></div><div><div hidden><input><input type=date></div><div><input><input type=date></div></div>"
+    got = [(c["name"], c["instance"]) for c in html.dumped(page)["controls"]]
+    assert got == [("a0", 1), ("a1", 2), ("a2", 3), ("x", 1), ("y", 1), ("z", 2), ("w", 2), ("", None), ("", None), ("", None), ("", None)]
+
+
 def test_inline_labels_and_insurers(spark):
     note = "NRIC S8012345D  DOB 14/03/1978\nHP 9123 4567 / 6123 4567\nPolicy discussed with patient, Clinic tel 62551234\nCovered by AIA Singapore (GHS plan)"
     got = {r["field"]: (r["value"], r["how"], r["choices"]) for r in extract.parsed(spark.createDataFrame([(1, note), (2, None), (3, "")], "note_id long, text string"), F.lit(AS_OF)).collect()}
