@@ -8,8 +8,8 @@ Documents that meet in a list of at most SMALL are paired. In a longer one (thou
 that many share) each document is paired with the list's smallest only. Where that leaves the list in more than one
 part, its documents meet again in the short lists of all their retained values; those of whose values a third or more
 stand in long lists go through an exact join on the rarest quarter of their full sets as well, with a bound from the
-places of a common shingle. Its lists are dealt in parts of PART rows. So no list emits all its pairs, and none is one
-task's.
+places of a common shingle. Its lists are dealt in blocks of PART rows, which meet blocks of the rows with other labels than the
+list's largest. So no list emits all its pairs, and no task gets more than one block of each side.
 
 Probabilities, for two large sets at the threshold of 0.75, where each of the smallest values of their union is common
 with probability 0.75. They meet in no list with 0.25 ** 24 = 4e-15. That all they have in common of 64 values stands in
@@ -174,14 +174,16 @@ def _bounded_pairs(t: pa.Table, ends: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def _dealt(prefix: DataFrame) -> DataFrame:
-    """Lists in parts of about PART rows: the rows of a list's largest label are dealt to its parts, the others too, and these also ask in each part."""
+    """Lists in blocks: all their rows, in blocks of about PART, meet those that aren't of the list's largest label, in blocks of their own."""
     by_label = prefix.groupBy("sh", "label").agg(F.count("*").alias("c"))
-    of = by_label.groupBy("sh").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
-    rows = prefix.join(settled(of, "dup-parts"), "sh").withColumn("parts", F.ceil(F.col("all") / PART).cast("int"))
-    key = lambda part: F.xxhash64("sh", part)
-    own = rows.select(key(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).alias("part"), "rep", "n", "pos", "label", F.lit(0).cast("long").alias("asks"))
-    few = rows.filter("label <> most").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return own.union(few.select(key(F.col("p")).alias("part"), "rep", "n", "pos", "label", F.lit(1).cast("long").alias("asks")))
+    of = by_label.groupBy("sh").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.max("c").alias("top"), F.sum("c").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
+    blocks = lambda c: F.ceil(c / PART).cast("int")
+    rows = prefix.join(settled(of, "dup-parts"), "sh").withColumns({"dealt": blocks(F.col("all")), "asking": blocks(F.col("all") - F.col("top"))})
+    key = lambda i, j: F.xxhash64("sh", i.cast("int"), j.cast("int")).alias("part")
+    mine = lambda of: F.pmod(F.xxhash64("rep", F.lit(of)), F.col(of))
+    own = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("asking") - 1))).select(key(mine("dealt"), F.col("j")), "rep", "n", "pos", "label", F.lit(0).cast("long").alias("asks"))
+    few = rows.filter("label <> most").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1)))
+    return own.union(few.select(key(F.col("i"), mine("asking")), "rep", "n", "pos", "label", F.lit(1).cast("long").alias("asks")))
 
 
 def of_these(texts: DataFrame, ids: DataFrame) -> DataFrame:

@@ -600,3 +600,25 @@ def test_pipeline_stages_in_turn(spark, tmp_path):
     none = docs.filter("false")
     for name, stage in cp.STAGES:
         assert stage(spark, none, "").count() == 0, name
+
+
+def test_lists_of_many_labels_meet_in_blocks(spark, monkeypatch):
+    """Every pair of different labels shares a block, no block has more rows of a side than about PART, and few rows are sent."""
+    monkeypatch.setattr(neardup, "PART", 64)
+    rows = [(1, k, 10, 0, k // 3 if k < 600 else -1) for k in range(1000)] + [(2, k, 10, 0, k % 2) for k in range(40)] + [(3, 5, 10, 0, 5)]
+    got = neardup._dealt(spark.createDataFrame(rows, "sh long, rep long, n long, pos long, label long")).collect()
+    blocks = {}
+    for g in got:
+        blocks.setdefault(g["part"], ([], []))[g["asks"]].append((g["rep"], g["label"]))
+    met = {(min(a, b), max(a, b)) for dealt, asks in blocks.values() for a, x in asks for b, y in dealt if x != y}
+    label = {k: k // 3 if k < 600 else -1 for k in range(1000)}
+    assert {(a, b) for a in range(1000) for b in range(a + 1, 1000) if label[a] != label[b]} <= met
+    assert max(max(len(d), len(a)) for d, a in blocks.values()) < 3 * 64 and len(got) < 20 * len(rows)
+
+
+def test_pages_that_share_half_their_shingles(spark):
+    """Twenty thousand documents of different labels: what is exchanged stays near the number of rows."""
+    shared = prose(60, 1, 4000)
+    docs = spark.range(20_000).selectExpr("id AS doc_id", f"concat_ws(' ', '{shared}', array_join(transform(sequence(1, 60), i -> concat('u', id, '_', i)), ' ')) AS text")
+    got = neardup.grouped(docs)
+    assert got.filter("component_id <> doc_id").isEmpty() and got.count() == 20_000
