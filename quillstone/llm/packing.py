@@ -30,7 +30,8 @@ from .common import batch, map_rows, pieces, settled, table
 from .tokens import encoder
 
 SEQUENCE = 2048
-SALTS = 64
+#: Pieces of one length that are ranked in one go.
+RANKED = 500_000
 #: Segments (40 bytes each) of a plan that is broadcast.
 SMALL_PLAN = 200_000
 
@@ -177,7 +178,9 @@ def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int =
 def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = SEQUENCE, forget: bool = False) -> DataFrame:
     spark = docs.sparkSession
     parts = settled(cut(docs, vocabulary, capacity, forget), "pack-pieces")
-    plan = planned({r[0]: r[1] for r in parts.groupBy("length").count().collect()}, capacity)  # a row per length
+    histogram = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # a row per length
+    salts = max(64, -(-max(histogram.values(), default=0) // RANKED))
+    plan = planned(histogram, capacity)
     by: dict[int, list] = defaultdict(list)
     for length, rank, *rest in plan.segments:
         by[length].append((rank, *rest))
@@ -185,7 +188,7 @@ def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int
     wide = spark.createDataFrame(rows, "w long, ranks array<long>, segments array<struct<rank:long,n:long,first:long,each:long,offset:long>>")
 
     # Ranks among equal lengths: within salted parts, then over the parts.
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     inner = salted.withColumn("inner", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     sums = salted.groupBy("length", "salt").count()
     sums = sums.select(F.col("length").alias("w2"), F.col("salt").alias("salt2"), F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
