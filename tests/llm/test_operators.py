@@ -622,3 +622,11 @@ def test_pages_that_share_half_their_shingles(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", f"concat_ws(' ', '{shared}', array_join(transform(sequence(1, 60), i -> concat('u', id, '_', i)), ' ')) AS text")
     got = neardup.grouped(docs)
     assert got.filter("component_id <> doc_id").isEmpty() and got.count() == 20_000
+
+
+def test_quality_s_sample_comes_from_all_of_the_table(spark):
+    """Documents with a sign that only the last fifth has are drawn in about that share."""
+    docs = spark.range(40_000).repartition(8).selectExpr("id AS doc_id", "if(id >= 32000, 'late ', 'early ') || id AS text").orderBy("doc_id")
+    late = quality.Rule("late", lambda f: "late" in f.text)
+    found = quality.estimate(docs, (late,), 400)
+    assert 0.12 < found[0].rejection < 0.28
