@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +34,30 @@ def page_prompts(widgets: DataFrame, page_text: DataFrame) -> DataFrame:
     return j.select("form", "page", prompt.alias("prompt"))
 
 
+def picture_prompts(pictures: DataFrame) -> DataFrame:
+    """(form, page, prompt) of pictures of pages (form, page, picture as bytes): which questions stand where? Of a form, the first MOST_PAGES."""
+    ask = F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" of a form. Give each question with its box as fractions of the page.\n<picture>\n"), F.base64("picture"), F.lit("\n</picture>"))
+    return pictures.filter((F.col("page") <= MOST_PAGES) & F.col("picture").isNotNull()).select("form", "page", ask.alias("prompt"))
+
+
+def _replies(prompts: DataFrame, provider: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(form, page, reply) of a provider to prompts (form, page, prompt); a page that gets none is left out, not fatal."""
+    key = F.to_json(F.struct(F.col("form").cast("string").alias("form"), "page"))
+    said = provider(prompts.select(key.alias("key"), "prompt"))
+    back = prompts.select(key.alias("key"), "form", "page")
+    return said.filter("reply IS NOT NULL").join(back, "key").select("form", "page", "reply")
+
+
+def read_boxes(widgets: DataFrame, page_text: DataFrame, provider: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The boxes of forms as a provider describes them, in the order of pages and boxes whatever the order of replies."""
+    return described_boxes(widgets, _replies(page_prompts(widgets, page_text), provider))
+
+
+def read_pictures(pages: DataFrame, pictures: DataFrame, provider: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The questions of forms without boxes as a provider sees them in pictures of their pages."""
+    return described_pages(pages, _replies(picture_prompts(pictures), provider))
+
+
 def _options(kind: Column, options: Column) -> Column:
     """A tick box has none; blank ones go."""
     none = F.array().cast("array<string>")

@@ -116,6 +116,11 @@ def detected(pages: DataFrame, forms: DataFrame, scores: DataFrame) -> DataFrame
     return j.select("page", F.coalesce("best", only).alias("form"), F.when(F.col("best").isNotNull(), "fit").when(only.isNotNull(), "host").alias("how"))
 
 
+def enrichable(fields: DataFrame) -> DataFrame:
+    """(grp, field, field_ord, label) of a form's fields (form, field, field_ord, label, source) whose instruction may go to a question of a page: those that a model answers."""
+    return fields.filter("source = 'llm'").select(F.col("form").alias("grp"), "field", "field_ord", "label")
+
+
 def after_change(rows: DataFrame, changed: DataFrame) -> DataFrame:
     """The answers that stay when pages have changed: those to a changed page's old questions go, with their edits and confirmations. rows and changed: page."""
     return rows.join(changed.select("page").distinct(), "page", "left_anti")
