@@ -11,6 +11,7 @@ from ..sources import html
 from .live import live_fields, page_errors
 from .panel import detected, page_scores
 from .provider import Provider, mapped
+from .tables import written
 
 
 class Survey(NamedTuple):
@@ -26,10 +27,10 @@ def survey(pages: DataFrame, forms: DataFrame, fields: DataFrame, parts: int | N
 
     Only controls that can be written and are shown count; no value of a page leaves it.
     """
-    dump = html.dumps(pages, parts)
+    dump = written(html.dumps(pages, parts), "dumps")  # pages are parsed once
     c = dump.select(F.col("page_id").alias("page"), F.posexplode("controls").alias("ord", "c")).select("page", "ord", "c.*")
     live = c.filter("visible AND NOT disabled AND NOT read_only")
-    scores = page_scores(fields, live.select("page", F.col("ref").alias("control"), F.col("ord").alias("control_ord"), "label"))
+    scores = written(page_scores(fields, live.select("page", F.col("ref").alias("control"), F.col("ord").alias("control_ord"), "label")), "scores")
     which = detected(dump.select(F.col("page_id").alias("page"), "host"), forms, scores)
     asked = live.select("page", "ord", "label", "type", F.col("options.values").alias("options"), F.lit("").alias("description"), "instance")
     errors = page_errors(asked)
