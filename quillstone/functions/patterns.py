@@ -16,6 +16,7 @@ TOKEN = r"\[[A-Z][A-Z0-9_]*\]"
 LABELLED = r"^\s*([A-Za-z][A-Za-z .#/]{0,23})\s*[:\-–]\s*(.+?)\s*$"
 DATE = r"\b\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}\b|\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}\s+[A-Za-z]{3,9}\.?\s+\d{4}\b"
 
+# Postal codes, separators that always part two values, and words before a policy number.
 POSTAL = r"(?U)\bSingapore\s*\d{6}\b|\bS\d{6}\b|(?<!\d)\d{6}(?!\d)"
 HARD_GAP = r"(?U)\s*[·|;]\s*|\s{2,}|\s+—\s+"
 POLICY_WORD = r"(?iU)^(policy|member|certificate)\s*(no\.?|number|#)?\s*[:.]?\s*"

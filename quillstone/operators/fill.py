@@ -96,6 +96,34 @@ def outcomes(plan: DataFrame) -> DataFrame:
     return rows.select("form", "field", done.alias("status"), why.alias("reason"))
 
 
+def kept_value(kind: Column, text: Column) -> Column:
+    """What a control keeps of a text that is put into it: nothing of what isn't its kind, and no line ends but in an area."""
+    line = F.regexp_replace(text, "[\r\n]", "")
+    shape = lambda pattern: F.when(text.rlike(pattern), text).otherwise("")
+    return (
+        F.when(kind == "number", shape(r"^-?(\d+|\d*\.\d+)([eE][-+]?\d+)?$"))
+        .when(kind == "date", F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text).otherwise(""))
+        .when(kind == "time", shape(r"^([01]\d|2[0-3]):[0-5]\d(:[0-5]\d)?$"))
+        .when(kind.isin("email", "url"), F.trim(line))
+        .when(kind == "textarea", F.regexp_replace(text, "\r\n?", "\n"))
+        .otherwise(line)
+    )
+
+
+def read_back(rows: DataFrame) -> DataFrame:
+    """(form, field, status, reason, now): filled text controls whose value doesn't stand as it was written get theirs back and count as skipped.
+
+    rows: form, field, type, value, existing, status, reason. Dates are written as a date control wants them.
+    """
+    asked = F.when(F.col("type") == "date", day_first_to_iso(F.col("value"))).otherwise(F.col("value"))
+    texts = (F.col("status") == "filled") & ~F.col("type").isin("select", "radio", "checkbox", *GROUPS)
+    r = rows.withColumn("_asked", F.when(F.col("value").isNull(), "").otherwise(asked))  # null: no date
+    stands = F.coalesce(kept_value(F.col("type"), F.col("_asked")) == F.col("_asked"), F.lit(False))
+    now = F.when(texts & stands, F.col("_asked")).otherwise(F.col("existing"))
+    status, reason = (F.when(texts & ~stands, told).otherwise(F.col(c)) for c, told in (("status", "skipped"), ("reason", "value not taken")))
+    return r.select("form", "field", status.alias("status"), reason.alias("reason"), now.alias("now"))
+
+
 def filled_counts(rows: DataFrame) -> DataFrame:
     """Per form: how many were filled, of how many."""
     return rows.groupBy("form").agg(F.count_if(F.col("status") == "filled").alias("filled"), F.count("*").alias("planned"), F.bool_and(F.coalesce(F.col("reason") == "match is not safe", F.lit(False))).alias("refused"))

@@ -672,14 +672,35 @@ def after_change(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT o_custkey AS form, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS filled, count(*) AS planned FROM orders GROUP BY ALL)
-SELECT form, CAST(filled AS BIGINT) AS filled, CAST(planned AS BIGINT) AS planned, false AS refused FROM r
+WITH r AS (SELECT o_custkey AS form, count(*) FILTER (WHERE o_orderkey % 3 = 0 AND o_custkey % 10 > 0) AS filled, count(*) AS planned FROM orders GROUP BY ALL)
+SELECT form, CAST(filled AS BIGINT) AS filled, CAST(planned AS BIGINT) AS planned, form % 10 = 0 AS refused FROM r
 """)
 def filled_counts(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("form"), F.when(F.col("o_orderkey") % 3 == 0, "filled").otherwise("skipped").alias("status"), F.when(F.col("o_orderkey") % 3 != 0, "no value").alias("reason"))
+    """Orders as outcomes of their customers' forms: how many were filled, and which forms were refused as a whole."""
+    unsafe, ok = F.col("o_custkey") % 10 == 0, F.col("o_orderkey") % 3 == 0
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("form"), F.when(ok & ~unsafe, "filled").otherwise("skipped").alias("status"), F.when(unsafe, "match is not safe").when(~ok, "no value").alias("reason"))
     return fill.filled_counts(o)
 
 
+@query(r"""
+WITH p AS (SELECT p_brand AS form, p_partkey AS field, p_partkey % 5 AS m, p_size, CASE WHEN p_partkey % 7 = 0 THEN 'skipped' ELSE 'filled' END AS status FROM part),
+x AS (SELECT *, CASE m WHEN 0 THEN p_size % 2 = 0 WHEN 1 THEN p_size <= 28 WHEN 2 THEN p_size % 3 > 0 WHEN 3 THEN true ELSE p_size % 4 > 0 END AS ok,
+             CASE m WHEN 0 THEN CASE WHEN p_size % 2 = 0 THEN '-' || p_size || '.5' ELSE p_size || ' mg' END WHEN 1 THEN '2023-02-' || lpad(p_size::VARCHAR, 2, '0') WHEN 2 THEN CASE WHEN p_size % 3 > 0 THEN 'a@b.sg' ELSE ' a@b.sg' END
+                    WHEN 3 THEN 'one' || chr(10) || 'two' ELSE CASE WHEN p_size % 4 > 0 THEN 'plain' ELSE 'one' || chr(10) || 'two' END END AS asked FROM p)
+SELECT form, field, CASE WHEN status = 'filled' AND NOT ok THEN 'skipped' ELSE status END AS status, CASE WHEN status = 'skipped' THEN 'no value' WHEN NOT ok THEN 'value not taken' END AS reason, CASE WHEN status = 'filled' AND ok THEN asked ELSE 'before' END AS now FROM x
+""")
+def values_read_back(spark, sf_dir):
+    """Parts as controls of five kinds after writing: what a control didn't keep is undone and told."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    m, two = k % 5, F.lit("one\ntwo")
+    kind = F.when(m == 0, "number").when(m == 1, "date").when(m == 2, "email").when(m == 3, "textarea").otherwise("text")
+    value = F.when(m == 0, F.when(n % 2 == 0, F.concat(F.lit("-"), n.cast("string"), F.lit(".5"))).otherwise(F.concat(n.cast("string"), F.lit(" mg")))).when(m == 1, F.concat(F.lpad(n.cast("string"), 2, "0"), F.lit("/02/2023")))
+    value = value.when(m == 2, F.when(n % 3 > 0, "a@b.sg").otherwise(" a@b.sg")).when(m == 3, two).otherwise(F.when(n % 4 > 0, "plain").otherwise(two))
+    out = k % 7 == 0
+    rows = t(spark, sf_dir, "part").select(F.col("p_brand").alias("form"), k.alias("field"), kind.alias("type"), value.alias("value"), F.lit("before").alias("existing"), F.when(out, "skipped").otherwise("filled").alias("status"), F.when(out, "no value").alias("reason"))
+    return fill.read_back(rows)
+
+
 @query("""
 WITH f AS (SELECT p_brand AS form, string_agg('"b' || (n - 1) || '"', ',' ORDER BY n) AS refs FROM (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) GROUP BY 1)
 SELECT form, '{"type":"object","properties":{"boxes":{"type":"array","items":{"type":"object","properties":{"ref":{"type":"string","enum":[' || refs || ']},"label":{"type":"string"},"description":{"type":"string"},"type":{"type":"string","enum":["text","date","checkbox"]},"options":{"type":"array","items":{"type":"string"}},"include":{"type":"boolean"}},"required":["ref","label","description","type","options","include"],"additionalProperties":false}}},"required":["boxes"],"additionalProperties":false}' AS boxes,

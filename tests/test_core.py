@@ -33,6 +33,13 @@ def test_dictionary_pass_keeps_institutions(spark):
     assert entries[:4] == [("[PATIENT]", "Tan Wei Ming"), ("[NRIC]", "S1234567D"), ("[DOB]", "04/03/1980"), ("[PHONE]", "+65 91234567")]
 
 
+def test_strict_redaction_takes_values_that_end_in_punctuation(spark):
+    row = Row(full_name="Tan Ah", nric="", dob=datetime.date(1980, 3, 4), phone=None, address="9 Hill Road, Singapore 440005.", policy_number=None, clinical_text="Lives at 9 Hill Road, Singapore 440005. Well.")
+    df = spark.createDataFrame([row], "full_name string, nric string, dob date, phone string, address string, policy_number string, clinical_text string")
+    loose, strict = (redact.redacted(df, strict=x).first()["redacted_text"] for x in (False, True))
+    assert "440005" in loose and strict == "Lives at [ADDRESS] Well."
+
+
 def test_sweep_and_remerge(spark):
     row = Row(full_name="Lim Ah", nric="", dob=datetime.date(1980, 3, 4), phone=None, address=None, policy_number=None, clinical_text="Lim Ah came with Dr Koh. ah well")
     df = redact.redacted(spark.createDataFrame([row], "full_name string, nric string, dob date, phone string, address string, policy_number string, clinical_text string"), sweep=F.array(F.lit(" dr koh "), F.lit("[X]"), F.lit("nobody")))
