@@ -140,7 +140,6 @@ def filled_page(fields: DataFrame, controls: DataFrame, values: DataFrame) -> Da
 
     own = [c for c in ("grp", "control", "control_ord", "label", "selector") if c in controls.columns]
     rows, _ = located_by_step(fields, controls.filter(fillable()).select(*own))
-    rows = rows.persist()  # asked for three times
     safe = report(rows).select(F.col("grp").alias("_g"), "safe_to_fill")
     on = controls.drop("label", "control_ord", "selector")
     j = rows.drop("score").join(values, ["grp", "field"], "left").join(on, ["grp", "control"], "left").join(safe, F.col("grp") == F.col("_g"))

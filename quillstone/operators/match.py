@@ -32,7 +32,7 @@ def pairs(fields: DataFrame, controls: DataFrame, least: float = 0.0) -> DataFra
     """
     f, c = _labels(fields, "field", "f"), _labels(controls, "control", "c")
     if least:
-        hit = written(_prefixed(f, c, least), "labels")
+        hit = _prefixed(f, c, least)
     else:
         keys = lambda t, n: F.explode(F.concat(F.transform(t, lambda x: F.concat(F.lit("t:"), x)), F.array(F.concat(F.lit("n:"), n))))
         fk, ck = f.select("grp", "field", keys(F.col("ft"), F.col("fn")).alias("k")), c.select("grp", "control", keys(F.col("ct"), F.col("cn")).alias("k"))
@@ -74,20 +74,29 @@ def top1(scored: DataFrame) -> DataFrame:
     return best.withColumn("status", status).drop("own", "preferred")
 
 
+def _assigned(rows: DataFrame, *over: str) -> DataFrame:
+    """Of fields that want one control within a group, the strongest gets it and the others are ambiguous. rows: as top1 gives them, `over` names the group's columns."""
+    w = W.partitionBy(*over, "control", "status").orderBy(F.col("score").desc(), "field_ord", "field")
+    out = rows.withColumn("_rank", F.row_number().over(w))
+    status = F.when((F.col("status") == "matched") & (F.col("_rank") > 1), "ambiguous").otherwise(F.col("status"))
+    return out.withColumn("status", status).withColumn("control", F.when(F.col("status") == "matched", F.col("control"))).drop("_rank")
+
+
+def _best(fields: DataFrame, controls: DataFrame, scores: bool, *more: str) -> DataFrame:
+    """grp, field, field_ord (and what else of the fields), control, score and status of every field by itself."""
+    best = top1(pairs(fields, controls, 0.0 if scores else LEAST - MARGIN)).select("grp", "field", "control", "score", "status")
+    out = fields.select("grp", "field", "field_ord", *more).join(best, ["grp", "field"], "left")
+    score = F.coalesce("score", F.lit(0.0))
+    return out.withColumns({"score": score if scores else F.when(score >= LEAST, score).otherwise(0.0), "status": F.coalesce("status", F.lit("unmatched"))})
+
+
 def located(fields: DataFrame, controls: DataFrame, scores: bool = True) -> DataFrame:
     """One row per field; of fields that want one control the strongest gets it, the others are ambiguous.
 
     Without scores, a field whose best control is too weak has score 0, and only pairs that may matter are made: the weakest
     runner-up within the margin of a good control scores LEAST - MARGIN.
     """
-    best = top1(pairs(fields, controls, 0.0 if scores else LEAST - MARGIN))
-    w = W.partitionBy("grp", "control").orderBy(F.col("score").desc(), "field_ord")
-    won = best.filter("status = 'matched'").withColumn("rank", F.row_number().over(w)).select("grp", "field", F.col("rank"))
-    out = fields.select("grp", "field", "field_ord").join(best.drop("field_ord"), ["grp", "field"], "left").join(won, ["grp", "field"], "left")
-    status = F.when(F.col("rank") > 1, "ambiguous").otherwise(F.coalesce("status", F.lit("unmatched")))
-    score = F.coalesce("score", F.lit(0.0))
-    score = score if scores else F.when(score >= LEAST, score).otherwise(0.0)
-    return out.select("grp", "field", "field_ord", F.when(status == "matched", F.col("control")).alias("control"), score.alias("score"), status.alias("status"))
+    return _assigned(_best(fields, controls, scores), "grp").select("grp", "field", "field_ord", "control", "score", "status")
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -102,17 +111,16 @@ def located_by_step(fields: DataFrame, controls: DataFrame) -> tuple[DataFrame,
 
     fields also has `step` (null: none). Where a group has one step only, or no step clears the guard, all its
     fields are located. steps: grp, step, matched, intended, match_rate, safe_to_fill, deferred. Scores below LEAST are 0.
+    A field's best control is found once; only who gets it is decided among the fields of its step, and then of all steps that are there.
     """
     f = fields.withColumn("step", F.coalesce("step", F.lit("")))
-    inner = F.struct("grp", "step").alias("grp")
-    own = [c for c in ("selector",) if c in f.columns and c in controls.columns]
-    asked = f.select(inner, "field", "field_ord", "label", *own)
-    shown = controls.join(f.select(F.col("grp").alias("g"), "step").distinct(), F.col("grp") == F.col("g")).select(inner, "control", "control_ord", "label", *own)
-    each = report(located(asked, shown, scores=False)).select("grp.*", "matched", "intended", "match_rate", "safe_to_fill").persist()  # a row per step, asked for three times
-    of_group = each.groupBy("grp").agg(F.count("*").alias("n"), F.bool_or("safe_to_fill").alias("some"))
-    steps = each.join(of_group, "grp").withColumn("deferred", (F.col("n") > 1) & F.col("some") & ~F.col("safe_to_fill")).drop("n", "some")
-    now = f.join(steps.filter("NOT deferred").select("grp", "step"), ["grp", "step"]).select("grp", "field", "field_ord", "label", *own)
-    return located(now, controls, scores=False), steps
+    best = written(_best(f, controls, False, "step"), "located")
+    each = report(_assigned(best, "grp", "step").withColumn("grp", F.struct("grp", "step"))).select("grp.*", "matched", "intended", "match_rate", "safe_to_fill")
+    own = W.partitionBy("grp")
+    deferred = (F.count("*").over(own) > 1) & F.bool_or("safe_to_fill").over(own) & ~F.col("safe_to_fill")
+    steps = written(each.withColumn("deferred", deferred), "steps")
+    now = best.join(steps.filter("NOT deferred").select("grp", "step"), ["grp", "step"])
+    return _assigned(now, "grp").select("grp", "field", "field_ord", "control", "score", "status"), steps
 
 
 def unclaimed(controls: DataFrame, rows: DataFrame) -> DataFrame:
