@@ -164,8 +164,18 @@ def unclaimed_controls(spark, sf_dir):
     return match.unclaimed(controls, match.located(fields, controls)).select("grp", "control")
 
 
-@query()
+@query(LOCATED.replace("WITH p AS", "WITH RECURSIVE p AS") + """, c AS (SELECT grp, control, list(struct_pack(f := field, s := score) ORDER BY score DESC, field) AS cands, max(score) AS top FROM s GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY top DESC, control) AS turn FROM c),
+g AS (
+  SELECT grp, 0::BIGINT AS turn, []::BIGINT[] AS taken, NULL::BIGINT AS control, NULL::BIGINT AS field, NULL::DOUBLE AS score FROM (SELECT DISTINCT grp FROM t)
+  UNION ALL
+  SELECT grp, turn, CASE WHEN ok THEN list_append(taken, l[1].f) ELSE taken END, control, CASE WHEN ok THEN l[1].f END, CASE WHEN ok THEN l[1].s END
+  FROM (SELECT *, coalesce(l[1].s >= 0.6 AND (l[2] IS NULL OR round(l[1].s - l[2].s, 9) >= 0.05), false) AS ok
+        FROM (SELECT t.grp, t.turn, g.taken, t.control, list_filter(t.cands, lambda x: NOT list_contains(g.taken, x.f)) AS l FROM g JOIN t ON t.grp = g.grp AND t.turn = g.turn + 1)))
+SELECT grp, field, control, round(score, 6) AS score FROM g WHERE field IS NOT NULL
+""")
 def enrich_greedy(spark, sf_dir):
+    """Controls take turns at the fields of their group."""
     return match.enriched(match.pairs(*_plan(spark, sf_dir))).select("grp", "field", "control", F.round("score", 6).alias("score"))
 
 
