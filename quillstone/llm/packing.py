@@ -154,13 +154,13 @@ def planned(histogram: dict[int, int], capacity: int = SEQUENCE) -> Plan:
 
 
 def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = SEQUENCE, forget: bool = False) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32. forget: workers drop the words they remember after each task, for the sake of the work that follows in them."""
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32. forget: workers read fewer characters at a time and drop the words they remember after each task, for the sake of the work that follows in them."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary), np.array([0], "<u4").tobytes()
         for whole in it:
-            for b in pieces(whole):
+            for b in pieces(whole, 2_000_000 if forget else 8_000_000):
                 out: list[list] = [[] for _ in schema]
                 for d, got in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
                     got += end
@@ -171,6 +171,7 @@ def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int =
                 yield batch(schema, out)
         if forget:
             enc.memo.clear()
+            pa.default_memory_pool().release_unused()
 
     return map_rows(docs, ["doc_id", "text"], run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
