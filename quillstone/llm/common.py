@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,13 @@ def pieces(b: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[pa.RecordBatch
         yield b.slice(at)
 
 
+def give_back() -> None:
+    """What a task has left free goes back to the system: workers live on, and what follows in them needs it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call, it keeps the memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hashes(ws: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
 

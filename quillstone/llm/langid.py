@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, map_rows, pieces, table
+from .common import batch, give_back, map_rows, pieces, table
 
 #: Bounds of the training sample, and of the model.
 PER_LANGUAGE, TRAIN_WORDS, RUN, LEXICON = 400, 200, 40, 20_000
@@ -371,6 +371,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             for b in pieces(whole, 4_000_000):
                 lang, score = _predicted(shared.value, b)
                 yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)]))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

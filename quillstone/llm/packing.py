@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, map_rows, pieces, settled, table
+from .common import batch, give_back, map_rows, pieces, settled, table
 from .tokens import encoder
 
 SEQUENCE = 2048
@@ -171,7 +171,7 @@ def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int =
                 yield batch(schema, out)
         if forget:
             enc.memo.clear()
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return map_rows(docs, ["doc_id", "text"], run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
