@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import langid, mixing, neardup, packing, secret_scan
-from quillstone.llm.common import pieces, settled, table
+from quillstone.llm.common import give_back, pieces, settled, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +44,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             for b in pieces(whole, 2_000_000):
                 text = pa.array([None if t is None else secret_scan.masked(t) for t in b.column("text").to_pylist()], whole.schema.field(at).type)
                 yield b.set_column(at, whole.schema.field(at), text)
+        give_back()
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns) if "n_chars" in columns else out
