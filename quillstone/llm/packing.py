@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batch, give_back, map_rows, pieces, settled, table
-from .tokens import encoder
+from .tokens import REMEMBER, encoder
 
 SEQUENCE = 2048
 #: Pieces of one length that are ranked in one go.
@@ -159,6 +159,7 @@ def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int =
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary), np.array([0], "<u4").tobytes()
+        enc.most = REMEMBER // 8 if forget else REMEMBER
         for whole in it:
             for b in pieces(whole, 2_000_000 if forget else 8_000_000):
                 out: list[list] = [[] for _ in schema]

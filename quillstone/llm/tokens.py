@@ -55,6 +55,7 @@ class Encoder:
         self.tokenizer = _load(name)
         self.spaced = self.tokenizer.normalizer is None
         self.memo: dict[str, bytes] = {}
+        self.most = REMEMBER
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _pieces(self, text: str) -> list[str]:
@@ -121,7 +122,7 @@ class Encoder:
             memo = self.memo
             missing = set().union(*cut).difference(memo)
             if missing:
-                if len(memo) + len(missing) > REMEMBER:
+                if len(memo) + len(missing) > self.most:
                     memo.clear()
                     missing = set().union(*cut)
                 self._learn(missing)
