@@ -86,8 +86,13 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
+def label_words(normal: Column) -> Column:
+    """The content words of a normalised label."""
+    return F.array_distinct(F.filter(F.split(normal, " "), lambda t: (t != "") & ~t.isin(*NOISE)))
+
+
 def content_tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(normalised(text), " "), lambda t: (t != "") & ~t.isin(*NOISE)))
+    return label_words(normalised(text))
 
 
 def dice(a: Column, b: Column, same: Column) -> Column:

@@ -226,3 +226,44 @@ def test_forbidden_phrases_run_over_values_in_order(spark):
     rows = spark.createDataFrame([("k", "f1", "zulu alpha", False, 1), ("k", "f2", "beta", False, 2)], "case string, field string, value string, needs_review boolean, ord int")
     checks = spark.createDataFrame([("k", "forbid", None, "Alpha beta"), ("k", "forbid", None, "beta zulu")], "case string, kind string, field string, want string")
     assert evalkit.case_scores(rows, checks).first()["faults"] == 1
+
+
+def plainly_located(fields, controls):
+    """field -> (control, status) by comparing every row with every row; fields and controls: (grp, id, label, selector)."""
+    noise = {"of", "the"}
+    words = lambda s: set(s.lower().split()) - noise
+    best = {}
+    for g, f, a, sel in fields:
+        rows = []
+        for h, c, b, own in controls:
+            t, u = words(a), words(b)
+            s = 0.0 if g != h else 1.0 if a.lower() == b.lower() else 2 * len(t & u) / (len(t) + len(u))
+            if s:
+                rows.append((-(s >= 0.6 and own is not None and own == sel), -s, c))
+        rows.sort()
+        if not rows or rows[0][1] > -0.6:
+            best[g, f] = (rows[0][2] if rows else None, 0.0, "unmatched")
+        else:
+            clear = rows[0][0] or len(rows) == 1 or round(rows[1][1] - rows[0][1], 9) >= 0.05
+            best[g, f] = (rows[0][2], rows[0][1], "matched" if clear else "ambiguous")
+    claims = {}
+    for (g, f), (c, s, st) in best.items():
+        if st == "matched":
+            claims[g, c] = min(claims.get((g, c), (0.0, 0)), (s, f))
+    return {(g, f): (c, "matched") if st == "matched" and claims[g, c][1] == f else (None, "ambiguous" if st != "unmatched" else st) for (g, f), (c, s, st) in best.items()}
+
+
+def test_labels_that_repeat_are_compared_once(spark):
+    """Rows with equal labels, with selectors of their own and without: as by comparing rows, while only different labels meet."""
+    r = random.Random(5)
+    pool = ["name of ward", "name of doctor", "name of the ward nurse", "date", "date of visit", "date visit time", "bed", "ward bed number"]
+    rows = lambda n: [(r.choice("gh"), k, r.choice(pool), r.choice((None, None, "s1", "s2"))) for k in range(n)]
+    fields, controls = rows(40), [*rows(12), ("i", 12, "bed", None)]
+    f = spark.createDataFrame(fields, "grp string, field long, label string, selector string").withColumn("field_ord", F.col("field"))
+    c = spark.createDataFrame(controls, "grp string, control long, label string, selector string").withColumn("control_ord", F.col("control"))
+    for scores in (True, False):
+        got = {(x["grp"], x["field"]): (x["control"], x["status"]) for x in match.located(f, c, scores).collect()}
+        assert got == plainly_located(fields, controls)
+    many = spark.range(3000).select(F.lit("g").alias("grp"), F.col("id").alias("field"), F.col("id").alias("field_ord"), F.concat(F.lit("ward "), (F.col("id") % 3).cast("string")).alias("label"))
+    shown = many.withColumnsRenamed({"field": "control", "field_ord": "control_ord"})
+    assert match._scored(match._labels(many, "field", "f"), match._labels(shown, "control", "c"), 0.0).count() == 9
