@@ -176,7 +176,7 @@ SELECT grp, field, control, round(score, 6) AS score FROM g WHERE field IS NOT N
 """)
 def enrich_greedy(spark, sf_dir):
     """Controls take turns at the fields of their group."""
-    return match.enriched(match.pairs(*_plan(spark, sf_dir))).select("grp", "field", "control", F.round("score", 6).alias("score"))
+    return match.enriched_labels(*_plan(spark, sf_dir)).select("grp", "field", "control", F.round("score", 6).alias("score"))
 
 
 @query("""

@@ -267,3 +267,17 @@ def test_labels_that_repeat_are_compared_once(spark):
     many = spark.range(3000).select(F.lit("g").alias("grp"), F.col("id").alias("field"), F.col("id").alias("field_ord"), F.concat(F.lit("ward "), (F.col("id") % 3).cast("string")).alias("label"))
     shown = many.withColumnsRenamed({"field": "control", "field_ord": "control_ord"})
     assert match._scored(match._labels(many, "field", "f"), match._labels(shown, "control", "c"), 0.0).count() == 9
+
+
+def test_turns_of_labels_that_repeat(spark):
+    """Controls and fields with equal labels: by label the same as by taking turns row by row, in as many rounds as fields are taken at most."""
+    r = random.Random(8)
+    pool = ["ward name", "ward name bed", "date", "date of visit", "visit date time", "bed number", "bed", "time", "nurse", "nurse name", "plan", "plan number limit"]
+    for _ in range(2):
+        rows = lambda n: [(g, k * 2 + (g == "h"), r.choice(pool)) for g in "gh" for k in range(n)]
+        f = spark.createDataFrame(rows(9), "grp string, field long, label string").withColumn("field_ord", F.col("field"))
+        c = spark.createDataFrame(rows(16), "grp string, control long, label string").withColumn("control_ord", F.col("control"))
+        want = {tuple(x) for x in match.enriched(match.pairs(f, c)).select("grp", "field", "control").collect()}
+        assert {tuple(x) for x in match.enriched_labels(f, c).select("grp", "field", "control").collect()} == want and want
+    many = spark.range(6000).select(F.lit("g").alias("grp"), F.col("id").alias("field"), F.col("id").alias("field_ord"), F.concat(F.lit("ward "), (F.col("id") % 3).cast("string")).alias("label"))
+    assert match.enriched_labels(many, many.withColumnsRenamed({"field": "control", "field_ord": "control_ord"})).count() == 0
