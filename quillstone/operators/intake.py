@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import numbered_slugs
 from .geometry import sane_box
-from .live import sources
+from .live import sources, with_ids
 
 BOX_REPLY = "struct<boxes:array<struct<ref:string,label:string,description:string,type:string,options:array<string>,include:boolean>>>"
 PAGE_REPLY = "struct<fields:array<struct<label:string,description:string,type:string,options:array<string>,x:double,y:double,w:double,h:double>>>"
@@ -65,11 +64,10 @@ def _options(kind: Column, options: Column) -> Column:
 
 
 def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds id and source; rows: form, label, ... A form's fields are few."""
+    """Adds ord, id and source; rows: form, label, ..."""
     s = sources(rows.withColumn("page_", F.col("page")).withColumn("page", F.col("form")).select(*rows.columns, "page_")).drop("page").withColumnRenamed("page_", "page")
-    g = s.groupBy("form").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*[c for c in s.columns if c not in order and c != "form"]).alias("r")))).alias("f"))
-    g = g.withColumn("ids", numbered_slugs(F.transform("f", lambda x: x["r"]["label"])))
-    return g.select("form", F.posexplode(F.arrays_zip("f", "ids")).alias("ord", "z")).select("form", "ord", F.col("z.ids").alias("id"), *[F.col(f"z.f.{c}").alias(c) for c in order], "z.f.r.*")
+    placed = s.withColumn("ord", F.row_number().over(W.partitionBy("form").orderBy(*order)) - 1)
+    return with_ids(placed, "form", "ord")
 
 
 def described_boxes(widgets: DataFrame, replies: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import numbered_slugs
+from ..functions.text import slug
 from .extract import label_field
 from .redact import scrub_patterns
 
@@ -34,6 +37,43 @@ def sources(controls: DataFrame) -> DataFrame:
     return c.withColumn("source", F.when(F.col("_attr").isNotNull() & (n == 1), F.concat(F.lit("demographics."), F.col("_attr"))).otherwise("llm")).drop("_attr")
 
 
+def with_ids(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """Adds id: slugs of labels in order within a group, repeated ones as base_2, base_3, ..., never one that is taken, as text.numbered_slugs gives them.
+
+    Ids of slugs that differ in more than numbers at their end never meet, so these families are numbered by themselves, row by row. What is
+    remembered of a slug is the next number: all below it are taken.
+    """
+    keyed = rows.withColumn("id", slug(F.col("label"))).withColumn("_family", F.regexp_replace("id", "(_[0-9]+)+$", ""))
+    keyed = keyed.withColumn("_key", F.to_json(F.struct(F.col(group).alias("g"), "_family")))
+    names = [c for c in keyed.columns if c not in ("_family", "_key")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, after = None, {}  # by slug that stands as an id, the next number
+        for b in it:
+            ids = []
+            for key, base in zip(b.column("_key").to_pylist(), b.column("id").to_pylist(), strict=True):
+                if key != now:
+                    now, after = key, {}
+
+                def taken(x: str) -> bool:
+                    head, _, n = x.rpartition("_")
+                    return x in after or (n.isdigit() and n[0] != "0" and 2 <= int(n) < after.get(head, 0))
+
+                if taken(base):
+                    n = after.get(base, 2)
+                    while taken(f"{base}_{n}"):
+                        n += 1
+                    after[base] = n + 1
+                    ids.append(f"{base}_{n}")
+                else:
+                    after[base] = 2
+                    ids.append(base)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()) if c == "id" else b.column(c) for c in names], names=names)
+
+    dealt = keyed.repartition("_key").sortWithinPartitions("_key", *order)
+    return dealt.mapInArrow(run, keyed.select(*names).schema)
+
+
 def page_errors(controls: DataFrame) -> DataFrame:
     """(page, n_fields, error): a page with no label, or with more fields than one call may map, is refused, never cut."""
     g = controls.groupBy("page").agg(F.count_if(F.trim("label") != "").alias("n_fields"))
@@ -48,9 +88,7 @@ def live_fields(controls: DataFrame) -> DataFrame:
     ok = page_errors(controls).filter("error IS NULL").select("page")
     kept = sources(controls).filter(F.trim("label") != "").join(ok, "page", "left_semi")
     entry = entry_label(F.col("label"), F.col("instance"))
-    one = F.struct("ord", entry.alias("label"), field_type(F.col("type")).alias("type"), "source", F.coalesce(F.nullif("description", F.lit("")), "label").alias("description"), "options")
-    pages = kept.groupBy("page").agg(F.array_sort(F.collect_list(one)).alias("f"))  # at most MOST_FIELDS
-    pages = pages.withColumn("ids", numbered_slugs(F.transform("f", lambda x: x["label"])))
-    rows = pages.select("page", F.posexplode(F.arrays_zip("f", "ids")).alias("n", "z")).select("page", "z.f.*", F.col("z.ids").alias("id"))
+    rows = kept.select("page", "ord", entry.alias("label"), field_type(F.col("type")).alias("type"), "source", F.coalesce(F.nullif("description", F.lit("")), "label").alias("description"), "options")
+    rows = with_ids(rows, "page", "ord", "label")
     options = F.transform(F.filter(F.coalesce("options", F.array().cast("array<string>")), lambda o: F.trim(o) != ""), scrub_patterns)
     return rows.select("page", "ord", "id", "type", "source", scrub_patterns(F.col("label")).alias("label"), scrub_patterns(F.col("description")).alias("description"), options.alias("options"))

@@ -141,3 +141,24 @@ def test_survey_of_a_page(spark):
     said = '{"fields":[{"id":"ward_of_patient","value":"B1","status":"extracted","source":"Seen in B1.","reasoning":""}]}'
     rows, errors = survey.mapped_live(notes, got.fields, lambda r: r.select("key", F.lit("end").alias("stop"), F.lit(said).alias("reply")))
     assert {r["id"]: (r["value_str"], r["status"]) for r in rows.collect()} == {"ward_of_patient": ("B1", "extracted"), "doctor_of_patient": (None, "missing"), "diagnosis_of_patient": (None, "missing")} and errors.count() == 0
+
+
+def test_ids_of_many_labels(spark):
+    """Ids of a form by row, families of slugs by themselves: as by one pass over all labels, and for forms of many thousand boxes too."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillstone.functions import text
+    from quillstone.operators import live
+
+    r = random.Random(3)
+    pool = ["Date", "Date 2", "Date 2 2", "Date 3", "Date 02", "!!", "field", "field 2", "2", "x" * 45, "x" * 40 + " 2", "Other"]
+    rows = [(form, k, r.choice(pool)) for form in (1, 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "form int, ord int, label string")
+    got = {(x["form"], x["ord"]): x["id"] for x in live.with_ids(df, "form", "ord").collect()}
+    for form in (1, 2):
+        labels = F.array(*[F.lit(x[2]) for x in rows if x[0] == form])
+        assert [got[form, k] for k in range(60)] == spark.range(1).select(text.numbered_slugs(labels)).first()[0]
+    many = spark.range(20000).select(F.lit(1).alias("form"), F.col("id").alias("ord"), F.lit("Date").alias("label"))
+    assert live.with_ids(many, "form", "ord").agg(F.max("ord"), F.countDistinct("id")).first()[1] == 20000
