@@ -13,6 +13,7 @@ from ..functions.dates import birth_dates, parse_date
 from ..functions.patterns import ALIASES, DATE, EMAIL, HARD_GAP, INSURER, INSURER_NAMES, LABELLED, LABELS, NRIC, PHONE, POLICY, POLICY_WORD, POSTAL, QUALIFIERS, STRICT_PHONE, whole
 from ..functions.text import find_all, label_key, let, logical_lines, squashed
 from .lines import LEAST_FIELDS, LEAST_WORDS, is_name, is_owned, is_same_name, none, reading, unowned, words
+from .tables import spread
 
 FIELDS = ("full_name", "nric", "dob", "phone", "address", "policy_number", "insurer")
 
@@ -117,7 +118,8 @@ def label_field(label: Column) -> Column:
         return out.otherwise(t)
 
     key = label_key(label)
-    bare = F.aggregate(F.sequence(F.lit(0), F.floor(F.length(key) / 3).cast("int")), key, step)
+    some = "|".join(longest)
+    bare = F.when(~key.rlike(f"^(?:{some})|(?:{some})$"), key).otherwise(F.aggregate(F.sequence(F.lit(0), F.floor(F.length(key) / 3).cast("int")), key, step))
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(ALIASES.items()) for x in kv]), bare)
 
 
@@ -187,10 +189,10 @@ def parsed(notes: DataFrame, as_of: Column) -> DataFrame:
     """(note_id, field, value, how, choices). Two candidates mean neither: value is null and choices lists them.
 
     notes: note_id (one row each), text and, if there is one, known_name, which a header's name is then checked against. Each note is read
-    once and by itself: no row meets another.
+    once and by itself: notes are dealt to all cores, and no row meets another.
     """
     known = F.col("known_name") if "known_name" in notes.columns else F.lit(None).cast("string")
-    rows = notes.filter("text IS NOT NULL").select("note_id", "text", known.alias("known"), logical_lines(F.col("text")).alias("lines"))
+    rows = spread(notes.filter("text IS NOT NULL").select("note_id", "text", known.alias("known")), "note_id").select("note_id", "text", "known", logical_lines(F.col("text")).alias("lines"))
     rows = rows.select("note_id", "text", "known", "lines", F.transform("lines", lambda s, i: _line(s, i, F.col("known"), as_of)).alias("ls"))
 
     ask = lambda n, line, k, field, candidates, how: F.struct(F.lit(n).alias("pass"), line.alias("line"), k.alias("k"), field.alias("field"), candidates.alias("candidates"), F.lit(how).alias("how"))
@@ -212,5 +214,6 @@ def parsed(notes: DataFrame, as_of: Column) -> DataFrame:
     rows = rows.select("note_id", F.array_sort(sure).alias("sure"), F.array_sort(open_).alias("open"))  # by pass, line and place in it
     first = lambda c, f: F.get(F.filter(c, lambda x: x["field"] == f), zero)
     each = F.transform(F.array(*map(F.lit, FIELDS)), lambda f: F.struct(f.alias("field"), first("sure", f).alias("v"), first("open", f)["candidates"].alias("choices")))
-    rows = rows.select("note_id", F.explode(F.filter(each, lambda x: x["v"].isNotNull() | x["choices"].isNotNull())).alias("x"))
+    rows = rows.select("note_id", F.explode_outer(F.filter(each, lambda x: x["v"].isNotNull() | x["choices"].isNotNull())).alias("x"))
+    rows = rows.filter("x IS NOT NULL")  # without `outer` Spark tests the list's size first, for which it works out the whole note again
     return rows.select("note_id", "x.field", F.col("x.v.value").alias("value"), F.col("x.v.how").alias("how"), F.when(F.col("x.v").isNull(), F.col("x.choices")).alias("choices"))

@@ -38,3 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = temporary_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys into several parts a core: a small file of many rows is one part, and one task would do all that follows.
+
+    The number is given, as Spark would put small parts together again.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -119,3 +119,15 @@ def test_notes_are_read_once_in_the_jvm(spark, read):
     df = extract.parsed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("note_id"), "text"), F.lit(AS_OF))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan and plan.count("FileScan") == 1
+
+
+def test_notes_of_one_file_part_are_read_by_all_cores(spark):
+    """Notes in one part are dealt to several, and the plan works a note out once: nothing tests the size of what it gives beforehand."""
+    from pyspark.sql import functions as F
+
+    from quillstone.operators import extract
+
+    notes = spark.createDataFrame([(k, f"NRIC: S123456{k}D") for k in range(8)], "note_id int, text string").coalesce(1)
+    got = extract.parsed(notes, F.lit("2024-01-01").cast("date"))
+    assert got.rdd.getNumPartitions() > 1 and got.count() == 8
+    assert "(size(" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if x.strip(" +-:").startswith("Filter"))
