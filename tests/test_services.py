@@ -162,3 +162,17 @@ def test_ids_of_many_labels(spark):
         assert [got[form, k] for k in range(60)] == spark.range(1).select(text.numbered_slugs(labels)).first()[0]
     many = spark.range(20000).select(F.lit(1).alias("form"), F.col("id").alias("ord"), F.lit("Date").alias("label"))
     assert live.with_ids(many, "form", "ord").agg(F.max("ord"), F.countDistinct("id")).first()[1] == 20000
+
+
+def test_a_page_is_parsed_once(spark):
+    """Whatever is asked of a page's controls, the plan parses it in one place."""
+    from pyspark.sql import functions as F
+
+    from quillstone.plans import CORE
+    from quillstone.sources import html
+
+    plans = [html.controls(spark.createDataFrame([(1, "<input name=a>")], "page_id int, html string")), CORE.QUERIES["page_dumps"](spark, "/root/testdata/sf0.001"), CORE.QUERIES["page_controls"](spark, "/root/testdata/sf0.001")]
+    for df in plans:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert html.scrub(" Call  91234567 ") == "Call [PHONE]" and html.scrub("a@b.sg") == "[EMAIL]" and plans[0].select(F.col("name")).first()[0] == "a"
