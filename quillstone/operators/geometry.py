@@ -28,9 +28,13 @@ def nearest_text(widgets: DataFrame, runs: DataFrame, most: int = 4) -> DataFram
     middle as 1.4 of its height, or of 8 points; what begins left on it, however far, is never above.
 
     Boxes and text meet in the cells of a grid, LEFT wide and ABOVE high, or a power of two times as high for boxes whose line is: a box asks the
-    few cells that its line and the place above it touch, a text stands in one cell of each height that its page's boxes have.
+    few cells that its line and the place above it touch, a text stands in one cell of each height that its page's boxes have. Boxes of one place and
+    height are one when they ask, and of different texts at one place only the first `most` can be among a box's.
     """
     runs = runs if "tord" in runs.columns else runs.withColumn("tord", F.lit(0))
+    spot = W.partitionBy("page", "tx", "ty").orderBy("tord", "text")
+    runs = runs.groupBy("page", "tx", "ty", "text").agg(F.min("tord").alias("tord")).withColumn("_n", F.row_number().over(spot)).filter(F.col("_n") <= most).drop("_n")
+    own, widgets = widgets.select("page", "widget", "x", "y", "h"), widgets.select("page", "x", "y", "h").distinct().withColumn("widget", F.struct("x", "y", "h"))
     middle, reach = F.col("y") + F.col("h") / 2, _line(F.col("h"))
     level = F.greatest(F.lit(0), F.ceil(F.log2(2 * reach / ABOVE))).cast("int")
     tall = F.pow(F.lit(2.0), F.col("level")) * ABOVE
@@ -46,7 +50,8 @@ def nearest_text(widgets: DataFrame, runs: DataFrame, most: int = 4) -> DataFram
     near = j.withColumn("place", place).filter("place IS NOT NULL").withColumn("gap", F.when(F.col("place") == 0, left).otherwise(above))
     once = near.groupBy("page", "widget", "text").agg(F.min(F.struct("place", "gap", "tord")).alias("b"))
     w = W.partitionBy("page", "widget").orderBy("b.place", "b.gap", "b.tord", "text")
-    return once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("page", "widget", "rank", "text")
+    got = once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return own.join(got.select("page", "widget.*", "rank", "text"), ["page", "x", "y", "h"]).select("page", "widget", "rank", "text")
 
 
 def sane_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:

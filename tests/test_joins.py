@@ -281,3 +281,11 @@ def test_turns_of_labels_that_repeat(spark):
         assert {tuple(x) for x in match.enriched_labels(f, c).select("grp", "field", "control").collect()} == want and want
     many = spark.range(6000).select(F.lit("g").alias("grp"), F.col("id").alias("field"), F.col("id").alias("field_ord"), F.concat(F.lit("ward "), (F.col("id") % 3).cast("string")).alias("label"))
     assert match.enriched_labels(many, many.withColumnsRenamed({"field": "control", "field_ord": "control_ord"})).count() == 0
+
+
+def test_many_texts_and_boxes_at_one_place(spark):
+    """Thousands of boxes and texts at a few places: places meet, and the first texts of each are enough."""
+    boxes = spark.range(3000).select(F.lit(1).alias("page"), F.col("id").alias("widget"), (100.0 + F.col("id") % 2).alias("x"), F.lit(50.0).alias("y"), F.lit(10.0).alias("h"))
+    runs = spark.range(3000).select(F.lit(1).alias("page"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), (90.0 - F.col("id") % 3).alias("tx"), F.lit(50.0).alias("ty"), (-F.col("id")).alias("tord"))
+    got = geometry.nearest_text(boxes, runs)
+    assert got.groupBy("rank", "text").count().orderBy("rank").collect() == [(1, "t2997", 3000), (2, "t2994", 3000), (3, "t2991", 3000), (4, "t2988", 3000)]
