@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import bank, evalkit, extract, fill, geometry, intake, live, match, panel, provider, quotes, review, sinks
 from ..sources import files, html
-from ..operators.tables import temporary_folder
+from ..operators.tables import spread, temporary_folder
 from ..streaming import pages
 from ..streaming.changes import changes, quiet
 from .queries import AS_OF, query, t
@@ -420,7 +420,7 @@ def offered_options(spark, sf_dir):
     k = F.col("p_partkey")
     more = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: F.concat(F.lit("Option "), i.cast("string")))
     own = F.concat(F.array(F.lit(" "), F.lit("First"), F.when(k % 4 == 0, "Call 91234567").otherwise("Second")), more)
-    return t(spark, sf_dir, "part").select(k.alias("id"), text.emitted_options(own).alias("o")).select("id", F.col("o.count").alias("n"), "o.truncated", "o.withheld", F.size("o.values").alias("shown"))
+    return spread(t(spark, sf_dir, "part"), "p_partkey").select(k.alias("id"), text.emitted_options(own).alias("o")).select("id", F.col("o.count").alias("n"), "o.truncated", "o.withheld", F.size("o.values").alias("shown"))
 
 
 FORM_HTML = (

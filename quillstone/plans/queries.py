@@ -203,10 +203,12 @@ SELECT o_orderkey AS claim, coalesce(CASE WHEN l_returnflag IN ('A', 'R') THEN C
 FROM orders LEFT JOIN (SELECT l_orderkey, any_value(l_returnflag) AS l_returnflag, any_value(l_linestatus) AS l_linestatus FROM lineitem WHERE l_linenumber = 2 GROUP BY l_orderkey) ON l_orderkey = o_orderkey
 """)
 def answers_left_default(spark, sf_dir):
-    """Every order asks for its second line's status; lines with flag N come with a status that isn't one."""
+    """Every order asks for its second line's status, of several the first in the table; lines with flag N come with a status that isn't one."""
     fields = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim"), F.lit("line").alias("id"), F.lit(0).alias("ord"), F.lit("text").alias("type"), F.lit("llm").alias("source"), F.lit("").alias("description"), F.array().cast("array<string>").alias("options"))
     status = F.when(F.col("l_returnflag") == "A", "extracted").when(F.col("l_returnflag") == "R", "inferred").otherwise("guessed")
-    answers = t(spark, sf_dir, "lineitem").filter("l_linenumber = 2").groupBy("l_orderkey").agg(F.any_value("l_returnflag").alias("l_returnflag"), F.any_value("l_linestatus").alias("l_linestatus"))
+    place = F.struct("_metadata.file_path", "_metadata.row_index")  # of several second lines the first in the table, whatever the number of tasks
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c)
+    answers = t(spark, sf_dir, "lineitem").filter("l_linenumber = 2").groupBy("l_orderkey").agg(first("l_returnflag"), first("l_linestatus"))
     answers = answers.select(F.col("l_orderkey").alias("claim"), F.lit("line").alias("id"), F.col("l_linestatus").alias("value"), status.alias("status"), F.lit("").alias("source"), F.lit("").alias("reasoning"))
     return review.coerced(fields, answers).select("claim", "status", F.col("value_str").alias("value"))
 

@@ -176,3 +176,23 @@ def test_a_page_is_parsed_once(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
     assert html.scrub(" Call  91234567 ") == "Call [PHONE]" and html.scrub("a@b.sg") == "[EMAIL]" and plans[0].select(F.col("name")).first()[0] == "a"
+
+
+def test_the_first_of_several_second_lines_counts(spark, tmp_path):
+    """Of lines with one number the first in the table counts, however the file is split; and options of a file of one part are shown by several tasks."""
+    from pyspark.sql import functions as F
+
+    from quillstone.plans import CORE
+
+    n = 20000
+    spark.range(n).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(0, 3 * n, 1, 1).select((F.col("id") % n).alias("l_orderkey"), F.lit(2).alias("l_linenumber"), F.when(F.col("id") < n, "R").otherwise("A").alias("l_returnflag"), F.when(F.col("id") < n, "first").otherwise(F.col("id").cast("string")).alias("l_linestatus"))
+    lines.write.option("parquet.block.size", 20000).parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = CORE.QUERIES["answers_left_default"](spark, str(tmp_path)).groupBy("status", "value").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [("inferred", "first", n)]
+    assert CORE.QUERIES["offered_options"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
