@@ -26,8 +26,9 @@ def flexible(value: Column, strict: bool = False) -> Column:
 
 def scrub_patterns(text: Column) -> Column:
     """Pattern pass alone: identifiers that nobody told us of become numbered tokens."""
-    for pattern, base, start in TOKENED:
-        text = numbered(text, pattern, base, start)
+    step = lambda pattern, base, start: lambda x: numbered(x, pattern, base, start)
+    for spec in TOKENED:
+        text = let(text, step(*spec))  # each pass names its text several times
     return text
 
 

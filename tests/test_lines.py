@@ -131,3 +131,13 @@ def test_notes_of_one_file_part_are_read_by_all_cores(spark):
     got = extract.parsed(notes, F.lit("2024-01-01").cast("date"))
     assert got.rdd.getNumPartitions() > 1 and got.count() == 8
     assert "(size(" not in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if x.strip(" +-:").startswith("Filter"))
+
+
+def test_each_scrubbing_pass_names_its_text_once(spark):
+    """The expression grows with the number of patterns, not as a power of it."""
+    from pyspark.sql import functions as F
+
+    from quillstone.operators import redact
+
+    df = spark.createDataFrame([("Call 91234567 or a@b.sg",)], "t string").select(redact.scrub_patterns(F.col("t")).alias("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 3 and df.first()[0] == "Call [PHONE_2] or [EMAIL_1]"
