@@ -762,7 +762,7 @@ def filled_page(spark, sf_dir):
     label = F.concat(F.lit("q"), k.cast("string"))
     fields = p.select(F.col("p_brand").alias("grp"), k.alias("field"), k.alias("field_ord"), label.alias("label"), F.lit("").alias("step"))
     shown = lambda rows, ref, off, shut: rows.select(F.col("p_brand").alias("grp"), ref.alias("control"), ref.alias("control_ord"), label.alias("label"), F.lit("text").alias("type"), F.when(n % 4 == 1, "set").alias("existing"), none.alias("shown"), F.lit(False).alias("checked"), off.alias("disabled"), shut.alias("read_only"), F.lit(None).cast("array<string>").alias("options"), F.lit(None).cast("array<string>").alias("option_values"))
-    controls = shown(p, k, F.lit(False), n % 7 == 3).union(shown(p.filter("p_size % 5 = 0"), -k, F.lit(True), F.lit(False)))
+    controls = shown(p, 2 * k, F.lit(False), n % 7 == 3).union(shown(p.filter("p_size % 5 = 0"), 2 * k + 1, F.lit(True), F.lit(False)))  # no two controls share an id, whatever the keys
     values = p.select(F.col("p_brand").alias("grp"), k.alias("field"), F.when(n % 4 != 0, "x").alias("value"))
     return fill.filled_page(fields, controls, values)
 

@@ -192,6 +192,15 @@ def greedy_lines(text, size, room):
     return out
 
 
+def test_twins_of_any_key_are_controls_of_their_own(spark, tmp_path):
+    from quillstone.plans import forms
+
+    for k in (-1, 0, 1, 2):
+        spark.createDataFrame([(k, "Brand#1", 5 if k == 0 else 2)], "p_partkey long, p_brand string, p_size int").write.mode("append").parquet(f"{tmp_path}/part.parquet")
+    got = sorted((r["field"], r["status"], r["reason"]) for r in forms.filled_page(spark, str(tmp_path)).collect())
+    assert got == [(-1, "filled", None), (0, "skipped", "already answered"), (1, "filled", None), (2, "filled", None)]
+
+
 def test_text_is_measured_once(spark):
     r = random.Random(6)
     texts = ["", "a", "\n", "x\n\ny", " lead and trail ", "W" * 60, "one " + "M" * 40 + " two", "tab\there é日本"]
