@@ -231,6 +231,14 @@ def test_unknown_ids_are_told_whatever_their_value(spark):
     assert got == {"a": None, "zz": "unknown field", "yy": "unknown field", "ww": "unknown field"}
 
 
+def test_texts_are_fitted_by_many_tasks(spark):
+    box = "struct<page:int,x:double,y:double,w:double,h:double,size:double>"
+    fields = spark.createDataFrame([("f", f"k{k}", (1, 0.0, 0.0, 90.0, 30.0, None)) for k in range(64)], f"form string, field string, box {box}").coalesce(1)
+    values = fields.select("form", "field", F.lit("as long as all others").alias("value_str"), F.lit(None).cast("boolean").alias("value_bool"))
+    rows = sinks.overlay_rows(fields, values, spark.createDataFrame([("f", 1, 842.0)], "form string, page int, height double"))
+    assert len({r[0] for r in rows.select(F.spark_partition_id()).collect()}) > 4 and rows.select("lines", "size").distinct().count() == 1
+
+
 def test_forbidden_phrases_run_over_values_in_order(spark):
     rows = spark.createDataFrame([("k", "f1", "zulu alpha", False, 1), ("k", "f2", "beta", False, 2)], "case string, field string, value string, needs_review boolean, ord int")
     checks = spark.createDataFrame([("k", "forbid", None, "Alpha beta"), ("k", "forbid", None, "beta zulu")], "case string, kind string, field string, want string")
