@@ -5,9 +5,8 @@ that a slot has few occurrences of rare phrases; the tasks' counts of slots are
 bound for each of its phrases, so a phrase that is frequent enough lies in a slot whose sum is, too. Those slots are sent
 to the tasks in rounds of at most HOT, and the phrases in them are the candidates.
 
-Candidates and the words in them are then counted. Passes of about PASS characters of patterns, guarded by blanks on both sides,
-become an automaton for each language; it reads the documents, in which every piece is its words with a blank around each, and counts
-overlapping matches. The sums are exact, and thresholds, cuts and ranks are columns.
+Candidates and the words in them are then counted. Passes of about PASS characters of patterns become an automaton of words for each
+language; it reads the documents, piece by piece, and counts overlapping matches. The sums are exact, and thresholds, cuts and ranks are columns.
 
 Defined cases: a null text is empty, a null language is `und`; texts without words add nothing; repeated rows count
 repeatedly; ties are broken by count and then by the phrase's bytes; very long texts and pieces are read in runs; an
@@ -17,9 +16,10 @@ empty table gives no rows; further columns aren't read.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import repeat
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,8 +35,8 @@ LEAST, LONGEST, PERCENT, TOP = 100, 5, 100, 2000
 UNKNOWN = "und"
 #: Characters of text for each slot, and slots of a slice at most.
 CHARS, SLICE = 4, 1 << 20
-#: Frequent slots that a round sends to all tasks (16 MB) and characters of patterns that a pass does (an automaton of some 200 MB).
-HOT, PASS = 2_000_000, 4_000_000
+#: Frequent slots that a round sends to all tasks (32 MB) and characters of patterns that a pass does (with their automata some 250 MB in a worker).
+HOT, PASS = 4_000_000, 32_000_000
 #: Words that are hashed at once, and bytes of a piece after which it is cut into runs.
 RUN, CUT = 1 << 20, 1 << 22
 #: Blanks and the ends of pieces become one character each, A to Z lower case.
@@ -184,8 +184,9 @@ def in_slots(docs: DataFrame, slots: int, hot: Broadcast) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = hot.value
-        mask = np.uint64((1 << 23) - 1)
-        maybe = np.zeros(1 << 23, bool)
+        size = 1 << max(23, (4 * len(wanted)).bit_length())
+        mask = np.uint64(size - 1)
+        maybe = np.zeros(size, bool)
         maybe[(wanted & mask).astype(np.int64)] = True
         told: set[int] = set()
         rows: dict[tuple[str, int], list[bytes]] = {}
@@ -237,37 +238,80 @@ def in_slots(docs: DataFrame, slots: int, hot: Broadcast) -> DataFrame:
 
 #: Patterns whose counts make one row.
 COUNTS = 1 << 14
-_automata: dict[tuple[str, str], ahocorasick.Automaton] = {}
+_automata: dict[tuple[str, str], Automaton] = {}
 
 
-def _automaton(made: Broadcast, lang: str) -> ahocorasick.Automaton:
-    """A worker keeps the automata of one pass. The empty pattern, a language's first, counts its words."""
+class Automaton:
+    """A language's patterns as states and moves from state to state by a word. The empty pattern, its first, matches nothing.
+
+    A state is the words read since some place; its moves are rows of a sorted array, 8 bytes each, and no state has more words than the
+    longest pattern. All places of a text are read at once, so a move further is one search for all that are still in a state.
+    """
+
+    def __init__(self, patterns: list[str]) -> None:
+        self.n = len(patterns)
+        split = [p.encode().split(b" ") for p in patterns[1:]]
+        flat = [w for ws in split for w in ws]
+        self.words = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+        word = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        begin = np.cumsum(size) - size
+        state, own = word[begin], np.arange(1, self.n)
+        self.moves: list[np.ndarray] = []
+        self.pattern = [self._ends(len(self.words), state, own, size == 1)]
+        for m in range(1, size.max(initial=0)):
+            on = size > m
+            state, own, begin, size = state[on], own[on], begin[on], size[on]
+            moves, state = np.unique(state * len(self.words) + word[begin + m], return_inverse=True)
+            self.moves.append(moves)
+            self.pattern.append(self._ends(len(moves), state, own, size == m + 1))
+
+    @staticmethod
+    def _ends(states: int, state: np.ndarray, own: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """The pattern that ends in each state, or 0."""
+        out = np.zeros(states, np.int32)
+        out[state[here]] = own[here]
+        return out
+
+    def read(self, text: bytes) -> np.ndarray:
+        """Numbers of a folded text's words and the breaks between its pieces, -1 for those of no pattern; long texts in parts."""
+        out = []
+        while text:
+            at = text.find(b" ", CUT) if len(text) > CUT else -1
+            part, text = (text, b"") if at < 0 else (text[:at], text[at:])
+            ws = part.replace(b"\n", b" . ").split()  # no word holds a full stop
+            out.append(np.fromiter(map(self.words.get, ws, repeat(-1)), np.int64, len(ws)))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def matches(self, word: np.ndarray) -> np.ndarray:
+        """How often each pattern begins at some place of the words."""
+        at = np.flatnonzero(word >= 0)
+        state = word[at]
+        sums = np.bincount(self.pattern[0][state], minlength=self.n)
+        for m, (moves, pattern) in enumerate(zip(self.moves, self.pattern[1:], strict=True), 1):
+            on = at + m < len(word)
+            at, state = at[on], state[on]
+            on = word[at + m] >= 0
+            at, state = at[on], state[on]
+            move = state * len(self.words) + word[at + m]
+            state = np.minimum(np.searchsorted(moves, move), len(moves) - 1)
+            on = moves[state] == move
+            at, state = at[on], state[on]
+            sums += np.bincount(pattern[state], minlength=self.n)
+        sums[0] = 0
+        return sums
+
+
+def _automaton(made: Broadcast, lang: str) -> Automaton:
+    """A worker keeps the automata of one pass."""
     key = (made.value["pass"], lang)
     if key not in _automata:
         if any(k[0] != key[0] for k in _automata):
             _automata.clear()
-        a = ahocorasick.Automaton()
-        for k, phrase in enumerate(made.value["patterns"][lang]):
-            if phrase:
-                a.add_word(f" {phrase.encode().decode('latin-1')} ", k)
-        a.make_automaton()
-        _automata[key] = a
+        _automata[key] = Automaton(made.value["patterns"][lang])
     return _automata[key]
 
 
-def _matches(found: ahocorasick.Automaton, guarded: bytes, n: int) -> np.ndarray:
-    """How often each of n patterns matches. The automaton goes on where a part of a long text ends."""
-    sums, it = np.zeros(n, np.int64), None
-    for at in range(0, len(guarded), CUT):
-        part = guarded[at : at + CUT].decode("latin-1")
-        if it is None:
-            it = found.iter(part)
-        else:
-            it.set(part)
-        sums += np.bincount(np.fromiter((k for _, k in it), np.int64), minlength=n)
-    return sums
-
-
 def counted(docs: DataFrame, made: Broadcast) -> DataFrame:
     """lang, phrase and f: the matches of each pattern, and the number of all words as that of the empty one."""
     names = pa.schema([("slice", pa.int64()), ("counts", pa.binary())])
@@ -278,17 +322,18 @@ def counted(docs: DataFrame, made: Broadcast) -> DataFrame:
         sums = np.zeros(made.value["size"], np.int64)
         for whole in it:
             for b in pieces(whole, 1 << 22):
-                texts: dict[str, list[bytes]] = {}
+                texts: dict[str, list[np.ndarray]] = {}
                 for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                     lang = UNKNOWN if lang is None else lang
                     if lang in patterns and text:
-                        lines = [p.split() for p in folded(text).split(b"\n")]
-                        sums[first[lang]] += sum(map(len, lines))
-                        texts.setdefault(lang, []).append(b" \n ".join(map(b" ".join, lines)))
+                        line = folded(text)
+                        read = _automaton(made, lang).read(line)
+                        sums[first[lang]] += len(read) - line.count(b"\n")
+                        texts.setdefault(lang, []).extend((read, np.array([-1])))
                 for lang, ts in texts.items():
                     a, n = first[lang], len(patterns[lang])
                     if n > 1:
-                        sums[a : a + n] += _matches(_automaton(made, lang), b" " + b" \n ".join(ts) + b" ", n)
+                        sums[a : a + n] += _automaton(made, lang).matches(np.concatenate(ts))
         for k in range(0, len(sums), COUNTS):
             at = np.flatnonzero(sums[k : k + COUNTS])
             if len(at):
@@ -296,12 +341,12 @@ def counted(docs: DataFrame, made: Broadcast) -> DataFrame:
 
     def added(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums = None, np.zeros(COUNTS, np.int64)
-        every = [(lang, p) for lang, ps in made.value["patterns"].items() for p in ps]
+        langs, first = list(made.value["first"]), list(made.value["first"].values())
 
         def total() -> pa.RecordBatch:
             at = np.flatnonzero(sums)
-            named = [every[now * COUNTS + k] for k in at.tolist()]
-            return batch(out, [[x[0] for x in named], [x[1] for x in named], pa.array(sums[at])])
+            of = [(langs[k], x - first[k]) for x in (at + now * COUNTS).tolist() for k in (bisect_right(first, x) - 1,)]
+            return batch(out, [[lang for lang, _ in of], [made.value["patterns"][lang][x] for lang, x in of], pa.array(sums[at])])
 
         for b in it:
             for k, data in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
@@ -349,9 +394,9 @@ def counts(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     patterns = settled(phrases.union(of).distinct(), "col-patterns")
     passes = max(1, -(-(patterns.agg(F.sum(F.length("phrase") + 2)).first()[0] or 0) // PASS))
     found = None
-    for k in range(passes):  # patterns are dealt by hash: passes have about as many characters
+    for k in range(passes):  # patterns are dealt by the hash of their first words, whose states they share: passes have about as many characters
         by: dict[str, list[str]] = {}
-        for lang, phrase in zip(*(c.to_pylist() for c in patterns.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(passes)) == k).select("lang", "phrase").toArrow().columns), strict=True):
+        for lang, phrase in zip(*(c.to_pylist() for c in patterns.filter(F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 2)), F.lit(passes)) == k).select("lang", "phrase").toArrow().columns), strict=True):
             by.setdefault(lang, [""]).append(phrase)
         first, size = {}, 0
         for lang, ps in by.items():

@@ -174,6 +174,18 @@ def test_collocations_in_rounds_and_passes(spark, monkeypatch):
     assert {tuple(g) for g in got} == phrases_of(rows, 5, 100, 2000)
 
 
+def test_long_patterns_are_counted_in_one_pass(spark, monkeypatch):
+    """Six million characters of patterns are read in one scan of the documents, long texts in parts, overlaps counted."""
+    ws = [f"{k:04}" * 500 for k in range(200)] + ["a"]
+    text = " ".join(ws[k % 201] for k in range(1000)) + " a a a a.a\ta"
+    passes, counted = [], collocation.counted
+    monkeypatch.setattr(collocation, "counted", lambda docs, made: passes.append(1) or counted(docs, made))
+    phrases = [("en", " ".join(ws[k + j] for j in range(m))) for m in (2, 3, 4, 5) for k in range(200 - m)] + [("en", "a a"), ("en", "a a a"), ("en", "a b")]
+    got = {r["phrase"]: r["f"] for r in collocation.counts(frame(spark, [(1, text, "en"), (2, text.upper(), "en"), (3, "a a", "de")]), spark.createDataFrame(phrases, "lang string, phrase string")).collect()}
+    assert passes == [1] and got[""] == 2 * 1006 and got["a a"] == 2 * 4 and got["a a a"] == 2 * 2 and "a b" not in got and "b" not in got
+    assert all(got[p] == 2 * (f" {text} ".replace(".", " . ")).count(f" {p} ") for _, p in phrases[:-3])
+
+
 def test_runs_cut_long_pieces(monkeypatch):
     text = " ".join(f"w{k % 13}" for k in range(500))
     whole = collocation.Run(1 << 16)
