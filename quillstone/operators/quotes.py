@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +16,8 @@ from ..functions.text import squashed
 
 #: Characters of quotes that are sent to all tasks.
 FEW = 16_000_000
-#: Characters of short quotes in one automaton, of some 100 bytes a character at most.
-SHARD = 1_000_000
+#: Characters of quotes in one automaton, of some 100 bytes a character at most, and how many passes find all quotes sooner than runs of words do.
+SHARD, PASSES = 1_000_000, 4
 
 
 def _found(n: DataFrame, quotes: DataFrame, anchor: int) -> DataFrame:
@@ -25,12 +26,15 @@ def _found(n: DataFrame, quotes: DataFrame, anchor: int) -> DataFrame:
     Where a quote occurs, all its words but the first and the last are whole words of the note: the note's first and last
     may go on beyond it. So notes and quotes meet by hashes of runs of at most `anchor` of these inner words, and what meets is
     compared letter by letter. While the quotes are few they are sent to the notes, whose runs then don't move. Quotes of one or two
-    words have no inner word: automata of about SHARD characters find them, each in one pass over the notes.
+    words have no inner word: automata of about SHARD characters find them, each in one pass over the notes. All quotes are found so
+    where PASSES of these hold them.
     """
     w = F.split("q", " ")
     k = F.greatest(F.lit(0), F.least(F.lit(anchor), F.size(w) - 2))
     q = quotes.select("q").distinct().withColumn("k", k).withColumn("key", F.xxhash64(F.array_join(F.slice(w, F.lit(2), F.col("k")), " ")))
     counts = {r[0]: r[1] for r in q.groupBy("k").agg(F.sum(F.length("q") + 32)).collect()}  # at most anchor + 1 rows
+    if sum(counts.values()) <= PASSES * SHARD:
+        q, counts = q.withColumn("k", F.lit(0)), {0: sum(counts.values())}
     lengths, few = sorted(counts), sum(counts.values()) <= FEW
     words = n.select("note_id", F.split("t", " ").alias("w"))
 
@@ -66,11 +70,12 @@ def _short(n: DataFrame, quotes: DataFrame) -> DataFrame:
         found.make_automaton()
         for b in it:
             rows, held = [], []
-            for k, text in enumerate(b.column("t").to_pylist()):
-                for q in sorted({q for _, q in found.iter(text)}) if text and sent.value else ():
+            for k, text in enumerate(b.column("t")):
+                for q in sorted({q for _, q in found.iter(text.as_py())}) if text.is_valid and sent.value else ():
                     rows.append(k)
                     held.append(q)
-            yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows, pa.int64())).columns, pa.array(held, pa.string())], names=[*b.schema.names, "q"])
+            for k in range(0, len(rows), 512):  # a long text may hold many
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows[k : k + 512], pa.int64())).columns, pa.array(held[k : k + 512], pa.string())], names=[*b.schema.names, "q"])
 
     return n.mapInArrow(run, schema)
 
@@ -104,9 +109,10 @@ def pieces_located(notes: DataFrame, quotes: DataFrame, anchor: int = 3) -> Data
     both = F.array(F.struct(F.lit(0).alias("form"), F.col("raw")), F.struct(F.lit(1).alias("form"), F.regexp_replace("raw", "[.,;:]+$", "").alias("raw")))
     asked = cut.select("quote_id", (F.col("pos") + 1).alias("piece"), F.explode(both).alias("f")).select("quote_id", "piece", "f.form", "f.raw").withColumn("q", squashed(F.col("raw"))).filter("q <> ''")
     at = F.position("raw", "text")
-    once = F.when(at > 0, F.position("raw", "text", at + 1) == 0).otherwise(_occurrences(F.col("t"), F.col("q")) == 1)
+    once = F.when(F.col("piece") == 0, True).when(at > 0, F.position("raw", "text", at + 1) == 0).otherwise(_occurrences(F.col("t"), F.col("q")) == 1)
+    # Whole quotes are sought in the same pass, as piece 0.
+    asked = asked.union(q.select("quote_id", F.lit(0), F.lit(0), F.lit(None).cast("string"), squashed(F.col("quote")).alias("q")).filter("q <> ''"))
     held = _found(_texts(notes), asked, anchor).join(asked, "q").select("note_id", "quote_id", "piece", "form", "q", once.alias("once"))
-    best = held.groupBy("note_id", "quote_id", "piece").agg(F.min_by(F.struct("once", F.col("q").alias("found")), "form").alias("b")).filter("b.once")
-    whole = located(notes, quotes, anchor).select(F.col("note_id").alias("n"), F.col("quote_id").alias("i"))
-    left = best.join(whole, F.col("note_id").eqNullSafe(F.col("n")) & F.col("quote_id").eqNullSafe(F.col("i")), "left_anti")
+    best = held.groupBy("note_id", "quote_id", "piece").agg(F.min_by(F.struct("once", F.col("q").alias("found")), "form").alias("b"))
+    left = best.withColumn("first", F.min("piece").over(W.partitionBy("note_id", "quote_id"))).filter("first > 0 AND b.once")
     return left.select("note_id", "quote_id", "piece", F.col("b.found").alias("found"))

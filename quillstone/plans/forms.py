@@ -546,7 +546,7 @@ SELECT doc_id AS note_id, item_id AS quote_id, CAST(piece AS INTEGER) AS piece,
 """)
 def quote_pieces(spark, sf_dir):
     """Benchmark passages cut after their eighth word, as quotes that no note holds whole: the pieces that occur once in the notes."""
-    notes = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), text.squashed(F.col("text")).alias("text"))
+    notes = spread(t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("note_id"), text.squashed(F.col("text")).alias("text"))
     w = F.split(text.squashed(F.col("text")), " ")
     asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.concat(F.array_join(F.slice(w, 1, 8), " "), F.lit(". "), F.array_join(F.slice(w, F.lit(9), F.size(w)), " ")).alias("quote"))
     return quotes.pieces_located(notes, asked)

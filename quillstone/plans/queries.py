@@ -11,6 +11,7 @@ from ..functions import dates, text
 from ..functions.patterns import EMAIL
 from ..operators import bank, dumps, fill, geometry, match, quotes, redact, review
 from ..operators.evalkit import leak_metrics
+from ..operators.tables import spread
 from ..streaming.changes import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,7 +267,7 @@ WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM
 SELECT doc_id AS note_id, item_id AS quote_id, CAST(len(string_split(t, q)) - 1 AS BIGINT) AS hits FROM d JOIN b ON contains(t, q)
 """)
 def quote_locate(spark, sf_dir):
-    notes = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), "text")
+    notes = spread(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), "text"), "note_id")
     return quotes.located(notes, t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")))
 
 

@@ -127,6 +127,22 @@ def test_short_quotes_by_automata(spark, monkeypatch):
     assert quotes.located(n, q.limit(0)).count() == 0 and quotes.located(n.limit(0), q).count() == 0
 
 
+def test_pieces_and_whole_quotes_are_found_in_one_pass(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda: r.choice(["ab", "ba", "c.", "ca;", "é", "日", "dd", "e"])
+    notes = spark.createDataFrame([(k, " ".join(word() for _ in range(60))) for k in range(40)] + [(None, "ab ba c. dd  e ca"), (90, None)], "note_id long, text string")
+    asked = spark.createDataFrame([(k, " ".join(word() for _ in range(r.choice([3, 4, 6])))) for k in range(80)] + [(200, "ab ba c. dd e"), (201, None), (None, "ab ba; dd e")], "quote_id long, quote string")
+    passes, texts = [], quotes._texts
+    monkeypatch.setattr(quotes, "_texts", lambda n: passes.append(1) or texts(n))
+    found = quotes.pieces_located(notes, asked)
+    rows = sorted(map(str, found.collect()))
+    assert passes == [1] and "xxhash64" not in found._jdf.queryExecution().optimizedPlan().toString() and len(rows) > 20
+    monkeypatch.setattr(quotes, "PASSES", 0)  # by runs of words
+    assert sorted(map(str, quotes.pieces_located(notes, asked).collect())) == rows
+    held = {(x["note_id"], x["quote_id"]) for x in quotes.located(notes, asked).collect()}
+    assert held and not held & {(x["note_id"], x["quote_id"]) for x in found.collect()}
+
+
 def test_many_short_quotes_make_no_product(spark):
     n = spark.range(500).select(F.col("id").alias("note_id"), F.concat_ws(" ", F.lit("w"), *[(F.col("id") * k % 997).cast("string") for k in range(1, 40)]).alias("text"))
     q = spark.range(10000).select(F.col("id").alias("quote_id"), F.concat_ws(" ", (F.col("id") % 997).cast("string"), (F.col("id") * 7 % 997).cast("string")).alias("quote"))
