@@ -15,6 +15,7 @@ announcement, so the last one of a page waits for that.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -27,6 +28,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 POINTS = "page string, at timestamp, ord long, sig string, changed boolean, discarded long"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: No event's own number is greater.
+MOST = 2**63
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -47,53 +50,71 @@ class QuietPoints(StatefulProcessor):
         self.last = handle.getValueState("last", "at long, sig string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        open_, answers = set(self.open.get()), set(self.answers.get())
+        held, told = list(self.open.get()), list(self.answers.get())
+        open_, answers = {x[:2]: x[2] for x in held}, set(told)
         for pdf in rows:
-            for at, o, sig in zip(pdf["us"], pdf["ord"], pdf["sig"], strict=True):
-                if pd.isna(sig):
+            for at, o, sig in zip(pdf["us"].tolist(), pdf["ord"].tolist(), pdf["sig"].tolist(), strict=True):
+                if sig is None or sig != sig:  # null, as pandas has it
                     answers.add((int(at), int(o)))
-                elif not any((int(at), int(o)) == x[:2] for x in open_):
-                    open_.add((int(at), int(o), sig))
-        yield self._decided(key, open_, answers, timerValues.getCurrentWatermarkInMs() * 1000)
+                else:
+                    open_.setdefault((int(at), int(o)), sig)
+        yield from self._decided(key, open_, answers, timerValues.getCurrentWatermarkInMs() * 1000, len(held), len(told), True)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield self._decided(key, set(self.open.get()), set(self.answers.get()), timerValues.getCurrentWatermarkInMs() * 1000)
+        held, told = list(self.open.get()), list(self.answers.get())
+        yield from self._decided(key, {x[:2]: x[2] for x in held}, set(told), timerValues.getCurrentWatermarkInMs() * 1000, len(held), len(told), False)
 
-    def _decided(self, key: Any, open_: set, answers: set, watermark: int) -> pd.DataFrame:
-        events, last = sorted(open_), self.last.get() if self.last.exists() else None
-        out, left = [], []
-        for k, (at, o, sig) in enumerate(events):
+    def _decided(self, key: Any, open_: dict, answers: set, watermark: int, held: int, told: int, other: bool) -> Iterator[pd.DataFrame]:
+        """The points that the watermark has passed; what is left is kept. Events and answers are gone through once, in order."""
+        events, waiting, before = sorted(open_), sorted(answers), self.last.get()
+        last, out, done, gone = before, [], 0, 0  # events decided and answers ended or forgotten
+
+        def ended(upto: int) -> int:
+            nonlocal gone
+            was, gone = gone, bisect_right(waiting, (upto, MOST), gone)
+            return gone - was
+
+        for at, o in events:
             if at + self.wait >= watermark:
-                left = events[k:]
                 break
-            if k + 1 < len(events) and events[k + 1][0] - at < self.wait:
+            done += 1
+            if done < len(events) and events[done][0] - at < self.wait:
                 continue
             if last is not None and at - last[0] >= self.forget:
-                answers, last = {a for a in answers if a[0] > last[0] + self.forget}, None
+                ended(last[0] + self.forget)
+                last = None
+            sig = open_[at, o]
             changed = last is None or last[1] != sig
-            ended = {a for a in answers if changed and a[0] <= at + self.wait}
-            answers -= ended
-            out.append((key[0], at, o, sig, changed, len(ended)))
+            out.append((key[0], at, o, sig, changed, ended(at + self.wait) if changed else 0))
             last = (at, sig)
+        left = events[done:]
         if last is not None and not left and last[0] + self.forget < watermark:
-            answers, last = {a for a in answers if a[0] > last[0] + self.forget}, None
-        self._keep(self.open, left)
-        self._keep(self.answers, sorted(answers))
-        if last is None:
-            self.last.clear()
-        else:
+            ended(last[0] + self.forget)
+            last = None
+        if len(left) != held or done:
+            self._keep(self.open, [(*x, open_[x]) for x in left], held)
+        if len(waiting) - gone != told or gone:
+            self._keep(self.answers, waiting[gone:], told)
+        if last is not None and last != before:
             self.last.update(last)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        elif last is None and before is not None:
+            self.last.clear()
+        if other and (held or before is not None):  # a timer that has expired is gone by itself, and a new page has none
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         due = [left[0][0] + self.wait] if left else [last[0] + self.forget] if last is not None else []
         for us in due:
             self.handle.registerTimer(us // 1000 + 1)
-        pdf = pd.DataFrame(out, columns=["page", "at", "ord", "sig", "changed", "discarded"])
-        return pdf.assign(at=pd.to_datetime(pdf["at"], unit="us", utc=True))
+        if out:
+            pdf = pd.DataFrame(out, columns=["page", "at", "ord", "sig", "changed", "discarded"])
+            yield pdf.assign(at=pd.to_datetime(pdf["at"], unit="us", utc=True))
 
     @staticmethod
-    def _keep(state: Any, rows: list) -> None:
-        state.put(rows) if rows else state.clear()
+    def _keep(state: Any, rows: list, held: int) -> None:
+        if rows:
+            state.put(rows)
+        elif held:
+            state.clear()
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 from quillstone.streaming import pages
 
@@ -80,3 +81,58 @@ def test_too_late_events_are_dropped(spark, tmp_path):
         write(spark, source, k, rows)
         got = pages.drained(stream(), out)
     assert {(r["page"], r["ord"], r["changed"]) for r in got.collect()} == {("a", 1, True), ("b", 2, True)}
+
+
+def test_a_page_of_many_events_takes_time_by_their_number():
+    class Kept:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+    class Last:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def listTimers(self):
+            return iter(())
+
+        def registerTimer(self, ms):
+            pass
+
+    class Clock:
+        ms = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    import pandas as pd
+
+    page, clock, n = pages.QuietPoints(1, 1e9), Clock(), 40000
+    page.handle, page.open, page.answers, page.last = Handle(), Kept(), Kept(), Last()
+    rows = pd.DataFrame({"us": [k * 1_000_000 for k in range(n)], "ord": range(n), "sig": [None if k % 2 else f"s{k}" for k in range(n)]})
+    began = time.process_time()
+    assert sum(len(x) for x in page.handleInputRows(("p",), iter([rows, rows]), clock)) == 0
+    clock.ms = 10**9
+    got = next(page.handleExpiredTimer(("p",), clock, None))
+    assert time.process_time() - began < 8 and len(got) == n // 2 and got["changed"].all() and got["discarded"].tolist() == [1] * (n // 2)
+    assert not page.open.rows and not page.answers.rows
