@@ -143,6 +143,28 @@ def test_survey_of_a_page(spark):
     assert {r["id"]: (r["value_str"], r["status"]) for r in rows.collect()} == {"ward_of_patient": ("B1", "extracted"), "doctor_of_patient": (None, "missing"), "diagnosis_of_patient": (None, "missing")} and errors.count() == 0
 
 
+def test_pages_of_one_kind_are_scored_once(spark, monkeypatch):
+    """Pages of one host with the same labels in the same order are scored once; host, order and what can't be written still tell them apart, and every page has its own rows."""
+    page = lambda ws, off="": "<form>" + "".join(f"<div><label for=i{k}>{w} of patient</label><input id=i{k}{' disabled' if w == off else ''}></div>" for k, w in enumerate(ws)) + "</form>"
+    a, b, none = ("Ward", "Doctor", "Diagnosis"), ("Plan", "Premium", "Payer"), "no labelled fields"
+    kinds = [
+        ("portal.example", page(a), "claim", "fit", 3, None), ("portal.example", page(b), "claim", "host", 3, None), ("portal.example", page(a[::-1]), "claim", "fit", 3, None), ("portal.example", page(a, "Ward"), "claim", "host", 2, None),
+        ("else.example", page(a), "claim", "fit", 3, None), ("x.other.example", page(a), "other", "host", 3, None), (None, page(a), "claim", "fit", 3, None), ("portal.example", None, "claim", "host", 0, none), ("else.example", "<p>none</p>", None, None, 0, none),
+    ]
+    of = {k: kinds[k % len(kinds)] for k in range(20 * len(kinds))}
+    pages = spark.createDataFrame([(k, x[0] and f"https://{x[0]}/{k}", x[1]) for k, x in of.items()], "page_id long, url string, html string")
+    forms = spark.createDataFrame([("claim", 1, ["portal.example"]), ("other", 2, ["*.other.example"])], "form string, form_ord int, hosts array<string>")
+    fields = spark.createDataFrame([(f, w, k, f"{w} of patient", "") for f, ws in (("claim", a), ("other", b)) for k, w in enumerate(ws)], "form string, field string, field_ord int, label string, step string")
+    asked, score = [], survey.page_scores
+    monkeypatch.setattr(survey, "page_scores", lambda f, c: asked.append(c.select("page").distinct().count()) or score(f, c))
+    got = survey.survey(pages, forms, fields)
+    assert {r["page"]: tuple(r)[1:] for r in got.pages.collect()} == {k: (x[0], *x[2:]) for k, x in of.items()} and got.pages.count() == len(of)
+    matched = {(r["page"], r["form"]): r["matched"] for r in got.scores.collect()}
+    assert matched == {(k, f): (x[4] if f == ("other" if k % 9 == 1 else "claim") else 0) for k, x in of.items() if x[4] for f in ("claim", "other")} and got.scores.count() == len(matched)
+    assert got.fields.groupBy("page").count().count() == 7 * 20 and got.fields.count() == 20 * (6 * 3 + 2)
+    assert asked == [7]
+
+
 def test_ids_of_many_labels(spark):
     """Ids of a form by row, families of slugs by themselves: as by one pass over all labels, and for forms of many thousand boxes too."""
     import random
